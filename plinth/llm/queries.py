@@ -17,9 +17,37 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def _byte_bpe() -> tuple[str, str]:
+    """Path and splitting pattern of the vocabulary the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), *_byte_bpe(), size=1024)
+
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), size=35)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip_digests
+
+    return round_trip_digests(_table(spark, sf_dir, "documents"), *_byte_bpe())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash": op2_minhash,
+        "op3_packing": op3_packing,
+        "op5_substring": op5_substring,
+        "op9_bpe": op9_bpe,
     }
 
 
