@@ -42,12 +42,19 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), *_byte_bpe())
 
 
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash": op2_minhash,
         "op3_packing": op3_packing,
         "op5_substring": op5_substring,
         "op9_bpe": op9_bpe,
+        "op10_multi_index": op10_multi_index,
     }
 
 
