@@ -36,6 +36,24 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), size=35)
 
 
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_gam import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_rules import line_rules
+
+    return line_rules(_table(spark, sf_dir, "documents"))
+
+
+def op8_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip_digests
 
@@ -53,6 +71,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash": op2_minhash,
         "op3_packing": op3_packing,
         "op5_substring": op5_substring,
+        "op6_quality_gam": op6_quality_gam,
+        "op7_line_rules": op7_line_rules,
+        "op8_naive_bayes": op8_naive_bayes,
         "op9_bpe": op9_bpe,
         "op10_multi_index": op10_multi_index,
     }
