@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialised
 from .textops import HashCache, list_array, texts, window_hashes, word_hashes, words_of
 
 #: Labelled rows the model is fitted on, at most (those of least id hash).
@@ -164,29 +163,38 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-logit))
 
 
-def document_features(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and the feature array of every row."""
+def _held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AdditiveModel:
+    """Fit on at most ``rows`` labels that are not held out.
+
+    The labels picked are a table of at most ``rows`` rows of two numbers,
+    which is what is broadcast; only their documents' features are computed.
+    """
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    marked = marked.where("quality in (0, 1) and doc_id is not null").where(~_held_out())
+    picked = marked.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for batch in batches:
-            rows = [features(t, cache) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), list_array(rows, pa.float32())], ["doc_id", "held_out", "x"])
+            x = list_array([features(t, cache) for t in texts(batch)], pa.float32())
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), x], ["quality", "x"])
 
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, x array<float>")
-
-
-def fit_quality(table: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> AdditiveModel:
-    """Fit on labelled rows that are not held out, at most ``rows`` of them."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    known = table.where("not held_out").join(marked, "doc_id").select("doc_id", "x", "quality")
-    sample = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality").limit(rows).toArrow()
+    known = _plain(docs).join(F.broadcast(picked), "doc_id").select("quality", "text")
+    sample = known.mapInArrow(run, "quality int, x array<float>").toArrow()
     if not sample.num_rows:
         return AdditiveModel().fit(np.zeros((1, len(FEATURES)), np.float32), np.array([1.0]))
     x = np.array(sample.column("x").to_pylist(), np.float32)
-    return AdditiveModel().fit(x, sample.column("quality").to_numpy().astype(float))
+    y = sample.column("quality").to_numpy().astype(float)
+    order = np.lexsort([*x.T, y])  # the fit must not hang on the order rows arrive in
+    return AdditiveModel().fit(x[order], y[order])
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -198,15 +206,32 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     repeated labels count as often as they come.  Without any label every score
     is close to 1 and nothing is rejected.
     """
-    table = materialised(document_features(docs))
-    model = fit_quality(table, labels)
+    model = fit_quality(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
-            score = model.score(x)
+        for batch, score in _scored(model, batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
             )
 
-    return table.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    plain = _plain(docs).select("doc_id", _held_out().alias("held_out"), "text")
+    return plain.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    model = fit_quality(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, score in _scored(model, batches):
+            yield batch.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scored(model: AdditiveModel, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    cache = HashCache()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            yield part, model.score(np.array([features(t, cache) for t in texts(part)]))

@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -30,6 +36,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), *_byte_bpe(), size=1024)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import surrogate_documents
+
+    out = surrogate_documents(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_chars", "n_entities")
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats
 
@@ -68,8 +81,10 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html": op1_html,
         "op2_minhash": op2_minhash,
         "op3_packing": op3_packing,
+        "op4_pii": op4_pii,
         "op5_substring": op5_substring,
         "op6_quality_gam": op6_quality_gam,
         "op7_line_rules": op7_line_rules,

@@ -21,6 +21,7 @@ anchors that occur twice can repeat; that leaves a tenth of the words to count.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from .storage import materialised
 from .textops import HashCache, as_signed, list_array, texts, window_hashes, word_hashes, words_of
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words of an anchor; the shorter, the fewer anchors and the more chance repeats.
 ANCHOR = 12
 #: Occurrences from which an anchor is counted window by window.
@@ -222,6 +224,41 @@ def repeated_ranges(docs: DataFrame, size: int = 35) -> DataFrame:
     return materialised(ranges.union(hot).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
 
 
+def cut_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
+    """The rows of ``docs``, all columns, with repeated windows cut out of ``text``.
+
+    A text that loses nothing stays as it is; of others the runs of kept words
+    stay with their own white space, joined by a blank.  ``n_chars``, where there
+    is one, counts the new text.  Null texts stay null.
+    """
+    columns = docs.columns
+    ranges = repeated_ranges(docs, size).withColumnsRenamed({"key": "_key", "ranges": "_ranges"})
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    joined = docs.withColumn("text", F.col("text").cast("string")).withColumn("_key", key).join(ranges, "_key", "left").select(*columns, "_ranges")
+    at = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                out = part.columns[: len(columns)]
+                out[at] = pa.array([_cut(t, r) for t, r in zip(out[at].to_pylist(), part.column("_ranges").to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays(out, columns)
+
+    schema = joined.drop("_ranges").schema
+    out = joined.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
+
+
+def _cut(text: str | None, ranges: list | None) -> str | None:
+    if not text or not ranges:
+        return text
+    _, keep = _kept(text, ranges)
+    spans = [m.span() for m in _WORD.finditer(text)]
+    edge = np.diff(np.concatenate([[0], keep.astype(np.int8), [0]]))
+    return " ".join([text[spans[a][0] : spans[b - 1][1]] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
+
+
 def _kept(text: str | None, ranges: list | None) -> tuple[list[bytes], np.ndarray]:
     words = words_of(text)
     keep = np.ones(len(words), bool)
