@@ -1,0 +1 @@
+"""Drawing-sheet tables to a checked structural model, as Spark DataFrames."""
