@@ -9,7 +9,10 @@ an item that doesn't fit whole fills the gap with its first part.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,47 +21,104 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_ENTRIES, Splitter
 from .textops import texts
 
+#: Words in each of the two generations a worker keeps.
+CACHE_ENTRIES = 400_000
 #: Items that are packed together; what a task holds at once.
 GROUP_DOCS = 2000
 
 
+#: Two white space characters in a row: there pre-tokens hang on what follows.
+_STRADDLES = re.compile(r"\s\s").search
+#: Marks a word that no blank precedes.
+_BARE = "\x01"
+#: Longer words are encoded each time.
+_LONGEST_KEPT = 64
+_STOPS = ".,;:!?"
+
+
+class Words(dict):
+    """word -> ids as bytes, or None for a word to be encoded yet."""
+
+    old: dict[str, bytes]
+
+    def __missing__(self, word: str) -> bytes | None:
+        value = self.old.get(word)
+        if value is not None:
+            self[word] = value
+        return value
+
+
 class TextIds:
     """Ids of whole texts from the tokenizers library, as little-endian uint32 bytes.
 
-    Pieces are encoded once and kept; a piece never straddles two tokens'
-    merges, so joining the pieces' ids gives the text's.
+    The pre-tokenizer starts a pre-token at every single blank and cuts out
+    every single line end.  So a text is cut there, each word (with the blank
+    before it, if any) is encoded once and kept, and the words' ids are joined.
+    A letters-only word and a stop after it are pre-tokens of their own, too.
+    Texts with special tokens or with longer runs of white space are encoded whole.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
+        # a task has one core; the library's threads would only wait on each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
-        self.split = Splitter(pattern, specials)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = Words()
+        self.words.old = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, text: str) -> bool:
+        return _BARE in text or _STRADDLES(text) is not None or any(s in text for s in self.specials)
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Encode new words; those that are cut before a stop share the encoding of what stays."""
+        known = self.words
+        stems = {w: w[:-1] for w in words if w[-1:] in _STOPS and w[1:-1].isalpha() and (w[0] == _BARE or w[0].isalpha())} if words else {}
+        plain = (words - stems.keys()) | {s for s in stems.values() if known[s] is None} | {_BARE + c for c in _STOPS if known[_BARE + c] is None}
+        order = list(plain)
+        fresh = dict(zip(order, self._encode([w if w == "\n" else w[1:] if w[:1] == _BARE else " " + w for w in order])))
+        known.update((w, code) for w, code in fresh.items() if len(w) <= _LONGEST_KEPT)
+        for w, stem in stems.items():
+            code = fresh[stem] if stem in fresh else known[stem]
+            fresh[w] = known[w] = code + known[_BARE + w[-1]]
+        return fresh
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.split(t) for t in texts]
-        if len(self.new) >= CACHE_ENTRIES:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = {p for row in pieces for p in row if p not in new}
-        unknown = []
-        for p in missing:
-            known = old.get(p)
-            if known is None:
-                unknown.append(p)
-            else:
-                new[p] = known
-        for p, code in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
-            new[p] = np.array(code.ids, "<u4").tobytes()
-        return [b"".join(map(new.__getitem__, row)) for row in pieces]
+        whole = {t: b"" for t in texts if self._whole(t)}
+        for t, code in zip(whole, self._encode(list(whole))):
+            whole[t] = code
+        if len(self.words) >= CACHE_ENTRIES:
+            self.words.old = dict(self.words)
+            self.words.clear()
+        get = self.words.__getitem__
+        rows = [None if t in whole else (_BARE + t.replace("\n", f" \n {_BARE}")).split(" ") for t in texts]
+        codes = [None if row is None else list(map(get, row)) for row in rows]
+        gaps = [() if code is None else [i for i, c in enumerate(code) if c is None] for code in codes]
+        fresh = self._learn({row[i] for row, gap in zip(rows, gaps) for i in gap})
+        out = []
+        for t, row, code, gap in zip(texts, rows, codes, gaps):
+            for i in gap:
+                code[i] = fresh[row[i]]
+            out.append(whole[t] if row is None else b"".join(code))
+        return out
+
+
+_encoders: dict[str, TextIds] = {}
+
+
+def text_ids(path: str) -> TextIds:
+    """A worker's encoder; what it has kept outlives the task."""
+    if path not in _encoders:
+        _encoders[path] = TextIds(path)
+    return _encoders[path]
 
 
 def fill(tokens: np.ndarray, loss: np.ndarray, size: int, segments: int, loss_limit: int) -> list[list[tuple[int, int, int]]]:
@@ -136,7 +196,7 @@ def _powers(bin_: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, segments: int = 64, loss_limit: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 1024, segments: int = 64, loss_limit: int | None = None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and a closing 0, all loss-bearing; a null text is
@@ -148,7 +208,7 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, segments: i
     loss_limit = loss_limit or size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TextIds(path, pattern)
+        encode = text_ids(path)
         sequence = TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP_DOCS):

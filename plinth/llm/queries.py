@@ -33,7 +33,7 @@ def _byte_bpe() -> tuple[str, str]:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), *_byte_bpe(), size=1024)
+    return pack(_table(spark, sf_dir, "documents"), _byte_bpe()[0], size=1024)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
