@@ -13,8 +13,8 @@ anchors that occur twice can repeat; that leaves a tenth of the words to count.
    automaton over word numbers, and streams its neighbourhoods through it to
    locate every occurrence.
 4. An anchor with more than HOT occurrences would overfill a shard.  Its
-   windows are confirmed by a map-side combined count of their 128-bit hashes
-   and located by a join that Spark can split; nothing is capped.
+   windows are confirmed and located by their 128-bit hashes, in packed chunks
+   that name a repeated window twice at most; nothing is capped.
 5. The located word ranges go back to their documents.
 """
 
@@ -22,12 +22,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ ANCHOR = 12
 HOT = 400
 #: Neighbourhoods a shard is meant to hold.
 SHARD_ROWS = 8000
+#: Windows packed into a row, and windows a bucket of their hashes is meant to hold.
+CHUNK_WINDOWS, BUCKET_WINDOWS = 20_000, 400_000
 
 
 def anchors(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,40 +79,109 @@ def _count(size: int):
     return run
 
 
-def _neighbourhoods(size: int, hot: bool):
-    """Rows round the recurring anchors of each document.
+def _wanted_anchors(part: pa.RecordBatch, size: int, cache: HashCache) -> Iterator[tuple[int, int, list[bytes], int, int]]:
+    """(anchor, key, words, first window, windows) of the anchors that a batch's rows name."""
+    for key, text, want in zip(part.column("key").to_pylist(), texts(part), part.column("wanted").to_pylist()):
+        words = words_of(text)
+        grams, _, first, count = anchors(word_hashes(words, cache), size)
+        here = np.isin(as_signed(grams), np.array(want, np.int64))
+        for gram, start, n in zip(as_signed(grams)[here].tolist(), first[here].tolist(), count[here].tolist()):
+            yield gram, key, words, start, n
 
-    Cold: (anchor, key, first word, words as text).  Hot: one row a window
-    with a 128-bit hash of its words in place of the anchor and the text.
-    """
+
+def _neighbourhoods(size: int):
+    """A row (anchor, key, first word, words as text) for each wanted anchor of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
                 cols: list[list] = [[], [], [], []]
-                wanted = part.column("wanted").to_pylist()
-                for key, text, want in zip(part.column("key").to_pylist(), texts(part), wanted):
-                    words = words_of(text)
-                    grams, _, first, count = anchors(word_hashes(words, cache), size)
-                    here = np.isin(as_signed(grams), np.array(want, np.int64))
-                    for gram, start, n in zip(as_signed(grams)[here].tolist(), first[here].tolist(), count[here].tolist()):
-                        if not hot:
-                            for col, x in zip(cols, (gram, key, start, b" ".join(words[start : start + n + size - 1]))):
-                                col.append(x)
-                            continue
-                        for s in range(start, start + n):
-                            whole = xxhash.xxh3_128_intdigest(b" ".join(words[s : s + size]))
-                            for col, x in zip(cols, ((whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63), key, s)):
-                                col.append(x)
-                if hot:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h1", "h2", "key", "start"])
-                else:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
-                        ["anchor", "key", "start", "words"],
-                    )
+                for gram, key, words, start, n in _wanted_anchors(batch.slice(lo, 200), size, cache):
+                    for col, x in zip(cols, (gram, key, start, b" ".join(words[start : start + n + size - 1]))):
+                        col.append(x)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "key", "start", "words"])
+
+    return run
+
+
+def _chunks(size: int):
+    """Windows of wanted anchors, packed: a row of up to CHUNK_WINDOWS of them with keys, places and 128-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = HashCache()
+        number = TaskContext.get().partitionId() << 40
+        keys: list[int] = []
+        starts: list[int] = []
+        hashes: list[bytes] = []
+
+        def packed() -> pa.RecordBatch:
+            nonlocal number
+            row = [[number], [np.array(keys, np.int64).tobytes()], [np.array(starts, np.int64).tobytes()], [b"".join(hashes)]]
+            number += 1
+            for held in (keys, starts, hashes):
+                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *[pa.array(x, pa.binary()) for x in row[1:]]], ["chunk", "keys", "starts", "hashes"])
+
+        for batch in batches:
+            for _, key, words, start, n in _wanted_anchors(batch, size, cache):
+                for s in range(start, start + n):
+                    keys.append(key)
+                    starts.append(s)
+                    hashes.append(xxhash.xxh3_128_digest(b" ".join(words[s : s + size])))
+                if len(keys) >= CHUNK_WINDOWS:
+                    yield packed()
+        if keys:
+            yield packed()
+
+    return run
+
+
+def _digests(packed: bytes) -> list[bytes]:
+    return [packed[i : i + 16] for i in range(0, len(packed), 16)]
+
+
+def _deal(buckets: int):
+    """A chunk's distinct windows by hash, each once, or twice if the chunk repeats it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist()):
+                dealt: dict[int, list[bytes]] = {}
+                for digest, n in Counter(_digests(packed)).items():
+                    dealt.setdefault(int.from_bytes(digest[:4], "big") % buckets, []).append(digest * min(n, 2))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(dealt), pa.int64()), pa.array([chunk] * len(dealt), pa.int64()), pa.array([b"".join(x) for x in dealt.values()], pa.binary())], ["bucket", "chunk", "hashes"]
+                )
+
+    return run
+
+
+def _confirm(table: pa.Table) -> pa.Table:
+    """For every chunk of a bucket, those of its windows that occur more than once."""
+    rows = [_digests(x) for x in table.column("hashes").to_pylist()]
+    seen = Counter(digest for row in rows for digest in row)
+    out = [b"".join({d for d in row if seen[d] > 1}) for row in rows]
+    return pa.table({"chunk": table.column("chunk"), "repeated": pa.array(out, pa.binary())})
+
+
+def _locate(size: int):
+    """Word ranges that a chunk's repeated windows cover, neighbouring windows as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, starts, packed, repeated in zip(*[batch.column(c).to_pylist() for c in ("keys", "starts", "hashes", "repeated")]):
+                known = {d for part in repeated for d in _digests(part)}
+                hit = np.array([d in known for d in _digests(packed)], bool)
+                key, start = np.frombuffer(keys, np.int64)[hit], np.frombuffer(starts, np.int64)[hit]
+                order = np.lexsort((start, key))
+                key, start = key[order], start[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + size)
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(key)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(start[first], pa.int32()), pa.array(start[last] + size, pa.int32())] if len(key) else [pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int32())], ["key", "a", "b"])
 
     return run
 
@@ -207,7 +280,8 @@ def repeated_ranges(docs: DataFrame, size: int = 35) -> DataFrame:
     found = materialised(keyed.select("key", "text").mapInArrow(_count(size), "key long, anchors array<long>"))
     each = found.select("key", F.explode("anchors").alias("anchor"))
     recurring = materialised(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    total = recurring.where(F.col("n") <= HOT).agg(F.sum("n")).first()[0] or 0
+    cold_n, hot_n = F.sum(F.when(F.col("n") <= HOT, F.col("n"))), F.sum(F.when(F.col("n") > HOT, F.col("n")))
+    total, crowded = (x or 0 for x in recurring.agg(cold_n, hot_n).first())
     shards = max(spark.sparkContext.defaultParallelism, total // SHARD_ROWS)
     per_doc = each.join(recurring, "anchor").groupBy("key").agg(
         F.collect_set(F.when(F.col("n") <= HOT, F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot")
@@ -215,15 +289,27 @@ def repeated_ranges(docs: DataFrame, size: int = 35) -> DataFrame:
     per_doc = materialised(per_doc)
     source = keyed.select("key", "text")
     cold = source.join(per_doc.where(F.size("cold") > 0).select("key", F.col("cold").alias("wanted")), "key")
-    cold = cold.mapInArrow(_neighbourhoods(size, False), "anchor long, key long, start long, words binary")
+    cold = cold.mapInArrow(_neighbourhoods(size), "anchor long, key long, start long, words binary")
     ranges = cold.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(int(shards))).alias("shard")).applyInArrow(_shard(size), "key long, a int, b int")
     warm = source.join(per_doc.where(F.size("hot") > 0).select("key", F.col("hot").alias("wanted")), "key")
-    warm = materialised(warm.mapInArrow(_neighbourhoods(size, True), "h1 long, h2 long, key long, start long"))
-    often = materialised(warm.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
-    hot = warm.join(often, ["h1", "h2"]).select("key", F.col("start").cast("int").alias("a"), (F.col("start") + size).cast("int").alias("b"))
+    hot = _hot_ranges(warm, size, max(spark.sparkContext.defaultParallelism, int(crowded) * ANCHOR // BUCKET_WINDOWS))
     return materialised(ranges.union(hot).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
 
 
+def _hot_ranges(warm: DataFrame, size: int, buckets: int) -> DataFrame:
+    """(key, a, b) for the windows of crowded anchors, in packed rows.
+
+    Chunks deal their windows' hashes to buckets, which answer each chunk with
+    what is repeated.  A chunk names a window at most twice, so even a window of
+    a third of all documents costs a bucket two hashes a chunk.
+    """
+    chunks = materialised(warm.mapInArrow(_chunks(size), "chunk long, keys binary, starts binary, hashes binary"))
+    dealt = chunks.select("chunk", "hashes").mapInArrow(_deal(buckets), "bucket long, chunk long, hashes binary")
+    answers = dealt.groupBy("bucket").applyInArrow(_confirm, "chunk long, repeated binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list("repeated").alias("repeated"))
+    return chunks.join(answers, "chunk").select("keys", "starts", "hashes", "repeated").mapInArrow(_locate(size), "key long, a int, b int")
+
+
 def cut_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated windows cut out of ``text``.
 
