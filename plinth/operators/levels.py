@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT
 from ..functions.text import resolve_alias
-from .ordered import half_even_median, next_above
+from .ordered import half_even_median, next_above, number_rows
 
 
 def merge_sheet_levels(marks: DataFrame, tolerance: float = DEFAULT.level_mm) -> DataFrame:
@@ -70,8 +70,7 @@ def leftover_levels(present: DataFrame, wanted: DataFrame, step: float = 3000.0)
     names = wanted.select(F.lower("name").alias("key"))
     left = present.withColumn("key", F.lower("name")).join(names, "key", "left_anti")
     top = wanted.agg(F.max("elevation").alias("top"))
-    k = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("elevation", "name"))
-    return left.withColumn("k", k).join(F.broadcast(top)).select("name", "k", (F.col("top") + F.col("k") * step).alias("target"))
+    return number_rows(left, "elevation", ["name"], "k").join(F.broadcast(top)).select("name", "k", (F.col("top") + F.col("k") * step).alias("target"))
 
 
 def effective_levels(levels: DataFrame) -> DataFrame:

@@ -37,6 +37,26 @@ def running_position(df: DataFrame, keys: list[str], order: str, spacing: str, o
     return df.withColumn(out, F.coalesce(F.sum(spacing).over(rows), F.lit(0.0)))
 
 
+def number_rows(df: DataFrame, order: str, ties: list[str], out: str, parts: int = 200) -> DataFrame:
+    """1, 2, 3, ... over the whole table, by a numeric column, without one task sorting it all.
+
+    At most ``parts`` cut points go through the driver.  Rows are numbered
+    within the ranges between them, and each range starts after the counts of
+    those below, a table of at most ``parts`` + 1 rows that is broadcast.
+    """
+    shares = [i / parts for i in range(1, parts)]
+    cuts = df.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    edges = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    ranged = df.withColumn("_r", F.size(F.filter(edges, lambda e: e < F.col(order))))
+    sizes = ranged.groupBy("_r").agg(F.count("*").alias("_c"))
+    below = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_r", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_r").orderBy(order, *ties))
+    numbered = ranged.join(F.broadcast(starts), "_r").withColumn(out, (inside + F.col("_start")).cast("int"))
+    return numbered.drop("_r", "_start")
+
+
 def next_above(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
     """As-of forward: the least value strictly above a row's own, null at the top.
 

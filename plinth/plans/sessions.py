@@ -105,20 +105,15 @@ def sc26(spark, sf_dir):
     return view(spark, sf_dir, "v_elements").groupBy("level_no").agg(F.count("*").alias("n"), F.min("extent").alias("least")).orderBy("level_no")
 
 
-@query("sc27_l5_parameters", "SELECT id, category AS name, id % 3 = 0 AS read_only, row_number() OVER (ORDER BY id % 3 = 0, category, id) AS place FROM v_elements")
+@query("sc27_l5_parameters", "SELECT id, category AS name, id % 3 = 0 AS read_only FROM v_elements ORDER BY read_only, name")
 def sc27(spark, sf_dir):
-    p = view(spark, sf_dir, "v_elements").select("id", F.col("category").alias("name"), (F.col("id") % 3 == 0).alias("read_only"))
-    from pyspark.sql import Window
+    return EL.sorted_parameters(view(spark, sf_dir, "v_elements").select("id", F.col("category").alias("name"), (F.col("id") % 3 == 0).alias("read_only")))
 
-    return p.withColumn("place", F.row_number().over(Window.orderBy("read_only", "name", "id")))
 
-
-@query("l4_p34_storey_listing", "SELECT level_no, succeeded, row_number() OVER (ORDER BY succeeded DESC, level_no) AS place FROM (SELECT level_no, bool_and(extent IS NULL OR extent > 150) AS succeeded FROM v_elements GROUP BY level_no)")
+@query("l4_p34_storey_listing", "SELECT level_no, bool_and(extent IS NULL OR extent > 150) AS succeeded FROM v_elements GROUP BY level_no ORDER BY succeeded DESC, level_no")
 def l4(spark, sf_dir):
-    from pyspark.sql import Window
-
     s = view(spark, sf_dir, "v_elements").groupBy("level_no").agg(F.bool_and(F.col("extent").isNull() | (F.col("extent") > 150)).alias("succeeded"))
-    return s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("succeeded"), "level_no")))
+    return s.orderBy(F.desc("succeeded"), "level_no")
 
 
 @query("l8_l9_preferred_rows", "SELECT category, arg_min(type_name, (CASE family WHEN 'Brand#3' THEN 0 WHEN 'Brand#7' THEN 1 ELSE 2 END) * 1000000000 + id) AS chosen FROM v_elements GROUP BY category")

@@ -202,3 +202,12 @@ def test_verdict_table(spark):
     b = spark.createDataFrame([("agree", "SECTION", 0.95, ""), ("differ", "DISCARD", 0.9, ""), ("only", "DISCARD", 0.8, "")], "k string, class string, confidence double, reason string")
     got = {r["k"]: (r["class"], r["tier"], r["confidence"]) for r in C.combine(a, b, "k").collect()}
     assert got == {"agree": ("SECTION", "llm", 0.95), "differ": ("UNKNOWN", "unresolved", 0.0), "sure": ("SECTION", "llm", 0.7), "unsure": ("UNKNOWN", "unresolved", 0.69), "only": ("UNKNOWN", "unresolved", 0.8)}
+
+
+def test_number_rows_equals_a_global_sort(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(0, 50) * 1.0, i) for i in range(500)]
+    got = O.number_rows(spark.createDataFrame(rows, "v double, i int"), "v", ["i"], "k", parts=7).collect()
+    want = {i: k + 1 for k, (_, i) in enumerate(sorted(rows))}
+    assert {r["i"]: r["k"] for r in got} == want
+    assert O.number_rows(spark.createDataFrame([], "v double, i int"), "v", ["i"], "k").count() == 0
