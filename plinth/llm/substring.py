@@ -5,8 +5,8 @@ else.  Every window holds exactly one *anchor*: the phrase of ANCHOR words
 with the least hash in it, the leftmost of equals.  Equal windows have equal anchors, so only windows round
 anchors that occur twice can repeat; that leaves a tenth of the words to count.
 
-1. Anchors are counted over all documents (map-side combined).
-2. Documents hand on the neighbourhood of each recurring anchor: the words of
+1. Anchors are counted over all texts, equal texts as two (map-side combined).
+2. Texts hand on the neighbourhood of each recurring anchor: the words of
    all windows that have it as theirs.
 3. Neighbourhoods are dealt to shards by anchor.  A shard confirms passages,
    word by word, that occur more than once, compiles them into an Aho-Corasick
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialised
@@ -42,9 +42,11 @@ ANCHOR = 12
 #: Occurrences from which an anchor is counted window by window.
 HOT = 400
 #: Neighbourhoods a shard is meant to hold.
-SHARD_ROWS = 8000
+SHARD_ROWS = 2000
 #: Windows packed into a row, and windows a bucket of their hashes is meant to hold.
 CHUNK_WINDOWS, BUCKET_WINDOWS = 20_000, 400_000
+#: End of a range that reaches to the end of its text.
+OPEN = (1 << 31) - 1
 
 
 def anchors(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,66 +75,74 @@ def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for batch in batches:
-            keys = [as_signed(anchors(word_hashes(words_of(t), cache), size)[0]) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), list_array(keys, pa.int64())], ["key", "anchors"])
+            found = [as_signed(anchors(word_hashes(words_of(t), cache), size)[0]) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), list_array(found, pa.int64())], ["key", "row", "anchors"])
 
     return run
 
 
-def _wanted_anchors(part: pa.RecordBatch, size: int, cache: HashCache) -> Iterator[tuple[int, int, list[bytes], int, int]]:
-    """(anchor, key, words, first window, windows) of the anchors that a batch's rows name."""
-    for key, text, want in zip(part.column("key").to_pylist(), texts(part), part.column("wanted").to_pylist()):
+def _wanted_anchors(part: pa.RecordBatch, size: int, cache: HashCache) -> Iterator[tuple[int, bytes, int, list[bytes], int, int]]:
+    """(anchor, key, copies, words, first window, windows) of the anchors that a batch's rows name."""
+    for key, copies, text, want in zip(part.column("key").to_pylist(), part.column("copies").to_pylist(), texts(part), part.column("wanted").to_pylist()):
         words = words_of(text)
         grams, _, first, count = anchors(word_hashes(words, cache), size)
         here = np.isin(as_signed(grams), np.array(want, np.int64))
         for gram, start, n in zip(as_signed(grams)[here].tolist(), first[here].tolist(), count[here].tolist()):
-            yield gram, key, words, start, n
+            yield gram, key, copies, words, start, n
 
 
 def _neighbourhoods(size: int):
-    """A row (anchor, key, first word, words as text) for each wanted anchor of a document."""
+    """A row (anchor, key, copies, first word, words as text) for each wanted anchor of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                cols: list[list] = [[], [], [], []]
-                for gram, key, words, start, n in _wanted_anchors(batch.slice(lo, 200), size, cache):
-                    for col, x in zip(cols, (gram, key, start, b" ".join(words[start : start + n + size - 1]))):
+                cols: list[list] = [[], [], [], [], []]
+                for gram, key, copies, words, start, n in _wanted_anchors(batch.slice(lo, 200), size, cache):
+                    for col, x in zip(cols, (gram, key, copies, start, b" ".join(words[start : start + n + size - 1]))):
                         col.append(x)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "key", "start", "words"])
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "key", "copies", "start", "words"])
 
     return run
 
 
 def _chunks(size: int):
-    """Windows of wanted anchors, packed: a row of up to CHUNK_WINDOWS of them with keys, places and 128-bit hashes."""
+    """Windows of wanted anchors, packed: a row of some CHUNK_WINDOWS of them.
+
+    A row has the keys of its texts and how often each text occurs, and for
+    every window the number of its text, its first word and its 128-bit hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         number = TaskContext.get().partitionId() << 40
-        keys: list[int] = []
-        starts: list[int] = []
-        hashes: list[bytes] = []
+        held: list[list] = [[], [], [], [], []]
 
         def packed() -> pa.RecordBatch:
             nonlocal number
-            row = [[number], [np.array(keys, np.int64).tobytes()], [np.array(starts, np.int64).tobytes()], [b"".join(hashes)]]
+            keys, copies, owners, starts, hashes = held
+            row = [number, keys[:], copies[:], np.array(owners, np.int32).tobytes(), np.array(starts, np.int32).tobytes(), b"".join(hashes)]
             number += 1
-            for held in (keys, starts, hashes):
-                held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *[pa.array(x, pa.binary()) for x in row[1:]]], ["chunk", "keys", "starts", "hashes"])
+            for column in held:
+                column.clear()
+            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["chunk", "keys", "copies", "owners", "starts", "hashes"])
 
         for batch in batches:
-            for _, key, words, start, n in _wanted_anchors(batch, size, cache):
-                for s in range(start, start + n):
+            for _, key, copies, words, start, n in _wanted_anchors(batch, size, cache):
+                keys, many, owners, starts, hashes = held
+                if not keys or keys[-1] != key:
+                    if len(owners) >= CHUNK_WINDOWS:
+                        yield packed()
                     keys.append(key)
+                    many.append(copies)
+                for s in range(start, start + n):
+                    owners.append(len(keys) - 1)
                     starts.append(s)
                     hashes.append(xxhash.xxh3_128_digest(b" ".join(words[s : s + size])))
-                if len(keys) >= CHUNK_WINDOWS:
-                    yield packed()
-        if keys:
+        if held[0]:
             yield packed()
 
     return run
@@ -143,13 +153,16 @@ def _digests(packed: bytes) -> list[bytes]:
 
 
 def _deal(buckets: int):
-    """A chunk's distinct windows by hash, each once, or twice if the chunk repeats it."""
+    """A chunk's distinct windows by hash, each once, or twice if the chunk itself shows it repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist()):
+            for chunk, copies, owners, packed in zip(*[batch.column(c).to_pylist() for c in ("chunk", "copies", "owners", "hashes")]):
+                counts: Counter[bytes] = Counter()
+                for owner, digest in zip(np.frombuffer(owners, np.int32).tolist(), _digests(packed)):
+                    counts[digest] += copies[owner]
                 dealt: dict[int, list[bytes]] = {}
-                for digest, n in Counter(_digests(packed)).items():
+                for digest, n in counts.items():
                     dealt.setdefault(int.from_bytes(digest[:4], "big") % buckets, []).append(digest * min(n, 2))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(dealt), pa.int64()), pa.array([chunk] * len(dealt), pa.int64()), pa.array([b"".join(x) for x in dealt.values()], pa.binary())], ["bucket", "chunk", "hashes"]
@@ -171,17 +184,20 @@ def _locate(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, starts, packed, repeated in zip(*[batch.column(c).to_pylist() for c in ("keys", "starts", "hashes", "repeated")]):
+            for keys, copies, owners, starts, packed, repeated in zip(*[batch.column(c).to_pylist() for c in ("keys", "copies", "owners", "starts", "hashes", "repeated")]):
                 known = {d for part in repeated for d in _digests(part)}
-                hit = np.array([d in known for d in _digests(packed)], bool)
-                key, start = np.frombuffer(keys, np.int64)[hit], np.frombuffer(starts, np.int64)[hit]
-                order = np.lexsort((start, key))
-                key, start = key[order], start[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + size)
+                owner, start = np.frombuffer(owners, np.int32), np.frombuffer(starts, np.int32)
+                hit = np.array([d in known for d in _digests(packed)], bool) & (np.array(copies)[owner] < 2)
+                owner, start = owner[hit], start[hit]
+                order = np.lexsort((start, owner))
+                owner, start = owner[order], start[order]
+                new = np.ones(len(owner), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + size)
                 first = np.flatnonzero(new)
-                last = np.append(first[1:], len(key)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(start[first], pa.int32()), pa.array(start[last] + size, pa.int32())] if len(key) else [pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int32())], ["key", "a", "b"])
+                last = np.append(first[1:], len(owner))[: len(first)] - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([keys[i] for i in owner[first]], pa.binary()), pa.array(start[first], pa.int32()), pa.array(start[last] + size, pa.int32())], ["key", "a", "b"]
+                )
 
     return run
 
@@ -245,9 +261,10 @@ def _shard(size: int):
         words = table.column("words").to_pylist()
         passages = PassageAutomaton(size)
         by_anchor: dict[int, dict[bytes, int]] = {}
-        for a, w in zip(anchor.tolist(), words):
+        copies = table.column("copies").to_pylist()
+        for a, w, n in zip(anchor.tolist(), words, copies):
             group = by_anchor.setdefault(a, {})
-            group[w] = group.get(w, 0) + 1
+            group[w] = group.get(w, 0) + n
         numbered: dict[bytes, tuple[int, ...]] = {}
         for group in by_anchor.values():
             for w in group:
@@ -257,43 +274,52 @@ def _shard(size: int):
         passages.compile()
         found = {w: passages.locate(numbers) for w, numbers in numbered.items()}
         keys, begin, end = [], [], []
-        for key, start, w in zip(table.column("key").to_pylist(), table.column("start").to_pylist(), words):
-            for a, b in found[w]:
+        for key, start, w, n in zip(table.column("key").to_pylist(), table.column("start").to_pylist(), words, copies):
+            for a, b in found[w] if n < 2 else ():
                 keys.append(key)
                 begin.append(start + a)
                 end.append(start + b)
-        return pa.table({"key": pa.array(keys, pa.int64()), "a": pa.array(begin, pa.int32()), "b": pa.array(end, pa.int32())})
+        return pa.table({"key": pa.array(keys, pa.binary()), "a": pa.array(begin, pa.int32()), "b": pa.array(end, pa.int32())})
 
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``key``: a hash of both, as doc_id may be null or repeat."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.withColumn("key", F.xxhash64("doc_id", "text"))
+def _content(text: Column) -> Column:
+    """What tells texts apart: 128 bits of their SHA-256; a null text is an empty one."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
 
 
 def repeated_ranges(docs: DataFrame, size: int = 35) -> DataFrame:
-    """(key, ranges): for each document with repeated windows, its covered word ranges."""
-    keyed = _keyed(docs)
+    """(key, ranges): for each text with repeated windows, the word ranges they cover.
+
+    The key is the text's, see ``_content``.  Texts that occur more than once
+    are looked at once, as two: all their windows are repeated, so their one
+    range is open to the end, and they help to find their passages elsewhere.
+    """
+    text = F.col("text").cast("string")
+    # the row's own hash deals copies of one text to different tasks
+    source = docs.select(_content(text).alias("key"), F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
     spark = docs.sparkSession
-    found = materialised(keyed.select("key", "text").mapInArrow(_count(size), "key long, anchors array<long>"))
-    each = found.select("key", F.explode("anchors").alias("anchor"))
-    recurring = materialised(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    found = source.mapInArrow(_count(size), "key binary, row long, anchors array<long>").where(F.size("anchors") > 0)
+    contents = found.groupBy("key").agg(F.min("row").alias("row"), F.first("anchors").alias("anchors"), F.least(F.count("*"), F.lit(2)).alias("copies"))
+    contents = materialised(contents)
+    each = contents.select("key", "row", "copies", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    inside = contents.select(F.explode("anchors").alias("anchor"), "copies")
+    recurring = inside.groupBy("anchor").agg(F.sum("copies").alias("occurs"), F.count("*").alias("n")).where("occurs > 1").select("anchor", "n")
+    recurring = materialised(recurring)
     cold_n, hot_n = F.sum(F.when(F.col("n") <= HOT, F.col("n"))), F.sum(F.when(F.col("n") > HOT, F.col("n")))
-    total, crowded = (x or 0 for x in recurring.agg(cold_n, hot_n).first())
-    shards = max(spark.sparkContext.defaultParallelism, total // SHARD_ROWS)
-    per_doc = each.join(recurring, "anchor").groupBy("key").agg(
-        F.collect_set(F.when(F.col("n") <= HOT, F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot")
+    total, crowded = (int(x or 0) for x in recurring.agg(cold_n, hot_n).first())
+    shards, buckets = (max(spark.sparkContext.defaultParallelism, n) for n in (total // SHARD_ROWS, crowded * ANCHOR // BUCKET_WINDOWS))
+    per_text = each.join(recurring, "anchor").groupBy("row", "key", "copies").agg(
+        F.collect_list(F.when(F.col("n") <= HOT, F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot")
     )
-    per_doc = materialised(per_doc)
-    source = keyed.select("key", "text")
-    cold = source.join(per_doc.where(F.size("cold") > 0).select("key", F.col("cold").alias("wanted")), "key")
-    cold = cold.mapInArrow(_neighbourhoods(size), "anchor long, key long, start long, words binary")
-    ranges = cold.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(int(shards))).alias("shard")).applyInArrow(_shard(size), "key long, a int, b int")
-    warm = source.join(per_doc.where(F.size("hot") > 0).select("key", F.col("hot").alias("wanted")), "key")
-    hot = _hot_ranges(warm, size, max(spark.sparkContext.defaultParallelism, int(crowded) * ANCHOR // BUCKET_WINDOWS))
-    return materialised(ranges.union(hot).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+    wanted = materialised(source.select("row", "text").hint("merge").join(per_text, "row"))
+    cold = wanted.where(F.size("cold") > 0).select("key", "copies", "text", F.col("cold").alias("wanted"))
+    cold = cold.mapInArrow(_neighbourhoods(size), "anchor long, key binary, copies long, start long, words binary")
+    ranges = cold.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(_shard(size), "key binary, a int, b int")
+    hot = _hot_ranges(wanted.where(F.size("hot") > 0).select("key", "copies", "text", F.col("hot").alias("wanted")), size, buckets)
+    whole = contents.where("copies > 1").select("key", F.array(F.struct(F.lit(0).alias("a"), F.lit(OPEN).alias("b"))).alias("ranges"))
+    return materialised(ranges.union(hot).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).unionByName(whole))
 
 
 def _hot_ranges(warm: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -303,11 +329,11 @@ def _hot_ranges(warm: DataFrame, size: int, buckets: int) -> DataFrame:
     what is repeated.  A chunk names a window at most twice, so even a window of
     a third of all documents costs a bucket two hashes a chunk.
     """
-    chunks = materialised(warm.mapInArrow(_chunks(size), "chunk long, keys binary, starts binary, hashes binary"))
-    dealt = chunks.select("chunk", "hashes").mapInArrow(_deal(buckets), "bucket long, chunk long, hashes binary")
+    chunks = materialised(warm.mapInArrow(_chunks(size), "chunk long, keys array<binary>, copies array<long>, owners binary, starts binary, hashes binary"))
+    dealt = chunks.select("chunk", "copies", "owners", "hashes").mapInArrow(_deal(buckets), "bucket long, chunk long, hashes binary")
     answers = dealt.groupBy("bucket").applyInArrow(_confirm, "chunk long, repeated binary")
     answers = answers.groupBy("chunk").agg(F.collect_list("repeated").alias("repeated"))
-    return chunks.join(answers, "chunk").select("keys", "starts", "hashes", "repeated").mapInArrow(_locate(size), "key long, a int, b int")
+    return chunks.join(answers, "chunk").drop("chunk").mapInArrow(_locate(size), "key binary, a int, b int")
 
 
 def cut_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
@@ -319,8 +345,7 @@ def cut_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     """
     columns = docs.columns
     ranges = repeated_ranges(docs, size).withColumnsRenamed({"key": "_key", "ranges": "_ranges"})
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = docs.withColumn("text", F.col("text").cast("string")).withColumn("_key", key).join(ranges, "_key", "left").select(*columns, "_ranges")
+    joined = docs.withColumn("text", F.col("text").cast("string")).withColumn("_key", _content(F.col("text"))).join(ranges, "_key", "left").select(*columns, "_ranges")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +376,7 @@ def _kept(text: str | None, ranges: list | None) -> tuple[list[bytes], np.ndarra
     if ranges:
         edge = np.zeros(len(words) + 1, np.int64)
         np.add.at(edge, [r["a"] for r in ranges], 1)
-        np.add.at(edge, [r["b"] for r in ranges], -1)
+        np.add.at(edge, [min(r["b"], len(words)) for r in ranges], -1)
         keep = np.cumsum(edge)[: len(words)] == 0
     return words, keep
 
@@ -362,8 +387,8 @@ def remove_repeats(docs: DataFrame, size: int = 35, with_text: bool = False) ->
     Reads doc_id and text.  Null, empty and word-less texts have no words, and
     the digest of the empty string.  Texts shorter than ``size`` words keep all.
     Every occurrence of a repeated window goes, in the same document too;
-    exact copies of ``size`` words or more go whole.  Rows are told apart by
-    doc_id and text together, so ids may be null or repeat.
+    exact copies of ``size`` words or more go whole.  Results hang on the text
+    alone, so ids may be null or repeat.
     """
     ranges = repeated_ranges(docs, size)
 
@@ -380,6 +405,7 @@ def remove_repeats(docs: DataFrame, size: int = 35, with_text: bool = False) ->
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = _keyed(docs).join(ranges, "key", "left").select("doc_id", "text", "ranges")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = plain.withColumn("key", _content(F.col("text"))).join(ranges, "key", "left").select("doc_id", "text", "ranges")
     out = out.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")
