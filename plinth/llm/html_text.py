@@ -43,6 +43,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_MAIN = re.compile(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody\b""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[a-z]+")
 FEATURES = ["words_before", "words", "words_after", "links_before", "links", "links_after", "furniture", "zone", "heading"]
@@ -117,7 +118,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
         furniture, article = stack[-1][1:] if stack else (False, False)
         named = _furniture(name, attributes, article)
-        if name in ("article", "main") and not named:
+        if (name in ("article", "main") or _MAIN.search(attributes)) and not named:
             # what an unclosed element before it was cannot claim the page's article
             furniture, article = furniture and article, True
         stack.append((name, furniture or named, article))
@@ -138,7 +139,8 @@ def _furniture(name: str, attributes: str, article: bool) -> bool:
         return True
     for groups in _NAMES.findall(attributes):
         words = set(_WORD.findall("".join(groups).lower()))
-        if words & FURNITURE_NAMES and not (article and words <= {"header", "entry", "article", "post"}):
+        named = words & FURNITURE_NAMES
+        if named and not (named == {"header"} and words & {"article", "entry", "post", "story"}):
             return True
     return False
 
@@ -169,7 +171,9 @@ LABELLED = np.array([
     [4, 6, 0, 0.9, 0, 0, 0, 1, 0, 0], [8, 30, 6, 1, 0.7, 1, 0, 1, 0, 0], [50, 7, 2, 0, 0.8, 1, 0, 1, 0, 0], [2, 9, 3, 1, 0.6, 1, 0, 1, 0, 0], [60, 5, 0, 0, 0, 0, 0, 1, 0, 0],
     [2, 40, 60, 1, 0, 0, 0, 1, 0, 1], [40, 60, 12, 0, 0.1, 0, 0, 1, 0, 1], [60, 14, 45, 0, 0, 0, 0, 1, 0, 1], [14, 45, 8, 0, 0.2, 0.5, 0, 1, 0, 1], [5, 90, 5, 0.5, 0.05, 0, 0, 1, 0, 1],
     [4, 8, 60, 1, 0, 0, 0, 1, 1, 1], [0, 6, 35, 0, 0, 0, 0, 1, 1, 1], [50, 5, 40, 0, 0, 0, 0, 1, 0, 1], [30, 4, 80, 0, 0, 0, 0, 1, 1, 1], [30, 22, 30, 0, 0.3, 0, 0, 1, 0, 1],
-    [3, 3, 2, 1, 0, 1, 0, 1, 1, 0], [20, 3, 2, 1, 0, 1, 0, 1, 1, 0],
+    [3, 3, 2, 1, 0, 1, 0, 1, 1, 0], [20, 3, 2, 1, 0, 1, 0, 1, 1, 0], [45, 30, 0, 0, 0, 0, 0, 1, 0, 1], [20, 90, 0, 0, 0.1, 0, 0, 1, 0, 1], [50, 13, 0, 0, 0, 0, 0, 1, 0, 1],
+    [40, 30, 3, 0, 0, 1, 0, 1, 0, 1], [40, 25, 2, 0, 0, 0.9, 0, 1, 0, 1], [60, 3, 4, 0, 0, 1, 0, 1, 0, 0], [12, 4, 3, 0, 0, 0, 0, 1, 0, 0], [3, 4, 3, 0, 0, 0, 0, 1, 0, 0], [30, 5, 4, 0, 0, 0.4, 0, 1, 0, 0],
+    [2, 5, 30, 1, 0, 0, 0, 1, 1, 1], [1, 4, 25, 1, 0, 0.05, 0, 1, 1, 1], [2, 6, 50, 1, 0, 0, 0, 1, 1, 1], [1, 5, 40, 1, 0, 0, 0, 1, 0, 0],
 ])
 
 
