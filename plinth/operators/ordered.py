@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,58 +67,80 @@ def next_above(df: DataFrame, value: str, out: str, keys: list[str] | None = Non
     return df.withColumn(out, F.min(value).over(window))
 
 
+def kept_ends(at: list[float], high: float, low: float) -> tuple[int, int]:
+    """[first, last) of the sorted positions that are left after trimming."""
+    first, last = 0, len(at)
+    if last < 4:
+        return first, last
+    while last - first >= 3:
+        gaps = [b - a for a, b in zip(at[first : last - 1], at[first + 1 : last])]
+        middle = sorted(gaps)[len(gaps) // 2]
+        bad = [gap > high * middle or gap < low * middle for gap in (gaps[0], gaps[-1])]
+        if middle <= 0 or not any(bad):
+            break
+        if bad[0]:
+            first += 1
+        else:
+            last -= 1
+    return first, last
+
+
+def _packed(df: DataFrame, keys: list[str], lead: list[Column]) -> DataFrame:
+    """One row a group: its rows as an array, sorted by ``lead``."""
+    rest = [F.col(c) for c in df.columns if c not in keys]
+    rows = F.sort_array(F.collect_list(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(lead)], *rest)))
+    return df.groupBy(*keys).agg(rows.alias("_rows"))
+
+
+def _unpacked(df: DataFrame, keys: list[str], rows: Column, columns: list[str]) -> DataFrame:
+    return df.select(*keys, F.explode(rows).alias("_row")).select(*[c if c in keys else F.col(f"_row.{c}").alias(c) for c in columns])
+
+
 def trim_ends(df: DataFrame, keys: list[str], position: str, label: str, high: float = DEFAULT.gap_high, low: float = DEFAULT.gap_low) -> DataFrame:
     """Drop end lines whose gap is out of line with the upper median gap.
 
     One end at a time, the first before the last, until both fit; groups of
-    less than four lines stay.  Each step hangs on the one before, so a group
-    (the lines of one axis of one page) is folded as a whole.
+    less than four lines stay.  Each step hangs on the one before, so the
+    positions of a group (an axis of a page) go to Python as one array; many
+    groups share an Arrow batch.
     """
-    schema = df.schema
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([position, label], kind="stable")
-        at = group[position].tolist()
-        first, last = 0, len(at)
-        if last >= 4:
-            while last - first >= 3:
-                gaps = [b - a for a, b in zip(at[first : last - 1], at[first + 1 : last])]
-                middle = sorted(gaps)[len(gaps) // 2]
-                odd = lambda gap: gap > high * middle or gap < low * middle
-                if middle <= 0 or not (odd(gaps[0]) or odd(gaps[-1])):
-                    break
-                if odd(gaps[0]):
-                    first += 1
-                else:
-                    last -= 1
-        return group.iloc[first:last]
-
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+    @F.pandas_udf("struct<first int, last int>")
+    def ends(positions: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([kept_ends(list(p), high, low) for p in positions], columns=["first", "last"])
+
+    packed = _packed(df, keys, [F.col(position), F.col(label)])
+    packed = packed.withColumn("_e", ends(F.transform("_rows", lambda r: r["_0"].cast("double"))))
+    kept = F.slice("_rows", F.col("_e.first") + 1, F.col("_e.last") - F.col("_e.first"))
+    return _unpacked(packed, keys, kept, df.columns)
+
+
+def kept_boxes(boxes: np.ndarray, iou: float) -> list[int]:
+    """Indices of the boxes (x0, y0, x1, y1), best first, that no better one overlaps too much."""
+    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    alive, kept = np.ones(len(boxes), bool), []
+    for i in range(len(boxes)):
+        if not alive[i]:
+            continue
+        kept.append(i)
+        wide = np.minimum(boxes[i, 2], boxes[i + 1 :, 2]) - np.maximum(boxes[i, 0], boxes[i + 1 :, 0])
+        high = np.minimum(boxes[i, 3], boxes[i + 1 :, 3]) - np.maximum(boxes[i, 1], boxes[i + 1 :, 1])
+        both = np.maximum(wide, 0.0) * np.maximum(high, 0.0)
+        alive[i + 1 :] &= both <= iou * (area[i] + area[i + 1 :] - both)
+    return kept
 
 
 def suppress(df: DataFrame, keys: list[str], ident: str, iou: float = DEFAULT.iou) -> DataFrame:
     """Greedy non-maximum suppression of the boxes x0, y0, x1, y1 by ``confidence`` in a page."""
-    schema = df.schema
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["confidence", ident], ascending=[False, True], kind="stable")
-        box = group[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        kept: list[int] = []
-        alive = [True] * len(box)
-        for i in range(len(box)):
-            if not alive[i]:
-                continue
-            kept.append(i)
-            for j in range(i + 1, len(box)):
-                w = min(box[i, 2], box[j, 2]) - max(box[i, 0], box[j, 0])
-                h = min(box[i, 3], box[j, 3]) - max(box[i, 1], box[j, 1])
-                both = max(w, 0.0) * max(h, 0.0)
-                if both > iou * (area[i] + area[j] - both):
-                    alive[j] = False
-        return group.iloc[kept]
-
-    return df.groupBy(*keys).applyInPandas(greedy, schema)
+
+    @F.pandas_udf("array<int>")
+    def best(flat: pd.Series) -> pd.Series:
+        return pd.Series([kept_boxes(np.asarray(f, float).reshape(-1, 4), iou) for f in flat])
+
+    packed = _packed(df, keys, [F.negative("confidence"), F.col(ident)])
+    flat = F.flatten(F.transform("_rows", lambda r: F.array(*[r[c].cast("double") for c in ("x0", "y0", "x1", "y1")])))
+    packed = packed.withColumn("_kept", best(flat))
+    return _unpacked(packed, keys, F.transform("_kept", lambda i: F.get("_rows", i)), df.columns)
 
 
 def sorted_by_number(df: DataFrame, keys: list[str], position: str, label: str) -> DataFrame:
