@@ -9,6 +9,7 @@ from ..operators import levels as L
 from ..operators.ordered import pages_of
 from ..sources import files as FI
 from ..sources import sinks as SK
+from ..streaming import events as EV
 from .registry import query
 from .views import view
 
@@ -143,6 +144,24 @@ def a16(spark, sf_dir):
     return view(spark, sf_dir, "v_jobs").groupBy("job_id").agg(F.count("*").alias("n"), F.count_if(F.col("done") == 1).alias("completed"), F.count_if(stage == "error").alias("errors"), F.count_if(stage == "view").alias("n_view"), F.countDistinct("stage").alias("n_stages"))
 
 
+def _event_stream(spark, sf_dir):
+    # as a pattern, since a stream's plain path has to be a folder
+    raw = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(f"{sf_dir}/events.parque[t]")
+    done = (F.col("event_id") % 2).cast("int")
+    return raw.select(F.col("user_id").alias("job_id"), F.col("event_type").alias("stage"), "event_id", F.col("ts").cast("timestamp").alias("ts"), done.alias("done"))
+
+
+@query("st1_st3_streamed_status", "SELECT job_id, stage, done FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS r FROM v_jobs) WHERE r = 1")
+def st1(spark, sf_dir):
+    return EV.drain(EV.latest_status(_event_stream(spark, sf_dir)), "complete").select("job_id", "stage", F.col("done").cast("long").alias("done"))
+
+
+@query("st2_windowed_counts", "SELECT epoch(date_trunc('day', ts))::bigint AS start, stage, count(*) AS n FROM v_jobs GROUP BY ALL")
+def st2(spark, sf_dir):
+    counts = EV.drain(EV.windowed_counts(_event_stream(spark, sf_dir), "1 day"), "complete")
+    return counts.select(F.unix_timestamp("start").alias("start"), "stage", "n")
+
+
 @query("sc2_t4_page_hashes", "SELECT doc_id, sha256(concat(text, 'Rect(0, 0, ', cast(n_chars AS varchar), ', 842)')) AS page_hash FROM documents")
 def sc2(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")

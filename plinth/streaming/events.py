@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,17 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "stage").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "stage", "n")
 
 
+def drain(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what has arrived so far; its result as a table of this session."""
+    name = f"stream_{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        writer = writer.option("checkpointLocation", f"{shared}/{name}")
+    writer.start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
 def upsert_pages(pages: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand each batch of arriving pages to ``apply``, which must replace rows by key."""
     return pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
