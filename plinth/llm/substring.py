@@ -42,7 +42,7 @@ ANCHOR = 12
 #: Occurrences from which an anchor is counted window by window.
 HOT = 400
 #: Neighbourhoods a shard is meant to hold.
-SHARD_ROWS = 2000
+SHARD_ROWS = 500
 #: Windows packed into a row, and windows a bucket of their hashes is meant to hold.
 CHUNK_WINDOWS, BUCKET_WINDOWS = 20_000, 400_000
 #: End of a range that reaches to the end of its text.
