@@ -153,7 +153,7 @@ def sorted_by_number(df: DataFrame, keys: list[str], position: str, label: str)
 
 
 def find_or_create(df: DataFrame, shape: str, sizes: list[str], order: list[str], known: DataFrame, tolerance: int) -> DataFrame:
-    """For each distinct (shape, sizes), in order of first appearance: the type it matches or creates.
+    """For each distinct (shape, sizes): where it first appears (``order``), and the type it matches or creates.
 
     Types are looked up first to last and only ever appended, so the outcome
     hangs on shape and sizes alone and the fold need only see each
@@ -163,7 +163,8 @@ def find_or_create(df: DataFrame, shape: str, sizes: list[str], order: list[str]
     firsts = df.groupBy(shape, *sizes).agg(F.min(F.struct(*order, "new_name")).alias("first"))
     firsts = firsts.select(shape, *sizes, F.lit(None).cast("int").alias("type_ord"), *[F.col(f"first.{c}").alias(c) for c in [*order, "new_name"]])
     start = known.select(shape, *sizes, "type_ord", *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order], F.col("type_name").alias("new_name"))
-    schema = ", ".join([f"{shape} string", *[f"{s} int" for s in sizes], "type_name string", "created boolean", "starter boolean"])
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in order]
+    schema = ", ".join([f"{shape} string", *[f"{s} int" for s in sizes], *kinds, "type_name string", "created boolean"])
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         types: list[tuple[list, str]] = []
@@ -177,10 +178,10 @@ def find_or_create(df: DataFrame, shape: str, sizes: list[str], order: list[str]
             hit = next((name for have, name in types if all((a is None and b is None) or (a is not None and b is not None and abs(a - b) <= tolerance) for a, b in zip(have, size))), None)
             if hit is None:
                 types.append((size, row["new_name"]))
-            out.append([row[shape], *size, hit or row["new_name"], hit is None, False])
-        return pd.DataFrame(out, columns=[shape, *sizes, "type_name", "created", "starter"]).astype({s: "Int32" for s in sizes})
+            out.append([row[shape], *size, *[row[c] for c in order], hit or row["new_name"], hit is None])
+        return pd.DataFrame(out, columns=[shape, *sizes, *order, "type_name", "created"]).astype({s: "Int32" for s in sizes})
 
-    return start.unionByName(firsts).groupBy(shape).applyInPandas(fold, schema).drop("starter")
+    return start.unionByName(firsts).groupBy(shape).applyInPandas(fold, schema)
 
 
 def pages_of(frames: Iterator[DataFrame]) -> DataFrame:

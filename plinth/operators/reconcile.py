@@ -40,14 +40,15 @@ def match(canonical: DataFrame, enlarged: DataFrame, tolerance: float = DEFAULT.
     """
     pairs = radius_join(enlarged, canonical.select("storey_id", "canonical_idx", "x", "y"), ["storey_id"], ("ex", "ey"), ("x", "y"), tolerance, tolerance)
     keys = ["storey_id", "canonical_idx"]
-    found = pairs.groupBy(*keys).agg(F.count("*").alias("n_candidates"), F.count("label").alias("n_labelled"))
-    per_label = pairs.where("label is not null").groupBy(*keys, *LABEL).agg(F.min(F.struct("distance", "enlarged_id")).alias("near"))
-    best = per_label.groupBy(*keys).agg(F.min(F.struct("near", *LABEL)).alias("b"), F.count("*").alias("n_tuples"))
-    best = best.select(*keys, "n_tuples", *[F.col(f"b.{c}").alias(c) for c in LABEL])
-    out = canonical.join(found, keys, "left").join(best, keys, "left")
+    # counts and the closest of each label first, so that the pairs are read once
+    per_label = pairs.groupBy(*keys, *LABEL).agg(F.count("*").alias("n"), F.min(F.struct("distance", "enlarged_id")).alias("near"))
+    has = F.col("label").isNotNull()
+    best = per_label.groupBy(*keys).agg(F.sum("n").alias("n_candidates"), F.count_if(has).alias("n_tuples"), F.min(F.when(has, F.struct("near", *LABEL))).alias("b"))
+    best = best.select(*keys, "n_candidates", "n_tuples", *[F.col(f"b.{c}").alias(c) for c in LABEL])
+    out = canonical.join(best, keys, "left")
     flag = (
         F.when(F.col("n_candidates").isNull(), F.lit("label_missing"))
-        .when(F.col("n_tuples").isNull(), F.lit("candidates_present_but_unlabelled"))
+        .when(F.col("n_tuples") == 0, F.lit("candidates_present_but_unlabelled"))
         .when(F.col("n_tuples") > 1, F.concat(F.lit("label_conflict:"), F.col("n_tuples").cast("string"), F.lit("_distinct_tuples")))
     )
     return out.select(

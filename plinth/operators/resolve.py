@@ -62,11 +62,12 @@ def resolve(columns: DataFrame, inventory: DataFrame, order: list[str], toleranc
     asked = asked.withColumn("new_name", type_name(F.col("label"), F.col("shape"), F.col("dim_x"), F.col("dim_y"), F.col("diameter")))
     good = sizes_that_count(asked.where("reason is null"))
     outcome = find_or_create(good, "shape", SIZES, order, inventory, tolerance)
-    firsts = good.groupBy("shape", *SIZES).agg(F.min(F.struct(*order)).alias("first"))
-    known = outcome.join(firsts, [outcome[c].eqNullSafe(firsts[c]) for c in ["shape", *SIZES]]).select(*[outcome[c] for c in ["shape", *SIZES]], "type_name", "created", "first")
-    known = known.select(F.col("shape").alias("k_shape"), *[F.col(c).alias(f"k_{c}") for c in SIZES], F.col("type_name"), "created", "first")
-    on = (good["shape"] == F.col("k_shape")) & good["dim_x"].eqNullSafe(F.col("k_dim_x")) & good["dim_y"].eqNullSafe(F.col("k_dim_y")) & good["diameter"].eqNullSafe(F.col("k_diameter"))
-    typed = good.join(known, on).withColumn("tier", F.when(F.col("created") & (F.struct(*order) == F.col("first")), "CREATED").otherwise("MATCHED_EXACT"))
+    known = outcome.select(*[F.col(c).alias(f"k_{c}") for c in ["shape", *SIZES]], *[F.col(c).alias(f"first_{c}") for c in order], "type_name", "created")
+    same = [F.col("shape") == F.col("k_shape"), *[F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in SIZES]]
+    is_first = F.col("created")
+    for c in order:
+        is_first = is_first & (F.col(c) == F.col(f"first_{c}"))
+    typed = good.join(known, same).withColumn("tier", F.when(is_first, "CREATED").otherwise("MATCHED_EXACT"))
     keep = [*columns.columns, "tier", "type_name", "reason"]
     refused = asked.where("reason is not null").withColumns({"tier": F.lit("REJECTED"), "type_name": F.lit(None).cast("string")})
     return typed.select(*keep).unionByName(refused.select(*keep))
