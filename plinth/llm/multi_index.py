@@ -3,8 +3,11 @@
 Two codebooks, one for each half of the unit vectors, form a grid of cells.
 Every vector lies in one cell and visits the cells nearest to it in the order
 of the multi-sequence algorithm.  How many cells it visits is set by measuring:
-a fixed number of query vectors is compared with all rows, in blocks, and the
-traversal is made long enough to reach the target recall on their links.
+query vectors outside the fit are compared with all rows, in blocks, and the
+traversal is made long enough to meet every link of every one of them, however
+small its group.  They are added until enough groups have been seen.  Where too
+few are found, nothing is guessed: cells are coarser and a vector visits all
+whose distance bound allows a link, which loses none.
 What meets in a cell is verified by cosine in double precision.
 
 Equal vectors are one class and compared once.  A crowded cell is cut into
@@ -27,13 +30,15 @@ from .storage import materialised
 
 #: Rows the codebooks are fitted on, at most (those of least id hash).
 SAMPLE_ROWS = 8192
-#: Query vectors of the recall measurement.
-PROBE_QUERIES = 512
+#: Query vectors of the recall measurement: at first, and at most.
+PROBE_QUERIES, MOST_PROBES = 2048, 32768
 #: Vectors a cell is meant to hold, and codewords of a codebook at most.
 CELL_ROWS, MOST_WORDS = 24, 1024
 #: Cells visited at least.
 LEAST_CELLS = 8
 BLOCK_ROWS, BLOCK_VISITORS = 512, 4096
+#: Vectors of a cell and of a block where cells are visited by the distance bound.
+BOUND_ROWS = 1024
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -58,6 +63,16 @@ def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)[None, :], 0)
 
 
+def _beyond(squared: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Least squared distance of rows to what is nearest to each centre, by rows' squared distances to all."""
+    out = np.zeros_like(squared)
+    apart = np.sqrt(_squared(centres, centres))
+    for k in range(len(centres)):
+        plane = np.where(apart[k] > 1e-6, 2 * apart[k], np.inf)
+        np.maximum(out, (squared - squared[:, k : k + 1]) / plane, out=out)
+    return out**2
+
+
 class MultiIndex:
     def __init__(self, first: np.ndarray, second: np.ndarray):
         self.first, self.second = first, second
@@ -94,6 +109,23 @@ class MultiIndex:
                         heapq.heappush(heap, (a[x] + b[y], x, y))
         return out
 
+    def within(self, units: np.ndarray, squared: float) -> list[np.ndarray]:
+        """For each row all cells, up to its own by number, that can hold a vector this near.
+
+        A cell's vectors lie on its codeword's side of the plane halfway to any
+        other, so a row is at least as far from them as from that plane.  Of
+        two cells in reach of each other the one of higher number visits.
+        """
+        out: list[np.ndarray] = []
+        step = max(1, 4_000_000 // (len(self.first) * len(self.second)))
+        for lo in range(0, len(units), step):
+            part = units[lo : lo + step]
+            d1, d2 = self.distances(part)
+            own = d1.argmin(1) * len(self.second) + d2.argmin(1)
+            near = _beyond(d1, self.first)[:, :, None] + _beyond(d2, self.second)[:, None, :] <= squared + 1e-7
+            out += [np.flatnonzero(row[: mine + 1]) for row, mine in zip(near.reshape(len(part), -1), own)]
+        return out
+
     def rank(self, d1: np.ndarray, d2: np.ndarray, cell: int) -> int:
         """How many cells a traversal with these distances visits before ``cell``."""
         mine = d1[cell // len(d2)] + d2[cell % len(d2)]
@@ -108,41 +140,50 @@ def _matrix(batch: pa.RecordBatch, name: str = "vector") -> np.ndarray:
 
 
 def _link_ranks(index: MultiIndex, queries: np.ndarray, ids: np.ndarray, cosine: float):
-    """For each link of a query, how many cells its traversal visits before the link's."""
+    """For each query with links in a batch: its number, the least id among it and them, the cells its traversal visits before the last of them, and their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d1, d2 = index.distances(queries)
-        known: dict[tuple[int, int], int] = {}
         for batch in batches:
             units = unit_rows(_matrix(batch))
             if not len(units):
                 continue
             rows = batch.column("rep").to_numpy()
             cells = index.cells(units)
-            found: dict[int, int] = {}
-            for q, x in zip(*np.nonzero(queries @ units.T >= cosine)):
-                if ids[q] == rows[x]:
+            found: list[tuple[int, int, int, int]] = []
+            for lo in range(0, len(queries), 512):
+                at, x = np.nonzero(queries[lo : lo + 512] @ units.T >= cosine)
+                other = ids[lo + at] != rows[x]
+                at, x = at[other], x[other]
+                if not len(at):
                     continue
-                at = (int(q), int(cells[x]))
-                if at not in known:
-                    known[at] = index.rank(d1[q], d2[q], at[1])
-                found[known[at]] = found.get(known[at], 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["rank", "n"])
+                d1, d2 = index.distances(queries[lo : lo + 512])
+                for q, own in zip(*_runs(at, x)):
+                    rank = max(index.rank(d1[q], d2[q], c) for c in np.unique(cells[own]))
+                    found.append((lo + q, min(int(ids[lo + q]), int(rows[own].min())), rank, len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 4, ["probe", "least", "rank", "n"])
 
     return run
 
 
-def _place(index: MultiIndex, visits: int):
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Distinct keys, which are in order, and the values of each."""
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[starts].tolist(), np.split(values, starts[1:])
+
+
+def _place(index: MultiIndex, visits: int | None, cosine: float):
+    """Each vector's cell, and the cells it visits: the nearest ones, or without a number all that the bound allows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = unit_rows(_matrix(batch))
             if not len(units):
                 continue
-            seen = index.traverse(units, visits)
-            offsets = pa.array(np.arange(len(seen) + 1) * seen.shape[1], pa.int32())
-            visited = pa.ListArray.from_arrays(offsets, pa.array(seen.ravel(), pa.int64()))
+            seen = list(index.traverse(units, visits)) if visits else index.within(units, 2 - 2 * cosine)
+            offsets = pa.array(np.cumsum([0, *map(len, seen)]), pa.int32())
+            visited = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(seen), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("copies"), batch.column("vector"), pa.array(seen[:, 0]), visited], ["rep", "copies", "vector", "cell", "visited"]
+                [batch.column("rep"), batch.column("copies"), batch.column("vector"), pa.array(index.cells(units)), visited], ["rep", "copies", "vector", "cell", "visited"]
             )
 
     return run
@@ -178,11 +219,13 @@ def _verify(cosine: float):
         q_at, x_at = q_at[keep], x_at[keep]
         # a pair that meets in both its cells counts where the smaller id visits
         back = np.zeros(len(x_at), bool)
-        visited = mine.column("visited").combine_chunks().flatten().to_numpy().reshape(len(mine), -1)
+        visited = mine.column("visited").to_pylist()
         q_cell = theirs.column("cell").to_numpy()
+        span = max(int(q_cell.max()), max(map(max, visited))) + 1
+        goes = np.concatenate([np.array(v, np.int64) + i * span for i, v in enumerate(visited)])
         for lo in range(0, len(x_at), 100_000):
             part = slice(lo, lo + 100_000)
-            back[part] = (visited[x_at[part]] == q_cell[q_at[part], None]).any(axis=1)
+            back[part] = np.isin(x_at[part] * span + q_cell[q_at[part]], goes, kind="sort")
         keep = ~back | (q_id[q_at] < x_id[x_at])
         q_at, x_at = q_at[keep], x_at[keep]
         if not len(q_at):
@@ -222,12 +265,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, target: float = 0.995)
     total = classes.count()
     sample = classes.select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).collect()
     units = unit_rows(np.array([r["vector"] for r in sample]))
-    words = int(np.clip(round((total / CELL_ROWS) ** 0.5), 1, MOST_WORDS))
-    index = MultiIndex.fit(units, words)
-    visits = _calibrate(classes, index, units[:PROBE_QUERIES], np.array([r["rep"] for r in sample[:PROBE_QUERIES]]), cosine, target)
+    index = MultiIndex.fit(units, _words(total, CELL_ROWS))
+    visits, _, _ = calibrate(classes, index, total, np.array([r["rep"] for r in sample]), cosine, target)
+    if visits is None:
+        index = MultiIndex.fit(units, _words(total, BOUND_ROWS))
     kind = classes.schema["vector"].dataType.simpleString()
-    placed = materialised(classes.select("rep", "copies", "vector").mapInArrow(_place(index, visits), f"rep long, copies long, vector {kind}, cell long, visited array<long>"))
-    met = _meetings(placed).groupBy("cell_at", "block", "turn").applyInArrow(_verify(cosine), "rep long, n long, root long")
+    placed = materialised(classes.select("rep", "copies", "vector").mapInArrow(_place(index, visits, cosine), f"rep long, copies long, vector {kind}, cell long, visited array<long>"))
+    met = _meetings(placed, BLOCK_ROWS if visits else BOUND_ROWS).groupBy("cell_at", "block", "turn").applyInArrow(_verify(cosine), "rep long, n long, root long")
     met = materialised(met)
     linked = met.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(met.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "component")
@@ -245,25 +289,46 @@ def _is_float(vectors: DataFrame) -> bool:
     return vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
 
 
-def _calibrate(classes: DataFrame, index: MultiIndex, queries: np.ndarray, ids: np.ndarray, cosine: float, target: float) -> int:
-    """Cells to visit so that the share ``target`` of the queries' links is met, and a quarter more."""
-    ranks = classes.select("rep", "vector").mapInArrow(_link_ranks(index, queries, ids, cosine), "rank long, n long")
-    rows = ranks.groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    total, seen = sum(r["n"] for r in rows), 0
-    for r in rows:
-        seen += r["n"]
-        if seen >= target * total:
-            return max(LEAST_CELLS, int((r["rank"] + 1) * 1.25) + 1)
-    return LEAST_CELLS
+def _words(total: int, rows: int) -> int:
+    """Codewords of each codebook for cells that hold so many rows."""
+    return int(np.clip(round((total / rows) ** 0.5), 1, MOST_WORDS))
 
 
-def _meetings(placed: DataFrame) -> DataFrame:
+def calibrate(classes: DataFrame, index: MultiIndex, total: int, fitted: np.ndarray, cosine: float, target: float) -> tuple[int | None, int, int]:
+    """Cells to visit so that each probe meets all its links, and a quarter more; and the groups and links this was measured on.
+
+    A group counts once, however large.  If all of n groups are met, a share
+    ``target`` of all groups is with 95 % confidence, for n of 3 / (1 - target)
+    (the rule of three).  With fewer groups there is no length (None), unless
+    every vector has been a probe and so nothing is left unseen.
+    """
+    groups = links = 0
+    for count in (PROBE_QUERIES, MOST_PROBES):
+        whole = total <= count
+        # by the hash's range, not by order, so that no task holds them all
+        some = classes if whole else classes.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(total)) < count)
+        got = some.select("rep", "vector").toArrow().combine_chunks()
+        if not len(got):
+            continue
+        queries, ids = unit_rows(_matrix(got.to_batches()[0])), got.column("rep").to_numpy()
+        if not whole:
+            fresh = ~np.isin(ids, fitted)
+            queries, ids = queries[fresh], ids[fresh]
+        ranks = classes.select("rep", "vector").mapInArrow(_link_ranks(index, queries, ids, cosine), "probe long, least long, rank long, n long")
+        rows = ranks.groupBy("probe").agg(F.min("least").alias("least"), F.max("rank").alias("rank"), F.sum("n").alias("n")).collect()
+        groups, links = len({r["least"] for r in rows}), sum(r["n"] for r in rows)
+        if whole or groups >= 3 / (1 - target):
+            return max(LEAST_CELLS, int((max((r["rank"] for r in rows), default=0) + 1) * 1.25) + 1), groups, links
+    return None, groups, links
+
+
+def _meetings(placed: DataFrame, block_rows: int) -> DataFrame:
     """Vectors and the visitors of their cells, in blocks of bounded size."""
     own = placed.groupBy("cell").agg(F.count("*").alias("rows"))
     visit = placed.select("rep", "copies", "vector", "cell", F.explode("visited").alias("cell_at"))
     load = placed.select(F.explode("visited").alias("cell_at")).groupBy("cell_at").agg(F.count("*").alias("guests"))
     plan = own.withColumnRenamed("cell", "cell_at").join(load, "cell_at").select(
-        "cell_at", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("guests") / BLOCK_VISITORS).cast("int").alias("turns")
+        "cell_at", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks"), F.ceil(F.col("guests") / BLOCK_VISITORS).cast("int").alias("turns")
     )
     plan = materialised(plan)
     mine = placed.withColumnRenamed("cell", "cell_at").join(plan, "cell_at").select(

@@ -321,6 +321,34 @@ def test_crowded_cells_are_cut_into_blocks(spark, monkeypatch):
     assert all(r["n_links"] == 119 and r["component_id"] == 0 for r in got)
 
 
+def brute_links(x):
+    links = unit_rows(x) @ unit_rows(x).T >= 0.9
+    np.fill_diagonal(links, False)
+    return links.sum(axis=1)
+
+
+def pairs_beside_a_crowd():
+    """One tight group has nearly all the links; the rest is wide pairs."""
+    rng = np.random.default_rng(5)
+    one = unit_rows(rng.normal(size=(300, 16)))
+    noise = rng.normal(size=one.shape)
+    noise -= (noise * one).sum(1)[:, None] * one
+    two = 0.905 * one + (1 - 0.905**2) ** 0.5 * unit_rows(noise)
+    return np.concatenate([one, two, rng.normal(size=16) + 0.005 * rng.normal(size=(450, 16))])
+
+
+@pytest.mark.parametrize("crowd,most", [(True, 32768), (True, 40), (False, 40)])
+def test_links_of_pairs_are_found_beside_a_crowd_and_where_links_are_rare(spark, monkeypatch, crowd, most):
+    # with 40 probes too few groups are seen, so the distance bound decides; 4 rows a cell give many cells
+    for name, value in (("PROBE_QUERIES", 20), ("MOST_PROBES", most), ("CELL_ROWS", 1), ("BOUND_ROWS", 4), ("SAMPLE_ROWS", 200)):
+        monkeypatch.setattr(f"plinth.llm.multi_index.{name}", value, raising=False)
+    x = pairs_beside_a_crowd()
+    x = x if crowd else np.concatenate([x[:8], x[300:308], np.random.default_rng(6).normal(size=(600, 16))])
+    table = spark.createDataFrame([(i, row.tolist(), 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(table).collect()}
+    assert [got[i] for i in range(len(x))] == brute_links(x).tolist()
+
+
 # The pipeline
 
 
