@@ -8,7 +8,8 @@ distinct entities distinct surrogates and one entity the same surrogate
 wherever it occurs, without any table.  Names after a title take names of the
 title's gender and of their own script from small lists, by keyed hash.
 Within a document a surrogate that equals an original of the document, or
-another entity's surrogate, is drawn anew under the next tweak.
+another entity's surrogate, is drawn anew under the next tweak, without a limit:
+later tweaks lengthen names by syllables, and texts of few shapes by characters.
 
 One pass, no shuffle: everything follows from the key and the text.
 """
@@ -57,6 +58,15 @@ NAMES = {
     },
 }
 
+#: What lengthens a name that the lists have no room for.
+SYLLABLES = {
+    "latin": ["ber", "dan", "fal", "gor", "hal", "kin", "lor", "mar", "nel", "rin", "sen", "tov", "ven", "wick", "zel", "man"],
+    "cyrillic": ["бор", "вал", "дан", "гор", "лен", "мар", "нов", "рин", "сел", "тов", "вер", "зин"],
+    "greek": ["βαλ", "δαν", "γορ", "λεν", "μαρ", "νελ", "ριν", "σελ", "τοβ", "βερ"],
+}
+#: Tweaks by the lists or in the same shape alone; each time this doubles, one more syllable or character is added.
+LIST_TWEAKS, SHAPE_TWEAKS = 8, 64
+
 _TITLE_OF = {t: g for g, titles in TITLES.items() for t in titles}
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ][A-Za-zÀ-ÖØ-öø-ÿĀ-žА-яёΑ-ώ'’-]+"
 _FIND = re.compile(
@@ -165,6 +175,7 @@ class Surrogates:
         }
 
     def _email(self, text: str, tweak: int) -> str:
+        text = "a" * _longer(tweak, SHAPE_TWEAKS) + text
         local, _, domain = text.lower().partition("@")
         labels = domain.split(".")
         # the part before the top level domain; shape, and so validity, stay
@@ -172,6 +183,9 @@ class Surrogates:
         return "".join(n.upper() if o.isupper() else n for o, n in zip(text, new))
 
     def _value(self, text: str, tweak: int) -> str:
+        more = _longer(tweak, SHAPE_TWEAKS)
+        if more:  # a shape may have a single text
+            return "".join(chr(97 + self.cipher.number("value", text, tweak, i) % 26) for i in range(len(text) + more))
         return self.cipher.shape(text, f"secret{tweak}", hexadecimal=re.fullmatch("[0-9a-f]+", text) is not None)
 
     def _key(self, text: str, tweak: int) -> str:
@@ -208,6 +222,7 @@ class Surrogates:
         return _with_digits(text, new + luhn_digit(new) if valid else new)
 
     def _phone(self, text: str, tweak: int) -> str:
+        text += "0" * _longer(tweak, SHAPE_TWEAKS)
         digits = "".join(filter(str.isdigit, text))
         lead = re.match(r"\+(\d{1,3})[ .(-]", text)
         code = lead.group(1) if lead else digits[: len(digits) - 10] if len(digits) > 10 else ""
@@ -218,13 +233,27 @@ class Surrogates:
             if (rest[0] in "01") == (first[0] in "01"):
                 return _with_digits(text, code + rest)
 
-    def name(self, text: str, gender: str | None, tweak: int) -> str:
-        """First names by gender, the last part a family name, each keyed by itself."""
-        script = "cyrillic" if "Ѐ" <= text[0] <= "ӿ" else "greek" if "Ͱ" <= text[0] <= "Ͽ" else "latin"
-        lists, parts = NAMES[script], text.split(" ")
-        sex = gender or "fm"[self.cipher.number("sex", parts[0]) % 2]
-        out = [lists[sex][self.cipher.number("first", sex, p, tweak) % len(lists[sex])] for p in parts[:-1]]
-        return " ".join([*out, lists["last"][self.cipher.number("last", parts[-1], tweak) % len(lists["last"])]])
+    def first(self, part: str, sex: str, tweak: int) -> str:
+        script = _script(part)
+        return self._listed(NAMES[script][sex], script, tweak, "first", sex, part)
+
+    def family(self, part: str, tweak: int) -> str:
+        script = _script(part)
+        return self._listed(NAMES[script]["last"], script, tweak, "last", part)
+
+    def _listed(self, names: list[str], script: str, tweak: int, *what: str) -> str:
+        """A name of the list, under later tweaks with more and more syllables."""
+        more = [SYLLABLES[script][self.cipher.number("more", *what, tweak, i) % len(SYLLABLES[script])] for i in range(_longer(tweak, LIST_TWEAKS))]
+        return "".join([names[self.cipher.number(*what, tweak) % len(names)], *more])
+
+
+def _longer(tweak: int, free: int) -> int:
+    """By how much a surrogate is lengthened under this tweak: it grows without end, by the logarithm."""
+    return (tweak // free).bit_length()
+
+
+def _script(text: str) -> str:
+    return "cyrillic" if "Ѐ" <= text[0] <= "ӿ" else "greek" if "Ͱ" <= text[0] <= "Ͽ" else "latin"
 
 
 def _same(kind: str, text: str) -> str:
@@ -276,7 +305,7 @@ class Redactor:
         if not found:
             return text, 0
         originals = {_same(k, text[a:b]) for k, a, b, _ in found} | {p for k, a, b, _ in found if k == "name" for p in text[a:b].split(" ")}
-        tweaks: dict[tuple[str, str], int] = {}
+        tweaks: dict[tuple[str, ...], int] = {}
         used: dict[tuple[str, str], str] = {}
         pieces, last = [], 0
         for kind, a, b, gender in found:
@@ -288,26 +317,27 @@ class Redactor:
     def _replace(self, kind: str, old: str, gender: str | None, originals: set[str], tweaks: dict, used: dict) -> str:
         if kind == "name":
             # a family is an entity of its own, so that a bare mention follows the full one
-            family = ("name", old.split(" ")[-1])
-            tweak = tweaks.get(family, 0)
-            while True:
-                new = self.make.name(old, gender, tweak)
-                last = new.split(" ")[-1]
-                if used.get(("name", last), family[1]) == family[1] and last not in originals or tweak > 200:
-                    break
-                tweak += 1
-            tweaks[family], used["name", last] = tweak, family[1]
-            return new
-        entity = (kind, _same(kind, old))
+            *firsts, own = old.split(" ")
+            last = self._free(("family", own), own, lambda t: self.make.family(own, t), lambda x: x, originals, tweaks, used)
+            if not firsts:
+                return last
+            sex = gender or "fm"[self.make.cipher.number("sex", firsts[0]) % 2]
+            draw = lambda t: " ".join([*(self.make.first(p, sex, t) for p in firsts), last])
+            return self._free(("person", old, sex), old, draw, lambda x: x, originals, tweaks, used)
+        same = _same(kind, old)
+        return self._free((kind, same), same, lambda t: self.make.makers[kind](old, t), lambda x: _same(kind, x), originals, tweaks, used)
+
+    @staticmethod
+    def _free(entity: tuple[str, ...], own: str, draw: Callable[[int], str], same: Callable[[str], str], originals: set[str], tweaks: dict, used: dict) -> str:
+        """The entity's first surrogate that is no original and no other's; ``own``: what it is told apart by."""
         tweak = tweaks.get(entity, 0)
         while True:
-            new = self.make.makers[kind](old, tweak)
-            same = _same(kind, new)
-            if used.get((kind, same), entity[1]) == entity[1] and same not in originals or tweak > 20:
-                break
+            new = draw(tweak)
+            key = (entity[0], same(new))
+            if used.get(key, own) == own and key[1] not in originals:
+                tweaks[entity], used[key] = tweak, own
+                return new
             tweak += 1
-        tweaks[entity], used[kind, same] = tweak, entity[1]
-        return new
 
 
 def surrogate_documents(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:

@@ -224,6 +224,28 @@ def test_names_of_many_people_stay_distinct():
     assert n == 20 and len(set(text.replace("Mr ", "").split())) == 20
 
 
+def test_more_families_than_lists_and_namesakes_stay_distinct():
+    letters = "abcdefghij"
+    for title, stem in (("Mr", "Zed"), ("господин", "Жук"), ("Κύριος", "Ζευ")):
+        end = letters if title == "Mr" else "абвгдежзик" if title == "господин" else "αβγδεζηθικ"
+        families = [stem + a + b for a in end for b in end]
+        text, n = Redactor(b"k")(" ".join(f"{title} {x}." for x in families + families))
+        new = text.replace(f"{title} ", "").replace(".", "").split()
+        assert n == 200 and len(set(new)) == 100 and new[:100] == new[100:] and not set(new) & set(families)
+    people = [f"J{a}{b} Smith" for a in letters for b in letters]
+    text, _ = Redactor(b"k")(" ".join(f"Mr {x}." for x in people) + " Smith left.")
+    new = text.split(" ")
+    full = {f"{a} {b}" for a, b in zip(new[1::3], new[2::3])}
+    assert len(full) == 100 and {x.split(" ")[1] for x in full} == {new[-2] + "."}
+
+
+def test_entities_of_few_shapes_stay_distinct():
+    mails = [f"{a}@{b}.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    text, n = Redactor(b"k")(" ".join(mails))
+    assert n == len(mails) == len(set(text.split())) and not set(text.split()) & set(mails)
+    assert "????" not in Redactor(b"k")("password=????")[0]
+
+
 def test_what_is_no_pii_stays():
     redact = Redactor()
     for text in ("version 2.0.", "on 2020-10-12 and 12.000.000 or 3.14", "1.2.3.4.5", "999.1.1.1", "a@b", "Mr", "", "Dr who", "token of love"):
