@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .textops import texts
 
 #: HTML's elements by their role here.
-RAW = {"script", "style", "noscript", "template", "svg", "canvas", "iframe", "object", "math", "textarea", "title", "select", "audio", "video"}
+RAW = {"script", "style", "noscript", "textarea", "title"}
+#: Elements whose inside is no text of the page, if they are closed.
+INSERTED = {"template", "svg", "canvas", "iframe", "object", "math", "select", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -38,10 +40,11 @@ FURNITURE_NAMES = {
 }
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(script|style|noscript|template|svg|canvas|iframe|object|math|textarea|title|select|audio|video)\b(?:"[^"]*"|'[^']*'|[^"'>])*>(?:.*?</\1\s*>|.*\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(script|style|noscript|textarea|title)\b(?:"[^"]*"|'[^']*'|[^"'>])*>(?:.*?</\1\s*>|.*\Z)"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|[^<]+|<""",
     re.S | re.I,
 )
+_EMPTY = re.compile(r"""<[a-zA-Z]+\b(?:"[^"]*"|'[^']*'|[^"'>])*/>""")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _MAIN = re.compile(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody\b""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -50,11 +53,10 @@ FEATURES = ["words_before", "words", "words_after", "links_before", "links", "li
 
 
 class Block:
-    __slots__ = ("parts", "linked", "furniture", "zone", "heading", "text", "words", "links")
+    __slots__ = ("parts", "furniture", "zone", "heading", "text", "words", "links")
 
     def __init__(self, furniture: bool, zone: int, heading: bool):
-        self.parts: list[str] = []
-        self.linked: list[str] = []
+        self.parts: list[tuple[str, bool, tuple[list[bool], ...]]] = []  # piece, in a link, for each inserted element around it whether that was closed
         self.furniture, self.zone, self.heading = furniture, zone, heading
 
 
@@ -68,18 +70,21 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # element, furniture, in article
     current: Block | None = None
     links = 0
+    inserted: list[tuple[int, str, list[bool]]] = []  # place in the stack, element, whether it was closed
+    around: tuple[list[bool], ...] = ()
 
     def close() -> None:
         nonlocal current
         if current is not None:
-            current.text = " ".join(html.unescape("".join(current.parts)).split())
-            if current.text:
-                current.words = len(current.text.split(" "))
-                current.links = min(1.0, len(html.unescape(" ".join(current.linked)).split()) / current.words)
-                out.append(current)
+            out.append(current)
         current = None
 
-    for found in _TOKEN.finditer(page or ""):
+    page, at = page or "", 0
+    while found := _TOKEN.match(page, at):
+        at = found.end()
+        if found.group(1) and any(name in ("svg", "math") for _, name, _ in inserted) and (empty := _EMPTY.match(page, found.start())):
+            at = empty.end()  # there '/>' ends an element, as in XML
+            continue
         slash, name, attributes = found.group(2), found.group(3), found.group(4)
         if name is None:
             piece = found.group()
@@ -88,14 +93,12 @@ def blocks(page: str | None) -> list[Block]:
                     furniture, article = stack[-1][1:] if stack else (False, False)
                     heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])
                     current = Block(furniture, 2 if article else 0, heading)
-                current.parts.append(piece)
-                if links:
-                    current.linked.append(piece)
+                current.parts.append((piece, links > 0, around))
             continue
         name = name.lower()
         if name == "br":
             if current is not None:
-                current.parts.append(" ")
+                current.parts.append((" ", False, ()))
             continue
         if name in BLOCK:
             close()
@@ -106,6 +109,13 @@ def blocks(page: str | None) -> list[Block]:
             if depth is not None:
                 links -= sum(s[0] == "a" for s in stack[depth:])
                 del stack[depth:]
+                if inserted and inserted[-1][0] >= depth:
+                    for place, _, closed in inserted:
+                        closed[0] |= place == depth
+                    inserted = [x for x in inserted if x[0] < depth]
+                    around = tuple(x[2] for x in inserted)
+            continue
+        if name in ("svg", "math") and attributes.endswith("/"):
             continue
         if name in ("p", "li", "dd", "dt", "tr", "td", "th") or name == "a" and links:
             # an element of this kind ends the open one, unless a container lies between
@@ -114,22 +124,36 @@ def blocks(page: str | None) -> list[Block]:
                     links -= sum(s[0] == "a" for s in stack[i:])
                     del stack[i:]
                     break
-                if stack[i][0] in BLOCK:
+                if stack[i][0] in BLOCK or stack[i][0] in INSERTED:
                     break
         furniture, article = stack[-1][1:] if stack else (False, False)
         named = _furniture(name, attributes, article)
         if (name in ("article", "main") or _MAIN.search(attributes)) and not named:
             # what an unclosed element before it was cannot claim the page's article
             furniture, article = furniture and article, True
+        if name in INSERTED:
+            inserted.append((len(stack), name, [False]))
+            around = tuple(x[2] for x in inserted)
         stack.append((name, furniture or named, article))
         links += name == "a"
     close()
+    out = [b for b in out if _finish(b)]
     if not any(b.zone for b in out):
         for b in out:
             b.zone = 1
     return out
 
 
+def _finish(block: Block) -> bool:
+    """Put a block's text together, without what closed inserted elements hold; whether any is left."""
+    parts = [(piece, linked) for piece, linked, around in block.parts if not any(closed[0] for closed in around)]
+    block.text = " ".join(html.unescape("".join(piece for piece, _ in parts)).split())
+    if block.text:
+        block.words = len(block.text.split(" "))
+        block.links = min(1.0, len(html.unescape(" ".join(piece for piece, linked in parts if linked)).split()) / block.words)
+    return bool(block.text)
+
+
 def _furniture(name: str, attributes: str, article: bool) -> bool:
     if name in FURNITURE or name == "header" and not article:
         return True

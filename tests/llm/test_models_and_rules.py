@@ -277,6 +277,13 @@ def test_article_without_the_rest():
     assert H.main_text(PAGE).split("\n\n") == ["A title", "First & last line of text.", "Second.", "one", "two", "Thé end."]
 
 
+@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<svg>", "<math>", "<video src=v>", "<audio>", "<object data=o>", "<iframe src=i>", "<canvas>", "<select>", "<svg><title/><style/></svg>"])
+def test_inserted_elements_without_an_end_lose_no_text(tag):
+    page = f"<p>one</p>{tag}<p>two</p><div>{tag}<p>three</p></div><p>four</p>"
+    assert [b.text for b in H.blocks(page)] == ["one", "two", "three", "four"]
+    assert [b.text for b in H.blocks(f"<p>a {tag}b</p><svg><text>no</text></svg><p>c<video>no <p>no</p></video></p>")] == ["a b", "c"]
+
+
 def test_page_without_article_goes_by_density():
     page = "<body><ul><li><a href=1>Home</a><li><a href=2>News and more</a></ul><h2>Headline of the day</h2><p>" + "word " * 40 + "</p><p>" + "more " * 30 + "<a>link</a></p><div class='sidebar'><p>" + "side " * 30 + "</p></div><p><a href=3>Next</a></p>"
     assert [len(b.split(" ")) for b in H.main_text(page).split("\n\n")] == [4, 40, 31]
