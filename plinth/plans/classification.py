@@ -275,6 +275,14 @@ def a8(spark, sf_dir):
     return mode(view(spark, sf_dir, "v_dims"), ["page"], "mm", "span_id")
 
 
+@query(
+    "a8_all_modal_dim",
+    "SELECT page, mm, n FROM (SELECT page, mm, count(*) AS n, min(span_id) AS o, row_number() OVER (PARTITION BY page ORDER BY count(*) DESC, min(span_id)) AS r FROM v_all_dims GROUP BY page, mm) WHERE r = 1",
+)
+def a8_all(spark, sf_dir):
+    return mode(view(spark, sf_dir, "v_all_dims"), ["page"], "mm", "span_id")
+
+
 @query("a24_label_dims", f"SELECT a.text AS label, array_to_string(list_sort(list(DISTINCT b.rect_a)), ',') AS dims FROM ({LABELS_SQL}) a JOIN ({LABELS_SQL}) b ON a.page = b.page WHERE a.kind = 'type' AND b.kind = 'rect_dim' GROUP BY a.text")
 def a24(spark, sf_dir):
     v = view(spark, sf_dir, "v_spans").withColumns(T.label_parts(F.col("text")))

@@ -80,22 +80,33 @@ def j17(spark, sf_dir):
     return GR.gap_dims(view(spark, sf_dir, "v_axes"), view(spark, sf_dir, "v_dims"))
 
 
-@query(
-    "a11_gap_spacings",
-    f"""WITH g AS ({_GAPS}), h AS ({_HELD}),
+_SPACINGS = f"""WITH g AS ({_GAPS}), h AS ({_HELD}),
       m AS (SELECT page, axis, mm AS modal FROM (SELECT page, axis, mm, row_number() OVER (PARTITION BY page, axis ORDER BY count(*) DESC, min(gap), arg_min(span_id, gap * 1e15::double + span_id / 1e6)) AS r FROM h GROUP BY page, axis, mm) WHERE r = 1),
       k AS (SELECT page, axis, list_sort(list(gap_px))[cast(floor(count(*) / 2) AS int) + 1] AS mid_px FROM g GROUP BY page, axis),
       n AS (SELECT page, axis, gap, cast(mm AS double) AS mm FROM (SELECT g.page, g.axis, g.gap, h.mm, row_number() OVER (PARTITION BY g.page, g.axis, g.gap ORDER BY abs(h.mm - modal * gap_px / greatest(mid_px, 1.0::double)), h.span_id) AS r
         FROM g JOIN m USING (page, axis) JOIN k USING (page, axis) JOIN h USING (page, axis, gap) WHERE abs(h.mm - modal * gap_px / greatest(mid_px, 1.0::double)) / greatest(modal * gap_px / greatest(mid_px, 1.0::double), 1.0::double) <= 0.3) WHERE r = 1),
       a AS (SELECT page, axis, avg(gap_px / mm) AS r FROM g JOIN n USING (page, axis, gap) GROUP BY page, axis),
       s AS (SELECT g.page, g.axis, g.gap, arg_min(n.mm, abs(g.gap_px / (n.mm * a.r) - 1)) AS mm FROM g JOIN a USING (page, axis) JOIN n ON n.page = g.page AND n.axis = g.axis WHERE abs(g.gap_px / (n.mm * a.r) - 1) <= 0.5 GROUP BY ALL)
-    SELECT g.page, g.axis, g.gap, g.gap_px, coalesce(n.mm, s.mm, 8400.0::double) AS spacing_mm FROM g LEFT JOIN n USING (page, axis, gap) LEFT JOIN s USING (page, axis, gap)""",
-)
+    SELECT g.page, g.axis, g.gap, g.gap_px, coalesce(n.mm, s.mm, 8400.0::double) AS spacing_mm FROM g LEFT JOIN n USING (page, axis, gap) LEFT JOIN s USING (page, axis, gap)"""
+
+
+@query("a11_gap_spacings", _SPACINGS)
 def a11(spark, sf_dir):
     axes = view(spark, sf_dir, "v_axes")
     return GR.gap_spacings(axes, GR.gap_dims(axes, view(spark, sf_dir, "v_dims")))
 
 
+@query("j17_all_dims_in_gaps", _HELD.replace("v_dims", "v_all_dims"))
+def j17_all(spark, sf_dir):
+    return GR.gap_dims(view(spark, sf_dir, "v_axes"), view(spark, sf_dir, "v_all_dims"))
+
+
+@query("a11_all_gap_spacings", _SPACINGS.replace("v_dims", "v_all_dims"))
+def a11_all(spark, sf_dir):
+    axes = view(spark, sf_dir, "v_axes")
+    return GR.gap_spacings(axes, GR.gap_dims(axes, view(spark, sf_dir, "v_all_dims")))
+
+
 @query("w7_suppressed_boxes")
 def w7(spark, sf_dir):
     return O.suppress(boxes(spark, sf_dir), ["page"], "det_id").select("page", "det_id", "confidence")

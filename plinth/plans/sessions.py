@@ -20,6 +20,12 @@ def l6(spark, sf_dir):
     return e.select("id", "category", "family", "type_name", "extent", "truncated")
 
 
+@query("l6_sc24_default_scan", "SELECT id, category, family, type_name, extent, (SELECT count(*) FROM v_elements) > 5000 AS truncated FROM (SELECT * FROM v_elements ORDER BY id LIMIT 5000) WHERE extent IS NOT NULL")
+def l6_default(spark, sf_dir):
+    e = EL.scan_elements(view(spark, sf_dir, "v_elements"))
+    return e.select("id", "category", "family", "type_name", "extent", "truncated")
+
+
 _TYPES = "(SELECT type_name, min(id) AS type_id, max(extent) AS type_extent FROM v_elements GROUP BY type_name)"
 
 
@@ -78,6 +84,11 @@ def p43(spark, sf_dir):
     return L.effective_levels(_present(spark, sf_dir).where("name = 'level 3'"))
 
 
+@query("p43_all_levels", f"SELECT name, elevation FROM {_PRESENT}")
+def p43_all(spark, sf_dir):
+    return L.effective_levels(_present(spark, sf_dir))
+
+
 @query("j19_p35_served_files", "SELECT DISTINCT stem FROM v_files WHERE stem IN (SELECT concat('NOTES-', cast(c_custkey AS varchar)) FROM customer WHERE c_custkey % 3 = 0)")
 def j19(spark, sf_dir):
     known = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").select(F.concat(F.lit("NOTES-"), F.col("c_custkey").cast("string")).alias("stem"))
@@ -226,6 +237,12 @@ def u1(spark, sf_dir):
     return pages_of(iter([s.where("page % 2 = 0"), s.where("page % 3 = 0")]))
 
 
+@query("u1_u2_all_pages", "SELECT page, span_id FROM v_spans")
+def u1_all(spark, sf_dir):
+    s = view(spark, sf_dir, "v_spans").select("page", "span_id")
+    return pages_of(iter([s.where("page % 2 = 0"), s.where("page % 2 <> 0")]))
+
+
 @query("j7_sheets_by_storey", "SELECT storey_id, n_pages, n_columns FROM (SELECT storey_id, count(*) AS n_columns FROM v_canonical GROUP BY storey_id) LEFT JOIN (SELECT storey_id, count(DISTINCT page_id) AS n_pages FROM v_enlarged WHERE storey_id <> 'L3' GROUP BY storey_id) USING (storey_id)")
 def j7(spark, sf_dir):
     pages = view(spark, sf_dir, "v_enlarged").where("storey_id <> 'L3'").groupBy("storey_id").agg(F.collect_set("page_id").alias("pages"))

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from plinth import plans
+from plinth.plans.views import view
 
 SMALL = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables here")
@@ -52,3 +53,12 @@ def test_oracle(spark, name):
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_without_oracle(spark, name):
     assert plans.queries()[name](spark, SMALL).count() >= 0
+
+
+@needs_tables
+def test_whole_tables_are_read(spark):
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    run = plans.queries()
+    assert run["u1_u2_all_pages"](spark, SMALL).count() == lines
+    assert run["p43_all_levels"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/part.parquet").count() > 2
+    assert view(spark, SMALL, "v_all_dims").count() == lines > view(spark, SMALL, "v_dims").count()
