@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -44,14 +45,26 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what has arrived so far; its result as a table of this session."""
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        writer = writer.option("checkpointLocation", f"{shared}/{name}")
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what has arrived so far; its result as a table in the shared folder.
+
+    Executors write each batch as Parquet, nothing is collected.  In complete
+    mode the last batch is the result, else all of them are.
+    """
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='plinth-stream-')}"
+    path = f"{shared}/stream_{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/{number}")
+        batches.append(number)
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    kept = batches[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/batches/{n}" for n in kept])
 
 
 def upsert_pages(pages: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

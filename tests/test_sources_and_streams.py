@@ -85,3 +85,13 @@ def test_windowed_counts(spark, tmp_path):
     event_rows(spark).coalesce(1).write.parquet(src)
     got = run_to_memory(EV.windowed_counts(EV.read_events(spark, src)), "windows", "complete")
     assert {(r["stage"], r["n"]) for r in got.collect()} == {("classify", 3), ("emit", 1)}
+
+
+def test_drained_streams_are_files_not_driver_rows(spark, tmp_path):
+    src = f"{tmp_path}/src"
+    for _ in range(2):
+        event_rows(spark).write.mode("append").parquet(src)
+    log = EV.read_events(spark, src)
+    status = EV.drain(EV.latest_status(log), "complete")
+    assert sorted(r["job_id"] for r in status.collect()) == [1, 2] and status.inputFiles()
+    assert EV.drain(log, "append").count() == 8 and not any(t.name.startswith("stream_") for t in spark.catalog.listTables())
