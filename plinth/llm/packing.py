@@ -10,54 +10,41 @@ an item that doesn't fit whole fills the gap with its first part.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import texts
-
-#: Words in each of the two generations a worker keeps.
-CACHE_ENTRIES = 400_000
-#: Items that are packed together; what a task holds at once.
-GROUP_DOCS = 2000
+from .bpe import byte_letters
 
+#: Words in each of the two generations a worker keeps, and their longest.
+CACHE_ENTRIES, LONGEST_KEPT = 400_000, 64
+#: Items that are packed together, and bytes of text from which fewer are; what a task holds at once.
+GROUP_DOCS, GROUP_BYTES = 2000, 16 << 20
 
 #: Two white space characters in a row: there pre-tokens hang on what follows.
-_STRADDLES = re.compile(r"\s\s").search
+_STRADDLES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 #: Marks a word that no blank precedes.
 _BARE = "\x01"
-#: Longer words are encoded each time.
-_LONGEST_KEPT = 64
-_STOPS = ".,;:!?"
-
-
-class Words(dict):
-    """word -> ids as bytes, or None for a word to be encoded yet."""
-
-    old: dict[str, bytes]
-
-    def __missing__(self, word: str) -> bytes | None:
-        value = self.old.get(word)
-        if value is not None:
-            self[word] = value
-        return value
+_STOPS = set(".,;:!?")
 
 
 class TextIds:
-    """Ids of whole texts from the tokenizers library, as little-endian uint32 bytes.
+    """Ids of whole texts from the tokenizers library, as uint32 values.
 
     The pre-tokenizer starts a pre-token at every single blank and cuts out
-    every single line end.  So a text is cut there, each word (with the blank
-    before it, if any) is encoded once and kept, and the words' ids are joined.
-    A letters-only word and a stop after it are pre-tokens of their own, too.
-    Texts with special tokens or with longer runs of white space are encoded whole.
+    every single line end.  So texts are cut there, all words of a group are
+    numbered in Arrow, each distinct one (with the blank before it, if any) is
+    given to the library's BPE model once and kept, and the words' ids are
+    gathered by number.  A letters-only word, and a stop after one, are
+    pre-tokens as they are; other words are cut by the library's pre-tokenizer.
+    Texts with special tokens or longer runs of white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -68,47 +55,64 @@ class TextIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = Words()
-        self.words.old = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _whole(self, text: str) -> bool:
-        return _BARE in text or _STRADDLES(text) is not None or any(s in text for s in self.specials)
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Encode new words; those that are cut before a stop share the encoding of what stays."""
-        known = self.words
-        stems = {w: w[:-1] for w in words if w[-1:] in _STOPS and w[1:-1].isalpha() and (w[0] == _BARE or w[0].isalpha())} if words else {}
-        plain = (words - stems.keys()) | {s for s in stems.values() if known[s] is None} | {_BARE + c for c in _STOPS if known[_BARE + c] is None}
-        order = list(plain)
-        fresh = dict(zip(order, self._encode([w if w == "\n" else w[1:] if w[:1] == _BARE else " " + w for w in order])))
-        known.update((w, code) for w, code in fresh.items() if len(w) <= _LONGEST_KEPT)
-        for w, stem in stems.items():
-            code = fresh[stem] if stem in fresh else known[stem]
-            fresh[w] = known[w] = code + known[_BARE + w[-1]]
-        return fresh
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = {t: b"" for t in texts if self._whole(t)}
-        for t, code in zip(whole, self._encode(list(whole))):
-            whole[t] = code
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.blank = self.letters[32]
+
+    def _pieces(self, word: str) -> list[str]:
+        """The word's pre-tokens as the model spells them."""
+        bare = word[:1] == _BARE
+        core = word[1:] if bare else word
+        if core.isalpha():
+            stem = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+            return [stem if bare else self.blank + stem]
+        text = core if bare or core == "\n" else " " + core
+        return [piece for piece, _ in self.cut(text)] if text else []
+
+    def _code(self, word: str) -> bytes:
+        known = self.words.get(word) or self.old.get(word)
+        if known is None:
+            stem = word[:-1]
+            if word[-1:] in _STOPS and (stem[1:] if stem[:1] == _BARE else stem).isalpha():
+                known = self._code(stem) + self._code(_BARE + word[-1])
+            else:
+                tokenize = self.model.tokenize
+                known = array("I", [t.id for piece in self._pieces(word) for t in tokenize(piece)]).tobytes()
+        if len(word) <= LONGEST_KEPT:
+            self.words[word] = known
+        return known
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, a closing 0 after each text's, and where each text begins in them (and the end)."""
         if len(self.words) >= CACHE_ENTRIES:
-            self.words.old = dict(self.words)
-            self.words.clear()
-        get = self.words.__getitem__
-        rows = [None if t in whole else (_BARE + t.replace("\n", f" \n {_BARE}")).split(" ") for t in texts]
-        codes = [None if row is None else list(map(get, row)) for row in rows]
-        gaps = [() if code is None else [i for i, c in enumerate(code) if c is None] for code in codes]
-        fresh = self._learn({row[i] for row, gap in zip(rows, gaps) for i in gap})
-        out = []
-        for t, row, code, gap in zip(texts, rows, codes, gaps):
-            for i in gap:
-                code[i] = fresh[row[i]]
-            out.append(whole[t] if row is None else b"".join(code))
-        return out
+            self.old, self.words = self.words, {}
+        texts = pc.fill_null(texts, "")
+        whole = pc.or_(pc.match_substring_regex(texts, _STRADDLES), pc.match_substring(texts, _BARE))
+        for special in self.specials:
+            whole = pc.or_(whole, pc.match_substring(texts, special))
+        texts_whole = texts.filter(whole).to_pylist()
+        lines = pc.replace_substring(pc.if_else(whole, "", texts), "\n", f" \n {_BARE}")
+        # an empty word closes each text; its place, not its content, tells it apart
+        words = pc.split_pattern(pc.binary_join_element_wise(_BARE, lines, " ", ""), " ")
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        codes = list(map(self._code, coded.dictionary.to_pylist()))
+        at[bounds[1:] - 1] = len(codes)
+        codes.append(b"\0\0\0\0")
+        at[bounds[:-1][whole.to_numpy(zero_copy_only=False)]] = np.arange(len(codes), len(codes) + len(texts_whole))
+        codes += [array("I", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(texts_whole, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        flat = np.frombuffer(b"".join(codes), np.uint32)
+        begin = np.cumsum(sizes) - sizes
+        count = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(begin[at] - ends[:-1], count) + np.arange(ends[-1])]
+        return ids, ends[bounds - bounds[0]]
 
 
 _encoders: dict[str, TextIds] = {}
@@ -121,6 +125,16 @@ def text_ids(path: str) -> TextIds:
     return _encoders[path]
 
 
+def groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of GROUP_DOCS rows, of fewer where their texts are long."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    at = 0
+    while at < len(sizes):
+        fits = int(np.searchsorted(np.cumsum(sizes[at : at + GROUP_DOCS], dtype=np.int64), GROUP_BYTES))
+        yield batch.slice(at, max(1, fits))
+        at += max(1, fits)
+
+
 def fill(tokens: np.ndarray, loss: np.ndarray, size: int, segments: int, loss_limit: int) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (item, start, length).
 
@@ -210,25 +224,20 @@ def pack(docs: DataFrame, path: str, size: int = 1024, segments: int = 64, loss_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_ids(path)
         sequence = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP_DOCS):
-                part = batch.slice(at, GROUP_DOCS)
-                rows = texts(part)
-                ids: list[bytes] = []
-                for k in range(0, len(rows), 250):
-                    ids += [x + b"\0\0\0\0" for x in encode([t or "" for t in rows[k : k + 250]])]
-                doc_ids = part.column("doc_id").to_pylist()
-                tokens = np.array([len(x) // 4 for x in ids], np.int64)
-                cols: list[list] = [[] for _ in _COLUMNS]
-                for bin_ in fill(tokens, tokens.astype(np.float64), size, segments, loss_limit):
-                    offset = 0
-                    for item, start, length in bin_:
-                        crc = zlib.crc32(ids[item][4 * start : 4 * (start + length)])
-                        for col, x in zip(cols, (doc_ids[item], start, length, crc, int(tokens[item]), sequence, offset)):
-                            col.append(x)
-                        offset += length
-                    sequence += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _COLUMNS)
+        for part in (part for batch in batches for part in groups(batch)):
+            ids, bounds = encode(part.column("text"))
+            tokens = np.diff(bounds)
+            doc_ids, raw, first = part.column("doc_id").to_pylist(), memoryview(ids).cast("B"), bounds.tolist()
+            cols: list[list] = [[] for _ in _COLUMNS]
+            for bin_ in fill(tokens, tokens.astype(np.float64), size, segments, loss_limit):
+                offset = 0
+                for item, start, length in bin_:
+                    crc = zlib.crc32(raw[4 * (first[item] + start) : 4 * (first[item] + start + length)])
+                    for col, x in zip(cols, (doc_ids[item], start, length, crc, int(tokens[item]), sequence, offset)):
+                        col.append(x)
+                    offset += length
+                sequence += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _COLUMNS)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, ", ".join(f"{c} long" for c in _COLUMNS))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plinth.llm.components import components
@@ -197,7 +198,7 @@ tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 ODD = [
     None, "", " ", "a", "it's we'LL 'S don't", "héllo wörld 漢字テスト 😀😀 ‍", "  two   three\n\n x \t\n y  ", "a" * 3000, "<|endoftext|>x <|endoftext|>\n\n<|endoftext|>", "foo \n <|endoftext|>", "a \n b", "x\n\ny", "1234567890" * 40,
-    "  thin ", "end\n", "\nstart", " lead", "stop.\nNext, one; two: three! four?", "\x01odd", "!!!???...", "é́́",
+    "  thin ", "end\n", "\nstart", " lead", "stop.\nNext, one; two: three! four?", "\x01odd", "\x01", "\x02 \x02", "x\u00a0 y", "x \u2028y", "a\x1c\x1cb", "a\x85\x85b", "µm ªº Ⅷ ²³ ǅ", "!!!???...", "é́́",
 ]
 
 
@@ -266,8 +267,10 @@ def test_word_wise_ids_equal_the_library():
     ids, library = TextIds(public.path("byte_bpe_50k.json")), reference()
     texts = [t or "" for t in ODD] + fuzz(2, 400)
     for _ in range(2):  # the second time from what is kept
-        for text, code in zip(texts, ids(texts)):
-            assert np.frombuffer(code, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+        flat, bounds = ids(pa.array([None, *texts]).slice(1))
+        for text, a, b in zip(texts, bounds, bounds[1:]):
+            assert flat[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], repr(text)
+    assert [len(x) for x in ids(pa.array([], pa.string()))] == [0, 1]
 
 
 def test_packing(spark, corpus):
