@@ -3,8 +3,9 @@
 Every item is a vector of tokens, segments (always one) and loss-bearing
 tokens; a sequence limits all three.  The next item of a sequence is the one
 whose vector has the largest dot product with what the sequence has left, each
-dimension weighed by its mean demand (Panigrahy et al. 2011).  Items may be cut:
-an item that doesn't fit whole fills the gap with its first part.
+dimension weighed by its mean demand (Panigrahy et al. 2011); segments weigh the
+same for all.  Items may be cut: an item that doesn't fit whole fills the gap
+with its first part.
 """
 
 from __future__ import annotations
@@ -138,52 +139,55 @@ def groups(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 def fill(tokens: np.ndarray, loss: np.ndarray, size: int, segments: int, loss_limit: int) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (item, start, length).
 
-    Whole sequences come off long items first.  What is left of all items is
-    packed by the dot-product rule.  A sequence that ends short of ``size``
-    is dealt on in powers of two, which need no padding.
-    ``loss`` holds each item's loss-bearing tokens; a cut shares them in proportion.
+    Sequences of one item come off items first that are too long for one, or
+    bear too much loss.  What is left of all items is packed by the dot-product
+    rule.  A sequence that ends short of ``size`` is dealt on in powers of two,
+    which need no padding.  ``loss`` holds how many of each item's tokens bear
+    loss: its last ones.
     """
     out: list[list[tuple[int, int, int]]] = []
-    share = np.divide(loss, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
     start = np.zeros(len(tokens), np.int64)
-    step = np.where(share * size > loss_limit, np.maximum(1, (loss_limit / np.maximum(share, 1e-9)).astype(np.int64)), size)
-    step = 2 ** np.floor(np.log2(np.maximum(step, 1))).astype(np.int64)
-    for i in np.nonzero(tokens >= step)[0]:
-        while tokens[i] - start[i] >= step[i]:
-            out.append([(int(i), int(start[i]), int(step[i]))])
-            start[i] += step[i]
+    for i in np.flatnonzero((tokens >= size) | (loss > loss_limit)).tolist():
+        left, bears = int(tokens[i]), int(loss[i])
+        while left >= size or bears > loss_limit:
+            take = min(left, size, left - bears + loss_limit)
+            if take < size:
+                take = 1 << take.bit_length() - 1
+            out.append([(i, int(start[i]), take)])
+            start[i] += take
+            left -= take
+            bears = min(bears, left)
     left = (tokens - start).astype(np.int64)
     waiting = np.nonzero(left > 0)[0]
     waiting = waiting[np.argsort(-left[waiting], kind="stable")]
-    weights = np.array([left[waiting].mean() / size, 1 / segments, (left * share)[waiting].mean() / loss_limit]) if len(waiting) else np.ones(3)
     need = left[waiting].astype(np.float64)
-    rate = share[waiting]
+    bear = np.minimum(loss[waiting], need).astype(np.float64)
+    weights = (need.mean() / size**3, bear.mean() / loss_limit**3) if len(waiting) else (1.0, 1.0)
     alive = len(waiting)
     while alive:
-        room, slots, losses = size, segments, float(loss_limit)
+        room, slots, losses = size, segments, loss_limit
         bin_: list[tuple[int, int, int]] = []
         while room and slots and alive:
-            score = need * (weights[0] * room / size**2 + weights[2] * losses * rate / loss_limit**2)
-            fits = (need > 0) & (need <= room) & (need * rate <= losses + 1e-9)
-            if slots > 1:
-                pick = int(np.argmax(np.where(fits, score, -1.0)))
-            else:  # the last segment should close the gap: the longest that is left, cut if need be
-                pick = int(np.argmax(need))
-            if not fits[pick]:
-                pick = int(np.argmax(need))
-            take = int(min(need[pick], room, losses / rate[pick] if rate[pick] > 0 else room))
+            score = need * (weights[0] * room) + bear * (weights[1] * losses)
+            pick = int(np.argmax(np.where((need > 0) & (need <= room) & (bear <= losses), score, -1.0)))
+            # the last segment should close the gap: what yields most goes in, cut if need be
+            if slots == 1 or not 0 < need[pick] <= room or bear[pick] > losses:
+                pick = int(np.argmax(np.minimum(need, need - bear + losses)))
+            take = int(min(need[pick], room, need[pick] - bear[pick] + losses))
             if take < 1:
                 break
             item = int(waiting[pick])
             bin_.append((item, int(start[item]), take))
             start[item] += take
             need[pick] -= take
+            losses -= int(max(0, bear[pick] - need[pick]))
+            bear[pick] = min(bear[pick], need[pick])
             alive -= need[pick] == 0
-            room, slots, losses = room - take, slots - 1, losses - take * rate[pick]
+            room, slots = room - take, slots - 1
         out.extend([bin_] if room == 0 else _powers(bin_))
         if alive and alive < len(need) // 2:
             keep = need > 0
-            waiting, need, rate = waiting[keep], need[keep], rate[keep]
+            waiting, need, bear = waiting[keep], need[keep], bear[keep]
     return out
 
 
@@ -207,17 +211,25 @@ def _powers(bin_: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
-_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, segments: int = 64, loss_limit: int | None = None) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def _joined(prompts: tuple[np.ndarray, np.ndarray], answers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each prompt's ids, without its closing id, before its answer's."""
+    (x, a), (y, b) = prompts, answers
+    parts = [part for i in range(len(a) - 1) for part in (x[a[i] : a[i + 1] - 1], y[b[i] : b[i + 1]])]
+    return np.concatenate(parts) if parts else y, a + b - np.arange(len(a))
 
-    A document is its ids and a closing 0, all loss-bearing; a null text is
-    just the closing id.  Sequences hold at most ``size`` tokens, ``segments``
-    pieces and ``loss_limit`` loss-bearing tokens (default: ``size``); each is
-    full or a power of two long.  Reads doc_id and text only; equal rows are
-    packed each; sequence ids are unique across tasks.
+
+def pack(docs: DataFrame, path: str, size: int = 1024, segments: int = 64, loss_limit: int | None = None, prompt: str | None = None) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
+
+    A document is the ids of its ``text`` and a closing 0, all loss-bearing; a
+    null text is just the closing id.  For instruction data ``prompt`` names a
+    column whose ids come before them and bear no loss.  Sequences hold at most
+    ``size`` tokens, ``segments`` pieces and ``loss_limit`` loss-bearing tokens
+    (default: ``size``); each is full or a power of two long.  Reads these
+    columns only; equal rows are packed each; sequence ids are unique across tasks.
     """
     loss_limit = loss_limit or size
 
@@ -226,18 +238,23 @@ def pack(docs: DataFrame, path: str, size: int = 1024, segments: int = 64, loss_
         sequence = TaskContext.get().partitionId() << 36
         for part in (part for batch in batches for part in groups(batch)):
             ids, bounds = encode(part.column("text"))
+            loss = np.diff(bounds)
+            if prompt:
+                ids, bounds = _joined(encode(part.column("prompt")), (ids, bounds))
             tokens = np.diff(bounds)
             doc_ids, raw, first = part.column("doc_id").to_pylist(), memoryview(ids).cast("B"), bounds.tolist()
             cols: list[list] = [[] for _ in _COLUMNS]
-            for bin_ in fill(tokens, tokens.astype(np.float64), size, segments, loss_limit):
+            for bin_ in fill(tokens, loss, size, segments, loss_limit):
                 offset = 0
                 for item, start, length in bin_:
                     crc = zlib.crc32(raw[4 * (first[item] + start) : 4 * (first[item] + start + length)])
-                    for col, x in zip(cols, (doc_ids[item], start, length, crc, int(tokens[item]), sequence, offset)):
+                    total = int(tokens[item])
+                    bears = max(0, start + length - max(start, total - int(loss[item])))
+                    for col, x in zip(cols, (doc_ids[item], start, length, crc, total, sequence, offset, bears)):
                         col.append(x)
                     offset += length
                 sequence += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], _COLUMNS)
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(prompt).cast("string").alias("prompt")] if prompt else []))
     return plain.mapInArrow(run, ", ".join(f"{c} long" for c in _COLUMNS))

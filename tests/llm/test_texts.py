@@ -302,17 +302,41 @@ def test_packing(spark, corpus):
     assert pack(docs(spark, []), public.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_of_instructions_holds_the_limit_on_loss(spark):
+    from plinth.llm.packing import pack
+
+    rng, library = random.Random(4), reference()
+    rows = [(i, prose(rng, rng.randrange(0, 400)) or None, prose(rng, rng.randrange(0, 300)) or None) for i in range(60)] + [(60, "p", prose(rng, 3000))]
+    loose = pack(spark.createDataFrame(rows, "doc_id long, ask string, text string"), public.path("byte_bpe_50k.json"), prompt="ask")
+    tight = pack(spark.createDataFrame(rows, "doc_id long, ask string, text string").coalesce(1), public.path("byte_bpe_50k.json"), loss_limit=300, prompt="ask").collect()
+    load, most = Counter(), Counter()
+    for r in tight:
+        load[r["sequence_id"]] += r["loss_tokens"]
+    for r in loose.collect():
+        most[r["sequence_id"]] += r["loss_tokens"]
+    assert max(load.values()) == 300 < max(most.values())  # without the limit, it would be passed
+    for i, ask, text in rows:
+        asked, told = (library.encode(t or "", add_special_tokens=False).ids for t in (ask, text))
+        ids, at = [*asked, *told, 0], 0
+        mine = sorted((r for r in tight if r["doc_id"] == i), key=lambda r: r["start"])
+        for r in mine:
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            assert r["loss_tokens"] == sum(at <= k < at + r["length"] for k in range(len(asked), len(ids)))
+            at += r["length"]
+        assert at == len(ids)
+
+
 @pytest.mark.parametrize("share,limit", [(1.0, 1024), (0.5, 300), (0.9, 512), (0.0, 100)])
 def test_fill_holds_all_limits(share, limit):
     from plinth.llm.packing import fill
 
     rng = np.random.default_rng(1)
     tokens = rng.integers(1, 3000, 300)
-    loss = np.floor(tokens * share)
+    loss = (tokens * share).astype(int)
     got = {}
     for part in fill(tokens, loss, 1024, 8, limit):
         assert sum(n for _, _, n in part) <= 1024 and len(part) <= 8
-        assert sum(n * loss[i] / tokens[i] for i, _, n in part) <= limit + 1e-6 * limit
+        assert sum(max(0, at + n - max(at, tokens[i] - loss[i])) for i, at, n in part) <= limit
         for i, start, n in part:
             got.setdefault(i, []).append((start, n))
     for i, total in enumerate(tokens):
