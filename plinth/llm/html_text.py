@@ -3,14 +3,16 @@
 Markup is cut into flat blocks of text.  A block is described by its own and
 its neighbours' word counts and link densities (Kohlschütter et al. 2010), by
 whether it lies in a part that its element names as page furniture, by where it
-lies relative to the page's article, and by whether it is a heading.  A decision tree,
-grown on the small labelled table below, tells main text from the rest.
+lies relative to the page's article, and by whether it is a heading or a
+paragraph.  A decision tree, grown on the small labelled table below, tells main
+text from the rest.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,122 +23,216 @@ from pyspark.sql import functions as F
 from .textops import texts
 
 #: HTML's elements by their role here.
-RAW = {"script", "style", "noscript", "textarea", "title"}
+RAW = {"script", "style", "textarea", "title"}
 #: Elements whose inside is no text of the page, if they are closed.
-INSERTED = {"template", "svg", "canvas", "iframe", "object", "math", "select", "audio", "video"}
+INSERTED = {"template", "svg", "canvas", "iframe", "object", "math", "select", "audio", "video", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td",
     "tfoot", "th", "thead", "tr", "ul", "button",
 }
+#: Elements whose start ends an open one of the same name.
+SELF_ENDING = {"p", "li", "dd", "dt", "tr", "td", "th"}
+HEADINGS, PARAGRAPHS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "blockquote", "pre", "dd", "figcaption"}
 FURNITURE = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "fieldset", "head"}
-#: Words that name page furniture in class, id and role.
+#: Words of class, id and role that name page furniture, whatever stands beside them.
 FURNITURE_NAMES = {
-    "ad", "ads", "adv", "advert", "advertisement", "adverts", "banner", "bar", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "contentinfo", "cookie", "cookies",
-    "copyright", "discussion", "disqus", "footer", "gdpr", "header", "legal", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification",
-    "notifications", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social",
-    "sponsor", "sponsored", "subscribe", "tags", "teaser", "toolbar", "widget", "widgets",
+    "ad", "ads", "adv", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer",
+    "gdpr", "login", "masthead", "modal", "nav", "navbar", "navigation", "newsletter", "pagination", "popup", "promo", "promoted", "replies", "respond", "sidebar", "signup", "sponsor",
+    "sponsored", "subscribe", "toolbar", "widget", "widgets",
+}
+#: Words that do so alone, with each other or with words of arrangement; with other words they may name a subject.
+FURNITURE_HINTS = {
+    "banner", "bar", "copyright", "discussion", "header", "legal", "menu", "notice", "notification", "notifications", "pager", "promotion", "related", "reply", "search", "share", "sharing",
+    "skip", "social", "tags", "teaser",
+}
+ARRANGEMENT = {
+    "area", "block", "bottom", "box", "button", "buttons", "container", "content", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "module", "page",
+    "panel", "post", "posts", "right", "row", "section", "site", "slot", "stories", "text", "title", "to", "top", "unit", "wrap", "wrapper", "zone",
 }
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(script|style|noscript|textarea|title)\b(?:"[^"]*"|'[^']*'|[^"'>])*>(?:.*?</\1\s*>|.*\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|[^<]+|<""",
-    re.S | re.I,
-)
-_EMPTY = re.compile(r"""<[a-zA-Z]+\b(?:"[^"]*"|'[^']*'|[^"'>])*/>""")
-_NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_MAIN = re.compile(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody\b""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_GAP, _NAME, _EQUALS, _BARE = re.compile(r"[\s/]*"), re.compile(r"[^\s/>][^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _WORD = re.compile(r"[a-z]+")
-FEATURES = ["words_before", "words", "words_after", "links_before", "links", "links_after", "furniture", "zone", "heading"]
+FEATURES = ["words_before", "words", "words_after", "links_before", "links", "links_after", "furniture", "zone", "kind"]
+
+
+def _attributes(page: str, at: int, last: dict[str, int]) -> tuple[dict[str, str], int, bool] | None:
+    """A tag's attributes, its end and whether it closes itself; None if the page ends first.
+
+    ``last``: where each quote occurs last, so that no search for one is in vain.
+    """
+    out: dict[str, str] = {}
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= len(page):
+            return None
+        if page[at] == ">":
+            return out, at + 1, page[at - 1] == "/"
+        name = _NAME.match(page, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            quote = page[at : at + 1]
+            if last.get(quote, -1) > at:
+                end = page.index(quote, at + 1)
+                value, at = page[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(page, at)
+                value, at = bare.group(), bare.end()
+        out.setdefault(name.group().lower(), value)
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, dict[str, str], bool]]:
+    """(kind, name or text, attributes, closes itself); kinds are text, open, close and raw.
+
+    One pass: whatever is broken is looked for once.  A tag that the page's end
+    cuts off within a quote ends at its first ``>``, as do all after it.
+    """
+    at, last, strict = 0, {c: page.rfind(c) for c in "\"'>"}, True
+    last_comment, last_data = page.rfind("-->"), page.rfind("]]>")
+    while at < len(page):
+        lt = page.find("<", at)
+        if lt < 0 or lt > last[">"] and not page.startswith("<!--", lt):
+            yield "text", page[at:], {}, False
+            return
+        if lt > at:
+            yield "text", page[at:lt], {}, False
+        if page.startswith("<!--", lt):
+            at = page.index("-->", lt + 2) + 3 if last_comment >= lt + 2 else len(page)
+            continue
+        if page.startswith("<![CDATA[", lt) and last_data > lt:
+            at = page.index("]]>", lt) + 3
+            continue
+        if page[lt + 1] in "!?":
+            at = page.index(">", lt) + 1
+            continue
+        tag = _TAG.match(page, lt + 1)
+        if tag is None:
+            if page[lt + 1] == "/":
+                at = page.index(">", lt) + 1
+            else:
+                yield "text", "<", {}, False
+                at = lt + 1
+            continue
+        read = _attributes(page, tag.end(), last) if strict else None
+        strict = read is not None
+        attributes, at, empty = read or ({}, page.index(">", lt) + 1, False)
+        name = tag.group(2).lower()
+        if tag.group(1):
+            yield "close", name, {}, False
+            continue
+        yield ("raw" if name in RAW else "open"), name, attributes, empty
+        if name in RAW and not (empty and name in ("title", "style", "script")):
+            end = _RAW_END[name].search(page, at)
+            at = end.start() if end else len(page)
+
+
+class Inserted:
+    """An element such as svg, within another perhaps; what it holds goes if it is closed."""
+
+    __slots__ = ("around", "closed")
+
+    def __init__(self, around: Inserted | None):
+        self.around, self.closed = around, False
 
 
 class Block:
-    __slots__ = ("parts", "furniture", "zone", "heading", "text", "words", "links")
+    __slots__ = ("parts", "furniture", "zone", "kind", "text", "words", "links")
+
+    def __init__(self, furniture: int, zone: int, kind: int):
+        self.parts: list[tuple[str, bool, Inserted | None]] = []  # piece, in a link, innermost inserted element
+        self.furniture, self.zone, self.kind = furniture, zone, kind
+
+
+class Open:
+    """An open element: what it is, and what holds inside it."""
+
+    __slots__ = ("name", "furniture", "article", "inserted")
+
+    def __init__(self, name: str, furniture: int, article: bool, inserted: Inserted | None):
+        self.name, self.furniture, self.article, self.inserted = name, furniture, article, inserted
 
-    def __init__(self, furniture: bool, zone: int, heading: bool):
-        self.parts: list[tuple[str, bool, tuple[list[bool], ...]]] = []  # piece, in a link, for each inserted element around it whether that was closed
-        self.furniture, self.zone, self.heading = furniture, zone, heading
+
+_PAGE = Open("", 0, False, None)
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's flat blocks, in order, with their own features.
 
-    zone: 2 inside an article or main element, 0 outside of the page's, and 1
-    on a page that has none.
+    furniture: 2 in an element that is or is named page furniture, 1 where a
+    name only hints at it.  zone: 2 inside an article or main element, 0 outside
+    of the page's, and 1 on a page that has none.  kind: 2 for headings, 1 for
+    paragraphs.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, furniture, in article
+    stack: list[Open] = []
+    marks: list[int] = []  # places in the stack of blocks, inserted elements and links
+    count: Counter[str] = Counter()  # open elements by name
+    made: list[Inserted] = []
     current: Block | None = None
-    links = 0
-    inserted: list[tuple[int, str, list[bool]]] = []  # place in the stack, element, whether it was closed
-    around: tuple[list[bool], ...] = ()
-
-    def close() -> None:
-        nonlocal current
-        if current is not None:
-            out.append(current)
-        current = None
 
-    page, at = page or "", 0
-    while found := _TOKEN.match(page, at):
-        at = found.end()
-        if found.group(1) and any(name in ("svg", "math") for _, name, _ in inserted) and (empty := _EMPTY.match(page, found.start())):
-            at = empty.end()  # there '/>' ends an element, as in XML
-            continue
-        slash, name, attributes = found.group(2), found.group(3), found.group(4)
-        if name is None:
-            piece = found.group()
-            if found.group(1) is None and not (piece.startswith("<!") or piece.startswith("<?")):
-                if current is None:
-                    furniture, article = stack[-1][1:] if stack else (False, False)
-                    heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])
-                    current = Block(furniture, 2 if article else 0, heading)
-                current.parts.append((piece, links > 0, around))
+    def cut(depth: int) -> None:
+        for gone in stack[depth:]:
+            count[gone.name] -= 1
+        del stack[depth:]
+        while marks and marks[-1] >= depth:
+            marks.pop()
+
+    for what, name, attributes, empty in _tokens(page or ""):
+        if what == "text":
+            inside = stack[-1] if stack else _PAGE
+            if current is None:
+                block = next((stack[i].name for i in reversed(marks[-3:]) if stack[i].name in BLOCK), "")
+                kind = 2 if any(count[h] for h in HEADINGS) else int(block in PARAGRAPHS)
+                current = Block(inside.furniture, 2 if inside.article else 0, kind)
+            current.parts.append((name, count["a"] > 0, inside.inserted))
             continue
-        name = name.lower()
-        if name == "br":
-            if current is not None:
-                current.parts.append((" ", False, ()))
-            continue
-        if name in BLOCK:
-            close()
-        if name in VOID or name in RAW:
-            continue
-        if slash:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                links -= sum(s[0] == "a" for s in stack[depth:])
-                del stack[depth:]
-                if inserted and inserted[-1][0] >= depth:
-                    for place, _, closed in inserted:
-                        closed[0] |= place == depth
-                    inserted = [x for x in inserted if x[0] < depth]
-                    around = tuple(x[2] for x in inserted)
+        if name in BLOCK and current is not None:
+            out.append(current)
+            current = None
+        if what == "raw" or name in VOID:
+            if name == "br" and current is not None:
+                current.parts.append((" ", False, None))
             continue
-        if name in ("svg", "math") and attributes.endswith("/"):
+        if what == "close":
+            if count[name]:
+                depth = len(stack) - 1
+                while stack[depth].name != name:
+                    depth -= 1
+                if name in INSERTED:
+                    stack[depth].inserted.closed = True
+                cut(depth)
             continue
-        if name in ("p", "li", "dd", "dt", "tr", "td", "th") or name == "a" and links:
+        if empty and (name in ("svg", "math") or count["svg"] or count["math"]):
+            continue  # there '/>' ends an element, as in XML
+        if count[name] and (name in SELF_ENDING or name == "a"):
             # an element of this kind ends the open one, unless a container lies between
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    links -= sum(s[0] == "a" for s in stack[i:])
-                    del stack[i:]
+            for i in reversed(marks[-2:]):
+                if stack[i].name == name:
+                    cut(i)
                     break
-                if stack[i][0] in BLOCK or stack[i][0] in INSERTED:
+                if stack[i].name != "a":
                     break
-        furniture, article = stack[-1][1:] if stack else (False, False)
+        inside = stack[-1] if stack else _PAGE
+        furniture, article, inserted = inside.furniture, inside.article, inside.inserted
         named = _furniture(name, attributes, article)
-        if (name in ("article", "main") or _MAIN.search(attributes)) and not named:
+        if named < 2 and (name in ("article", "main") or attributes.get("role") == "main" or "articleBody" in attributes.get("itemprop", "")):
             # what an unclosed element before it was cannot claim the page's article
-            furniture, article = furniture and article, True
+            furniture, article = furniture if article else 0, True
         if name in INSERTED:
-            inserted.append((len(stack), name, [False]))
-            around = tuple(x[2] for x in inserted)
-        stack.append((name, furniture or named, article))
-        links += name == "a"
-    close()
+            inserted = Inserted(inserted)
+            made.append(inserted)
+        if name in BLOCK or name in INSERTED or name == "a":
+            marks.append(len(stack))
+        stack.append(Open(name, max(furniture, named), article, inserted))
+        count[name] += 1
+    if current is not None:
+        out.append(current)
+    for element in made:  # outer ones come first
+        element.closed |= element.around is not None and element.around.closed
     out = [b for b in out if _finish(b)]
     if not any(b.zone for b in out):
         for b in out:
@@ -146,7 +242,7 @@ def blocks(page: str | None) -> list[Block]:
 
 def _finish(block: Block) -> bool:
     """Put a block's text together, without what closed inserted elements hold; whether any is left."""
-    parts = [(piece, linked) for piece, linked, around in block.parts if not any(closed[0] for closed in around)]
+    parts = [(piece, linked) for piece, linked, inserted in block.parts if inserted is None or not inserted.closed]
     block.text = " ".join(html.unescape("".join(piece for piece, _ in parts)).split())
     if block.text:
         block.words = len(block.text.split(" "))
@@ -154,50 +250,63 @@ def _finish(block: Block) -> bool:
     return bool(block.text)
 
 
-def _furniture(name: str, attributes: str, article: bool) -> bool:
+def _furniture(name: str, attributes: dict[str, str], article: bool) -> int:
     if name in FURNITURE or name == "header" and not article:
-        return True
+        return 2
     if not attributes or name in ("html", "body"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for groups in _NAMES.findall(attributes):
-        words = set(_WORD.findall("".join(groups).lower()))
-        named = words & FURNITURE_NAMES
-        if named and not (named == {"header"} and words & {"article", "entry", "post", "story"}):
-            return True
-    return False
+        return 0
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+        return 2
+    found = 0
+    for key in ("class", "id", "role"):
+        for token in attributes.get(key, "").lower().split():
+            words = set(_WORD.findall(token))
+            hints = words & FURNITURE_HINTS
+            if words & FURNITURE_NAMES or hints and words <= FURNITURE_HINTS | ARRANGEMENT:
+                return 2
+            if hints and not (hints == {"header"} and words & {"article", "entry", "post", "story"}):
+                found = 1
+    return found
 
 
 def feature_rows(found: list[Block]) -> np.ndarray:
     n = len(found)
     words = np.array([0, *[b.words for b in found], 0], float)
     links = np.array([0, *[b.links for b in found], 0], float)
-    own = np.array([[b.furniture, b.zone, b.heading] for b in found], float).reshape(n, 3)
+    own = np.array([[b.furniture, b.zone, b.kind] for b in found], float).reshape(n, 3)
     return np.column_stack([words[:-2], words[1:-1], words[2:], links[:-2], links[1:-1], links[2:], own])
 
 
 #: The labelled table: the features in order, then 1 for main text.
 LABELLED = np.array([
     # inside an article: paragraphs of any length, headings, lists; not link lists
-    [0, 9, 60, 0, 0, 0, 0, 2, 1, 1], [9, 60, 40, 0, 0, 0, 0, 2, 0, 1], [60, 40, 1, 0, 0, 0, 0, 2, 0, 1], [40, 1, 30, 0, 0, 0, 0, 2, 0, 1], [1, 30, 12, 0, 0.1, 0, 0, 2, 0, 1],
-    [30, 4, 8, 0, 0, 0, 0, 2, 0, 1], [12, 150, 0, 0, 0.2, 0, 0, 2, 0, 1], [8, 2, 90, 1, 0, 0, 0, 2, 1, 1], [6, 25, 25, 1, 0.3, 0, 0, 2, 0, 1], [80, 18, 3, 0, 0.4, 1, 0, 2, 0, 1],
-    [12, 4, 4, 0, 0, 0, 0, 2, 1, 1], [10, 1, 1, 0, 0, 0, 0, 2, 1, 1], [1, 1, 1, 0, 0, 0, 0, 2, 0, 1], [4, 4, 9, 0, 0, 0, 0, 2, 0, 1], [2, 1, 0, 0, 0, 0, 0, 2, 0, 1], [5, 3, 1, 1, 0, 1, 0, 2, 0, 1],
-    [12, 9, 2, 0, 0, 0, 0, 2, 1, 1], [300, 2, 5, 0, 0, 0, 0, 2, 0, 1], [14, 600, 14, 0, 0, 0, 0, 2, 0, 1], [9, 9, 300, 0, 0, 0, 0, 2, 0, 1], [1, 8, 8, 1, 0.3, 0.2, 0, 2, 0, 1], [4, 10, 0, 0, 0.5, 0, 0, 2, 0, 1],
+    [0, 9, 60, 0, 0, 0, 0, 2, 2, 1], [9, 60, 40, 0, 0, 0, 0, 2, 0, 1], [60, 40, 1, 0, 0, 0, 0, 2, 0, 1], [40, 1, 30, 0, 0, 0, 0, 2, 0, 1], [1, 30, 12, 0, 0.1, 0, 0, 2, 0, 1],
+    [30, 4, 8, 0, 0, 0, 0, 2, 0, 1], [12, 150, 0, 0, 0.2, 0, 0, 2, 0, 1], [8, 2, 90, 1, 0, 0, 0, 2, 2, 1], [6, 25, 25, 1, 0.3, 0, 0, 2, 0, 1], [80, 18, 3, 0, 0.4, 1, 0, 2, 0, 1],
+    [12, 4, 4, 0, 0, 0, 0, 2, 2, 1], [10, 1, 1, 0, 0, 0, 0, 2, 2, 1], [1, 1, 1, 0, 0, 0, 0, 2, 0, 1], [4, 4, 9, 0, 0, 0, 0, 2, 0, 1], [2, 1, 0, 0, 0, 0, 0, 2, 0, 1], [5, 3, 1, 1, 0, 1, 0, 2, 0, 1],
+    [12, 9, 2, 0, 0, 0, 0, 2, 2, 1], [300, 2, 5, 0, 0, 0, 0, 2, 0, 1], [14, 600, 14, 0, 0, 0, 0, 2, 0, 1], [9, 9, 300, 0, 0, 0, 0, 2, 0, 1], [1, 8, 8, 1, 0.3, 0.2, 0, 2, 0, 1], [4, 10, 0, 0, 0.5, 0, 0, 2, 0, 1],
     [3, 3, 3, 1, 1, 1, 0, 2, 0, 0], [40, 2, 2, 0, 1, 1, 0, 2, 0, 0], [2, 4, 20, 1, 1, 0, 0, 2, 0, 0], [20, 6, 0, 0, 0.9, 0, 0, 2, 0, 0],
     # furniture, wherever it lies and however wordy it is
-    [0, 1, 1, 0, 1, 1, 1, 0, 0, 0], [1, 1, 1, 1, 1, 1, 1, 0, 0, 0], [1, 12, 9, 1, 0, 0, 1, 0, 0, 0], [50, 14, 0, 0, 0, 0, 1, 0, 0, 0], [30, 45, 60, 0, 0, 0, 1, 2, 0, 0],
-    [60, 80, 20, 0, 0, 0, 1, 2, 0, 0], [10, 3, 40, 0, 0, 0, 1, 2, 1, 0], [0, 20, 40, 0, 0.1, 0, 1, 1, 0, 0], [30, 60, 3, 0, 0, 0, 1, 1, 0, 0], [3, 3, 30, 1, 0, 0, 1, 1, 1, 0],
+    [0, 1, 1, 0, 1, 1, 2, 0, 0, 0], [1, 1, 1, 1, 1, 1, 2, 0, 0, 0], [1, 12, 9, 1, 0, 0, 2, 0, 0, 0], [50, 14, 0, 0, 0, 0, 2, 0, 0, 0], [30, 45, 60, 0, 0, 0, 2, 2, 0, 0],
+    [60, 80, 20, 0, 0, 0, 2, 2, 0, 0], [10, 3, 40, 0, 0, 0, 2, 2, 2, 0], [0, 20, 40, 0, 0.1, 0, 2, 1, 0, 0], [30, 60, 3, 0, 0, 0, 2, 1, 0, 0], [3, 3, 30, 1, 0, 0, 2, 1, 2, 0],
     # outside of the article of a page that has one
-    [0, 3, 1, 0, 0, 1, 0, 0, 0, 0], [1, 40, 9, 1, 0, 0, 0, 0, 0, 0], [90, 25, 4, 0, 0.1, 0, 0, 0, 0, 0], [4, 6, 50, 1, 0, 0, 0, 0, 1, 0], [20, 120, 20, 0, 0, 0, 0, 0, 0, 0],
+    [0, 3, 1, 0, 0, 1, 0, 0, 0, 0], [1, 40, 9, 1, 0, 0, 0, 0, 0, 0], [90, 25, 4, 0, 0.1, 0, 0, 0, 0, 0], [4, 6, 50, 1, 0, 0, 0, 0, 2, 0], [20, 120, 20, 0, 0, 0, 0, 0, 0, 0],
     # pages without an article: density of text and of links decides
     [1, 1, 1, 1, 1, 1, 0, 1, 0, 0], [2, 2, 2, 1, 1, 1, 0, 1, 0, 0], [3, 3, 40, 1, 0.8, 0, 0, 1, 0, 0], [2, 5, 2, 1, 0, 1, 0, 1, 0, 0], [0, 4, 2, 0, 0, 1, 0, 1, 0, 0],
     [4, 6, 0, 0.9, 0, 0, 0, 1, 0, 0], [8, 30, 6, 1, 0.7, 1, 0, 1, 0, 0], [50, 7, 2, 0, 0.8, 1, 0, 1, 0, 0], [2, 9, 3, 1, 0.6, 1, 0, 1, 0, 0], [60, 5, 0, 0, 0, 0, 0, 1, 0, 0],
     [2, 40, 60, 1, 0, 0, 0, 1, 0, 1], [40, 60, 12, 0, 0.1, 0, 0, 1, 0, 1], [60, 14, 45, 0, 0, 0, 0, 1, 0, 1], [14, 45, 8, 0, 0.2, 0.5, 0, 1, 0, 1], [5, 90, 5, 0.5, 0.05, 0, 0, 1, 0, 1],
-    [4, 8, 60, 1, 0, 0, 0, 1, 1, 1], [0, 6, 35, 0, 0, 0, 0, 1, 1, 1], [50, 5, 40, 0, 0, 0, 0, 1, 0, 1], [30, 4, 80, 0, 0, 0, 0, 1, 1, 1], [30, 22, 30, 0, 0.3, 0, 0, 1, 0, 1],
-    [3, 3, 2, 1, 0, 1, 0, 1, 1, 0], [20, 3, 2, 1, 0, 1, 0, 1, 1, 0], [45, 30, 0, 0, 0, 0, 0, 1, 0, 1], [20, 90, 0, 0, 0.1, 0, 0, 1, 0, 1], [50, 13, 0, 0, 0, 0, 0, 1, 0, 1],
+    [4, 8, 60, 1, 0, 0, 0, 1, 2, 1], [0, 6, 35, 0, 0, 0, 0, 1, 2, 1], [50, 5, 40, 0, 0, 0, 0, 1, 0, 1], [30, 4, 80, 0, 0, 0, 0, 1, 2, 1], [30, 22, 30, 0, 0.3, 0, 0, 1, 0, 1],
+    [3, 3, 2, 1, 0, 1, 0, 1, 2, 0], [20, 3, 2, 1, 0, 1, 0, 1, 2, 0], [45, 30, 0, 0, 0, 0, 0, 1, 0, 1], [20, 90, 0, 0, 0.1, 0, 0, 1, 0, 1], [50, 13, 0, 0, 0, 0, 0, 1, 0, 1],
     [40, 30, 3, 0, 0, 1, 0, 1, 0, 1], [40, 25, 2, 0, 0, 0.9, 0, 1, 0, 1], [60, 3, 4, 0, 0, 1, 0, 1, 0, 0], [12, 4, 3, 0, 0, 0, 0, 1, 0, 0], [3, 4, 3, 0, 0, 0, 0, 1, 0, 0], [30, 5, 4, 0, 0, 0.4, 0, 1, 0, 0],
-    [2, 5, 30, 1, 0, 0, 0, 1, 1, 1], [1, 4, 25, 1, 0, 0.05, 0, 1, 1, 1], [2, 6, 50, 1, 0, 0, 0, 1, 1, 1], [1, 5, 40, 1, 0, 0, 0, 1, 0, 0],
+    [2, 5, 30, 1, 0, 0, 0, 1, 2, 1], [1, 4, 25, 1, 0, 0.05, 0, 1, 2, 1], [2, 6, 50, 1, 0, 0, 0, 1, 2, 1], [1, 5, 40, 1, 0, 0, 0, 1, 0, 0],
+    # names that only hint at furniture: density decides
+    [40, 60, 30, 0, 0, 0, 1, 2, 1, 1], [30, 12, 40, 0, 0.1, 0, 1, 2, 1, 1], [60, 4, 8, 0, 0, 0, 1, 2, 1, 1], [20, 3, 60, 0, 0, 0, 1, 2, 2, 1], [50, 25, 10, 0, 0.2, 0, 1, 2, 0, 1],
+    [40, 6, 3, 0, 1, 1, 1, 2, 0, 0], [30, 2, 2, 0, 1, 1, 1, 2, 0, 0], [60, 8, 0, 0, 0.9, 0, 1, 2, 1, 0], [9, 30, 4, 0.5, 0, 0, 1, 0, 1, 0], [20, 4, 3, 0, 1, 1, 1, 1, 0, 0],
+    [20, 30, 25, 0, 0, 0, 1, 1, 1, 1], [30, 4, 2, 0, 0, 0, 1, 1, 0, 0],
+    # pages without an article: paragraphs and headings of any length, unless they are or lead to links
+    [3, 2, 2, 0, 0, 0, 0, 1, 1, 1], [0, 1, 0, 0, 0, 0, 0, 1, 1, 1], [40, 2, 30, 0, 0, 0, 0, 1, 1, 1], [60, 3, 0, 0, 0, 0, 0, 1, 1, 1], [2, 60, 3, 1, 0.1, 0, 0, 1, 1, 1], [4, 12, 1, 1, 0.2, 1, 0, 1, 1, 1],
+    [2, 7, 1, 0, 0, 1, 0, 1, 1, 1], [12, 3, 1, 0, 0, 1, 0, 1, 1, 1], [5, 1, 1, 0, 0, 1, 0, 1, 1, 1], [30, 5, 2, 0, 0, 1, 0, 1, 1, 1], [0, 15, 2, 0, 0, 1, 0, 1, 1, 1], [3, 2, 2, 1, 0, 0, 0, 1, 1, 1],
+    [0, 3, 2, 0, 0, 0, 0, 1, 2, 1], [2, 3, 4, 0, 0, 0, 0, 1, 2, 1], [1, 3, 2, 1, 0, 0, 0, 1, 2, 1], [50, 2, 3, 0, 0, 0, 0, 1, 2, 1],
+    [40, 2, 1, 0, 0, 1, 0, 1, 2, 0], [3, 4, 1, 0, 0, 1, 0, 1, 2, 0], [2, 3, 3, 1, 1, 1, 0, 1, 1, 0], [30, 5, 0, 0, 0.9, 0, 0, 1, 1, 0], [0, 4, 20, 0, 1, 0, 0, 1, 1, 0], [9, 6, 9, 0, 0.8, 0, 0, 1, 1, 0],
 ])
 
 
@@ -268,7 +377,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Reads page_id, url and html.  Null and empty html, and pages without main
     text, give an empty text and 0.  Ids and urls are passed on as they are,
-    null or repeated.  Unclosed and stray tags do not lose text.
+    null or repeated.  Unclosed and stray tags do not lose text, but an unclosed
+    script, style, textarea or title runs to the end of the page, as in a browser.
+    A page takes time in proportion to its length, however broken it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

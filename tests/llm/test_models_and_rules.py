@@ -1,7 +1,9 @@
 """Classifiers, rules, PII, pages, vectors and the pipeline."""
 
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -294,6 +296,65 @@ def test_broken_pages_do_not_fail(page):
     assert isinstance(H.main_text(page), str)
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>one two</p><svg class='i'/><p>three four five</p></article>", ["one two", "three four five"]),
+    ("<p title=it's>one two three</p><p>four five six</p><p>it's</p>", ["one two three", "four five six", "it's"]),
+    ('<p title="it\'s>">one</p><p data-x=\'a > b\'>two</p><p title=">three</p><p>four</p>', ["one", "two", "three", "four"]),
+    ("<body><h1>Title of post</h1><p>Short one.</p><p>And a longer paragraph with more words.</p><ul><li><a href=x>one</a></li><li><a>two</a></li></ul>", ["Title of post", "Short one.", "And a longer paragraph with more words."]),
+    ("<article><p>One.</p><div class='related-work'><p>Related work is a list of papers of this field.</p></div><section class='social-history'><h2>Social</h2><p>They went there.</p></section></article>", ["One.", "Related work is a list of papers of this field.", "Social", "They went there."]),
+    ("<article><p>One.</p><div class='related-posts'><p>Also read this long story about it</p></div><div class=share-bar><p>Tell all your friends</p></div><div class='user-comment x1'><p>I think so too.</p></div></article>", ["One."]),
+    ("<p>one</p><noscript><p>no</p></noscript><style>p{}</style><template><p>no</p></template><p>two</p><script>x", ["one", "two"]),
+])
+def test_no_text_of_the_article_is_lost(page, want):
+    assert H.main_text(page).split("\n\n") == want
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000, '<a href="' * 100_000, "<div>" * 50_000 + "</b>" * 50_000, "<!" * 400_000, "<![CDATA[" * 100_000, '<a b=">" c=">" ' * 50_000 + '"', "<svg>x" * 50_000,
+    "<p><div>" + "<b>" * 50_000 + "<p></p>" * 50_000, "<a><div>" * 40_000, "<td><th>" * 50_000, "<title>" * 100_000, "<a b='" + " " * 800_000,
+], ids=range(12))
+def test_broken_markup_takes_time_in_proportion(page):
+    start = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - start < 5  # minutes, if it grew with the square
+
+
+class Walk(HTMLParser):
+    """Texts of p, li and headings with whether furniture is around them, by the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.texts = [], []
+
+    def handle_starttag(self, tag, attributes):
+        self.open.append((tag, dict(attributes).get("class")))
+        if tag in ("p", "li", "h2"):
+            self.texts.append(["", not any(t in ("nav", "footer", "form", "aside") or c for t, c in self.open)])
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        if self.open[-1][0] not in ("script", "style") and any(t in ("p", "li", "h2") for t, _ in self.open):
+            self.texts[-1][0] += data
+
+
+def test_generated_pages_equal_a_walk_of_the_parsed_page():
+    rng = random.Random(3)
+    for _ in range(200):
+        def words(n):
+            return " ".join(rng.choice(["one", "a&amp;b", "<b>two</b>", "<i>x</i>y", "&eacute;t&eacute;", "1 &lt; 2", "<!-- no -->z", "go\n\ton", "<a>link</a> to it here"]) for _ in range(n))
+
+        body = "".join(rng.choice([f"<p>{words(rng.randrange(1, 40))}</p>", f"<h2>{words(3)}</h2>", f"<ul><li>{words(4)}</li><li>{words(2)}</li></ul>", "<script>var x = '<p>no</p>'</script>"]) for _ in range(rng.randrange(1, 12)))
+        boxes = [f"<nav><ul><li><a>{words(1)}</a></li></ul></nav>", f"<div class='ad'><p>{words(20)}</p></div>", f"<form><p>{words(9)}</p></form>", f"<aside><p>{words(30)}</p></aside>", f"<footer><p>{words(5)}</p></footer>"]
+        rng.shuffle(boxes)
+        page = f"<html><body>{boxes[0]}{boxes[1]}<article>{body}{boxes[2]}<p>end</p></article>{boxes[3]}{boxes[4]}</body></html>"
+        walk = Walk()
+        walk.feed(page)
+        want = [" ".join(text.split()) for text, main in walk.texts if main]
+        assert H.main_text(page).split("\n\n") == [t for t in want if t], page
+
+
 def test_tree_fits_its_table_and_long_pages(spark):
     assert (H.tree().predict(H.LABELLED[:, :-1]) == H.LABELLED[:, -1]).all()
     page = "<article>" + "<p>" + "w " * 50 + "</p>" * 3000 + "<p>end</p>" * 3000 + "</article>"
