@@ -285,6 +285,7 @@ LABELLED = np.array([
     [12, 4, 4, 0, 0, 0, 0, 2, 2, 1], [10, 1, 1, 0, 0, 0, 0, 2, 2, 1], [1, 1, 1, 0, 0, 0, 0, 2, 0, 1], [4, 4, 9, 0, 0, 0, 0, 2, 0, 1], [2, 1, 0, 0, 0, 0, 0, 2, 0, 1], [5, 3, 1, 1, 0, 1, 0, 2, 0, 1],
     [12, 9, 2, 0, 0, 0, 0, 2, 2, 1], [300, 2, 5, 0, 0, 0, 0, 2, 0, 1], [14, 600, 14, 0, 0, 0, 0, 2, 0, 1], [9, 9, 300, 0, 0, 0, 0, 2, 0, 1], [1, 8, 8, 1, 0.3, 0.2, 0, 2, 0, 1], [4, 10, 0, 0, 0.5, 0, 0, 2, 0, 1],
     [3, 3, 3, 1, 1, 1, 0, 2, 0, 0], [40, 2, 2, 0, 1, 1, 0, 2, 0, 0], [2, 4, 20, 1, 1, 0, 0, 2, 0, 0], [20, 6, 0, 0, 0.9, 0, 0, 2, 0, 0],
+    [4, 2, 3, 0, 0, 1, 0, 2, 0, 1], [20, 2, 1, 0, 0, 1, 0, 2, 0, 1], [2, 2, 3, 1, 0, 1, 0, 2, 0, 1], [9, 3, 2, 0.2, 0.1, 1, 0, 2, 0, 1], [2, 5, 9, 0, 0.4, 1, 0, 2, 1, 1], [30, 2, 4, 0, 0.5, 1, 0, 2, 0, 1],
     # furniture, wherever it lies and however wordy it is
     [0, 1, 1, 0, 1, 1, 2, 0, 0, 0], [1, 1, 1, 1, 1, 1, 2, 0, 0, 0], [1, 12, 9, 1, 0, 0, 2, 0, 0, 0], [50, 14, 0, 0, 0, 0, 2, 0, 0, 0], [30, 45, 60, 0, 0, 0, 2, 2, 0, 0],
     [60, 80, 20, 0, 0, 0, 2, 2, 0, 0], [10, 3, 40, 0, 0, 0, 2, 2, 2, 0], [0, 20, 40, 0, 0.1, 0, 2, 1, 0, 0], [30, 60, 3, 0, 0, 0, 2, 1, 0, 0], [3, 3, 30, 1, 0, 0, 2, 1, 2, 0],
