@@ -3,13 +3,13 @@
 Structured entities (mail addresses, phone, card and account numbers, IP
 addresses, keys and passwords) are enciphered in place: a keyed Feistel network
 permutes all strings of the same shape, so letters stay letters of their script
-and case, digits stay digits, and separators stay.  A permutation gives
-distinct entities distinct surrogates and one entity the same surrogate
-wherever it occurs, without any table.  Names after a title take names of the
-title's gender and of their own script from small lists, by keyed hash.
-Within a document a surrogate that equals an original of the document, or
-another entity's surrogate, is drawn anew under the next tweak, without a limit:
-later tweaks lengthen names by syllables, and texts of few shapes by characters.
+and case, digits stay digits, and separators stay.  Names, found after a title
+or a label, are numbered, permuted and spelled in syllables of their script with
+an ending for their gender.  All these maps are one to one over all strings, so
+distinct entities get distinct surrogates and one entity the same surrogate in
+the whole corpus, without any table.  Only where a surrogate equals an original
+of its document, or another entity's surrogate, is it drawn anew under the next
+tweak, without a limit.
 
 One pass, no shuffle: everything follows from the key and the text.
 """
@@ -18,15 +18,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+import unicodedata
+from bisect import bisect
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textops import texts
 
-DEFAULT_KEY = b"set your own key"
+#: The session setting that holds the key.
+KEY_SETTING = "plinth.pii.key"
 #: Alphabets a character is permuted in.
 ALPHABETS = [
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -39,36 +45,25 @@ TITLES = {
     "m": ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "господин", "Господин", "Κύριος"],
     None: ["Dr", "Prof", "Doktor", "Docteur", "Доктор"],
 }
-#: Replacement names by script and gender, then family names.
-NAMES = {
-    "latin": {
-        "f": ["Alice", "Clara", "Diana", "Elena", "Fiona", "Greta", "Helen", "Irene", "Julia", "Laura", "Marta", "Nora", "Paula", "Sonia", "Teresa", "Vera"],
-        "m": ["Adam", "Bruno", "Conrad", "Daniel", "Edgar", "Felix", "Gustav", "Hugo", "Ivan", "Jonas", "Leon", "Martin", "Oscar", "Peter", "Robert", "Victor"],
-        "last": ["Abbott", "Barlow", "Carver", "Dalton", "Ellery", "Fenton", "Garner", "Harmon", "Irving", "Jarvis", "Keller", "Lindal", "Mercer", "Norton", "Osborn", "Palmer", "Quincy", "Ramsey", "Sutter", "Tanner", "Upton", "Vaughn", "Walden", "Yarrow"],
-    },
-    "cyrillic": {
-        "f": ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Лариса", "Мария", "Ольга"],
-        "m": ["Антон", "Борис", "Виктор", "Денис", "Игорь", "Леонид", "Михаил", "Олег"],
-        "last": ["Белов", "Волков", "Громов", "Зайцев", "Козлов", "Лебедев", "Морозов", "Новиков", "Орлов", "Павлов", "Соколов", "Титов"],
-    },
-    "greek": {
-        "f": ["Άννα", "Ελένη", "Ζωή", "Μαρία", "Σοφία", "Χαρά"],
-        "m": ["Ανδρέας", "Γιώργος", "Ηλίας", "Νίκος", "Πέτρος", "Στέλιος"],
-        "last": ["Αλεξίου", "Βασιλείου", "Γεωργίου", "Δημητρίου", "Ιωάννου", "Νικολάου", "Παππάς", "Σταύρου"],
-    },
-}
-
-#: What lengthens a name that the lists have no room for.
+#: What surrogate names are spelled with, by script.  A name is syllables of an onset, a vowel and perhaps a
+#: coda, then an ending: for family names and by gender, each for plain names, for names with other letters of the script and
+#: for names of mixed scripts.
 SYLLABLES = {
-    "latin": ["ber", "dan", "fal", "gor", "hal", "kin", "lor", "mar", "nel", "rin", "sen", "tov", "ven", "wick", "zel", "man"],
-    "cyrillic": ["бор", "вал", "дан", "гор", "лен", "мар", "нов", "рин", "сел", "тов", "вер", "зин"],
-    "greek": ["βαλ", "δαν", "γορ", "λεν", "μαρ", "νελ", "ριν", "σελ", "τοβ", "βερ"],
+    "latin": (["b", "c", "d", "f", "g", "h", "j", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "st", "tr"], "aeiou", ["", "l", "n", "r"]),
+    "cyrillic": (["б", "в", "г", "д", "ж", "з", "к", "л", "м", "н", "п", "р", "с", "т", "ф", "х", "ц", "бр", "ст", "тр"], "аеиоу", ["", "л", "н", "р"]),
+    "greek": (["β", "γ", "δ", "ζ", "θ", "κ", "λ", "μ", "ν", "π", "ρ", "σ", "τ", "φ", "χ", "βρ", "στ", "τρ"], "αειου", ["", "λ", "ν", "ρ"]),
 }
-#: Tweaks by the lists or in the same shape alone; each time this doubles, one more syllable or character is added.
-LIST_TWEAKS, SHAPE_TWEAKS = 8, 64
+ENDINGS = {
+    "latin": {"last": ("k", "tz", "ck"), "f": ("na", "nia", "nea"), "m": ("s", "x", "ss")},
+    "cyrillic": {"last": ("к", "ц", "чк"), "f": ("на", "ния", "нея"), "m": ("с", "х", "сс")},
+    "greek": {"last": ("ς", "ξ", "ψ"), "f": ("να", "νια", "νεα"), "m": ("ς", "ξ", "ψ")},
+}
+#: Tweaks in the same shape alone; each time this doubles, one more character is added.
+SHAPE_TWEAKS = 64
 
 _TITLE_OF = {t: g for g, titles in TITLES.items() for t in titles}
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ][A-Za-zÀ-ÖØ-öø-ÿĀ-žА-яёΑ-ώ'’-]+"
+_NAME = rf"{_CAPITAL}(?: (?!(?:{'|'.join(map(re.escape, _TITLE_OF))})\b){_CAPITAL}){{0,2}}"
 _FIND = re.compile(
     "|".join([
         r"(?P<email>(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})",
@@ -77,15 +72,18 @@ _FIND = re.compile(
         r"(?P<hex>\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,64}\b)",
         r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
         r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
-        r"(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d))",
+        r"(?P<ip>(?<![\d.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\d.]*\d))",
+        r"(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{3,39}(?![\w:]))",
         r"(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
         r"(?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?\d{2,4}|\d{2,4}[ .-]\d{2,4})(?:[ .-]\d{2,4}){1,3}(?![\w-])|(?<![\w.+-])\d{3}-\d{4}(?![\w-])|(?<![\w.+-])\+\d{7,14}(?![\w-]))",
-        rf"(?P<title>\b(?:{'|'.join(map(re.escape, sorted(_TITLE_OF, key=len, reverse=True)))})\b\.?\s+)(?P<name>{_CAPITAL}(?: {_CAPITAL}){{0,2}})",
+        rf"(?P<title>\b(?:{'|'.join(map(re.escape, sorted(_TITLE_OF, key=len, reverse=True)))})\b\.?\s+)(?P<name>{_NAME})",
+        rf"(?P<label>\b(?i:(?:full |first |last |sur|user)?name|contact|signed|attn|patient|customer|client|employee)\s*:\s+)(?P<called>{_NAME})",
     ])
 )
-_DIGIT = re.compile("[0-9]").search
-_SECRETS = ("pass", "pwd", "token", "secret", "key")
-_DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
+_WORD = re.compile(rf"(?<![\w'’-]){_CAPITAL}")
+_DIGIT = re.compile(r"\d").search
+_MARKS = ("pass", "pwd", "token", "secret", "key", "name", "contact", "signed", "attn", "patient", "customer", "client", "employee", "::")
+_DATE = re.compile(r"(?<!\d)(?:\d{4}[-. ]\d{1,2}[-. ]\d{1,2}|\d{1,2}[-. ]\d{1,2}[-. ](?:19|20)\d{2})(?!\d)")
 _LOCAL = re.compile(r"\d{3}-\d{4}")
 
 
@@ -94,14 +92,35 @@ def _may_hold(text: str) -> bool:
     if _DIGIT(text) or "@" in text or any(t in text for t in _TITLE_OF):
         return True
     lower = text.lower()
-    return any(x in lower for x in _SECRETS)
+    return any(x in lower for x in _MARKS)
 
 
 def _is_phone(text: str) -> bool:
     """Not a date or a count: a marked number, a local one, or nine digits and more."""
     if text[0] in "+(" or _LOCAL.fullmatch(text):
         return True
-    return sum(map(str.isdigit, text)) >= 9 and not _DATE.match(text)
+    return len(_digits(text)) >= 9 and not _DATE.search(text)
+
+
+def _is_address(text: str) -> bool:
+    try:
+        address = IPv6Address(text)
+    except AddressValueError:
+        return False
+    return not (address.is_loopback or address.is_unspecified) and _DIGIT(text) is not None
+
+
+@lru_cache(4096)
+def _kin(c: str) -> str | None:
+    """Characters of the same kind round ``c``, for texts in which any character may change."""
+    at = ord(c) & ~127
+    out = "".join(x for x in map(chr, range(at, at + 128)) if unicodedata.category(x) == unicodedata.category(c) and x.isprintable() and not x.isspace() and x not in "\"',;\\")
+    return out if c in out and len(out) > 1 else None
+
+
+@lru_cache(4096)
+def _alphabet(c: str) -> str | None:
+    return next((a for a in ALPHABETS if c in a), None)
 
 
 class Cipher:
@@ -130,11 +149,12 @@ class Cipher:
             if value < size:
                 return value
 
-    def shape(self, text: str, tweak: str, hexadecimal: bool = False) -> str:
-        """Permute ``text`` among the strings of its shape."""
-        slots = [next((a for a in ALPHABETS if c in a), None) for c in text]
+    def shape(self, text: str, tweak: str, hexadecimal: bool = False, every: bool = False) -> str:
+        """Permute ``text`` among the strings of its shape; ``every``: characters of no alphabet take part, too."""
+        slots = [_alphabet(c) or (_kin(c) if every else None) for c in text]
         if hexadecimal:
-            slots = [HEX if c in HEX else s for c, s in zip(text, slots)]
+            letters = HEX.upper() if any(c in "ABCDEF" for c in text) else HEX
+            slots = [letters if c in letters else s for c, s in zip(text, slots)]
         value, size = 0, 1
         for c, alphabet in zip(text, slots):
             if alphabet:
@@ -161,22 +181,32 @@ def luhn_valid(digits: str) -> bool:
     return luhn_digit(digits[:-1]) == digits[-1]
 
 
+def _digits(text: str) -> str:
+    """The digits of ``text``, of whatever script, as 0-9."""
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
+
+
 def _with_digits(text: str, digits: str) -> str:
-    """``text`` with its digits replaced in order."""
+    """``text`` with its digits replaced in order, each by one of its script."""
     rest = iter(digits)
-    return "".join(next(rest) if c.isdigit() else c for c in text)
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(rest))) if c.isdecimal() else c for c in text)
+
+
+def _lower(text: str) -> str:
+    """Lower-cased, character by character."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 class Surrogates:
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.cipher = Cipher(key)
         self.makers: dict[str, Callable[[str, int], str]] = {
-            "email": self._email, "value": self._value, "key": self._key, "iban": self._iban, "ssn": self._ssn, "ip": self._ip, "card": self._card, "phone": self._phone,
+            "email": self._email, "value": self._value, "key": self._key, "iban": self._iban, "ssn": self._ssn, "ip": self._ip, "ip6": self._ip6, "card": self._card, "phone": self._phone,
         }
 
     def _email(self, text: str, tweak: int) -> str:
         text = "a" * _longer(tweak, SHAPE_TWEAKS) + text
-        local, _, domain = text.lower().partition("@")
+        local, _, domain = _lower(text).partition("@")
         labels = domain.split(".")
         # the part before the top level domain; shape, and so validity, stay
         new = self.cipher.shape(local + "@" + ".".join(labels[:-1]), f"email{tweak}") + "." + labels[-1]
@@ -186,7 +216,8 @@ class Surrogates:
         more = _longer(tweak, SHAPE_TWEAKS)
         if more:  # a shape may have a single text
             return "".join(chr(97 + self.cipher.number("value", text, tweak, i) % 26) for i in range(len(text) + more))
-        return self.cipher.shape(text, f"secret{tweak}", hexadecimal=re.fullmatch("[0-9a-f]+", text) is not None)
+        both = re.fullmatch("[0-9a-f]+|[0-9A-F]+", text) is not None and not text.isdecimal()
+        return self.cipher.shape(text, f"secret{tweak}", hexadecimal=both, every=True)
 
     def _key(self, text: str, tweak: int) -> str:
         return text[:4] + self.cipher.shape(text[4:], f"key{tweak}")
@@ -199,7 +230,7 @@ class Surrogates:
         return "".join(c if c == " " else next(new) for c in text)
 
     def _ssn(self, text: str, tweak: int) -> str:
-        digits = text.replace("-", "")
+        digits = _digits(text)
         while True:
             digits = self.cipher.shape(digits, f"ssn{tweak}")
             if digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000":
@@ -213,8 +244,11 @@ class Surrogates:
             if 1 <= octets[0] <= 223 and octets[0] not in (10, 127):
                 return ".".join(map(str, octets))
 
+    def _ip6(self, text: str, tweak: int) -> str:
+        return self.cipher.shape(text, f"ip6{tweak}", hexadecimal=True)
+
     def _card(self, text: str, tweak: int) -> str:
-        digits = "".join(filter(str.isdigit, text))
+        digits = _digits(text)
         valid = luhn_valid(digits)
         body = digits[1:-1] if valid else digits[1:]
         body = self.cipher.shape(body, f"card{tweak}{digits[0]}{valid}")
@@ -223,9 +257,9 @@ class Surrogates:
 
     def _phone(self, text: str, tweak: int) -> str:
         text += "0" * _longer(tweak, SHAPE_TWEAKS)
-        digits = "".join(filter(str.isdigit, text))
+        digits = _digits(text)
         lead = re.match(r"\+(\d{1,3})[ .(-]", text)
-        code = lead.group(1) if lead else digits[: len(digits) - 10] if len(digits) > 10 else ""
+        code = digits[: len(lead.group(1))] if lead else digits[: len(digits) - 10] if len(digits) > 10 else ""
         rest = digits[len(code) :]
         first = rest
         while True:
@@ -233,18 +267,37 @@ class Surrogates:
             if (rest[0] in "01") == (first[0] in "01"):
                 return _with_digits(text, code + rest)
 
-    def first(self, part: str, sex: str, tweak: int) -> str:
-        script = _script(part)
-        return self._listed(NAMES[script][sex], script, tweak, "first", sex, part)
-
-    def family(self, part: str, tweak: int) -> str:
-        script = _script(part)
-        return self._listed(NAMES[script]["last"], script, tweak, "last", part)
-
-    def _listed(self, names: list[str], script: str, tweak: int, *what: str) -> str:
-        """A name of the list, under later tweaks with more and more syllables."""
-        more = [SYLLABLES[script][self.cipher.number("more", *what, tweak, i) % len(SYLLABLES[script])] for i in range(_longer(tweak, LIST_TWEAKS))]
-        return "".join([names[self.cipher.number(*what, tweak) % len(names)], *more])
+    def named(self, name: str, what: str, tweak: int) -> str:
+        """The surrogate of one name; ``what``: f or m for first names, last for family names.
+
+        Names are numbered, shorter ones first, and so are the spellings; blocks
+        of spellings of one length are permuted.  So no two names share one.
+        """
+        script = _script(name)
+        loud = len(name) > 1 and name.isupper()
+        if loud:
+            name = name[0] + _lower(name[1:])
+        if _alphabet(name[0]) and name[0].isupper() and all(c in LETTERS[script][0] for c in name[1:]):
+            name, kind = _lower(name), 0
+        else:
+            kind = 1 if all(c in LETTERS[script][1] for c in name) else 2
+        number, letters = 0, LETTERS[script][kind]
+        for c in name:
+            number = number * len(letters) + letters.index(c) + 1
+        onsets, vowels, codas = SYLLABLES[script]
+        base, length = len(onsets) * len(vowels) * len(codas), 2
+        while number >= base**length:
+            number -= base**length
+            length += 1
+        number = self.cipher.permute(number, base**length, f"{script}{what}{kind}{length}|{tweak}")
+        out = []
+        for _ in range(length):
+            number, at = divmod(number, base)
+            at, coda = divmod(at, len(codas))
+            onset, vowel = divmod(at, len(vowels))
+            out.append(onsets[onset] + vowels[vowel] + codas[coda])
+        new = "".join(out) + ENDINGS[script][what][kind]
+        return new.upper() if loud else new[0].upper() + new[1:]
 
 
 def _longer(tweak: int, free: int) -> int:
@@ -256,16 +309,25 @@ def _script(text: str) -> str:
     return "cyrillic" if "Ѐ" <= text[0] <= "ӿ" else "greek" if "Ͱ" <= text[0] <= "Ͽ" else "latin"
 
 
+def _letters(*ranges: tuple[int, int]) -> str:
+    return "'’-" + "".join(c for a, b in ranges for c in map(chr, range(a, b)) if c.isalpha())
+
+
+#: What names are made of, by script: small letters of plain names, all letters, letters of all scripts.
+_SCRIPTS = {"latin": (ALPHABETS[1], (0x41, 0x180)), "cyrillic": (ALPHABETS[3], (0x400, 0x460)), "greek": (ALPHABETS[5], (0x386, 0x3CF))}
+LETTERS = {script: (plain, _letters(own), _letters(*(x[1] for x in _SCRIPTS.values()))) for script, (plain, own) in _SCRIPTS.items()}
+
+
 def _same(kind: str, text: str) -> str:
     """What makes two mentions one entity."""
     if kind in ("phone", "card", "ssn"):
-        digits = "".join(filter(str.isdigit, text))
+        digits = _digits(text)
         return digits[-10:] if kind == "phone" else digits
     return text.lower() if kind == "email" else text.replace(" ", "") if kind == "iban" else text
 
 
 class Redactor:
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.make = Surrogates(key)
 
     def find(self, text: str) -> list[tuple[str, int, int, str | None]]:
@@ -273,29 +335,31 @@ class Redactor:
         out: list[tuple[str, int, int, str | None]] = []
         if not _may_hold(text):
             return out
-        families: dict[str, str | None] = {}
+        genders: dict[str, str | None] = {}  # by whole name, and by family name for bare mentions
         for m in _FIND.finditer(text):
             kind = m.lastgroup or ""
-            if kind in ("value", "name"):
-                a, b = m.span(kind)
-            else:
-                a, b = m.span()
-            gender = None
+            a, b = m.span(kind) if kind in ("value", "name", "called") else m.span()
             if kind == "ip" and max(map(int, text[a:b].split("."))) > 255:
                 continue
+            if kind == "ip6" and not _is_address(text[a:b]):
+                continue
             if kind == "hex":
                 kind = "value"  # a key that has lost its name
             if kind == "phone" and not _is_phone(text[a:b]):
                 continue
-            if kind == "name":
-                gender = _TITLE_OF.get(m.group("title").strip().rstrip("."))
-                families.setdefault(text[a:b].split(" ")[-1], gender)
-            out.append((kind, a, b, gender))
-        if families:
-            taken = sorted((a, b) for _, a, b, _ in out)
-            for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, families)) + r")\b", text):
-                if not any(a < m.end() and m.start() < b for a, b in taken):
-                    out.append(("name", *m.span(), families[m.group()]))
+            if kind in ("name", "called"):
+                gender = _TITLE_OF.get(m.group("title").strip().rstrip(".")) if kind == "name" else None
+                for name in (text[a:b], text[a:b].split(" ")[-1]):
+                    genders[name] = genders.get(name) or gender
+                kind = "name"
+            out.append((kind, a, b, None))
+        if genders:
+            starts, ends = [x[1] for x in out], [0, *(x[2] for x in out)]
+            for m in _WORD.finditer(text):
+                at, name = bisect(starts, m.start()), m.group()
+                if (name in genders or name.isupper() and name.capitalize() in genders) and ends[at] <= m.start() and (at == len(starts) or m.end() <= starts[at]):
+                    out.append(("name", *m.span(), None))
+            out = sorted((kind, a, b, genders.get(text[a:b]) if kind == "name" else None) for kind, a, b, _ in out)
             out.sort(key=lambda x: x[1])
         return out
 
@@ -318,11 +382,11 @@ class Redactor:
         if kind == "name":
             # a family is an entity of its own, so that a bare mention follows the full one
             *firsts, own = old.split(" ")
-            last = self._free(("family", own), own, lambda t: self.make.family(own, t), lambda x: x, originals, tweaks, used)
+            last = self._free(("family", own), own, lambda t: self.make.named(own, "last", t), lambda x: x, originals, tweaks, used)
             if not firsts:
                 return last
             sex = gender or "fm"[self.make.cipher.number("sex", firsts[0]) % 2]
-            draw = lambda t: " ".join([*(self.make.first(p, sex, t) for p in firsts), last])
+            draw = lambda t: " ".join([*(self.make.named(p, sex, t) for p in firsts), last])
             return self._free(("person", old, sex), old, draw, lambda x: x, originals, tweaks, used)
         same = _same(kind, old)
         return self._free((kind, same), same, lambda t: self.make.makers[kind](old, t), lambda x: _same(kind, x), originals, tweaks, used)
@@ -340,13 +404,23 @@ class Redactor:
             tweak += 1
 
 
-def surrogate_documents(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key set as ``plinth.pii.key``; without one, a random key that lasts as long as the session."""
+    if spark.conf.get(KEY_SETTING, None) is None:
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING).encode()
+
+
+def surrogate_documents(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """The rows of ``docs`` with surrogates in ``text``, and ``n_entities``.
 
     All columns pass; ``n_chars``, where there is one, counts the new text.
     Null texts stay null and empty ones empty, with 0 entities; equal texts get
-    equal results.  An own ``n_entities`` column is replaced.
+    equal results.  An own ``n_entities`` column is replaced.  ``key``: by
+    default the session's, see ``session_key``; set it to get the same
+    surrogates in every session.
     """
+    key = key or session_key(docs.sparkSession)
     columns = [c for c in docs.columns if c != "n_entities"]
     docs = docs.select(*columns)
     schema = docs.withColumn("n_entities", F.lit(0).cast("long")).schema
