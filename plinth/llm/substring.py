@@ -6,47 +6,40 @@ with the least hash in it, the leftmost of equals.  Equal windows have equal anc
 anchors that occur twice can repeat; that leaves a tenth of the words to count.
 
 1. Anchors are counted over all texts, equal texts as two (map-side combined).
-2. Texts hand on the neighbourhood of each recurring anchor: the words of
-   all windows that have it as theirs.
-3. Neighbourhoods are dealt to shards by anchor.  A shard confirms passages,
-   word by word, that occur more than once, compiles them into an Aho-Corasick
-   automaton over word numbers, and streams its neighbourhoods through it to
-   locate every occurrence.
-4. An anchor with more than HOT occurrences would overfill a shard.  Its
-   windows are confirmed and located by their 128-bit hashes, in packed chunks
-   that name a repeated window twice at most; nothing is capped.
-5. The located word ranges go back to their documents.
+2. All texts are streamed again; each hands on its stretches of windows with a
+   recurring anchor, packed into shards of some SHARD_WINDOWS windows as they
+   come.  Nothing is dealt by anchor, so no phrase is crowded, however often it
+   occurs; a window outside the stretches cannot repeat.
+3. A shard sends each of its distinct windows, as a 128-bit hash, to a bucket
+   of hashes, twice if it holds it twice.  The bucket confirms, with one bit a
+   window, what occurs more than once in all.
+4. A shard compiles its confirmed passages, runs of repeated windows, into an
+   Aho-Corasick automaton over word numbers and streams its stretches through it
+   to locate every occurrence.
+5. The located word ranges go back to their texts, to all copies of each.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialised
-from .textops import HashCache, as_signed, list_array, texts, window_hashes, word_hashes, words_of
+from .storage import drop, materialised
+from .textops import HashCache, as_signed, free_name, list_array, mix, texts, window_hashes, word_hashes, words_of
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words of an anchor; the shorter, the fewer anchors and the more chance repeats.
 ANCHOR = 12
-#: Occurrences from which an anchor is counted window by window.
-HOT = 400
-#: Neighbourhoods a shard is meant to hold.
-SHARD_ROWS = 500
-#: Windows packed into a row, and windows a bucket of their hashes is meant to hold.
-CHUNK_WINDOWS, BUCKET_WINDOWS = 20_000, 400_000
-#: End of a range that reaches to the end of its text.
-OPEN = (1 << 31) - 1
+#: Windows of a shard, and windows a bucket of their hashes is meant to hold.
+SHARD_WINDOWS, BUCKET_WINDOWS = 40_000, 400_000
 
 
 def anchors(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,123 +74,150 @@ def _count(size: int):
     return run
 
 
-def _wanted_anchors(part: pa.RecordBatch, size: int, cache: HashCache) -> Iterator[tuple[int, bytes, int, list[bytes], int, int]]:
-    """(anchor, key, copies, words, first window, windows) of the anchors that a batch's rows name."""
-    for key, copies, text, want in zip(part.column("key").to_pylist(), part.column("copies").to_pylist(), texts(part), part.column("wanted").to_pylist()):
-        words = words_of(text)
-        grams, _, first, count = anchors(word_hashes(words, cache), size)
-        here = np.isin(as_signed(grams), np.array(want, np.int64))
-        for gram, start, n in zip(as_signed(grams)[here].tolist(), first[here].tolist(), count[here].tolist()):
-            yield gram, key, copies, words, start, n
-
-
-def _neighbourhoods(size: int):
-    """A row (anchor, key, copies, first word, words as text) for each wanted anchor of a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                cols: list[list] = [[], [], [], [], []]
-                for gram, key, copies, words, start, n in _wanted_anchors(batch.slice(lo, 200), size, cache):
-                    for col, x in zip(cols, (gram, key, copies, start, b" ".join(words[start : start + n + size - 1]))):
-                        col.append(x)
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["anchor", "key", "copies", "start", "words"])
+def stretches(text: str | None, want: np.ndarray, size: int, most: int, cache: HashCache) -> Iterator[tuple[int, list[bytes]]]:
+    """(first word, words) of the runs of windows whose anchors are wanted; runs of more than ``most`` windows in parts."""
+    words = words_of(text)
+    grams, _, first, count = anchors(word_hashes(words, cache), size)
+    here = np.zeros(len(words) + 1, np.int8)
+    inside = np.isin(as_signed(grams), want)
+    here[first[inside]] += 1
+    here[(first + count)[inside]] -= 1
+    edge = np.diff(np.cumsum(here) > 0, prepend=False)
+    for a, b in np.flatnonzero(edge).reshape(-1, 2).tolist():
+        for lo in range(a, b, most):
+            yield lo, words[lo : min(b, lo + most) + size - 1]
 
-    return run
 
+_SHARD = "shard long, keys array<binary>, copies array<int>, starts array<int>, words binary"
 
-def _chunks(size: int):
-    """Windows of wanted anchors, packed: a row of some CHUNK_WINDOWS of them.
 
-    A row has the keys of its texts and how often each text occurs, and for
-    every window the number of its text, its first word and its 128-bit hash.
-    """
+def _shards(size: int):
+    """Stretches, packed: a row has their texts' keys and copies, first words, and words (a line each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
-        number = TaskContext.get().partitionId() << 40
-        held: list[list] = [[], [], [], [], []]
+        number = TaskContext.get().partitionId() << 36
+        held: list[list] = [[], [], [], []]
+        windows = 0
 
         def packed() -> pa.RecordBatch:
-            nonlocal number
-            keys, copies, owners, starts, hashes = held
-            row = [number, keys[:], copies[:], np.array(owners, np.int32).tobytes(), np.array(starts, np.int32).tobytes(), b"".join(hashes)]
-            number += 1
+            kinds = [pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            columns = [pa.array([number], pa.int64()), *[pa.array([x], k) for x, k in zip(held, kinds)], pa.array([b"\n".join(held[3])], pa.binary())]
             for column in held:
                 column.clear()
-            kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["chunk", "keys", "copies", "owners", "starts", "hashes"])
+            return pa.RecordBatch.from_arrays(columns, ["shard", "keys", "copies", "starts", "words"])
 
         for batch in batches:
-            for _, key, copies, words, start, n in _wanted_anchors(batch, size, cache):
-                keys, many, owners, starts, hashes = held
-                if not keys or keys[-1] != key:
-                    if len(owners) >= CHUNK_WINDOWS:
+            for key, copies, text, want in zip(batch.column("key").to_pylist(), batch.column("copies").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+                for start, words in stretches(text, np.array(want, np.int64), size, SHARD_WINDOWS, cache):
+                    for column, x in zip(held, (key, copies, start, b" ".join(words))):
+                        column.append(x)
+                    windows += len(words) - size + 1
+                    if windows >= SHARD_WINDOWS:
                         yield packed()
-                    keys.append(key)
-                    many.append(copies)
-                for s in range(start, start + n):
-                    owners.append(len(keys) - 1)
-                    starts.append(s)
-                    hashes.append(xxhash.xxh3_128_digest(b" ".join(words[s : s + size])))
+                        number, windows = number + 1, 0
         if held[0]:
             yield packed()
 
     return run
 
 
-def _digests(packed: bytes) -> list[bytes]:
-    return [packed[i : i + 16] for i in range(0, len(packed), 16)]
+class Shard:
+    """A shard's words in a row, and its distinct windows in the order of their buckets."""
+
+    def __init__(self, packed: bytes, copies: list[int], size: int, buckets: int, cache: HashCache):
+        self.stretches = [line.split(b" ") for line in packed.split(b"\n")]
+        lengths = np.array([len(x) for x in self.stretches], np.int64)
+        self.ends = np.cumsum(lengths)
+        hashes = word_hashes([w for x in self.stretches for w in x], cache)
+        # a window lies within one stretch
+        sound = np.ones(len(hashes) + 1, bool)
+        tail = (self.ends[:, None] - np.arange(1, size)[None, :]).ravel()
+        sound[tail] = False
+        self.at = np.flatnonzero(sound[: len(hashes)])
+        one, two = (window_hashes(h, size)[self.at] for h in (hashes, mix(hashes ^ np.uint64(0xA0761D6478BD642F))))
+        bucket = (one % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((two, one, bucket))
+        one, two, bucket = one[order], two[order], bucket[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+        weight = np.array(copies, np.int64)[np.searchsorted(self.ends, self.at, side="right")]
+        self.often = np.bincount(self.number, weight, new.sum()) > 1
+        self.hashes = np.column_stack([one[new], two[new]])
+        self.bucket = bucket[new]
+
+    def by_bucket(self) -> Iterator[tuple[int, slice]]:
+        cut = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-1))
+        for a, b in zip(cut.tolist(), cut[1:].tolist()):
+            yield int(self.bucket[a]), slice(a, b)
+
+    def runs(self, repeated: np.ndarray, size: int) -> list[list[tuple[int, int]]]:
+        """For each stretch the word ranges of its passages: runs of windows that are marked as repeated."""
+        mark = np.zeros(int(self.ends[-1]) + 2, np.int8)
+        mark[self.at[repeated[self.number]] + 1] = 1
+        edge = np.flatnonzero(np.diff(mark)).reshape(-1, 2)
+        out: list[list[tuple[int, int]]] = [[] for _ in self.stretches]
+        begin = np.concatenate([[0], self.ends])
+        for i, a, b in zip(np.searchsorted(self.ends, edge[:, 0], side="right").tolist(), edge[:, 0].tolist(), edge[:, 1].tolist()):
+            out[i].append((a - int(begin[i]), b - int(begin[i]) + size - 1))
+        return out
 
 
-def _deal(buckets: int):
-    """A chunk's distinct windows by hash, each once, or twice if the chunk itself shows it repeated."""
+def _deal(size: int, buckets: int):
+    """A shard's distinct windows by hash, each once, with a mark if the shard itself shows it repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = HashCache()
         for batch in batches:
-            for chunk, copies, owners, packed in zip(*[batch.column(c).to_pylist() for c in ("chunk", "copies", "owners", "hashes")]):
-                counts: Counter[bytes] = Counter()
-                for owner, digest in zip(np.frombuffer(owners, np.int32).tolist(), _digests(packed)):
-                    counts[digest] += copies[owner]
-                dealt: dict[int, list[bytes]] = {}
-                for digest, n in counts.items():
-                    dealt.setdefault(int.from_bytes(digest[:4], "big") % buckets, []).append(digest * min(n, 2))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(dealt), pa.int64()), pa.array([chunk] * len(dealt), pa.int64()), pa.array([b"".join(x) for x in dealt.values()], pa.binary())], ["bucket", "chunk", "hashes"]
-                )
+            for number, copies, words in zip(*[batch.column(c).to_pylist() for c in ("shard", "copies", "words")]):
+                shard = Shard(words, copies, size, buckets, cache)
+                rows = [(bucket, shard.hashes[part].tobytes(), np.packbits(shard.often[part]).tobytes()) for bucket, part in shard.by_bucket()]
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array([number] * len(rows), pa.int64()), *columns[1:]], ["bucket", "shard", "hashes", "often"])
 
     return run
 
 
 def _confirm(table: pa.Table) -> pa.Table:
-    """For every chunk of a bucket, those of its windows that occur more than once."""
-    rows = [_digests(x) for x in table.column("hashes").to_pylist()]
-    seen = Counter(digest for row in rows for digest in row)
-    out = [b"".join({d for d in row if seen[d] > 1}) for row in rows]
-    return pa.table({"chunk": table.column("chunk"), "repeated": pa.array(out, pa.binary())})
-
-
-def _locate(size: int):
-    """Word ranges that a chunk's repeated windows cover, neighbouring windows as one."""
+    """For every shard of a bucket, a bit for each of its windows: whether it occurs more than once in all."""
+    parts = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.column("hashes").to_pylist()]
+    sizes = [len(x) for x in parts]
+    often = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("often").to_pylist(), sizes)])
+    hashes = np.concatenate(parts)
+    order = np.lexsort((hashes[:, 1], hashes[:, 0]))
+    hashes, often = hashes[order], often[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]).any(axis=1)
+    window = np.cumsum(new) - 1
+    known = np.empty(len(order), bool)
+    known[order] = (np.bincount(window, 1 + often) > 1)[window]
+    bits = [np.packbits(x).tobytes() for x in np.split(known, np.cumsum(sizes)[:-1])]
+    return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+
+def _locate(size: int, buckets: int):
+    """Word ranges (key, a, b) that the shards' confirmed passages cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = HashCache()
         for batch in batches:
-            for keys, copies, owners, starts, packed, repeated in zip(*[batch.column(c).to_pylist() for c in ("keys", "copies", "owners", "starts", "hashes", "repeated")]):
-                known = {d for part in repeated for d in _digests(part)}
-                owner, start = np.frombuffer(owners, np.int32), np.frombuffer(starts, np.int32)
-                hit = np.array([d in known for d in _digests(packed)], bool) & (np.array(copies)[owner] < 2)
-                owner, start = owner[hit], start[hit]
-                order = np.lexsort((start, owner))
-                owner, start = owner[order], start[order]
-                new = np.ones(len(owner), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + size)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(owner))[: len(first)] - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[i] for i in owner[first]], pa.binary()), pa.array(start[first], pa.int32()), pa.array(start[last] + size, pa.int32())], ["key", "a", "b"]
-                )
+            for keys, copies, starts, words, answers in zip(*[batch.column(c).to_pylist() for c in ("keys", "copies", "starts", "words", "answers")]):
+                shard = Shard(words, copies, size, buckets, cache)
+                told = {x["bucket"]: x["bits"] for x in answers}
+                repeated = np.zeros(len(shard.hashes), bool)
+                for bucket, part in shard.by_bucket():
+                    repeated[part] = np.unpackbits(np.frombuffer(told[bucket], np.uint8), count=part.stop - part.start)
+                passages = PassageAutomaton()
+                numbered = [passages.number(x) for x in shard.stretches]
+                for stretch, runs in zip(numbered, shard.runs(repeated, size)):
+                    for a, b in runs:
+                        passages.add(stretch[a:b])
+                passages.compile()
+                found = [(key, start + a, start + b) for key, start, stretch in zip(keys, starts, numbered) for a, b in passages.locate(stretch)]
+                columns = [pa.array(list(c), k) for c, k in zip(zip(*found) if found else ([], [], []), (pa.binary(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
 
     return run
 
@@ -205,8 +225,7 @@ def _locate(size: int):
 class PassageAutomaton:
     """Aho-Corasick over word numbers, its keys being confirmed passages."""
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self):
         self.numbers: dict[bytes, int] = {}
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
 
@@ -214,28 +233,8 @@ class PassageAutomaton:
         numbers = self.numbers
         return tuple([numbers.setdefault(w, len(numbers) + 1) for w in words])
 
-    def confirm(self, group: list[tuple[tuple[int, ...], int]]) -> None:
-        """Add the passages of one anchor's neighbourhoods (words, occurrences)."""
-        size, machine = self.size, self.machine
-        if len(group) == 1:
-            words, occurs = group[0]
-            if occurs > 1:
-                machine.add_word(words, len(words))
-            return
-        counts: dict[tuple[int, ...], int] = {}
-        for words, occurs in group:
-            for s in range(len(words) - size + 1):
-                window = words[s : s + size]
-                counts[window] = counts.get(window, 0) + occurs
-        for words, _ in group:
-            run = None
-            for s in range(len(words) - size + 2):
-                more = s <= len(words) - size and counts[words[s : s + size]] > 1
-                if more and run is None:
-                    run = s
-                elif not more and run is not None:
-                    machine.add_word(words[run : s + size - 1], s + size - 1 - run)
-                    run = None
+    def add(self, passage: tuple[int, ...]) -> None:
+        self.machine.add_word(passage, len(passage))
 
     def compile(self) -> None:
         if len(self.machine):
@@ -255,35 +254,6 @@ class PassageAutomaton:
         return out
 
 
-def _shard(size: int):
-    def run(table: pa.Table) -> pa.Table:
-        anchor = table.column("anchor").to_numpy()
-        words = table.column("words").to_pylist()
-        passages = PassageAutomaton(size)
-        by_anchor: dict[int, dict[bytes, int]] = {}
-        copies = table.column("copies").to_pylist()
-        for a, w, n in zip(anchor.tolist(), words, copies):
-            group = by_anchor.setdefault(a, {})
-            group[w] = group.get(w, 0) + n
-        numbered: dict[bytes, tuple[int, ...]] = {}
-        for group in by_anchor.values():
-            for w in group:
-                if w not in numbered:
-                    numbered[w] = passages.number(w.split(b" "))
-            passages.confirm([(numbered[w], n) for w, n in group.items()])
-        passages.compile()
-        found = {w: passages.locate(numbers) for w, numbers in numbered.items()}
-        keys, begin, end = [], [], []
-        for key, start, w, n in zip(table.column("key").to_pylist(), table.column("start").to_pylist(), words, copies):
-            for a, b in found[w] if n < 2 else ():
-                keys.append(key)
-                begin.append(start + a)
-                end.append(start + b)
-        return pa.table({"key": pa.array(keys, pa.binary()), "a": pa.array(begin, pa.int32()), "b": pa.array(end, pa.int32())})
-
-    return run
-
-
 def _content(text: Column) -> Column:
     """What tells texts apart: 128 bits of their SHA-256; a null text is an empty one."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
@@ -293,47 +263,33 @@ def repeated_ranges(docs: DataFrame, size: int = 35) -> DataFrame:
     """(key, ranges): for each text with repeated windows, the word ranges they cover.
 
     The key is the text's, see ``_content``.  Texts that occur more than once
-    are looked at once, as two: all their windows are repeated, so their one
-    range is open to the end, and they help to find their passages elsewhere.
+    are looked at once, as two: all their windows are repeated, and their ranges
+    hold for every copy.  Runs Spark jobs before it returns.
     """
     text = F.col("text").cast("string")
     # the row's own hash deals copies of one text to different tasks
     source = docs.select(_content(text).alias("key"), F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
-    spark = docs.sparkSession
     found = source.mapInArrow(_count(size), "key binary, row long, anchors array<long>").where(F.size("anchors") > 0)
-    contents = found.groupBy("key").agg(F.min("row").alias("row"), F.first("anchors").alias("anchors"), F.least(F.count("*"), F.lit(2)).alias("copies"))
+    contents = found.groupBy("key").agg(F.min("row").alias("row"), F.first("anchors").alias("anchors"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"))
     contents = materialised(contents)
-    each = contents.select("key", "row", "copies", F.explode(F.array_distinct("anchors")).alias("anchor"))
     inside = contents.select(F.explode("anchors").alias("anchor"), "copies")
-    recurring = inside.groupBy("anchor").agg(F.sum("copies").alias("occurs"), F.count("*").alias("n")).where("occurs > 1").select("anchor", "n")
-    recurring = materialised(recurring)
-    cold_n, hot_n = F.sum(F.when(F.col("n") <= HOT, F.col("n"))), F.sum(F.when(F.col("n") > HOT, F.col("n")))
-    total, crowded = (int(x or 0) for x in recurring.agg(cold_n, hot_n).first())
-    shards, buckets = (max(spark.sparkContext.defaultParallelism, n) for n in (total // SHARD_ROWS, crowded * ANCHOR // BUCKET_WINDOWS))
-    per_text = each.join(recurring, "anchor").groupBy("row", "key", "copies").agg(
-        F.collect_list(F.when(F.col("n") <= HOT, F.col("anchor"))).alias("cold"), F.collect_list(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot")
-    )
-    wanted = materialised(source.select("row", "text").hint("merge").join(per_text, "row"))
-    cold = wanted.where(F.size("cold") > 0).select("key", "copies", "text", F.col("cold").alias("wanted"))
-    cold = cold.mapInArrow(_neighbourhoods(size), "anchor long, key binary, copies long, start long, words binary")
-    ranges = cold.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(_shard(size), "key binary, a int, b int")
-    hot = _hot_ranges(wanted.where(F.size("hot") > 0).select("key", "copies", "text", F.col("hot").alias("wanted")), size, buckets)
-    whole = contents.where("copies > 1").select("key", F.array(F.struct(F.lit(0).alias("a"), F.lit(OPEN).alias("b"))).alias("ranges"))
-    return materialised(ranges.union(hot).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).unionByName(whole))
-
-
-def _hot_ranges(warm: DataFrame, size: int, buckets: int) -> DataFrame:
-    """(key, a, b) for the windows of crowded anchors, in packed rows.
-
-    Chunks deal their windows' hashes to buckets, which answer each chunk with
-    what is repeated.  A chunk names a window at most twice, so even a window of
-    a third of all documents costs a bucket two hashes a chunk.
-    """
-    chunks = materialised(warm.mapInArrow(_chunks(size), "chunk long, keys array<binary>, copies array<long>, owners binary, starts binary, hashes binary"))
-    dealt = chunks.select("chunk", "copies", "owners", "hashes").mapInArrow(_deal(buckets), "bucket long, chunk long, hashes binary")
-    answers = dealt.groupBy("bucket").applyInArrow(_confirm, "chunk long, repeated binary")
-    answers = answers.groupBy("chunk").agg(F.collect_list("repeated").alias("repeated"))
-    return chunks.join(answers, "chunk").drop("chunk").mapInArrow(_locate(size), "key binary, a int, b int")
+    recurring = materialised(inside.groupBy("anchor").agg(F.sum("copies").alias("occurs")).where("occurs > 1"))
+    occurs = recurring.agg(F.sum("occurs")).first()[0] or 0
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, occurs * (size - ANCHOR + 2) // 2 // BUCKET_WINDOWS)
+    each = contents.select("key", "row", "copies", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    per_text = each.join(recurring.select("anchor"), "anchor").groupBy("row", "key", "copies").agg(F.collect_list("anchor").alias("wanted"))
+    wanted = source.select("row", "text").hint("merge").join(per_text, "row")
+    # texts that share a row hash by chance are told apart by content
+    wanted = wanted.where(_content(F.col("text")) == F.col("key")).select("key", "copies", "text", "wanted")
+    shards = materialised(wanted.mapInArrow(_shards(size), _SHARD))
+    drop(contents, recurring)
+    dealt = shards.select("shard", "copies", "words").mapInArrow(_deal(size, buckets), "bucket long, shard long, hashes binary, often binary")
+    answers = dealt.groupBy("bucket").applyInArrow(_confirm, "shard long, bucket long, bits binary")
+    answers = answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    ranges = shards.join(answers, "shard").mapInArrow(_locate(size, buckets), "key binary, a int, b int")
+    out = materialised(ranges.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
+    drop(shards)
+    return out
 
 
 def cut_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
@@ -344,8 +300,9 @@ def cut_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     is one, counts the new text.  Null texts stay null.
     """
     columns = docs.columns
-    ranges = repeated_ranges(docs, size).withColumnsRenamed({"key": "_key", "ranges": "_ranges"})
-    joined = docs.withColumn("text", F.col("text").cast("string")).withColumn("_key", _content(F.col("text"))).join(ranges, "_key", "left").select(*columns, "_ranges")
+    key, found = free_name(columns, "key"), free_name(columns, "ranges")
+    ranges = repeated_ranges(docs, size).withColumnsRenamed({"key": key, "ranges": found})
+    joined = docs.withColumn("text", F.col("text").cast("string")).withColumn(key, _content(F.col("text"))).join(ranges, key, "left").select(*columns, found)
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,10 +310,10 @@ def cut_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 out = part.columns[: len(columns)]
-                out[at] = pa.array([_cut(t, r) for t, r in zip(out[at].to_pylist(), part.column("_ranges").to_pylist())], pa.string())
+                out[at] = pa.array([_cut(t, r) for t, r in zip(out[at].to_pylist(), part.column(found).to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays(out, columns)
 
-    schema = joined.drop("_ranges").schema
+    schema = joined.drop(found).schema
     out = joined.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
 
@@ -376,7 +333,7 @@ def _kept(text: str | None, ranges: list | None) -> tuple[list[bytes], np.ndarra
     if ranges:
         edge = np.zeros(len(words) + 1, np.int64)
         np.add.at(edge, [r["a"] for r in ranges], 1)
-        np.add.at(edge, [min(r["b"], len(words)) for r in ranges], -1)
+        np.add.at(edge, [r["b"] for r in ranges], -1)
         keep = np.cumsum(edge)[: len(words)] == 0
     return words, keep
 

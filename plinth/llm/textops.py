@@ -102,3 +102,11 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     flat = np.concatenate(parts) if parts else np.empty(0)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

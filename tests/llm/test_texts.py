@@ -148,10 +148,10 @@ def brute_repeats(texts, size):
     return out
 
 
-@pytest.mark.parametrize("hot", [400, 3])
-def test_remove_repeats_equals_brute_force(spark, corpus, hot, monkeypatch):
-    monkeypatch.setattr("plinth.llm.substring.HOT", hot)
-    monkeypatch.setattr("plinth.llm.substring.CHUNK_WINDOWS", 100)
+@pytest.mark.parametrize("windows,buckets", [(40_000, 400_000), (100, 50), (7, 400_000)])
+def test_remove_repeats_equals_brute_force(spark, corpus, windows, buckets, monkeypatch):
+    monkeypatch.setattr("plinth.llm.substring.SHARD_WINDOWS", windows)
+    monkeypatch.setattr("plinth.llm.substring.BUCKET_WINDOWS", buckets)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in remove_repeats(docs(spark, corpus)).collect()}
     assert [got[i] for i in range(len(corpus))] == brute_repeats(corpus, 35)
 
@@ -171,6 +171,13 @@ def test_cut_repeats_keeps_columns_and_white_space(spark):
     assert got[0]["n_chars"] == len(f"{a} {b}") and got[3]["n_chars"] is None and got[0]["rep"] == 3
 
 
+def test_cut_repeats_with_columns_of_any_name(spark):
+    passage = prose(random.Random(3), 40)
+    table = spark.createDataFrame([(1, f"a {passage}", "k", "r", 5), (2, f"b {passage}", None, None, 6)], "doc_id long, text string, key string, Ranges string, _key int")
+    got = {r["doc_id"]: r for r in cut_repeats(table).collect()}
+    assert [tuple(got[i]) for i in (1, 2)] == [(1, "a", "k", "r", 5), (2, "b", None, None, 6)]
+
+
 def test_each_window_has_one_anchor_and_equal_windows_equal_ones():
     rng = random.Random(6)
     cache = HashCache()
