@@ -7,10 +7,15 @@ loops on all bytes; a merge gadget for each rule (u, v) -> w, in rank order,
 - lets every state with a way out on u also leave on w, to where v led.
 All ways out on one token lead to one state, so a state is its owner (the
 token before it) and the rank it was split at; which tokens leave it follows
-from the splits it went through.  The table of transitions is filled as texts
-need it.  Encoding walks it over the bytes of a pre-split word, longest arc
-first; as every prefix has one accepted path, no place is visited twice.
-Decoding emits the arcs' labels.
+from the splits it went through.
+
+Arcs are spelled out in bytes and the whole is made deterministic: a state of
+the byte automaton is the set of arcs under way, each with the place it left,
+and the token that ends here.  Every prefix of a word has one accepted path, so
+one token ends at each byte.  The transitions for all that the vocabulary spells
+are compiled when it is read; those beyond it are added when a text first takes
+them.  Encoding is one look-up a byte, without a step back; the tokens are read
+off from the last one.  Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from .textops import texts
 _PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 #: Entries in each of the two generations of a worker's cache of pieces.
 CACHE_ENTRIES = 250_000
-#: Transitions held before the table is filled anew.
-TABLE_ENTRIES = 2_000_000
+#: Transitions of the byte automaton, beyond the vocabulary's, and of the token automaton held before they are made anew.
+TABLE_ENTRIES = 600_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,13 +60,34 @@ class MergeAutomaton:
             if (u, v) in self.rank_of or u not in self.leads_to or v not in self.leads_to:
                 continue
             self._gadget(rank, u, v, w)
-        self.prefixes: dict[bytes, int] = {}
-        for label, i in vocab.items():
-            if i in self.leads_to:
-                for k in range(1, len(label)):
-                    self.prefixes.setdefault(label[:k], -1)
-                self.prefixes[label] = i
-        self.table: dict[tuple[int, int], bool] = {}
+        self.known: dict[tuple[int, int], bool] = {}
+        # labels as a trie: node and byte -> node; the token a node spells, or -1; whether it goes on
+        self.trie: dict[int, int] = {}
+        self.spelled, self.goes_on = [-1], [True]
+        usable = [(label, i) for label, i in vocab.items() if i in self.leads_to]
+        for label, i in usable:
+            node = 0
+            for byte in label:
+                step = node << 8 | byte
+                if step not in self.trie:
+                    self.trie[step] = len(self.spelled)
+                    self.spelled.append(-1)
+                    self.goes_on.append(False)
+                    self.goes_on[node] = True
+                node = self.trie[step]
+            self.spelled[node] = i
+        self._words = [label for label, _ in usable]
+        self._compile()
+
+    def _compile(self) -> None:
+        """The byte automaton's transitions for all words of the vocabulary."""
+        self.arcs: dict[int, int] = {}
+        self.under_way: list[tuple[tuple[int, int], ...]] = [((0, 0),)]
+        self.ends = [-1]
+        self._states: dict[tuple, int] = {}
+        for label in self._words:
+            self._walk(label)
+        self.compiled = len(self.arcs)
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         self.rank_of[u, v] = rank
@@ -84,7 +110,7 @@ class MergeAutomaton:
 
     def leaves(self, state: int, token: int) -> bool:
         """Whether ``state`` has a way out on ``token``; it then leads to ``leads_to[token]``."""
-        known = self.table.get((state, token))
+        known = self.known.get((state, token))
         if known is not None:
             return known
         part, until, out = token, None, True
@@ -96,50 +122,55 @@ class MergeAutomaton:
             if part not in self.left:
                 break
             until, part = self.made[part], self.left[part]
-        if len(self.table) >= TABLE_ENTRIES:
-            self.table.clear()
-        self.table[state, token] = out
+        if len(self.known) >= TABLE_ENTRIES:
+            self.known.clear()
+        self.known[state, token] = out
         return out
 
-    def _arcs(self, word: bytes, at: int) -> list[int]:
-        """Tokens that start at ``at``, the longest last."""
-        found, prefixes = [], self.prefixes
-        for end in range(at + 1, len(word) + 1):
-            token = prefixes.get(word[at:end])
-            if token is None:
-                break
-            if token >= 0:
-                found.append(token)
-        return found
+    def _arc(self, at: int, byte: int) -> int:
+        """Add the byte automaton's transition from ``at``."""
+        trie, spelled, goes_on, token = self.trie, self.spelled, self.goes_on, -1
+        on: list[tuple[int, int]] = []
+        for node, left in self.under_way[at]:
+            node = trie.get(node << 8 | byte, -1)
+            if node < 0:
+                continue
+            if token < 0 and spelled[node] >= 0 and self.leaves(left, spelled[node]):
+                token = spelled[node]
+            if goes_on[node]:
+                on.append((node, left))
+        if token < 0:
+            raise ValueError("the vocabulary lacks a byte of the text")
+        on.append((0, self.leads_to[token]))
+        state = (token, *on)
+        to = self._states.get(state)
+        if to is None:
+            to = self._states[state] = len(self.ends)
+            self.ends.append(token)
+            self.under_way.append(tuple(on))
+        self.arcs[at << 8 | byte] = to
+        return to
+
+    def _walk(self, word: bytes) -> list[int]:
+        """The state after each byte."""
+        at, out, arcs = 0, [], self.arcs
+        for byte in word:
+            to = arcs.get(at << 8 | byte)
+            at = self._arc(at, byte) if to is None else to
+            out.append(at)
+        return out
 
     def encode(self, word: bytes) -> list[int]:
-        if not word:
-            return []
-        whole = self.prefixes.get(word, -1)
-        if whole >= 0:
-            return [whole]
-        labels, leads_to, leaves, n = self.labels, self.leads_to, self.leaves, len(word)
-        path: list[int] = []
-        waiting = [self._arcs(word, 0)]
-        at = state = 0
-        while True:
-            arcs = waiting[-1]
-            while arcs:
-                token = arcs.pop()
-                if state == 0 and not path or leaves(state, token):
-                    path.append(token)
-                    at += len(labels[token])
-                    if at == n:
-                        return path
-                    state = leads_to[token]
-                    waiting.append(self._arcs(word, at))
-                    break
-            else:
-                waiting.pop()
-                if not path:
-                    raise ValueError("the vocabulary lacks a byte of the text")
-                at -= len(labels[path.pop()])
-                state = leads_to[path[-1]] if path else 0
+        if len(self.arcs) >= self.compiled + TABLE_ENTRIES:
+            self._compile()
+        states, labels, ends = self._walk(word), self.labels, self.ends
+        out, at = [], len(word)
+        while at:
+            token = ends[states[at - 1]]
+            out.append(token)
+            at -= len(labels[token])
+        out.reverse()
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.labels[i] for i in ids])
