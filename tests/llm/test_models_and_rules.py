@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from plinth.llm import html_text as H
-from plinth.llm.langid import NaiveBayes, code_points, gram_buckets, identify
+from plinth.llm.langid import NaiveBayes, code_points, fit_languages, gram_buckets, identify
 from plinth.llm.line_rules import line_rules
 from plinth.llm.multi_index import MultiIndex, near_vectors, unit_rows
 from plinth.llm.pii import KEY_SETTING, Cipher, Redactor, Surrogates, luhn_valid, session_key, surrogate_documents
@@ -111,21 +111,42 @@ def test_language_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in identify(docs(spark, [(1, "abc", None, "s")])).collect()} == {"und"}
 
 
-def test_long_texts_score_the_same_in_parts(monkeypatch):
+def slow_grams(text):
+    """Every n-gram's bucket, each looked up by itself."""
+    points = code_points(text)
+    return [int(gram_buckets(points[i : i + n])[n - 1][0]) for n in (1, 2, 3) for i in range(len(points) - n + 1)]
+
+
+@pytest.mark.parametrize("most", [400_000, 10, 1])
+def test_batches_and_parts_score_as_each_text_does_alone(most):
     rng = random.Random(5)
     counts = np.random.default_rng(1).integers(0, 50, (1 << 15, 3)).astype(float)
     model = NaiveBayes(["a", "b", "c"], counts, np.array([1.0, 2.0, 3.0]))
-    text = speech(rng, ENGLISH + GERMAN, 40)
-    points = code_points(text)
-    slow = model.prior.copy()
-    for buckets in gram_buckets(points):
-        for b in buckets:
-            slow += model.matrix[b]
-    odds = np.exp(slow - slow.max())
-    assert np.allclose(model.scores(text), odds / odds.sum(), atol=1e-4)
+    batch = [speech(rng, ENGLISH + GERMAN, n) for n in (40, 1, 7)] + ["", "1", "a", "ab", "a b", "x" * 500]
+    for text, got in zip(batch, model.scores(batch, most)):
+        slow = model.prior + sum(model.matrix[b].astype(float) for b in slow_grams(text))
+        odds = np.exp(slow - slow.max())
+        assert np.allclose(got, odds / odds.sum() if len(code_points(text)) else 0, atol=1e-4)
     assert code_points("A1b--C é").tolist() == [97, 32, 98, 32, 99, 32, 233]
 
 
+@pytest.mark.parametrize("most", [400_000, 3])
+def test_fit_equals_counting_by_hand(spark, most, monkeypatch):
+    monkeypatch.setattr("plinth.llm.langid.PART_CHARS", most)
+    rng = random.Random(6)
+    rows = [(i, speech(rng, ENGLISH if i % 3 else GERMAN, rng.randrange(1, 30)), "en" if i % 3 else "de", "s") for i in range(60)]
+    model = fit_languages(docs(spark, rows + [(90, None, "en", "s"), (91, "x", None, "s")]))
+    want = np.zeros((1 << 15, 2))
+    sizes = [0, 0]
+    for i, text, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            sizes[lang == "en"] += 1
+            for b in slow_grams(text):
+                want[b, int(lang == "en")] += 1
+    same = NaiveBayes(["de", "en"], want, np.array(sizes, float))
+    assert model.langs == same.langs and np.array_equal(model.matrix, same.matrix) and np.allclose(model.prior, same.prior)
+
+
 # Line rules
 
 
