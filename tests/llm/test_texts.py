@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from plinth.llm.components import components
-from plinth.llm.minhash import near_duplicates, parity, superminhash
+from plinth.llm.minhash import band_count, near_duplicates, parity, superminhash
 from plinth.llm.substring import anchors, cut_repeats, remove_repeats
 from plinth.llm.textops import HashCache, shingle_set, window_hashes, word_hashes
 
@@ -79,12 +79,31 @@ def test_near_duplicates_equal_brute_force(spark, corpus, percent):
 
 
 def test_near_duplicates_null_ids_and_empty_table(spark):
-    rows = near_duplicates(docs(spark, ["a b c d e f"] * 2 + [None], [None, 4, None])).collect()
-    assert len(rows) == 3 and sum(r["doc_id"] is None and r["kept"] for r in rows) == 2
+    rows = near_duplicates(docs(spark, ["a b c d e f"] * 3 + [None], [None, 4, 4, None])).collect()
+    assert len(rows) == 4 and all(r["kept"] and r["component_id"] == r["doc_id"] for r in rows)
     empty = near_duplicates(docs(spark, []))
     assert empty.count() == 0 and empty.columns == ["doc_id", "n_shingles", "component_id", "kept"]
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Documents that share half of their words, so that buckets are torn, and near copies among them."""
+    monkeypatch.setattr("plinth.llm.minhash.CROWDED", 40)
+    monkeypatch.setattr("plinth.llm.minhash.BLOCK_MEMBERS", 3)
+    rng = random.Random(12)
+    shared = prose(rng, 120)
+    texts = [f"{shared} {prose(rng, 70)}" for _ in range(60)]
+    texts += [edited(rng, t, k % 3) for k, t in enumerate(texts[:40])]
+    got = {r["doc_id"]: r for r in near_duplicates(docs(spark, texts), 85).collect()}
+    sizes, want = brute_components(texts, 85)
+    assert [got[i]["component_id"] for i in range(len(texts))] == want and len(set(want)) > 30
+
+
+def test_bands_follow_the_threshold():
+    for percent in (70, 80, 85, 95):
+        assert 1e-7 < (1 - (percent / 100) ** 4) ** band_count(percent) <= 1e-6
+    assert band_count(100) == 1
+
+
 def slow_superminhash(elements, size):
     """One element after the other, with the whole permutation."""
     from plinth.llm.textops import mix
