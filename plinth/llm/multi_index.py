@@ -2,7 +2,8 @@
 
 Two codebooks, one for each half of the unit vectors, form a grid of cells.
 Every vector lies in one cell and visits the cells nearest to it in the order
-of the multi-sequence algorithm.  How many cells it visits is set by measuring:
+of the multi-sequence algorithm, those up to its own by number, so that two
+vectors meet once.  How many cells it visits is set by measuring:
 query vectors outside the fit are compared with all rows, in blocks, and the
 traversal is made long enough to meet every link of every one of them, however
 small its group.  They are added until enough groups have been seen.  Where too
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialised
+from .storage import drop, materialised
 
-#: Rows the codebooks are fitted on, at most (those of least id hash).
-SAMPLE_ROWS = 8192
+#: Rows the codebooks are fitted on for each codeword, and components of such rows in all, at most.
+SAMPLE_ROWS, SAMPLE_VALUES = 8, 1 << 24
 #: Query vectors of the recall measurement: at first, and at most.
 PROBE_QUERIES, MOST_PROBES = 2048, 32768
 #: Vectors a cell is meant to hold, and codewords of a codebook at most.
-CELL_ROWS, MOST_WORDS = 24, 1024
+CELL_ROWS, MOST_WORDS = 24, 8192
 #: Cells visited at least.
 LEAST_CELLS = 8
 BLOCK_ROWS, BLOCK_VISITORS = 512, 4096
@@ -51,7 +52,7 @@ def fit_codebook(points: np.ndarray, words: int, rounds: int = 10) -> np.ndarray
     words = min(words, len(points))
     centres = points[np.linspace(0, len(points) - 1, words).astype(int)].copy()
     for _ in range(rounds):
-        near = np.argmin(_squared(points, centres), axis=1)
+        near = np.concatenate([np.argmin(_squared(points[lo : lo + 512], centres), axis=1) for lo in range(0, len(points), 512)])
         count = np.bincount(near, minlength=words)
         total = np.zeros_like(centres)
         np.add.at(total, near, points)
@@ -63,6 +64,14 @@ def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)[None, :], 0)
 
 
+def _nearest(distances: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` nearest of each row, in order; a cell of rank ``count`` needs none beyond."""
+    if count >= distances.shape[1]:
+        return distances.argsort(1, kind="stable")
+    some = np.sort(np.argpartition(distances, count - 1, axis=1)[:, :count], axis=1)
+    return np.take_along_axis(some, np.take_along_axis(distances, some, 1).argsort(1, kind="stable"), 1)
+
+
 def _beyond(squared: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Least squared distance of rows to what is nearest to each centre, by rows' squared distances to all."""
     out = np.zeros_like(squared)
@@ -86,23 +95,30 @@ class MultiIndex:
     def distances(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _squared(units[:, : self.half], self.first), _squared(units[:, self.half :], self.second)
 
+    def step(self) -> int:
+        """Rows whose distances to all codewords are held at once."""
+        return max(1, 4_000_000 // max(len(self.first), len(self.second)))
+
     def cells(self, units: np.ndarray) -> np.ndarray:
-        d1, d2 = self.distances(units)
-        return d1.argmin(1) * len(self.second) + d2.argmin(1)
+        out = np.empty(len(units), np.int64)
+        for lo in range(0, len(units), self.step()):
+            d1, d2 = self.distances(units[lo : lo + self.step()])
+            out[lo : lo + self.step()] = d1.argmin(1) * len(self.second) + d2.argmin(1)
+        return out
 
     def traverse(self, units: np.ndarray, count: int) -> np.ndarray:
         """The ``count`` nearest cells of each row, nearest first."""
         d1, d2 = self.distances(units)
-        o1, o2 = d1.argsort(1, kind="stable"), d2.argsort(1, kind="stable")
+        o1, o2 = _nearest(d1, count), _nearest(d2, count)
         s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
-        count = min(count, d1.shape[1] * d2.shape[1])
+        count = min(count, o1.shape[1] * o2.shape[1])
         out = np.empty((len(units), count), np.int64)
         for row in range(len(units)):
             a, b, u, v = s1[row].tolist(), s2[row].tolist(), o1[row], o2[row]
             heap, seen = [(a[0] + b[0], 0, 0)], {(0, 0)}
             for k in range(count):
                 _, i, j = heapq.heappop(heap)
-                out[row, k] = u[i] * len(b) + v[j]
+                out[row, k] = u[i] * len(self.second) + v[j]
                 for x, y in ((i + 1, j), (i, j + 1)):
                     if x < len(a) and y < len(b) and (x, y) not in seen:
                         seen.add((x, y))
@@ -172,18 +188,20 @@ def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndar
 
 
 def _place(index: MultiIndex, visits: int | None, cosine: float):
-    """Each vector's cell, and the cells it visits: the nearest ones, or without a number all that the bound allows."""
+    """Each vector's cell, and the cells up to it that it visits: of the nearest ones, or without a number all that the bound allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, index.step()) for whole in batches for lo in range(0, whole.num_rows, index.step())):
             units = unit_rows(_matrix(batch))
-            if not len(units):
-                continue
-            seen = list(index.traverse(units, visits)) if visits else index.within(units, 2 - 2 * cosine)
+            cells = index.cells(units)
+            if visits:
+                seen = [np.unique(np.append(row[row < own], own)) for row, own in zip(index.traverse(units, visits), cells)]
+            else:
+                seen = index.within(units, 2 - 2 * cosine)
             offsets = pa.array(np.cumsum([0, *map(len, seen)]), pa.int32())
             visited = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(seen), pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("copies"), batch.column("vector"), pa.array(index.cells(units)), visited], ["rep", "copies", "vector", "cell", "visited"]
+                [batch.column("rep"), batch.column("copies"), batch.column("vector"), pa.array(cells), visited], ["rep", "copies", "vector", "cell", "visited"]
             )
 
     return run
@@ -217,16 +235,8 @@ def _verify(cosine: float):
         q_at, x_at = np.nonzero(q @ x.T >= cosine)
         keep = q_id[q_at] != x_id[x_at]
         q_at, x_at = q_at[keep], x_at[keep]
-        # a pair that meets in both its cells counts where the smaller id visits
-        back = np.zeros(len(x_at), bool)
-        visited = mine.column("visited").to_pylist()
-        q_cell = theirs.column("cell").to_numpy()
-        span = max(int(q_cell.max()), max(map(max, visited))) + 1
-        goes = np.concatenate([np.array(v, np.int64) + i * span for i, v in enumerate(visited)])
-        for lo in range(0, len(x_at), 100_000):
-            part = slice(lo, lo + 100_000)
-            back[part] = np.isin(x_at[part] * span + q_cell[q_at[part]], goes, kind="sort")
-        keep = ~back | (q_id[q_at] < x_id[x_at])
+        # of two in one cell, each visits the other
+        keep = (theirs.column("cell").to_numpy()[q_at] != mine.column("cell").to_numpy()[0]) | (q_id[q_at] < x_id[x_at])
         q_at, x_at = q_at[keep], x_at[keep]
         if not len(q_at):
             return empty
@@ -244,9 +254,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, target: float = 0.995)
     """vec_id, n_links, component_id, kept, for every row of ``vectors``.
 
     Reads vec_id and embedding only.  Vectors that are null, empty or zero or
-    hold a null or a non-finite component link with nothing, as do those whose
-    length is not the table's most common one.  vec_id is a key: rows that
-    repeat an id are one vector.  An empty table gives an empty one.
+    hold a null or a non-finite component link with nothing.  Vectors of each
+    length have an index of their own.  vec_id is a key: rows that repeat an id
+    are one vector.  An empty table gives an empty one.  Runs Spark jobs before
+    it returns.
     """
     double = F.transform("embedding", lambda x: x.cast("double"))
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), double.alias("vector"))
@@ -254,35 +265,49 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, target: float = 0.995)
     sound = F.coalesce(finite & F.exists("vector", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     source = source.withColumn("sound", sound).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64("vector", F.lit(7)))
     good = source.where("sound")
-    sizes = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    alone = source.select("vec_id").distinct().select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not sizes:
-        return alone
-    good = good.where(F.size("vector") == sizes[0]["d"])
-    narrow = good.dropDuplicates(["vec_id"])
+    lengths = [r["d"] for r in good.groupBy(F.size("vector").alias("d")).count().where("count > 1").orderBy(F.desc("count"), "d").collect()]
+    member = source.dropDuplicates(["vec_id"]).select("vec_id", "h1", "h2", "sound")
+    result: DataFrame | None = None
+    for d in lengths:
+        one = _linked(good.where(F.size("vector") == d).dropDuplicates(["vec_id"]), d, _is_float(vectors), cosine, target)
+        result = one if result is None else result.union(one)
+    if result is None:
+        joined = member.withColumns({"n": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
+    else:
+        joined = member.join(result, ["h1", "h2"], "left")
+    component = F.when(F.col("sound"), F.coalesce("component", "vec_id")).otherwise(F.col("vec_id"))
+    links = F.when(F.col("sound"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long")
+    return joined.select("vec_id", links.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _linked(narrow: DataFrame, d: int, single: bool, cosine: float, target: float) -> DataFrame:
+    """(h1, h2, n, component) of each distinct vector of one length."""
     classes = narrow.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    classes = materialised(classes.withColumn("vector", F.transform("vector", lambda x: x.cast("float")) if _is_float(vectors) else F.col("vector")))
+    classes = materialised(classes.withColumn("vector", F.transform("vector", lambda x: x.cast("float")) if single else F.col("vector")))
     total = classes.count()
-    sample = classes.select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).collect()
-    units = unit_rows(np.array([r["vector"] for r in sample]))
-    index = MultiIndex.fit(units, _words(total, CELL_ROWS))
-    visits, _, _ = calibrate(classes, index, total, np.array([r["rep"] for r in sample]), cosine, target)
+    words = _words(total, CELL_ROWS)
+    rows = max(1, min(SAMPLE_ROWS * max(words, 1024), SAMPLE_VALUES // d))
+    # by the hash's range, not by order, so that no task holds them all
+    some = classes if total <= rows else classes.where(F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(total)) < rows)
+    sample = some.select("rep", "vector").toArrow().combine_chunks().sort_by("rep")
+    if not len(sample):
+        sample = classes.select("rep", "vector").limit(1).toArrow().combine_chunks()
+    units = unit_rows(_matrix(sample.to_batches()[0]))
+    index = MultiIndex.fit(units, words)
+    visits, _, _ = calibrate(classes, index, total, sample.column("rep").to_numpy(), cosine, target)
     if visits is None:
         index = MultiIndex.fit(units, _words(total, BOUND_ROWS))
     kind = classes.schema["vector"].dataType.simpleString()
     placed = materialised(classes.select("rep", "copies", "vector").mapInArrow(_place(index, visits, cosine), f"rep long, copies long, vector {kind}, cell long, visited array<long>"))
     met = _meetings(placed, BLOCK_ROWS if visits else BOUND_ROWS).groupBy("cell_at", "block", "turn").applyInArrow(_verify(cosine), "rep long, n long, root long")
     met = materialised(met)
+    drop(placed)
     linked = met.groupBy("rep").agg(F.sum("n").alias("n"))
     roots = components(met.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "component")
     result = classes.select("h1", "h2", "rep", "copies").join(linked, "rep", "left").join(roots, "rep", "left")
     result = materialised(result.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component")))
-    member = source.dropDuplicates(["vec_id"]).select("vec_id", "h1", "h2", F.col("sound") & (F.size("vector") == sizes[0]["d"]))
-    member = member.toDF("vec_id", "h1", "h2", "sound")
-    joined = member.join(result, ["h1", "h2"], "left")
-    component = F.when(F.col("sound"), F.coalesce("component", "vec_id")).otherwise(F.col("vec_id"))
-    links = F.when(F.col("sound"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long")
-    return joined.select("vec_id", links.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    drop(met, classes)
+    return result
 
 
 def _is_float(vectors: DataFrame) -> bool:
@@ -323,7 +348,10 @@ def calibrate(classes: DataFrame, index: MultiIndex, total: int, fitted: np.ndar
 
 
 def _meetings(placed: DataFrame, block_rows: int) -> DataFrame:
-    """Vectors and the visitors of their cells, in blocks of bounded size."""
+    """Vectors and the visitors of their cells, in blocks of bounded size.
+
+    A cell without a vector of its own drops its visitors in the join with the plan.
+    """
     own = placed.groupBy("cell").agg(F.count("*").alias("rows"))
     visit = placed.select("rep", "copies", "vector", "cell", F.explode("visited").alias("cell_at"))
     load = placed.select(F.explode("visited").alias("cell_at")).groupBy("cell_at").agg(F.count("*").alias("guests"))
@@ -335,12 +363,12 @@ def _meetings(placed: DataFrame, block_rows: int) -> DataFrame:
         "cell_at",
         F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"),
-        F.lit(0).alias("visitor"), "rep", "copies", "vector", F.col("cell_at").alias("cell"), "visited",
+        F.lit(0).alias("visitor"), "rep", "copies", "vector", F.col("cell_at").alias("cell"),
     )
     theirs = visit.join(plan, "cell_at").select(
         "cell_at",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("rep"), F.col("turns")).cast("int").alias("turn"),
-        F.lit(1).alias("visitor"), "rep", "copies", "vector", "cell", F.array().cast("array<long>").alias("visited"),
+        F.lit(1).alias("visitor"), "rep", "copies", "vector", "cell",
     )
     return mine.union(theirs)

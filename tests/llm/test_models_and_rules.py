@@ -497,6 +497,22 @@ def test_crowded_cells_are_cut_into_blocks(spark, monkeypatch):
     assert all(r["n_links"] == 119 and r["component_id"] == 0 for r in got)
 
 
+def test_vectors_of_each_length_link_with_their_own(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v, 0) for i, v in enumerate([[1.0, 2.0, 3.0]] * 2 + [[2.0, 4.0, 6.1], [1.0, 2.0], [2.0, 4.0], [1.0], [-3.0], [1.0, 2.0, 3.0, 0.0]] + rng.normal(size=(30, 5)).tolist())]
+    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, h1 int")).collect()}
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in range(8)] == [(2, 0), (2, 0), (2, 0), (1, 3), (1, 3), (0, 5), (0, 6), (0, 7)]
+    assert [got[i + 8]["n_links"] for i in range(30)] == brute_links(np.array([v for _, v, _ in rows[8:]])).tolist()
+
+
+def test_nearest_codewords_suffice_for_a_short_traversal():
+    rng = np.random.default_rng(2)
+    units = unit_rows(rng.normal(size=(50, 8)))
+    index = MultiIndex.fit(unit_rows(rng.normal(size=(400, 8))), 40)
+    long, short = index.traverse(units, 1600), index.traverse(units, 12)
+    assert (long[:, :12] == short).all()
+
+
 def brute_links(x):
     links = unit_rows(x) @ unit_rows(x).T >= 0.9
     np.fill_diagonal(links, False)
@@ -516,7 +532,7 @@ def pairs_beside_a_crowd():
 @pytest.mark.parametrize("crowd,most", [(True, 32768), (True, 40), (False, 40)])
 def test_links_of_pairs_are_found_beside_a_crowd_and_where_links_are_rare(spark, monkeypatch, crowd, most):
     # with 40 probes too few groups are seen, so the distance bound decides; 4 rows a cell give many cells
-    for name, value in (("PROBE_QUERIES", 20), ("MOST_PROBES", most), ("CELL_ROWS", 1), ("BOUND_ROWS", 4), ("SAMPLE_ROWS", 200)):
+    for name, value in (("PROBE_QUERIES", 20), ("MOST_PROBES", most), ("CELL_ROWS", 1), ("BOUND_ROWS", 4), ("SAMPLE_VALUES", 200 * 16)):
         monkeypatch.setattr(f"plinth.llm.multi_index.{name}", value, raising=False)
     x = pairs_beside_a_crowd()
     x = x if crowd else np.concatenate([x[:8], x[300:308], np.random.default_rng(6).normal(size=(600, 16))])
