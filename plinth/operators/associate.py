@@ -12,19 +12,26 @@ from .ordered import first_by
 from .spatial import nearest, radius_join
 
 
+def sized_boxes(dets: DataFrame, low: float = DEFAULT.box_min_px, high: float = DEFAULT.box_max_px) -> DataFrame:
+    """Detections no side of which is too short or too long for a column."""
+    return dets.where((F.least("dx", "dy") >= low) & (F.greatest("dx", "dy") <= high))
+
+
 def associate(dets: DataFrame, spans: DataFrame, half_label: float = 11.2) -> DataFrame:
     """Label, size note, shape and flags of each detection.
 
     The type label is the nearest to the box centre within three diagonals.
     The size note is the nearest to the type label, else to the box centre.
     ``dets``: page, det_id, cx, cy, dx, dy.  ``spans``: page, span_id, text, x, y.
-    ``half_label`` is a label's diagonal in pixels.
+    ``half_label`` is a label's diagonal in pixels.  Looks up the largest box
+    first, by a Spark job: it bounds the radius for boxes of any size, and small
+    ones make small cells.
     """
     parts = label_parts(F.col("text"))
     labels = spans.select("page", "span_id", "text", F.col("x").alias("sx"), F.col("y").alias("sy"), *[c.alias(n) for n, c in parts.items()])
     boxes = dets.withColumn("diag", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-    # no box is larger than the detector's limit, which bounds every radius
-    reach = DEFAULT.type_search * DEFAULT.box_max_px * 2**0.5
+    widest = float(boxes.agg(F.max("diag")).first()[0] or 0.0)
+    reach = max(DEFAULT.type_search * widest, DEFAULT.dim_search * half_label, 1.0)
     types = labels.where("kind = 'type'").select("page", "span_id", "text", "is_steel", "sx", "sy")
     sizes = labels.where("kind in ('rect_dim', 'diameter')").select("page", F.col("span_id").alias("dim_id"), F.col("kind").alias("dim_kind"), "rect_a", "rect_b", "diameter", F.col("sx").alias("qx"), F.col("sy").alias("qy"))
     by_box = F.col("diag") * DEFAULT.type_search

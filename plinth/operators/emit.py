@@ -43,7 +43,7 @@ def gate_verdicts(rows: DataFrame) -> DataFrame:
 
 def missing_shapes(placed: DataFrame, inventory: DataFrame) -> DataFrame:
     """Shapes placed in a storey that no family has."""
-    return placed.where("tier <> 'REJECTED'").select("storey_id", "shape").distinct().join(inventory.select("shape").distinct(), "shape", "left_anti")
+    return distinct_shapes(placed, ["storey_id"]).join(distinct_shapes(inventory), "shape", "left_anti")
 
 
 def recipe_columns(placed: DataFrame) -> DataFrame:
@@ -67,8 +67,28 @@ def slabs(columns: DataFrame, margin: float = DEFAULT.slab_margin_mm) -> DataFra
     )
 
 
+def distinct_shapes(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The shapes in use, in all or for each of ``keys``; refused rows, where there is a tier, don't count."""
+    used = rows.where("tier <> 'REJECTED'") if "tier" in rows.columns else rows
+    return used.where("shape is not null").select(*(keys or []), "shape").distinct()
+
+
+def recipe_rows(columns: DataFrame, storeys: DataFrame, levels: DataFrame) -> DataFrame:
+    """The recipes as rows (storey_id, part, key, body as JSON): levels of all storeys, then slabs and columns of each."""
+    level = levels.select(F.lit("").alias("storey_id"), F.lit("level").alias("part"), F.col("name").alias("key"), F.to_json(F.struct(F.col("rl_mm").alias("elevation"), "name")).alias("body"))
+    inside = storeys.select("storey_id", "slab_mm").join(slabs(columns), "storey_id")
+    slab = inside.select("storey_id", F.lit("slab"), F.lit(""), F.to_json(F.struct("x0", "y0", "x1", "y1", F.col("slab_mm").alias("thickness"))))
+    body = F.to_json(F.struct("canonical_idx", "family", "symbol", "form", "material", "width", "depth", "x", "y"))
+    column = columns.join(storeys.select("storey_id"), "storey_id", "left_semi").select("storey_id", F.lit("structural_column"), F.col("canonical_idx").cast("string"), body)
+    return level.union(slab).union(column)
+
+
 def recipe(columns: DataFrame, storeys: DataFrame, levels: DataFrame) -> DataFrame:
-    """One JSON recipe a storey: levels by height, columns by index, one slab."""
+    """One JSON recipe a storey: levels by height, columns by index, one slab.
+
+    A recipe is one document, so a storey's columns must fit a row;
+    ``recipe_rows`` has no such bound.
+    """
     stack = levels.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("rl_mm").alias("elevation"), "name"))).alias("levels"))
     packed = columns.groupBy("storey_id").agg(F.sort_array(F.collect_list(F.struct("canonical_idx", "family", "symbol", "form", "material", "width", "depth", "x", "y"))).alias("columns"))
     out = storeys.join(packed, "storey_id", "left").join(slabs(columns), "storey_id", "left").join(F.broadcast(stack))

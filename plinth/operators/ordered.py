@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,11 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_by(df, keys, [F.desc(c) for c in order])
 
 
+def first_rows(df: DataFrame, n: int, order: list) -> DataFrame:
+    """The first ``n`` rows of a report, by a total order; each task keeps ``n`` at most."""
+    return df.orderBy(*order).limit(n)
+
+
 def running_position(df: DataFrame, keys: list[str], order: str, spacing: str, out: str = "mm") -> DataFrame:
     """Sum of the spacings before each row, from 0."""
     rows = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -157,31 +163,62 @@ def find_or_create(df: DataFrame, shape: str, sizes: list[str], order: list[str]
 
     Types are looked up first to last and only ever appended, so the outcome
     hangs on shape and sizes alone and the fold need only see each
-    combination once.  Shapes are independent: one group each.
+    combination once.  Sizes that no chain of steps within the tolerance links
+    are independent: each shape is folded by runs of its first size, which are
+    told apart over the distinct sizes alone.
     ``known``: shape, sizes, type_ord, type_name of the inventory.
     """
     firsts = df.groupBy(shape, *sizes).agg(F.min(F.struct(*order, "new_name")).alias("first"))
     firsts = firsts.select(shape, *sizes, F.lit(None).cast("int").alias("type_ord"), *[F.col(f"first.{c}").alias(c) for c in [*order, "new_name"]])
     start = known.select(shape, *sizes, "type_ord", *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order], F.col("type_name").alias("new_name"))
+    both = start.unionByName(firsts).withColumn("_size", F.coalesce(*sizes))
+    # distinct sizes in millimetres, by shape: few, however many rows have them
+    step = Window.partitionBy("_shape").orderBy("_at")
+    runs = both.select(F.col(shape).alias("_shape"), F.col("_size").alias("_at")).distinct()
+    runs = runs.withColumn("_new", F.coalesce(F.col("_at") - F.lag("_at").over(step) > tolerance, F.lit(False)).cast("int"))
+    runs = runs.withColumn("_run", F.sum("_new").over(step)).drop("_new")
+    both = both.join(runs, F.col(shape).eqNullSafe(F.col("_shape")) & F.col("_size").eqNullSafe(F.col("_at"))).drop("_shape", "_at", "_size")
     kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in order]
     schema = ", ".join([f"{shape} string", *[f"{s} int" for s in sizes], *kinds, "type_name string", "created boolean"])
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        types: list[tuple[list, str]] = []
+        types = SizedTypes(tolerance)
         out = []
         ranked = pd.concat([group[group["type_ord"].notna()].sort_values("type_ord"), group[group["type_ord"].isna()].sort_values(order)])
         for row in ranked.to_dict("records"):
-            size = [None if pd.isna(row[s]) else int(row[s]) for s in sizes]
+            size = tuple(None if pd.isna(row[s]) else int(row[s]) for s in sizes)
             if not pd.isna(row["type_ord"]):
-                types.append((size, row["new_name"]))
+                types.add(size, row["new_name"])
                 continue
-            hit = next((name for have, name in types if all((a is None and b is None) or (a is not None and b is not None and abs(a - b) <= tolerance) for a, b in zip(have, size))), None)
+            hit = types.first(size)
             if hit is None:
-                types.append((size, row["new_name"]))
+                types.add(size, row["new_name"])
             out.append([row[shape], *size, *[row[c] for c in order], hit or row["new_name"], hit is None])
         return pd.DataFrame(out, columns=[shape, *sizes, *order, "type_name", "created"]).astype({s: "Int32" for s in sizes})
 
-    return start.unionByName(firsts).groupBy(shape).applyInPandas(fold, schema)
+    return both.groupBy(shape, "_run").applyInPandas(fold, schema)
+
+
+class SizedTypes:
+    """Types in order, looked up by sizes within a tolerance through cells of its width."""
+
+    def __init__(self, tolerance: int):
+        self.tolerance = tolerance
+        self.cells: dict[tuple, list[tuple[int, tuple, str]]] = {}
+        self.count = 0
+
+    def _cell(self, size: tuple) -> tuple:
+        return tuple(None if s is None else s // (self.tolerance + 1) for s in size)
+
+    def add(self, size: tuple, name: str) -> None:
+        self.cells.setdefault(self._cell(size), []).append((self.count, size, name))
+        self.count += 1
+
+    def first(self, size: tuple) -> str | None:
+        """The earliest type all of whose sizes are close, or missing where these are."""
+        near = product(*[(None,) if c is None else (c - 1, c, c + 1) for c in self._cell(size)])
+        hits = [x for cell in near for x in self.cells.get(cell, ()) if all(a is None or abs(a - b) <= self.tolerance for a, b in zip(x[1], size))]
+        return min(hits)[2] if hits else None
 
 
 def pages_of(frames: Iterator[DataFrame]) -> DataFrame:

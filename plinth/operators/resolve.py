@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT, FAMILY_NAMES, STARTER_TYPES
@@ -73,6 +73,18 @@ def resolve(columns: DataFrame, inventory: DataFrame, order: list[str], toleranc
     return typed.select(*keep).unionByName(refused.select(*keep))
 
 
+def grown_inventory(inventory: DataFrame, typed: DataFrame, order: list[str]) -> DataFrame:
+    """The inventory with the types that ``typed`` created after those of its shape, in ``order``."""
+    families = F.create_map(*[F.lit(x) for pair in FAMILY_NAMES.items() for x in pair])
+    last = inventory.groupBy("shape").agg(F.max("type_ord").alias("last"))
+    made = typed.where("tier = 'CREATED'").withColumn("n", F.row_number().over(Window.partitionBy("shape").orderBy(*order)))
+    made = made.join(F.broadcast(last), "shape", "left").select(
+        "shape", (F.coalesce("last", F.lit(-1)) + F.col("n")).cast("int").alias("type_ord"), F.try_element_at(families, F.col("shape")).alias("family_name"), "type_name", "label",
+        *SIZES, F.lit(True).alias("is_synthetic"),
+    )
+    return inventory.select(*made.columns).union(made)
+
+
 def placements(typed: DataFrame) -> DataFrame:
     """Placement rows: sizes by shape, no rotation, merged flags, an audit text."""
     shape = F.col("shape")

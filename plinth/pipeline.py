@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +46,15 @@ def saved_in(folder: str) -> Save:
 
 
 def run(inputs: Inputs, config: Config | None = None, save: Save | None = None, progress: Progress | None = None) -> dict[str, DataFrame]:
-    """Tables by stage: classified, offsets, columns, levels, storeys, typed, placed, gates, verdicts, recipes, review.
+    """Tables by stage: classified, offsets, columns, levels, storeys, typed, inventory, placed, gates, verdicts, recipes, review.
 
     Without ``save`` all of it is one lazy plan.  With it a stage runs once
     however many later ones read it.  ``progress`` gets an event as each stage
     starts and completes.
     """
     config = config or Config()
+    if not config.detect:
+        inputs = replace(inputs, canonical=inputs.canonical.limit(0), enlarged=inputs.enlarged.limit(0))
     out: dict[str, DataFrame] = {}
 
     def stage(name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -87,6 +89,8 @@ def run(inputs: Inputs, config: Config | None = None, save: Save | None = None,
     ids = inputs.canonical.select("storey_id").distinct()
     storeys = stage("storeys", lambda: levels.storey_levels(ids, stack.withColumn("level_id", F.lit(0))).withColumn("slab_mm", F.lit(config.slab_mm)))
     typed = stage("typed", lambda: resolve.resolve(columns, inputs.inventory, ["storey_id", "canonical_idx"]))
+    # what the next run starts with
+    stage("inventory", lambda: resolve.grown_inventory(inputs.inventory, typed, ["storey_id", "canonical_idx"]))
     placed = stage("placed", lambda: resolve.placements(typed))
 
     def check() -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import ordered as O
 from ..operators import reconcile as R
 from ..operators import resolve as S
 from ..operators.spatial import nearest, radius_join
+from ..storage import materialised
 from .classification import CLASSIFIED_SQL, LABELS_SQL, classified
 from .registry import query
 from .views import view
@@ -48,17 +49,46 @@ def a6(spark, sf_dir):
 
 @query("p25_pixel_to_mm", "SELECT det_id, least((cx - dx / 2 - 300) / -0.25::double, (cx + dx / 2 - 300) / -0.25::double) AS x0, greatest((cx - dx / 2 - 300) / -0.25::double, (cx + dx / 2 - 300) / -0.25::double) AS x1, dx / dy AS aspect FROM v_dets WHERE least(dx, dy) >= 10 AND greatest(dx, dy) <= 200")
 def p25(spark, sf_dir):
-    d = view(spark, sf_dir, "v_dets").where((F.least("dx", "dy") >= DEFAULT.box_min_px) & (F.greatest("dx", "dy") <= DEFAULT.box_max_px))
+    d = A.sized_boxes(view(spark, sf_dir, "v_dets"))
     low, high = ((F.col("cx") + s * F.col("dx") / 2 - 300) / -0.25 for s in (-1, 1))
     return d.select("det_id", F.least(low, high).alias("x0"), F.greatest(low, high).alias("x1"), (F.col("dx") / F.col("dy")).alias("aspect"))
 
 
-@query("p46_grid_detection")
+def _trim(lines: str, name: str) -> str:
+    """Recursive CTEs that drop one end line of ``lines`` (page, axis, label, px, rest) a step; ``name``: what is left."""
+    return f"""{name}_s AS (SELECT page, axis, list({{'px': px, 'label': label, 'rest': rest}} ORDER BY px, label) AS l FROM {lines} GROUP BY page, axis),
+    {name}_t AS (SELECT page, axis, l, len(l) >= 4 AS open FROM {name}_s UNION ALL SELECT page, axis, CASE WHEN low THEN l[2:] ELSE l[:len(l) - 1] END, true
+      FROM (SELECT *, g[1] > 1.7::double * mid OR g[1] < 0.6::double * mid AS low, g[len(g)] > 1.7::double * mid OR g[len(g)] < 0.6::double * mid AS high FROM (SELECT *, list_sort(g)[len(g) // 2 + 1] AS mid
+        FROM (SELECT page, axis, l, list_transform(range(1, len(l)), lambda i: l[i + 1].px - l[i].px) AS g FROM {name}_t WHERE open AND len(l) >= 3))) WHERE mid > 0 AND (low OR high)),
+    {name} AS (SELECT page, axis, r.label AS label, r.px AS px, r.rest AS rest FROM (SELECT page, axis, unnest(l) AS r FROM (SELECT page, axis, arg_min(l, len(l)) AS l FROM {name}_t GROUP BY page, axis)))"""
+
+
+def _upper(x: str, where: str = "true") -> str:
+    return f"list_sort(list({x}) FILTER ({where}))[(count({x}) FILTER ({where})) // 2 + 1]"
+
+
+_BOTH = "SELECT * FROM {0} WHERE page IN (SELECT page FROM {0} GROUP BY page HAVING count(*) FILTER (axis = 'x') >= 2 AND count(*) FILTER (axis = 'y') >= 2)"
+_GRID = f"""WITH RECURSIVE m AS (SELECT page, text, x, y, letter, inside, x < 1200 AS lft, y < 850 AS top FROM (SELECT *, regexp_matches(text, '^[A-Za-z]{{1,2}}$') AS letter, regexp_matches(text, '^[0-9]+$') AND coalesce(try_cast(text AS int) BETWEEN 1 AND 99, false) AS number,
+      x > 0 AND x < 2400 AND y > 0 AND y < 1700 AND (x <= 0.2::double * 2400 OR x >= 0.8::double * 2400 OR y <= 0.2::double * 1700 OR y >= 0.8::double * 1700) AS inside FROM v_spans) WHERE letter OR number),
+    h AS (SELECT * FROM (SELECT *, CASE WHEN lft THEN min(x) FILTER (lft) OVER (PARTITION BY page) ELSE max(x) FILTER (NOT lft) OVER (PARTITION BY page) END AS edge FROM m WHERE letter AND inside) WHERE abs(x - edge) <= 40.0::double * 150 / 72),
+    f AS (SELECT page, floor(coalesce(bx0, 192)) AS bx0, floor(coalesce(bx1, 2112)) AS bx1, floor(coalesce(by0, 255)) AS by0, floor(coalesce(by1, 1564)) AS by1 FROM (SELECT DISTINCT page FROM v_spans) LEFT JOIN (SELECT page, {_upper("x", "lft")} AS bx0, {_upper("x", "NOT lft")} AS bx1, min(y) AS by0, max(y) AS by1 FROM h GROUP BY page) USING (page)),
+    v AS (SELECT * FROM m JOIN f USING (page) WHERE NOT letter AND inside AND x > bx0 - 200 AND x < bx1 + 200),
+    w AS (SELECT page, top, {_upper("y")} AS mid, count(*) AS n FROM v GROUP BY page, top),
+    r AS (SELECT page, {_upper("y", "top")} AS top_y, {_upper("y", "NOT top")} AS bottom_y FROM v JOIN w USING (page, top) WHERE n < 2 OR abs(y - mid) <= 50 GROUP BY page),
+    k AS (SELECT m.*, bx0, bx1, floor(coalesce(top_y, by0 - 50)) AS top_y, floor(coalesce(bottom_y, by1 + 50)) AS bottom_y FROM m JOIN f USING (page) LEFT JOIN r USING (page)),
+    lines AS (SELECT page, 'x' AS axis, text AS label, {_upper("x")} AS px, 0 AS rest FROM k WHERE NOT letter AND x BETWEEN bx0 AND bx1 AND (abs(y - top_y) <= 50 OR abs(y - bottom_y) <= 50) GROUP BY page, text
+      UNION ALL SELECT page, 'y', text, {_upper("y")}, 0 FROM k WHERE letter AND y BETWEEN top_y AND bottom_y AND (abs(x - bx0) <= 40.0::double * 150 / 72 OR abs(x - bx1) <= 40.0::double * 150 / 72) GROUP BY page, text),
+    one AS ({_BOTH.format("lines")}), {_trim("one", "two")}, three AS ({_BOTH.format("two")}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY page, axis ORDER BY px, label) AS p, row_number() OVER (PARTITION BY page, axis ORDER BY try_cast(label AS int) NULLS FIRST, px) AS q FROM three)
+    SELECT page, axis, CASE WHEN bool_and(p = q AND try_cast(label AS int) IS NOT NULL) OVER (PARTITION BY page, axis) THEN q ELSE p END AS ord, label, px FROM o"""
+
+
+@query("p46_grid_detection", _GRID)
 def p46(spark, sf_dir):
     return GR.detect_grid(view(spark, sf_dir, "v_spans"), 2400.0, 1700.0, DEFAULT.margin_pt * 150 / 72)
 
 
-@query("w4_trimmed_axes")
+@query("w4_trimmed_axes", f"WITH RECURSIVE a AS (SELECT page, axis, px, label, ord AS rest FROM v_axes), {_trim('a', 'b')} SELECT page, axis, rest AS ord, label, px FROM b")
 def w4(spark, sf_dir):
     return O.trim_ends(view(spark, sf_dir, "v_axes"), ["page", "axis"], "px", "label").select("page", "axis", "ord", "label", "px")
 
@@ -107,7 +137,14 @@ def a11_all(spark, sf_dir):
     return GR.gap_spacings(axes, GR.gap_dims(axes, view(spark, sf_dir, "v_all_dims")))
 
 
-@query("w7_suppressed_boxes")
+_LEFT = """list_filter(rest, lambda o: greatest(least(h.x1, o.x1) - greatest(h.x0, o.x0), 0.0::double) * greatest(least(h.y1, o.y1) - greatest(h.y0, o.y0), 0.0::double)
+      <= 0.45::double * ((h.x1 - h.x0) * (h.y1 - h.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - greatest(least(h.x1, o.x1) - greatest(h.x0, o.x0), 0.0::double) * greatest(least(h.y1, o.y1) - greatest(h.y0, o.y0), 0.0::double)))"""
+_SUPPRESSED = f"""WITH RECURSIVE b AS (SELECT page, list({{'id': det_id, 'c': confidence, 'x0': cx - dx * 4, 'y0': cy - dy * 4, 'x1': cx + dx * 4, 'y1': cy + dy * 4}} ORDER BY confidence DESC, det_id) AS alive FROM v_dets GROUP BY page),
+    r AS (SELECT page, h, {_LEFT} AS alive FROM (SELECT page, alive[1] AS h, alive[2:] AS rest FROM b) UNION ALL SELECT page, h, {_LEFT} FROM (SELECT page, alive[1] AS h, alive[2:] AS rest FROM r WHERE len(alive) > 0))
+    SELECT page, h.id AS det_id, h.c AS confidence FROM r"""
+
+
+@query("w7_suppressed_boxes", _SUPPRESSED)
 def w7(spark, sf_dir):
     return O.suppress(boxes(spark, sf_dir), ["page"], "det_id").select("page", "det_id", "confidence")
 
@@ -301,7 +338,11 @@ def p28(spark, sf_dir):
 
 
 def typed(spark, sf_dir) -> DataFrame:
-    return S.resolve(columns(spark, sf_dir), S.starter_inventory(spark), ["storey_id", "canonical_idx"])
+    return types_of(columns(spark, sf_dir))
+
+
+def types_of(columns_: DataFrame) -> DataFrame:
+    return S.resolve(columns_, S.starter_inventory(columns_.sparkSession), ["storey_id", "canonical_idx"])
 
 
 # every size of the view lies on a lattice wider than the tolerance, so that only equal sizes match
@@ -315,13 +356,45 @@ def t1(spark, sf_dir):
     return typed(spark, sf_dir).select("storey_id", "canonical_idx", "tier", "type_name", "reason")
 
 
-@query("t1_find_or_create_dense")
+def _close(a: str, b: str) -> str:
+    return f"coalesce(abs({a} - {b}) <= 5, {a} IS NULL AND {b} IS NULL)"
+
+
+# sizes a few millimetres apart, so that types match by tolerance and the order they are made in counts
+_DENSE = f"""WITH RECURSIVE e AS (SELECT *, {_REASON} AS reason, {_NAME} AS nm, CASE WHEN shape <> 'round' THEN dim_x END AS mx, CASE WHEN shape <> 'round' THEN dim_y END AS my, CASE WHEN shape = 'round' THEN diameter END AS md
+      FROM (SELECT storey_id, enlarged_id, label, shape, cast(dim_x + enlarged_id % 13 AS int) AS dim_x, cast(dim_y + enlarged_id % 13 AS int) AS dim_y, cast(diameter + enlarged_id % 13 AS int) AS diameter FROM v_enlarged)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY shape, mx, my, md ORDER BY storey_id, enlarged_id) AS place FROM e WHERE reason IS NULL),
+    c AS (SELECT shape, mx, my, md, nm, row_number() OVER (PARTITION BY shape ORDER BY storey_id, enlarged_id) AS n FROM k WHERE place = 1),
+    f AS (SELECT shape, 0::bigint AS n, [{{'x': x, 'y': y, 'd': d, 'name': name}}] AS types, NULL::int AS mx, NULL::int AS my, NULL::int AS md, NULL::varchar AS type_name, false AS created
+        FROM (VALUES ('rectangular', 800, 800, NULL::int, 'STARTER_RECTANGULAR'), ('square', 800, 800, NULL, 'STARTER_SQUARE'), ('round', NULL, NULL, 800, 'STARTER_ROUND'), ('steel', 600, 600, NULL, 'STARTER_STEEL')) s(shape, x, y, d, name)
+      UNION ALL SELECT shape, n, CASE WHEN hit IS NULL THEN list_append(types, {{'x': mx, 'y': my, 'd': md, 'name': nm}}) ELSE types END, mx, my, md, coalesce(hit, nm), hit IS NULL
+        FROM (SELECT c.*, types, list_filter(types, lambda t: {_close("t.x", "c.mx")} AND {_close("t.y", "c.my")} AND {_close("t.d", "c.md")})[1].name AS hit FROM f JOIN c ON c.shape = f.shape AND c.n = f.n + 1))
+    SELECT shape, tier, type_name, count(*) AS n FROM (SELECT k.shape, CASE WHEN created AND place = 1 THEN 'CREATED' ELSE 'MATCHED_EXACT' END AS tier, type_name FROM k JOIN f ON f.n > 0 AND f.shape = k.shape AND f.mx IS NOT DISTINCT FROM k.mx AND f.my IS NOT DISTINCT FROM k.my AND f.md IS NOT DISTINCT FROM k.md
+      UNION ALL SELECT shape, 'REJECTED', NULL FROM e WHERE reason IS NOT NULL) GROUP BY ALL"""
+
+
+@query("t1_find_or_create_dense", _DENSE)
 def t1_dense(spark, sf_dir):
     e = view(spark, sf_dir, "v_enlarged").withColumn("shift", (F.col("enlarged_id") % 13).cast("int"))
     e = e.withColumns({"dim_x": F.col("dim_x") + F.col("shift"), "dim_y": F.col("dim_y") + F.col("shift"), "diameter": F.col("diameter") + F.col("shift")})
     return S.resolve(e, S.starter_inventory(spark), ["storey_id", "enlarged_id"]).groupBy("shape", "tier", "type_name").agg(F.count("*").alias("n"))
 
 
+@query(
+    "t2_grown_inventory",
+    f"""SELECT * FROM (VALUES ('rectangular', 0, 'STARTER_RECTANGULAR', 800, 800, NULL::int, false), ('square', 1, 'STARTER_SQUARE', 800, 800, NULL, false), ('round', 2, 'STARTER_ROUND', NULL, NULL, 800, false), ('steel', 3, 'STARTER_STEEL', 600, 600, NULL, false)) v(shape, type_ord, type_name, dim_x, dim_y, diameter, is_synthetic)
+    UNION ALL SELECT shape, cast(CASE shape WHEN 'rectangular' THEN 0 WHEN 'square' THEN 1 WHEN 'round' THEN 2 ELSE 3 END + row_number() OVER (PARTITION BY shape ORDER BY storey_id, canonical_idx) AS int), type_name, CASE WHEN shape <> 'round' THEN dim_x END, CASE WHEN shape <> 'round' THEN dim_y END, CASE WHEN shape = 'round' THEN diameter END, true FROM ({_TYPED_SQL}) WHERE tier = 'CREATED'""",
+)
+def t2(spark, sf_dir):
+    grown = S.grown_inventory(S.starter_inventory(spark), typed(spark, sf_dir), ["storey_id", "canonical_idx"])
+    return grown.select("shape", "type_ord", "type_name", "dim_x", "dim_y", "diameter", "is_synthetic")
+
+
+@query("a14_distinct_shapes", f"SELECT DISTINCT storey_id, shape FROM ({_TYPED_SQL}) WHERE tier <> 'REJECTED'")
+def a14(spark, sf_dir):
+    return E.distinct_shapes(typed(spark, sf_dir), ["storey_id"])
+
+
 @query("a19_a27_tier_counts", f"SELECT storey_id, tier, count(*) AS n, count(DISTINCT type_name) AS n_types FROM ({_TYPED_SQL}) GROUP BY storey_id, tier")
 def a19(spark, sf_dir):
     return typed(spark, sf_dir).groupBy("storey_id", "tier").agg(F.count("*").alias("n"), F.countDistinct("type_name").alias("n_types"))
@@ -384,15 +457,23 @@ def r4(spark, sf_dir):
     return E.scene(placed, E.mesh_extents(E.recipe_columns(placed), storeys(spark, sf_dir))).select("storey_id", "column_count", "skipped")
 
 
-@query("sk11_recipes")
+_JSON = "cast(to_json({}) AS varchar)"
+_RECIPES = f"""SELECT '' AS storey_id, 'level' AS part, name AS key, {_JSON.format("{'elevation': rl_mm, 'name': name}")} AS body FROM ({_PROJECT})
+    UNION ALL SELECT storey_id, 'slab', '', {_JSON.format("{'x0': min(x) - 1000, 'y0': min(y) - 1000, 'x1': max(x) + 1000, 'y1': max(y) + 1000, 'thickness': 200.0::double}")} FROM ({_RECIPE}) GROUP BY storey_id
+    UNION ALL SELECT storey_id, 'structural_column', cast(canonical_idx AS varchar), {_JSON.format("{'canonical_idx': canonical_idx, 'family': family, 'symbol': symbol, 'form': form, 'material': material, 'width': width, 'depth': depth, 'x': x, 'y': y}")} FROM ({_RECIPE})"""
+
+
+@query("sk11_recipes", _RECIPES)
 def sk11(spark, sf_dir):
-    columns_ = E.recipe_columns(S.placements(typed(spark, sf_dir)))
-    return E.recipe(columns_, storeys(spark, sf_dir).withColumn("slab_mm", F.lit(DEFAULT.slab_default_mm)), project_levels(spark, sf_dir))
+    columns_ = materialised(E.recipe_columns(S.placements(typed(spark, sf_dir))))
+    return E.recipe_rows(columns_, storeys(spark, sf_dir).withColumn("slab_mm", F.lit(DEFAULT.slab_default_mm)), project_levels(spark, sf_dir))
 
 
-def gate_rows(spark, sf_dir) -> DataFrame:
-    summary = R.storey_summary(columns(spark, sf_dir)).select("storey_id", "total", "missing")
-    placed = S.placements(typed(spark, sf_dir))
+def gate_rows(spark, sf_dir, columns_: DataFrame | None = None, typed_: DataFrame | None = None) -> DataFrame:
+    """The gates, over tables that are built once: what is read twice is written first."""
+    columns_ = columns_ or materialised(columns(spark, sf_dir))
+    summary = R.storey_summary(columns_).select("storey_id", "total", "missing")
+    placed = S.placements(typed_ or types_of(columns_))
     short = E.missing_shapes(placed, S.starter_inventory(spark).where("shape <> 'steel'")).groupBy("storey_id").agg(F.count("*").alias("short"))
     number = F.substring("storey_id", 2, 9).cast("int")
     facts = storeys(spark, sf_dir).join(summary, "storey_id", "left").join(short, "storey_id", "left")
@@ -431,8 +512,10 @@ def j8(spark, sf_dir):
 
 
 def review(spark, sf_dir) -> DataFrame:
-    pages = classified(spark, sf_dir).withColumnRenamed("file_id", "page")
-    return E.review_items(pages, columns(spark, sf_dir), typed(spark, sf_dir), gate_rows(spark, sf_dir))
+    pages = classified(spark, sf_dir).select(F.col("file_id").alias("page"), "class", "tier")
+    columns_ = materialised(columns(spark, sf_dir))
+    typed_ = materialised(types_of(columns_))
+    return E.review_items(pages, columns_, typed_, materialised(gate_rows(spark, sf_dir, columns_, typed_)))
 
 
 _REVIEW = f"""SELECT 'classification' AS section, 'discarded' AS kind, cast(file_id AS varchar) AS key, tier AS detail FROM ({CLASSIFIED_SQL}) WHERE class = 'DISCARD' UNION ALL SELECT 'classification', 'unresolved', cast(file_id AS varchar), tier FROM ({CLASSIFIED_SQL}) WHERE tier = 'unresolved' OR class = 'UNKNOWN'

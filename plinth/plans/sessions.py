@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import elements as EL
 from ..operators import levels as L
-from ..operators.ordered import pages_of
+from ..operators.ordered import first_rows, pages_of
 from ..sources import files as FI
 from ..sources import sinks as SK
+from ..storage import scratch, write_file
 from ..streaming import events as EV
+from .classification import CLASSIFIED_SQL, classified
 from .registry import query
 from .views import view
 
@@ -210,18 +212,101 @@ def sc12(spark, sf_dir):
     return view(spark, sf_dir, "v_dets").where(F.col("dx").between(8, 100) & F.col("dy").between(8, 100) & (F.least("dx", "dy") >= 4)).select("det_id", "dx", "dy")
 
 
-@query("sk1_manifest")
+_JSON = "cast(to_json({}) AS varchar)"
+
+
+@query(
+    "sk1_manifest",
+    f"""SELECT 'summary' AS part, '' AS key, {_JSON.format("{'file_count': count(DISTINCT stem), 'page_count': count(*)}")} AS body FROM v_files UNION ALL SELECT 'file', stem, {_JSON.format("{'pdf': stem, 'n_pages': count(*)}")} FROM v_files GROUP BY stem
+    UNION ALL SELECT 'page', concat(stem, '#', cast(file_id AS varchar)), {_JSON.format("{'pdf': stem, 'page_index': file_id, 'page_hash': sha256(cast(file_id AS varchar))}")} FROM v_files""",
+)
 def sk1(spark, sf_dir):
-    files = view(spark, sf_dir, "v_files").groupBy(F.col("stem").alias("pdf")).agg(F.count("*").alias("n_pages"), F.sort_array(F.collect_list(F.col("file_id").cast("string"))).alias("page_hashes"))
-    return SK.manifest(files)
+    files = view(spark, sf_dir, "v_files")
+    return SK.manifest(files.select(F.col("stem").alias("pdf"), F.col("file_id").alias("page_index"), F.sha2(F.col("file_id").cast("string"), 256).alias("page_hash")))
 
 
-@query("sk2_sk9_report")
+@query(
+    "sk2_sk9_report",
+    f"""SELECT 'summary' AS part, '' AS key, {_JSON.format("{'total': count(*), 'discarded': count(*) FILTER (class = 'DISCARD')}")} AS body FROM ({CLASSIFIED_SQL}) UNION ALL SELECT 'item', cast(file_id AS varchar), {_JSON.format("{'file_id': file_id, 'class': class, 'tier': tier}")} FROM ({CLASSIFIED_SQL})""",
+)
 def sk2(spark, sf_dir):
-    from .classification import classified
-
     items = classified(spark, sf_dir).select("file_id", "class", "tier")
-    return SK.report(items, {"total": F.count("*"), "discarded": F.count_if(F.col("class") == "DISCARD")}, ["file_id"])
+    return SK.report(items, {"total": F.count("*"), "discarded": F.count_if(F.col("class") == "DISCARD")}, "file_id")
+
+
+@query("sk2_sk9_stored_lines", "SELECT part, count(*) AS n FROM (SELECT 'item' AS part FROM v_files UNION ALL SELECT 'summary') GROUP BY part")
+def sk2_stored(spark, sf_dir):
+    """The report written as JSON lines and read again."""
+    path = scratch(spark)
+    SK.write_lines(sk2(spark, sf_dir), path)
+    return spark.read.schema("key string, body string, part string").json(path).where("body is not null").groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("sk3_sk6_payloads", "SELECT storey_id, canonical_idx, x, y FROM v_canonical")
+def sk3(spark, sf_dir):
+    """Nested payloads by storey, written and read again."""
+    path = scratch(spark)
+    rows = view(spark, sf_dir, "v_canonical").select("storey_id", "canonical_idx", F.struct("x", "y").alias("at"))
+    SK.write_payloads(rows, path, "storey_id")
+    back = spark.read.schema("canonical_idx long, at struct<x double, y double>, storey_id string").json(path)
+    return back.select("storey_id", "canonical_idx", "at.x", "at.y")
+
+
+@query("sk7_sc20_inventory", "SELECT 'rectangular' AS shape, p_partkey AS type_ord, p_name AS type_name FROM part UNION ALL SELECT * FROM (VALUES ('rectangular', 0, 'STARTER_RECTANGULAR'), ('square', 1, 'STARTER_SQUARE'), ('round', 2, 'STARTER_ROUND'), ('steel', 3, 'STARTER_STEEL'))")
+def sk7(spark, sf_dir):
+    """A saved inventory read again, and the starter types where none was saved."""
+    path = scratch(spark)
+    starter = FI.read_inventory(spark, f"{path}/none")
+    own = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("rectangular").alias("shape"), F.col("p_partkey").cast("int").alias("type_ord"), F.col("p_name").alias("type_name"))
+    SK.write_table(starter.limit(0).unionByName(own, allowMissingColumns=True), f"{path}/own")
+    columns = [F.col("shape"), F.col("type_ord").cast("long").alias("type_ord"), F.col("type_name")]
+    return FI.read_inventory(spark, f"{path}/own").select(*columns).union(starter.select(*columns))
+
+
+@query("sc18_sc19_artefacts", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def sc18(spark, sf_dir):
+    """One JSON document a nation, and a corrupt one, found by name."""
+    path = scratch(spark)
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    docs = nations.select(F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("value"), F.col("n_nationkey").alias("part"))
+    docs.union(spark.createDataFrame([('{"id": 1, "na', -1)], docs.schema)).write.partitionBy("part").text(path)
+    found = FI.read_artefacts(spark, f"{path}/part=*", "id long, name string", "part-*")
+    return found.select("id", "name")
+
+
+@query("sc1_sheets", "SELECT concat(r_name, '.pdf') AS name, length(r_name) AS length FROM region")
+def sc1(spark, sf_dir):
+    """Sheets below a folder: five regions' files, deeper ones and others among them."""
+    path = scratch(spark)
+    names = [r["r_name"] for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name").collect()]
+    for i, name in enumerate(names):
+        write_file(spark, f"{path}/{'deep/' * (i % 3)}{name}.pdf", name.encode())
+        write_file(spark, f"{path}/{name}.txt", b"no sheet")
+    return FI.list_sheets(spark, path).select("name", "length")
+
+
+@query("sc17_sk14_x5_config", "SELECT n_name AS name, n_nationkey * 4500.0::double AS rl_mm, 250.0::double AS slab_mm, false AS detect FROM nation")
+def sc17(spark, sf_dir):
+    """A configuration saved and loaded, then changed by the environment."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", "n_nationkey").collect()
+    path = scratch(spark)
+    FI.Config(rules=[("x", "SECTION")], levels={r["n_name"]: r["n_nationkey"] * 4500.0 for r in nations}, slab_mm=180.0).save(spark, path)
+    config = FI.Config.saved(spark, path).with_environment({"PLINTH_SLAB_MM": "250", "PLINTH_DETECT": "0"})
+    return config.level_table(spark).select("name", "rl_mm", F.lit(config.slab_mm).alias("slab_mm"), F.lit(config.detect).alias("detect"))
+
+
+@query("sc11_line_scan", "SELECT page, count(*) AS n, sum(x2 - x1) AS total, min(y1) AS top FROM v_segments WHERE cast(x1 AS int) % 3 <> 0 GROUP BY page")
+def sc11(spark, sf_dir):
+    kind = F.when(F.col("x1").cast("int") % 3 == 0, "re").otherwise("l").alias("op")
+    items = view(spark, sf_dir, "v_segments").select("page", F.struct(kind, "x1", "y1", "x2", "y2").alias("item"))
+    pages = items.groupBy("page").agg(F.collect_list(F.struct(F.array("item").alias("items"))).alias("drawings"))
+    lines = FI.line_segments(pages.select(F.lit("a.pdf").alias("pdf"), F.col("page").alias("page_index"), "drawings"))
+    return lines.groupBy(F.col("page_index").alias("page")).agg(F.count("*").alias("n"), F.sum(F.col("x2") - F.col("x1")).alias("total"), F.min("y1").alias("top"))
+
+
+@query("l7_first_samples", "SELECT page, span_id, text FROM v_spans ORDER BY page, span_id LIMIT 30")
+def l7(spark, sf_dir):
+    return first_rows(view(spark, sf_dir, "v_spans").select("page", "span_id", "text"), 30, ["page", "span_id"])
 
 
 @query("sk12_build_warnings", "SELECT id, CASE id % 3 WHEN 0 THEN 'one,two' WHEN 1 THEN 'off axis' ELSE '' END AS warnings FROM v_elements")

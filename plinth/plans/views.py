@@ -147,4 +147,7 @@ def duck(sql: str) -> str:
     ctes = ", ".join(f"{name} AS ({view_sql(name, 'duckdb')})" for name in used)
     if not used:
         return sql
-    return f"WITH {ctes}, {sql.lstrip()[5:]}" if sql.lstrip().upper().startswith("WITH ") else f"WITH {ctes} {sql}"
+    text, head = sql.lstrip(), "WITH"
+    if text.upper().startswith("WITH RECURSIVE "):
+        text, head = "WITH " + text[15:], "WITH RECURSIVE"
+    return f"{head} {ctes}, {text[5:]}" if text.upper().startswith("WITH ") else f"{head} {ctes} {text}"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,15 @@ def text_spans(pages: DataFrame) -> DataFrame:
     return out.where("text <> '' and bbox is not null")
 
 
+def line_segments(pages: DataFrame) -> DataFrame:
+    """The straight lines of pages with nested drawings: items whose operator is ``l``.
+
+    ``pages``: pdf, page_index, drawings array<struct<items array<struct<op, x1, y1, x2, y2>>>>.
+    """
+    drawn = pages.select("pdf", "page_index", F.posexplode("drawings").alias("d", "drawing")).select("pdf", "page_index", "d", F.posexplode("drawing.items").alias("i", "item"))
+    return drawn.where("item.op = 'l'").select("pdf", "page_index", F.struct("d", "i").alias("line_id"), *[F.col(f"item.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
 def page_text(spans: DataFrame, quadrant: tuple[float, float] | None = None) -> DataFrame:
     """A page's text in document order, upper case; with ``quadrant`` only what starts right and below of it."""
     if quadrant:
@@ -87,6 +98,8 @@ class Config:
     slab_mm: float = 200.0
     slab_zones: dict[str, float] = field(default_factory=dict)
     families: dict[str, str] = field(default_factory=dict)
+    #: Whether detections are used; without them a sheet has no columns.
+    detect: bool = True
 
     @classmethod
     def from_dict(cls, raw: dict) -> Config:
@@ -98,13 +111,36 @@ class Config:
             slab_mm=float(slabs.get("default_thickness_mm", 200.0)),
             slab_zones={k: float(v["thickness_mm"]) for k, v in (slabs.get("zones") or {}).items()},
             families=dict(raw.get("families") or {}),
+            detect=bool(raw.get("detect", True)),
         )
 
+    def to_dict(self) -> dict:
+        """What ``from_dict`` reads."""
+        return {
+            "filename_rules": [{"pattern": p, "class": c} for p, c in self.rules], "levels": {k: {"rl_mm": v} for k, v in self.levels.items()}, "aliases": {"levels": self.aliases},
+            "slabs": {"default_thickness_mm": self.slab_mm, "zones": {k: {"thickness_mm": v} for k, v in self.slab_zones.items()}}, "families": self.families, "detect": self.detect,
+        }
+
+    def with_environment(self, environment: Mapping[str, str]) -> Config:
+        """With what PLINTH_SLAB_MM and PLINTH_DETECT (0 or 1) set; others stay."""
+        out = replace(self)
+        if environment.get("PLINTH_SLAB_MM"):
+            out.slab_mm = float(environment["PLINTH_SLAB_MM"])
+        if environment.get("PLINTH_DETECT"):
+            out.detect = environment["PLINTH_DETECT"] != "0"
+        return out
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As JSON, wherever Spark writes; a rerun replaces it."""
+        spark.createDataFrame([(json.dumps(self.to_dict(), ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def saved(cls, spark: SparkSession, path: str) -> Config:
+        return cls.from_dict(json.loads("\n".join(r["value"] for r in spark.read.text(path).collect())))
+
     @classmethod
     def load(cls, path: str) -> Config:
         """From YAML where a YAML library is present, else from JSON."""
-        import json
-
         with open(path, encoding="utf-8") as file:
             text = file.read()
         try:

@@ -6,18 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """One JSON row: files, pages and the list. ``files``: pdf, n_pages, page_hashes."""
-    items = F.sort_array(F.collect_list(F.struct("pdf", "n_pages", "page_hashes")))
-    body = F.struct(F.count("*").alias("file_count"), F.coalesce(F.sum("n_pages"), F.lit(0)).alias("page_count"), items.alias("files"))
-    return files.agg(F.to_json(body).alias("manifest"))
-
-
-def report(items: DataFrame, summary: dict[str, Column], order: list[str]) -> DataFrame:
-    """One JSON row: the summary's aggregates and the items in order."""
-    rest = [c for c in items.columns if c not in order]
-    rows = F.sort_array(F.collect_list(F.struct(*order, *rest)))
-    return items.agg(F.to_json(F.struct(F.struct(*[c.alias(k) for k, c in summary.items()]).alias("summary"), rows.alias("items"))).alias("report"))
+def manifest(pages: DataFrame) -> DataFrame:
+    """The manifest as rows (part, key, body as JSON): a summary, each file, each page.
+
+    ``pages``: pdf, page_index, page_hash.  No row holds another's list, so the
+    manifest may be of any length; ``write_lines`` stores it.
+    """
+    files = pages.groupBy("pdf").agg(F.count("*").alias("n_pages"))
+    totals = files.agg(F.count("*").alias("file_count"), F.coalesce(F.sum("n_pages"), F.lit(0)).alias("page_count"))
+    parts = [
+        totals.select(F.lit("summary").alias("part"), F.lit("").alias("key"), F.to_json(F.struct("file_count", "page_count")).alias("body")),
+        files.select(F.lit("file"), F.col("pdf"), F.to_json(F.struct("pdf", "n_pages"))),
+        pages.select(F.lit("page"), F.concat_ws("#", "pdf", "page_index"), F.to_json(F.struct("pdf", "page_index", "page_hash"))),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def report(items: DataFrame, summary: dict[str, Column], key: str) -> DataFrame:
+    """A stage's report as rows (part, key, body as JSON): the summary's aggregates, and each item."""
+    head = items.agg(*[c.alias(k) for k, c in summary.items()])
+    return head.select(F.lit("summary").alias("part"), F.lit("").alias("key"), F.to_json(F.struct(*summary)).alias("body")).union(
+        items.select(F.lit("item"), F.col(key).cast("string"), F.to_json(F.struct(*items.columns)))
+    )
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Rows of (part, key, body) as JSON lines, a folder for each part; a rerun replaces what is there."""
+    rows.write.mode("overwrite").partitionBy("part").json(path)
 
 
 def write_payloads(rows: DataFrame, path: str, by: str) -> None:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..storage import scratch
+
 #: job_id, stage, event_id, ts, done (0 started, 1 completed)
 EVENT_SCHEMA = "job_id long, stage string, event_id long, ts timestamp, done int"
 
@@ -51,8 +51,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     mode the last batch is the result, else all of them are.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='plinth-stream-')}"
-    path = f"{shared}/stream_{uuid.uuid4().hex}"
+    path = scratch(spark)
     batches: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:

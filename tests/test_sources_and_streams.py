@@ -2,7 +2,9 @@
 
 import datetime
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from plinth.sources import files as FI
@@ -43,10 +45,53 @@ def test_model_file_bytes(spark):
     assert [r[0] for r in df.select(SK.is_model_file(F.col("b"))).collect()] == [True, False]
 
 
-def test_manifest(spark):
-    files = spark.createDataFrame([("b.pdf", 2, ["h1", "h2"]), ("a.pdf", 1, ["h3"])], "pdf string, n_pages int, page_hashes array<string>")
-    got = json.loads(SK.manifest(files).first()["manifest"])
-    assert (got["file_count"], got["page_count"], [f["pdf"] for f in got["files"]]) == (2, 3, ["a.pdf", "b.pdf"])
+def test_manifest_and_report_rows(spark, tmp_path):
+    pages = spark.createDataFrame([("b.pdf", 0, "h1"), ("b.pdf", 1, "h2"), ("a.pdf", 0, "h3")], "pdf string, page_index int, page_hash string")
+    got = {(r["part"], r["key"]): json.loads(r["body"]) for r in SK.manifest(pages).collect()}
+    assert got["summary", ""] == {"file_count": 2, "page_count": 3} and got["file", "b.pdf"]["n_pages"] == 2 and got["page", "a.pdf#0"]["page_hash"] == "h3" and len(got) == 6
+    assert json.loads(SK.manifest(pages.limit(0)).first()["body"]) == {"file_count": 0, "page_count": 0}
+    rows = SK.report(pages, {"total": F.count("*")}, "page_hash")
+    SK.write_lines(rows, f"{tmp_path}/report")
+    back = spark.read.json(f"{tmp_path}/report")
+    assert sorted(tuple(r) for r in back.select("part", "key", "body").collect()) == sorted(tuple(r) for r in rows.collect()) and back.count() == 4
+
+
+def test_storage_refuses_a_folder_of_one_machine(spark):
+    from types import SimpleNamespace
+
+    from plinth import storage
+
+    assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    def session(master):
+        unset = SimpleNamespace(get=lambda name, default: default)
+        return SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert storage.shared_folder(session("local[8]")).startswith("file://")
+    for master in ("spark://host:7077", "yarn", "k8s://host"):
+        with pytest.raises(ValueError):
+            storage.shared_folder(session(master))
+
+
+def test_tables_go_when_dropped(spark):
+    from plinth import storage
+
+    table = storage.materialised(spark.range(3))
+    assert table.count() == 3
+    path = table._plinth_path.replace("file://", "")
+    assert os.path.isdir(path)
+    storage.drop(table)
+    assert not os.path.isdir(path)
+
+
+def test_line_scan_and_config(spark, tmp_path):
+    page = [("a.pdf", 0, [([("l", 0.0, 1.0, 5.0, 1.0), ("re", 0.0, 0.0, 9.0, 9.0)],), ([],), ([("l", 2.0, 2.0, 2.0, 8.0)],)])]
+    schema = "pdf string, page_index int, drawings array<struct<items: array<struct<op: string, x1: double, y1: double, x2: double, y2: double>>>>"
+    assert [(tuple(r["line_id"]), r["x1"], r["y2"]) for r in FI.line_segments(spark.createDataFrame(page, schema)).collect()] == [((0, 0), 0.0, 1.0), ((2, 0), 2.0, 8.0)]
+    config = FI.Config(rules=[("a.*", "SECTION")], levels={"L1": 1.5}, aliases={"GROUND": "L1"}, slab_zones={"Z": 9.0}, families={"round": "x"})
+    config.save(spark, f"{tmp_path}/config")
+    assert FI.Config.saved(spark, f"{tmp_path}/config") == config
+    assert config.with_environment({}) == config and config.with_environment({"PLINTH_SLAB_MM": "1", "PLINTH_DETECT": "0"}).detect is False
 
 
 def event_rows(spark):
