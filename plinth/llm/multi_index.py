@@ -31,12 +31,12 @@ from .storage import drop, materialised
 
 #: Rows the codebooks are fitted on for each codeword, and components of such rows in all, at most.
 SAMPLE_ROWS, SAMPLE_VALUES = 8, 1 << 24
-#: Query vectors of the recall measurement: at first, and at most.
+#: Query vectors of the recall measurement: at first, and at most; four times more each time.
 PROBE_QUERIES, MOST_PROBES = 2048, 32768
 #: Vectors a cell is meant to hold, and codewords of a codebook at most.
-CELL_ROWS, MOST_WORDS = 24, 8192
+CELL_ROWS, MOST_WORDS = 256, 8192
 #: Cells visited at least.
-LEAST_CELLS = 8
+LEAST_CELLS = 4
 BLOCK_ROWS, BLOCK_VISITORS = 512, 4096
 #: Vectors of a cell and of a block where cells are visited by the distance bound.
 BOUND_ROWS = 1024
@@ -156,7 +156,11 @@ def _matrix(batch: pa.RecordBatch, name: str = "vector") -> np.ndarray:
 
 
 def _link_ranks(index: MultiIndex, queries: np.ndarray, ids: np.ndarray, cosine: float):
-    """For each query with links in a batch: its number, the least id among it and them, the cells its traversal visits before the last of them, and their count."""
+    """For each query with links in a batch: its number, the least id among it and them, the cells its traversal visits before the last of them, and their count.
+
+    Products are in single precision, and in double where their error could decide.
+    """
+    slack = 2e-6 + 2e-7 * queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,8 +170,14 @@ def _link_ranks(index: MultiIndex, queries: np.ndarray, ids: np.ndarray, cosine:
             rows = batch.column("rep").to_numpy()
             cells = index.cells(units)
             found: list[tuple[int, int, int, int]] = []
+            rough = units.astype(np.float32)
             for lo in range(0, len(queries), 512):
-                at, x = np.nonzero(queries[lo : lo + 512] @ units.T >= cosine)
+                near = queries[lo : lo + 512].astype(np.float32) @ rough.T
+                at, x = np.nonzero(near >= cosine - slack)
+                close = np.flatnonzero(near[at, x] < cosine + slack)
+                sure = np.ones(len(at), bool)
+                sure[close] = (queries[lo + at[close]] * units[x[close]]).sum(axis=1) >= cosine
+                at, x = at[sure], x[sure]
                 other = ids[lo + at] != rows[x]
                 at, x = at[other], x[other]
                 if not len(at):
@@ -328,23 +338,26 @@ def calibrate(classes: DataFrame, index: MultiIndex, total: int, fitted: np.ndar
     every vector has been a probe and so nothing is left unseen.
     """
     groups = links = 0
-    for count in (PROBE_QUERIES, MOST_PROBES):
+    count = PROBE_QUERIES
+    while True:
         whole = total <= count
         # by the hash's range, not by order, so that no task holds them all
         some = classes if whole else classes.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(total)) < count)
         got = some.select("rep", "vector").toArrow().combine_chunks()
-        if not len(got):
-            continue
-        queries, ids = unit_rows(_matrix(got.to_batches()[0])), got.column("rep").to_numpy()
-        if not whole:
-            fresh = ~np.isin(ids, fitted)
-            queries, ids = queries[fresh], ids[fresh]
-        ranks = classes.select("rep", "vector").mapInArrow(_link_ranks(index, queries, ids, cosine), "probe long, least long, rank long, n long")
-        rows = ranks.groupBy("probe").agg(F.min("least").alias("least"), F.max("rank").alias("rank"), F.sum("n").alias("n")).collect()
+        rows = []
+        if len(got):
+            queries, ids = unit_rows(_matrix(got.to_batches()[0])), got.column("rep").to_numpy()
+            if not whole:
+                fresh = ~np.isin(ids, fitted)
+                queries, ids = queries[fresh], ids[fresh]
+            ranks = classes.select("rep", "vector").mapInArrow(_link_ranks(index, queries, ids, cosine), "probe long, least long, rank long, n long")
+            rows = ranks.groupBy("probe").agg(F.min("least").alias("least"), F.max("rank").alias("rank"), F.sum("n").alias("n")).collect()
         groups, links = len({r["least"] for r in rows}), sum(r["n"] for r in rows)
         if whole or groups >= 3 / (1 - target):
             return max(LEAST_CELLS, int((max((r["rank"] for r in rows), default=0) + 1) * 1.25) + 1), groups, links
-    return None, groups, links
+        if count >= MOST_PROBES:
+            return None, groups, links
+        count = min(4 * count, MOST_PROBES)
 
 
 def _meetings(placed: DataFrame, block_rows: int) -> DataFrame:
