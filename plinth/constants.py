@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Tolerances:
+    """The tolerances that results hang on."""
+
     perimeter_band: float = 0.20
     margin_pt: float = 40.0
     label_row_px: float = 50.0
@@ -57,13 +59,10 @@ REGIONS = {1: "upper-left", 2: "upper-right", 3: "lower-left", 4: "lower-right"}
 SHAPE_CODES = {"rectangular": "R", "square": "S", "round": "RD", "steel": "H"}
 
 
-def default_aliases() -> dict[str, str]:
-    """Architectural level names and their short codes."""
-    named = {"ROOF": "RF", "PARAPET": "UR", "MEZZ": "M1", "MEZZANINE": "M1", "GROUND FLOOR": "GF", "GROUND LEVEL": "GL"}
-    basements = {f"BASEMENT {i}": f"B{i}" for i in range(1, 6)}
-    ordinal = {1: "ST", 2: "ND", 3: "RD"}
-    storeys = {f"{i}{'TH' if 10 < i < 20 else ordinal.get(i % 10, 'TH')} STOREY": f"L{i}" for i in range(1, 31)}
-    return named | basements | storeys
+#: Level names that have a short code of their own; numbered storeys and basements go by their number.
+LEVEL_CODES = {"ROOF": "RF", "PARAPET": "UR", "MEZZ": "M1", "MEZZANINE": "M1", "GROUND FLOOR": "GF", "GROUND LEVEL": "GL"}
+#: The highest storey and the deepest basement with a code.
+TOP_STOREY, DEEPEST_BASEMENT = 30, 5
 
 #: The family of each shape's created types.
 FAMILY_NAMES = {"rectangular": "Concrete-Rectangular-Column", "square": "Concrete-Rectangular-Column", "round": "Concrete-Round-Column", "steel": "Steel-H-Column"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import REGIONS, SHAPE_CODES
+from ..constants import DEEPEST_BASEMENT, LEVEL_CODES, REGIONS, SHAPE_CODES, TOP_STOREY
 
 #: Fixed values: (pattern, class) of file names, the first match counts.
 FILENAME_RULES = [
@@ -22,8 +22,19 @@ DIA_PATTERN = r"^[ØøD]\s*(\d{3,4})$|^(\d{3,4})\s*(?:DIA|dia|Ø|ø)$"
 LEVEL_PATTERN = r"^(?:BASEMENT\s+\d+|\d+(?:ST|ND|RD|TH)\s+STOREY|B\d+|L\d+|RF|UR|MEZZ|GF|GL|ROOF|PARAPET)\b"
 FFL_PATTERN = r"(?i)FFL\s*([+\-])\s*(\d+(?:\.\d+)?)"
 RL_PATTERN = r"^([+\-])?\s*(\d{2,5}(?:\.\d+)?)\s*(mm|m|MM|M)?$"
+STOREY_PATTERN, BASEMENT_PATTERN = r"^([1-9]\d?)(ST|ND|RD|TH) STOREY$", r"^BASEMENT (\d)$"
+CODE_PATTERN = r"^(L[1-9]\d?|B\d)$"
 THICKNESS_PATTERN = r"(?i)(?:^|\s)(?:T\s*=\s*)?\d{2,4}\s*(?:SLAB|THK|THICK|DEEP|MM)\b|^T\s*=\s*\d{2,4}$"
 
+#: Patterns of storeys, pages and sections in file names, of a section's cut line, and of a judge's reply.
+STOREY_ID_PATTERN = r"(?i)-(B\d|L\d+|RF|UR|MEZZ|GF|GL)-0[0-4]\b"
+PAGE_PATTERN = r"(?i)-(?:B\d|L\d+|RF|UR|MEZZ|GF|GL)-0([1-4])\b"
+SECTIONS_PATTERN = r"(?i)_SECTION\s+([A-Z]+(?:_[A-Z]+)*)"
+CUT_LINE_PATTERN = r"\bSECTION\s+[A-Z]\s*[-–]\s*[A-Z]\b"
+REPLY_CLASS, REPLY_CONFIDENCE, REPLY_REASON = r"(?i)CLASS:\s*([A-Z_]+)", r"(?i)CONFIDENCE:\s*([\d.]+)", r"(?is)REASON:\s*(.+)"
+#: Words of title blocks and the class each stands for, the first found counts.
+TITLE_WORDS = [("PERSPECTIVE", "DISCARD"), ("SECTION", "SECTION"), ("ELEVATION", "ELEVATION")]
+
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -50,12 +61,12 @@ def rules_from_config(rules: list[tuple[str, str]] | None, classes: tuple[str, .
 
 
 def storey_id(stem: Column) -> Column:
-    found = filled(F.regexp_extract(stem, r"(?i)-(B\d|L\d+|RF|UR|MEZZ|GF|GL)-0[0-4]\b", 1))
+    found = filled(F.regexp_extract(stem, STOREY_ID_PATTERN, 1))
     return F.coalesce(F.upper(found), stem)
 
 
 def page_number(stem: Column) -> Column:
-    found = filled(F.regexp_extract(stem, r"(?i)-(?:B\d|L\d+|RF|UR|MEZZ|GF|GL)-0([1-4])\b", 1))
+    found = filled(F.regexp_extract(stem, PAGE_PATTERN, 1))
     return F.coalesce(found.cast("int"), F.lit(0))
 
 
@@ -65,7 +76,7 @@ def page_region(number: Column) -> Column:
 
 
 def section_ids(stem: Column) -> Column:
-    found = F.upper(F.regexp_extract(stem, r"(?i)_SECTION\s+([A-Z]+(?:_[A-Z]+)*)", 1))
+    found = F.upper(F.regexp_extract(stem, SECTIONS_PATTERN, 1))
     return F.filter(F.split(found, "_"), lambda x: x != "")
 
 
@@ -113,31 +124,49 @@ def level_mm(text: Column) -> Column:
 
 def judge_reply(raw: Column, classes: tuple[str, ...]) -> Column:
     """struct(class, confidence, reason), null for an unknown or missing class."""
-    cls = F.upper(filled(F.regexp_extract(raw, r"(?i)CLASS:\s*([A-Z_]+)", 1)))
-    confidence = filled(F.regexp_extract(raw, r"(?i)CONFIDENCE:\s*([\d.]+)", 1)).try_cast("double")
-    reason = strip(F.split(filled(F.regexp_extract(raw, r"(?is)REASON:\s*(.+)", 1)), "\n")[0])
+    cls = F.upper(filled(F.regexp_extract(raw, REPLY_CLASS, 1)))
+    confidence = filled(F.regexp_extract(raw, REPLY_CONFIDENCE, 1)).try_cast("double")
+    reason = strip(F.split(filled(F.regexp_extract(raw, REPLY_REASON, 1)), "\n")[0])
     return F.when(cls.isin(*classes), F.struct(cls.alias("class"), confidence.alias("confidence"), reason.alias("reason")))
 
 
 def title_class(text: Column) -> Column:
     upper = F.upper(text)
-    words = [("PERSPECTIVE", "DISCARD"), ("SECTION", "SECTION"), ("ELEVATION", "ELEVATION")]
     out = None
-    for word, cls in words:
+    for word, cls in TITLE_WORDS:
         hit = upper.rlike(rf"\b{word}\b")
         out = F.when(hit, cls) if out is None else out.when(hit, cls)
     return out
 
 
 def is_cut_line(text: Column) -> Column:
-    return F.upper(text).rlike(r"\bSECTION\s+[A-Z]\s*[-–]\s*[A-Z]\b")
-
-
-def resolve_alias(name: Column, aliases: dict[str, str]) -> Column:
-    """Code of a level name, ignoring case and outer blanks; other names pass through."""
-    table = {k.strip().upper(): v for k, v in aliases.items()} | {v.upper(): v for v in aliases.values()}
-    entries = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
-    return F.coalesce(F.try_element_at(entries, F.upper(strip(name))), name)
+    return F.upper(text).rlike(CUT_LINE_PATTERN)
+
+
+def level_code(name: Column) -> Column:
+    """The short code of a level's usual name, or of a code in any case; else null."""
+    upper = F.upper(strip(name))
+    number = F.regexp_extract(upper, STOREY_PATTERN, 1).try_cast("int")
+    last = F.when((number / 10).cast("int") == 1, 0).otherwise(number % 10)
+    ending = F.when(last == 1, "ST").when(last == 2, "ND").when(last == 3, "RD").otherwise("TH")
+    storey = F.when((number <= TOP_STOREY) & (F.regexp_extract(upper, STOREY_PATTERN, 2) == ending), F.concat(F.lit("L"), number.cast("string")))
+    below = F.regexp_extract(upper, BASEMENT_PATTERN, 1).try_cast("int")
+    basement = F.when(below.between(1, DEEPEST_BASEMENT), F.concat(F.lit("B"), below.cast("string")))
+    code = filled(F.regexp_extract(upper, CODE_PATTERN, 1))
+    deep = F.when(code.startswith("B"), DEEPEST_BASEMENT).otherwise(TOP_STOREY)
+    numbered = F.when(F.substring(code, 2, 2).try_cast("int").between(1, deep), code)
+    named = F.create_map(*[F.lit(x) for k, v in LEVEL_CODES.items() for x in (k, v)])
+    return F.coalesce(F.try_element_at(named, upper), storey, basement, numbered, F.when(upper.isin(*sorted(set(LEVEL_CODES.values()))), upper))
+
+
+def resolve_alias(name: Column, own: dict[str, str] | None = None) -> Column:
+    """Code of a level name by one's own aliases, else the usual ones, ignoring case and outer blanks; other names pass through."""
+    code = level_code(name)
+    if own:
+        table = {v.upper(): v for v in own.values()} | {k.strip().upper(): v for k, v in own.items()}
+        entries = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+        code = F.coalesce(F.try_element_at(entries, F.upper(strip(name))), code)
+    return F.coalesce(code, name)
 
 
 def type_name(label: Column, shape: Column, dim_x: Column, dim_y: Column, diameter: Column) -> Column:

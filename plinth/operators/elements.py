@@ -41,10 +41,15 @@ def types_by_category(elements: DataFrame) -> DataFrame:
     return elements.groupBy("category").agg(F.array_sort(F.collect_set(F.concat_ws("::", "family", "type_name"))).alias("types"))
 
 
-def merge_warnings(warnings: DataFrame, text: str, ids: Column, order: str) -> DataFrame:
-    """Warnings of equal text as one, with all ids, by first appearance."""
+def warning_ids(warnings: DataFrame, text: str, ids: Column, order: str) -> DataFrame:
+    """Each distinct (warning, element_id), and where it first appears: the union of equal warnings' id sets, as rows."""
     each = warnings.where(F.col(text).isNotNull()).select(F.col(text).alias("warning"), F.explode(ids).alias("element_id"), F.col(order).alias("at"))
-    return each.groupBy("warning").agg(F.array_sort(F.collect_set("element_id")).alias("element_ids"), F.min("at").alias("first_at"))
+    return each.groupBy("warning", "element_id").agg(F.min("at").alias("first_at"))
+
+
+def merge_warnings(warnings: DataFrame, text: str, ids: Column, order: str) -> DataFrame:
+    """Warnings of equal text as one, with the number of its ids, by first appearance."""
+    return warning_ids(warnings, text, ids, order).groupBy("warning").agg(F.count("*").alias("n_ids"), F.min("first_at").alias("first_at"))
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ def merge_sheet_levels(marks: DataFrame, tolerance: float = DEFAULT.level_mm) ->
     return out.withColumn("disagrees", F.col("rl_spread_mm") > tolerance)
 
 
-def merge_project_levels(levels: DataFrame, aliases: dict[str, str], tolerance: float = DEFAULT.level_mm) -> DataFrame:
+def merge_project_levels(levels: DataFrame, aliases: dict[str, str] | None = None, tolerance: float = DEFAULT.level_mm) -> DataFrame:
     """Levels of all sheets by the code of their name, with the spellings met."""
     coded = levels.withColumn("code", resolve_alias(F.col("name"), aliases))
     out = coded.groupBy(F.upper("code").alias("name")).agg(
@@ -46,6 +46,7 @@ def storey_levels(storeys: DataFrame, levels: DataFrame, fallback: int = DEFAULT
 
 
 def floor_heights(levels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Height of each level's floor; without ``keys`` one task orders all, so merge a project's levels by name first."""
     order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("rl_mm", "name")
     return levels.withColumn("to_next_mm", F.lead("rl_mm").over(order) - F.col("rl_mm"))
 

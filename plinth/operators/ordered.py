@@ -68,6 +68,8 @@ def next_above(df: DataFrame, value: str, out: str, keys: list[str] | None = Non
     """As-of forward: the least value strictly above a row's own, null at the top.
 
     The integer frame starts one above, so rows of equal value share a result.
+    Without ``keys`` one task orders all: for tables of bounded size, such as
+    a project's levels, one a name.
     """
     window = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(value).rangeBetween(1, Window.unboundedFollowing)
     return df.withColumn(out, F.min(value).over(window))

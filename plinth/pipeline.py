@@ -9,7 +9,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .constants import default_aliases
 from .operators import classify, emit, levels, reconcile, resolve
 from .sources.files import Config
 
@@ -80,7 +79,7 @@ def run(inputs: Inputs, config: Config | None = None, save: Save | None = None,
     columns = stage("columns", match)
 
     def project_levels() -> DataFrame:
-        merged = levels.merge_project_levels(inputs.marks, default_aliases() | config.aliases)
+        merged = levels.merge_project_levels(inputs.marks, config.aliases)
         if not config.levels:
             return merged.select("name", "rl_mm", F.lit("elevation").alias("source"), F.lit(False).alias("diverges"))
         return levels.override_levels(merged, config.level_table(merged.sparkSession))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CLASSES, default_aliases
+from ..constants import CLASSES
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import classify as C
@@ -218,7 +218,7 @@ def p19(spark, sf_dir):
 
 @query("p32_aliases", "SELECT level_id, name, CASE WHEN name IN ('BASEMENT 1') THEN 'B1' WHEN name = 'BASEMENT 2' THEN 'B2' WHEN name = '1ST STOREY' THEN 'L1' WHEN name = '2ND STOREY' THEN 'L2' WHEN name = '3RD STOREY' THEN 'L3' WHEN name = 'ROOF' THEN 'RF' WHEN name = 'PARAPET' THEN 'UR' ELSE name END AS code FROM v_levels")
 def p32(spark, sf_dir):
-    return view(spark, sf_dir, "v_levels").select("level_id", "name", T.resolve_alias(F.concat(F.lit(" "), F.lower("name")), default_aliases()).alias("c")).select("level_id", "name", F.when(F.trim("c") == F.lower("name"), F.col("name")).otherwise(F.col("c")).alias("code"))
+    return view(spark, sf_dir, "v_levels").select("level_id", "name", T.resolve_alias(F.concat(F.lit(" "), F.lower("name"))).alias("c")).select("level_id", "name", F.when(F.trim("c") == F.lower("name"), F.col("name")).otherwise(F.col("c")).alias("code"))
 
 
 @query("p36_p37_file_names_and_warnings", "SELECT id, trim(regexp_replace(regexp_replace(concat(type_name, ' (', category, ').pdf'), '[^A-Za-z0-9_\\-]', '_', 'g'), '_+', '_', 'g'), '_') AS file_name, coalesce(lower(warning) LIKE '%cannot keep%' OR (lower(warning) LIKE '%element%' AND lower(warning) LIKE '%join%'), false) AS is_join FROM v_elements")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT, default_aliases
+from ..constants import DEFAULT
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import associate as A
@@ -231,7 +231,7 @@ _PROJECT = f"SELECT code AS name, {_MEDIAN} AS rl_mm, max(rl_mm) - min(rl_mm) AS
 
 
 def project_levels(spark, sf_dir):
-    return L.merge_project_levels(view(spark, sf_dir, "v_levels"), default_aliases())
+    return L.merge_project_levels(view(spark, sf_dir, "v_levels"))
 
 
 @query("a5_p32_project_levels", f"SELECT name, rl_mm, rl_spread_mm, n_pdfs, coalesce(array_to_string(aliased_from, ','), '') AS aliased_from, rl_spread_mm > 25 AS disagrees FROM ({_PROJECT})")

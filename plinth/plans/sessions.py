@@ -99,8 +99,7 @@ def j19(spark, sf_dir):
 
 @query("a21_u5_merged_warnings", "SELECT warning, n_ids, first_at FROM (SELECT warning, count(DISTINCT id) AS n_ids, min(id) AS first_at FROM (SELECT warning, unnest([id, id + 1]) AS id, id AS at FROM v_elements WHERE warning IS NOT NULL) GROUP BY warning)")
 def a21(spark, sf_dir):
-    merged = EL.merge_warnings(view(spark, sf_dir, "v_elements"), "warning", F.array(F.col("id"), F.col("id") + 1), "id")
-    return merged.select("warning", F.size("element_ids").cast("long").alias("n_ids"), "first_at")
+    return EL.merge_warnings(view(spark, sf_dir, "v_elements"), "warning", F.array(F.col("id"), F.col("id") + 1), "id")
 
 
 @query("a22_types_by_category", "SELECT category, md5(array_to_string(list_sort(list(DISTINCT concat(family, '::', type_name))), ',')) AS types FROM v_elements GROUP BY category")

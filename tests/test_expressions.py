@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.constants import CLASSES, default_aliases
+from plinth.constants import CLASSES
 from plinth.functions import geometry as G
 from plinth.functions import text as T
 
@@ -75,8 +75,10 @@ def test_titles_are_word_bounded(spark):
 
 
 def test_aliases(spark):
-    aliases = default_aliases() | {"PODIUM ROOF": "PR"}
+    aliases = {"PODIUM ROOF": "PR"}
     assert values(spark, ["basement 1", " 1ST STOREY ", "11TH STOREY", "21ST STOREY", "podium roof", "pr", "TRANSFER", ""], lambda c: T.resolve_alias(c, aliases)) == ["B1", "L1", "L11", "L21", "PR", "PR", "TRANSFER", ""]
+    names = ["1TH STOREY", "12TH STOREY", "13RD STOREY", "22ND STOREY", "30TH STOREY", "31ST STOREY", "01ST STOREY", "basement 6", "rf", "ground level", "l30", "L31", "b5", "B6", "roof", None]
+    assert values(spark, names, T.resolve_alias) == ["1TH STOREY", "L12", "13RD STOREY", "L22", "L30", "31ST STOREY", "01ST STOREY", "basement 6", "RF", "GL", "L30", "L31", "B5", "B6", "RF", None]
 
 
 @pytest.mark.parametrize(

@@ -164,9 +164,7 @@ def test_association(spark):
 def test_levels(spark):
     rows = [("a", "BASEMENT 1", 3500), ("b", "BASEMENT 1", 3520), ("a", "1ST STOREY", 9500), ("b", "1ST STOREY", 9700), ("c", "B1", 3500), ("c", "L1", 9500), ("c", "TRANSFER PLATE", 30000)]
     marks = spark.createDataFrame(rows, "pdf string, name string, rl_mm int")
-    from plinth.constants import default_aliases
-
-    got = {r["name"]: r for r in L.merge_project_levels(marks, default_aliases()).collect()}
+    got = {r["name"]: r for r in L.merge_project_levels(marks).collect()}
     assert set(got) == {"B1", "L1", "TRANSFER PLATE"}
     assert got["B1"]["aliased_from"] == ["BASEMENT 1"] and got["B1"]["n_pdfs"] == 3 and not got["B1"]["disagrees"] and got["L1"]["disagrees"]
     over = L.override_levels(spark.createDataFrame([("B1", 3500)], "name string, rl_mm int"), spark.createDataFrame([("B1", 3700.9), ("L9", 1.0)], "name string, rl_mm double"))

@@ -1,6 +1,7 @@
 """The stages together, lazily and with saved tables."""
 
 import json
+from dataclasses import replace
 
 from plinth.operators.resolve import starter_inventory
 from plinth.pipeline import Inputs, run, saved_in
@@ -26,6 +27,8 @@ def inputs(spark):
 def check(out):
     assert {r["page"]: r["class"] for r in out["classified"].collect()} == {1: "STRUCT_PLAN_OVERALL", 2: "DISCARD", 3: "UNKNOWN"}
     assert {r["canonical_idx"]: (r["tier"], r["type_name"]) for r in out["typed"].collect()} == {0: ("CREATED", "C9_R_1150x800"), 1: ("REJECTED", None)}
+    grown = {r["type_name"]: (r["shape"], r["type_ord"], r["is_synthetic"]) for r in out["inventory"].collect()}
+    assert len(grown) == 5 and grown["C9_R_1150x800"] == ("rectangular", 1, True)
     verdict = out["verdicts"].first()
     assert verdict["all_passed"] and verdict["warnings"] == ["enlarged_coverage"]
     recipe = json.loads(out["recipes"].first()["recipe"])
@@ -42,8 +45,19 @@ def test_saved_stages_events_and_overrides(spark, tmp_path):
     events = []
     out = run(inputs(spark), save=saved_in(str(tmp_path)), progress=lambda kind, payload: events.append((kind, payload["stage"])))
     check(out)
-    assert events[:2] == [("stage_started", "classified"), ("stage_completed", "classified")] and len(events) == 22
+    assert events[:2] == [("stage_started", "classified"), ("stage_completed", "classified")] and len(events) == 24
     config = Config.from_dict({"levels": {"L3": {"rl_mm": 8000}}, "slabs": {"default_thickness_mm": 0}})
     moved = run(inputs(spark), config)
     assert {r["name"]: r["rl_mm"] for r in moved["levels"].collect()} == {"L3": 8000, "L4": 12600}
     assert moved["verdicts"].first()["hard_failures"] == ["slab_thickness_present"] and moved["recipes"].count() == 0
+
+
+def test_without_detections_there_are_no_columns(spark):
+    out = run(inputs(spark), Config.from_dict({"detect": False}))
+    assert out["columns"].count() == out["placed"].count() == 0 and out["classified"].count() == 3
+
+
+def test_the_next_run_starts_with_the_types_of_the_last(spark):
+    first = run(inputs(spark))
+    again = run(replace(inputs(spark), inventory=first["inventory"]))
+    assert {r["tier"] for r in again["typed"].collect()} == {"MATCHED_EXACT", "REJECTED"}
