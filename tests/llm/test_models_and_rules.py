@@ -54,6 +54,76 @@ def test_score_is_the_sum_of_table_entries():
     assert abs(model.score(x[7:8])[0] - 1 / (1 + np.exp(-logit))) < 1e-12
 
 
+def slow_additive(x, y, rounds, pair_rounds, rate, edges, pair_edges):
+    """The fit by loops over rows and all cuts: each row's summed logit, and the pairs' gains at their start."""
+    n, d = x.shape
+    base = np.log(y.mean() / (1 - y.mean()))
+    logit = [base] * n
+
+    def place(v, cuts):
+        return sum(c < v for c in cuts)
+
+    def gradients():
+        p = [1 / (1 + np.exp(-z)) for z in logit]
+        return [t - q for t, q in zip(y, p)], [max(q * (1 - q), 1e-6) for q in p]
+
+    def worth(rows, g, h):
+        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+
+    def leaf(rows, g, h):
+        return rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+
+    for _ in range(rounds):
+        for f in range(d):
+            g, h = gradients()
+            at = [place(v, edges[f]) for v in x[:, f]]
+            parts = [(0, len(edges[f]) + 1)]
+            for _ in range(2):
+                new = []
+                for lo, hi in parts:
+                    cuts = [(worth([i for i in range(n) if lo <= at[i] < c], g, h) + worth([i for i in range(n) if c <= at[i] < hi], g, h), -c) for c in range(lo + 1, hi)]
+                    new += [(lo, -max(cuts)[1]), (-max(cuts)[1], hi)] if cuts else [(lo, hi)]
+                parts = new
+            for lo, hi in parts:
+                rows = [i for i in range(n) if lo <= at[i] < hi]
+                step = leaf(rows, g, h)
+                for i in rows:
+                    logit[i] += step
+    coarse = [[place(v, pair_edges[f]) for v in x[:, f]] for f in range(d)]
+
+    def corner(a, b, g, h):
+        best = None
+        for i in range(1, len(pair_edges[a]) + 1):
+            for j in range(1, len(pair_edges[b]) + 1):
+                quads = [[r for r in range(n) if (coarse[a][r] < i) == left and (coarse[b][r] < j) == low] for left in (True, False) for low in (True, False)]
+                gain = sum(worth(q, g, h) for q in quads)
+                if best is None or gain > best[0] + 1e-12:
+                    best = (gain, quads)
+        return best
+
+    g, h = gradients()
+    pairs = sorted(((-corner(a, b, g, h)[0], a, b) for a in range(d) for b in range(a + 1, d)))[:2]
+    for _ in range(pair_rounds):
+        for _, a, b in pairs:
+            g, h = gradients()
+            for rows in corner(a, b, g, h)[1]:
+                step = leaf(rows, g, h)
+                for r in rows:
+                    logit[r] += step
+    return 1 / (1 + np.exp(-np.array(logit))), {(a, b) for _, a, b in pairs}
+
+
+def test_fit_equals_loops_over_all_cuts():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(70, 3)), 2)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0) | (rng.random(70) < 0.1)).astype(float)
+    model = AdditiveModel(bins=6, pair_bins=4, pairs=2, rounds=3, pair_rounds=2).fit(x, y)
+    edges = [sorted(set(np.quantile(x[:, f], [k / 6 for k in range(1, 6)]))) for f in range(3)]
+    pair_edges = [sorted(set(np.quantile(x[:, f], [k / 4 for k in range(1, 4)]))) for f in range(3)]
+    want, pairs = slow_additive(x, y, 3, 2, 0.15, edges, pair_edges)
+    assert set(model.pair_tables) == pairs and np.allclose(model.score(x), want, atol=1e-9)
+
+
 def junk(rng, n):
     return " ".join(w.upper() + "!!" for w in prose(rng, n).split())
 
@@ -541,6 +611,22 @@ def test_links_of_pairs_are_found_beside_a_crowd_and_where_links_are_rare(spark,
     assert [got[i] for i in range(len(x))] == brute_links(x).tolist()
 
 
+def test_extra_columns_of_any_name_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    odd = ["_key", "_ranges", "key", "rep", "bucket", "vector", "quality", "x", "row", "anchors", "held_out", "score", "n", "cell", "h1", "component", "line"]
+    extra = lambda df: df.select("*", *[F.lit("odd").alias(c) for c in odd if c not in df.columns])
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    pages = spark.createDataFrame([(1, "u", "<article><p>One.</p></article>"), (None, None, None)], "page_id long, url string, html string")
+    assert same(H.extract_pages(pages), H.extract_pages(extra(pages)))
+    plain = spark.createDataFrame([(i, "the other thing " * (i + 1), "en") for i in range(6)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    assert same(identify(plain), identify(extra(plain)))
+    assert same(score_quality(plain, labels), score_quality(extra(plain), extra(labels)))
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(9)], "vec_id long, embedding array<double>")
+    assert same(near_vectors(vectors), near_vectors(extra(vectors)))
+
+
 # The pipeline
 
 
