@@ -94,3 +94,8 @@ def counts(items: DataFrame) -> DataFrame:
     """Rows by class, by tier and in total, in one pass."""
     sets = items.groupingSets([[F.col("class")], [F.col("tier")], []], "class", "tier").agg(F.count("*").alias("n"))
     return sets.select("class", "tier", "n")
+
+
+def cache_stats(judgments: DataFrame) -> DataFrame:
+    """How many judgments a cache holds, by model."""
+    return judgments.groupBy("model").agg(F.count("*").alias("n"))

@@ -25,6 +25,34 @@ def fetch_elements(elements: DataFrame, ids: DataFrame, types: DataFrame) -> Dat
     return elements.join(ids.select("id").distinct(), "id", "left_semi").join(types, "type_name", "left")
 
 
+def session_levels(elements: DataFrame, level: str = "level_no", height: str = "extent") -> DataFrame:
+    """The levels a session's elements stand on, in order: how many stand there, and the least height."""
+    return elements.groupBy(level).agg(F.count("*").alias("n"), F.min(height).alias("least")).orderBy(level)
+
+
+def storey_listing(storeys: DataFrame, key: str, passed: Column) -> DataFrame:
+    """Whether all of a storey's rows passed; failed storeys last, then by id."""
+    return storeys.groupBy(key).agg(F.bool_and(passed).alias("succeeded")).orderBy(F.desc("succeeded"), key)
+
+
+def types_once(elements: DataFrame, ident: str = "id") -> DataFrame:
+    """Each (family, type_name) in use and the first element that asked for it: what a type cache creates once."""
+    return elements.groupBy("family", "type_name").agg(F.min(ident).alias("first_id"))
+
+
+def dispatch(requests: DataFrame, kind: str, commands: dict[str, str]) -> DataFrame:
+    """Requests with the command their kind stands for; others are not served."""
+    table = F.create_map(*[F.lit(x) for pair in commands.items() for x in pair])
+    return requests.withColumn("command", F.try_element_at(table, F.col(kind))).where("command is not null")
+
+
+def stage_summary(events: DataFrame, stages: list[str]) -> DataFrame:
+    """Counts of each job's events: all, completed ones, errors, those of each given stage, and distinct stages."""
+    stage = F.col("stage")
+    each = [F.count_if(stage == s).alias(f"n_{s}") for s in stages]
+    return events.groupBy("job_id").agg(F.count("*").alias("n"), F.count_if(F.col("done") == 1).alias("completed"), F.count_if(stage == "error").alias("errors"), *each, F.countDistinct("stage").alias("n_stages"))
+
+
 def find_symbols(wanted: DataFrame, types: DataFrame) -> DataFrame:
     """The first type of each (family, type) pair, ignoring case."""
     t = types.groupBy(F.lower("family").alias("f"), F.lower("type_name").alias("t")).agg(F.min("id").alias("symbol_id"))

@@ -115,7 +115,7 @@ def sc25(spark, sf_dir):
 
 @query("sc26_session_levels", "SELECT level_no, count(*) AS n, min(extent) AS least FROM v_elements GROUP BY level_no ORDER BY level_no")
 def sc26(spark, sf_dir):
-    return view(spark, sf_dir, "v_elements").groupBy("level_no").agg(F.count("*").alias("n"), F.min("extent").alias("least")).orderBy("level_no")
+    return EL.session_levels(view(spark, sf_dir, "v_elements"))
 
 
 @query("sc27_l5_parameters", "SELECT id, category AS name, id % 3 = 0 AS read_only FROM v_elements ORDER BY read_only, name")
@@ -125,8 +125,7 @@ def sc27(spark, sf_dir):
 
 @query("l4_p34_storey_listing", "SELECT level_no, bool_and(extent IS NULL OR extent > 150) AS succeeded FROM v_elements GROUP BY level_no ORDER BY succeeded DESC, level_no")
 def l4(spark, sf_dir):
-    s = view(spark, sf_dir, "v_elements").groupBy("level_no").agg(F.bool_and(F.col("extent").isNull() | (F.col("extent") > 150)).alias("succeeded"))
-    return s.orderBy(F.desc("succeeded"), "level_no")
+    return EL.storey_listing(view(spark, sf_dir, "v_elements"), "level_no", F.col("extent").isNull() | (F.col("extent") > 150))
 
 
 @query("l8_l9_preferred_rows", "SELECT category, arg_min(type_name, (CASE family WHEN 'Brand#3' THEN 0 WHEN 'Brand#7' THEN 1 ELSE 2 END) * 1000000000 + id) AS chosen FROM v_elements GROUP BY category")
@@ -152,8 +151,7 @@ def st4(spark, sf_dir):
 
 @query("a16_stage_summary", "SELECT job_id, count(*) AS n, count(*) FILTER (done = 1) AS completed, count(*) FILTER (stage = 'error') AS errors, count(*) FILTER (stage = 'view') AS n_view, count(DISTINCT stage) AS n_stages FROM v_jobs GROUP BY job_id")
 def a16(spark, sf_dir):
-    stage = F.col("stage")
-    return view(spark, sf_dir, "v_jobs").groupBy("job_id").agg(F.count("*").alias("n"), F.count_if(F.col("done") == 1).alias("completed"), F.count_if(stage == "error").alias("errors"), F.count_if(stage == "view").alias("n_view"), F.countDistinct("stage").alias("n_stages"))
+    return EL.stage_summary(view(spark, sf_dir, "v_jobs"), ["view"])
 
 
 def _event_stream(spark, sf_dir):
@@ -208,7 +206,7 @@ def sc9(spark, sf_dir):
 
 @query("sc12_filled_rects", "SELECT det_id, dx, dy FROM v_dets WHERE dx BETWEEN 8 AND 100 AND dy BETWEEN 8 AND 100 AND least(dx, dy) >= 4")
 def sc12(spark, sf_dir):
-    return view(spark, sf_dir, "v_dets").where(F.col("dx").between(8, 100) & F.col("dy").between(8, 100) & (F.least("dx", "dy") >= 4)).select("det_id", "dx", "dy")
+    return FI.filled_rects(view(spark, sf_dir, "v_dets")).select("det_id", "dx", "dy")
 
 
 _JSON = "cast(to_json({}) AS varchar)"
@@ -336,11 +334,10 @@ def j7(spark, sf_dir):
 
 @query("t5_t6_types_once", "SELECT family, type_name, min(id) AS first_id FROM v_elements GROUP BY family, type_name")
 def t5(spark, sf_dir):
-    return view(spark, sf_dir, "v_elements").groupBy("family", "type_name").agg(F.min("id").alias("first_id"))
+    return EL.types_once(view(spark, sf_dir, "v_elements"))
 
 
 @query("x7_command_dispatch", "SELECT id, CASE category WHEN 'SMALL' THEN 'Wall.Create' WHEN 'LARGE' THEN 'Door.Create' WHEN 'PROMO' THEN 'Column.Create' END AS command FROM v_elements WHERE category IN ('SMALL', 'LARGE', 'PROMO')")
 def x7(spark, sf_dir):
-    kind = F.col("category")
-    command = F.when(kind == "SMALL", "Wall.Create").when(kind == "LARGE", "Door.Create").when(kind == "PROMO", "Column.Create")
-    return view(spark, sf_dir, "v_elements").select("id", command.alias("command")).where("command is not null")
+    commands = {"SMALL": "Wall.Create", "LARGE": "Door.Create", "PROMO": "Column.Create"}
+    return EL.dispatch(view(spark, sf_dir, "v_elements"), "category", commands).select("id", "command")

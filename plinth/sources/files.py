@@ -57,6 +57,11 @@ def line_segments(pages: DataFrame) -> DataFrame:
     return drawn.where("item.op = 'l'").select("pdf", "page_index", F.struct("d", "i").alias("line_id"), *[F.col(f"item.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+def filled_rects(paths: DataFrame, low: float = 8.0, high: float = 100.0, least: float = 4.0) -> DataFrame:
+    """Filled paths of a column's size: both sides within bounds. ``paths``: dx, dy and any other columns."""
+    return paths.where(F.col("dx").between(low, high) & F.col("dy").between(low, high) & (F.least("dx", "dy") >= least))
+
+
 def page_text(spans: DataFrame, quadrant: tuple[float, float] | None = None) -> DataFrame:
     """A page's text in document order, upper case; with ``quadrant`` only what starts right and below of it."""
     if quadrant:
