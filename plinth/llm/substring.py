@@ -302,7 +302,8 @@ def cut_repeats(docs: DataFrame, size: int = 35) -> DataFrame:
     columns = docs.columns
     key, found = free_name(columns, "key"), free_name(columns, "ranges")
     ranges = repeated_ranges(docs, size).withColumnsRenamed({"key": key, "ranges": found})
-    joined = docs.withColumn("text", F.col("text").cast("string")).withColumn(key, _content(F.col("text"))).join(ranges, key, "left").select(*columns, found)
+    # the hint keeps the plan the same whether few or many texts have ranges
+    joined = docs.withColumn("text", F.col("text").cast("string")).withColumn(key, _content(F.col("text"))).hint("merge").join(ranges, key, "left").select(*columns, found)
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,6 +364,6 @@ def remove_repeats(docs: DataFrame, size: int = 35, with_text: bool = False) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = plain.withColumn("key", _content(F.col("text"))).join(ranges, "key", "left").select("doc_id", "text", "ranges")
+    out = plain.withColumn("key", _content(F.col("text"))).hint("merge").join(ranges, "key", "left").select("doc_id", "text", "ranges")
     out = out.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")
