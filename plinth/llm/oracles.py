@@ -48,5 +48,19 @@ OP10 = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::double[] AS e FROM emb
     SELECT vec_id, coalesce(n, 0) AS n_links, component AS component_id, component = vec_id AS kept FROM embeddings LEFT JOIN degree ON a = vec_id JOIN least_of ON doc = vec_id"""
 
 
+OP11 = f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+    k AS (SELECT doc_id, line, pos, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+    often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(often.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (often.key IS NULL), '')) AS kept_sha256 FROM k LEFT JOIN often USING (key) GROUP BY doc_id"""
+
+OP12 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)) AS z FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, list_dot_product(a.z, x.z)::bigint AS score FROM v a JOIN v x ON a.vec_id <> x.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::int AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2, "op5_substring": OP5, "op7_line_rules": OP7, "op10_multi_index": OP10}
+    return {"op2_minhash": OP2, "op5_substring": OP5, "op7_line_rules": OP7, "op10_multi_index": OP10, "op11_lines": OP11, "op12_negatives": OP12}

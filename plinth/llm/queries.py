@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,28 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_digests
+
+    return dedup_digests(_table(spark, sf_dir, "documents"), documents=10, least=1)
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", shifted), anchor=F.col("vec_id") % 100 == 0)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    return align(_table(spark, sf_dir, "documents"), _byte_bpe()[0], public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
@@ -91,6 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_naive_bayes": op8_naive_bayes,
         "op9_bpe": op9_bpe,
         "op10_multi_index": op10_multi_index,
+        "op11_lines": op11_lines,
+        "op12_negatives": op12_negatives,
+        "op13_alignment": op13_alignment,
     }
 
 

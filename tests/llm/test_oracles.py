@@ -28,4 +28,4 @@ def test_oracle(spark, name):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in Q.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
