@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,34 +121,6 @@ def trim_ends(df: DataFrame, keys: list[str], position: str, label: str, high: f
     return _unpacked(packed, keys, kept, df.columns)
 
 
-def kept_boxes(boxes: np.ndarray, iou: float) -> list[int]:
-    """Indices of the boxes (x0, y0, x1, y1), best first, that no better one overlaps too much."""
-    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
-    alive, kept = np.ones(len(boxes), bool), []
-    for i in range(len(boxes)):
-        if not alive[i]:
-            continue
-        kept.append(i)
-        wide = np.minimum(boxes[i, 2], boxes[i + 1 :, 2]) - np.maximum(boxes[i, 0], boxes[i + 1 :, 0])
-        high = np.minimum(boxes[i, 3], boxes[i + 1 :, 3]) - np.maximum(boxes[i, 1], boxes[i + 1 :, 1])
-        both = np.maximum(wide, 0.0) * np.maximum(high, 0.0)
-        alive[i + 1 :] &= both <= iou * (area[i] + area[i + 1 :] - both)
-    return kept
-
-
-def suppress(df: DataFrame, keys: list[str], ident: str, iou: float = DEFAULT.iou) -> DataFrame:
-    """Greedy non-maximum suppression of the boxes x0, y0, x1, y1 by ``confidence`` in a page."""
-
-    @F.pandas_udf("array<int>")
-    def best(flat: pd.Series) -> pd.Series:
-        return pd.Series([kept_boxes(np.asarray(f, float).reshape(-1, 4), iou) for f in flat])
-
-    packed = _packed(df, keys, [F.negative("confidence"), F.col(ident)])
-    flat = F.flatten(F.transform("_rows", lambda r: F.array(*[r[c].cast("double") for c in ("x0", "y0", "x1", "y1")])))
-    packed = packed.withColumn("_kept", best(flat))
-    return _unpacked(packed, keys, F.transform("_kept", lambda i: F.get("_rows", i)), df.columns)
-
-
 def sorted_by_number(df: DataFrame, keys: list[str], position: str, label: str) -> DataFrame:
     """Column ``ord``: place by number if that agrees with the place by position, else the latter."""
     group = Window.partitionBy(*keys)
@@ -160,69 +130,6 @@ def sorted_by_number(df: DataFrame, keys: list[str], position: str, label: str)
     return both.withColumn("numeric", agree).withColumn("ord", F.when(agree, F.col("_q")).otherwise(F.col("_p"))).drop("_p", "_q")
 
 
-def find_or_create(df: DataFrame, shape: str, sizes: list[str], order: list[str], known: DataFrame, tolerance: int) -> DataFrame:
-    """For each distinct (shape, sizes): where it first appears (``order``), and the type it matches or creates.
-
-    Types are looked up first to last and only ever appended, so the outcome
-    hangs on shape and sizes alone and the fold need only see each
-    combination once.  Sizes that no chain of steps within the tolerance links
-    are independent: each shape is folded by runs of its first size, which are
-    told apart over the distinct sizes alone.
-    ``known``: shape, sizes, type_ord, type_name of the inventory.
-    """
-    firsts = df.groupBy(shape, *sizes).agg(F.min(F.struct(*order, "new_name")).alias("first"))
-    firsts = firsts.select(shape, *sizes, F.lit(None).cast("int").alias("type_ord"), *[F.col(f"first.{c}").alias(c) for c in [*order, "new_name"]])
-    start = known.select(shape, *sizes, "type_ord", *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order], F.col("type_name").alias("new_name"))
-    both = start.unionByName(firsts).withColumn("_size", F.coalesce(*sizes))
-    # distinct sizes in millimetres, by shape: few, however many rows have them
-    step = Window.partitionBy("_shape").orderBy("_at")
-    runs = both.select(F.col(shape).alias("_shape"), F.col("_size").alias("_at")).distinct()
-    runs = runs.withColumn("_new", F.coalesce(F.col("_at") - F.lag("_at").over(step) > tolerance, F.lit(False)).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(step)).drop("_new")
-    both = both.join(runs, F.col(shape).eqNullSafe(F.col("_shape")) & F.col("_size").eqNullSafe(F.col("_at"))).drop("_shape", "_at", "_size")
-    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in order]
-    schema = ", ".join([f"{shape} string", *[f"{s} int" for s in sizes], *kinds, "type_name string", "created boolean"])
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        types = SizedTypes(tolerance)
-        out = []
-        ranked = pd.concat([group[group["type_ord"].notna()].sort_values("type_ord"), group[group["type_ord"].isna()].sort_values(order)])
-        for row in ranked.to_dict("records"):
-            size = tuple(None if pd.isna(row[s]) else int(row[s]) for s in sizes)
-            if not pd.isna(row["type_ord"]):
-                types.add(size, row["new_name"])
-                continue
-            hit = types.first(size)
-            if hit is None:
-                types.add(size, row["new_name"])
-            out.append([row[shape], *size, *[row[c] for c in order], hit or row["new_name"], hit is None])
-        return pd.DataFrame(out, columns=[shape, *sizes, *order, "type_name", "created"]).astype({s: "Int32" for s in sizes})
-
-    return both.groupBy(shape, "_run").applyInPandas(fold, schema)
-
-
-class SizedTypes:
-    """Types in order, looked up by sizes within a tolerance through cells of its width."""
-
-    def __init__(self, tolerance: int):
-        self.tolerance = tolerance
-        self.cells: dict[tuple, list[tuple[int, tuple, str]]] = {}
-        self.count = 0
-
-    def _cell(self, size: tuple) -> tuple:
-        return tuple(None if s is None else s // (self.tolerance + 1) for s in size)
-
-    def add(self, size: tuple, name: str) -> None:
-        self.cells.setdefault(self._cell(size), []).append((self.count, size, name))
-        self.count += 1
-
-    def first(self, size: tuple) -> str | None:
-        """The earliest type all of whose sizes are close, or missing where these are."""
-        near = product(*[(None,) if c is None else (c - 1, c, c + 1) for c in self._cell(size)])
-        hits = [x for cell in near for x in self.cells.get(cell, ()) if all(a is None or abs(a - b) <= self.tolerance for a, b in zip(x[1], size))]
-        return min(hits)[2] if hits else None
-
-
 def pages_of(frames: Iterator[DataFrame]) -> DataFrame:
     """Union of tables of the same columns, by name."""
     out = None

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT, FAMILY_NAMES, STARTER_TYPES
 from ..functions.text import rejection, strip, type_name
-from .ordered import find_or_create
+from ..storage import materialised
+from .greedy import find_or_create
 
 SIZES = ["dim_x", "dim_y", "diameter"]
 
@@ -56,10 +57,13 @@ def resolve(columns: DataFrame, inventory: DataFrame, order: list[str], toleranc
     """tier, type_name and reason of every column.
 
     ``order`` is the order columns are walked in.  A created type is CREATED
-    where its sizes come first and MATCHED_EXACT from then on.
+    where its sizes come first and MATCHED_EXACT from then on.  Runs Spark jobs
+    before it returns.
     """
     asked = columns.withColumn("reason", rejection(F.col("shape"), F.col("dim_x"), F.col("dim_y"), F.col("diameter")))
     asked = asked.withColumn("new_name", type_name(F.col("label"), F.col("shape"), F.col("dim_x"), F.col("dim_y"), F.col("diameter")))
+    # read three times below, and what made the columns may be long
+    asked = materialised(asked)
     good = sizes_that_count(asked.where("reason is null"))
     outcome = find_or_create(good, "shape", SIZES, order, inventory, tolerance)
     known = outcome.select(*[F.col(c).alias(f"k_{c}") for c in ["shape", *SIZES]], *[F.col(c).alias(f"first_{c}") for c in order], "type_name", "created")

@@ -10,6 +10,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import associate as A
 from ..operators import emit as E
+from ..operators import greedy as GD
 from ..operators import grid as GR
 from ..operators import levels as L
 from ..operators import ordered as O
@@ -146,7 +147,32 @@ _SUPPRESSED = f"""WITH RECURSIVE b AS (SELECT page, list({{'id': det_id, 'c': co
 
 @query("w7_suppressed_boxes", _SUPPRESSED)
 def w7(spark, sf_dir):
-    return O.suppress(boxes(spark, sf_dir), ["page"], "det_id").select("page", "det_id", "confidence")
+    return GD.suppress(boxes(spark, sf_dir), ["page"], "det_id").select("page", "det_id", "confidence")
+
+
+_SEEN = """SELECT page, det_id * 10 + tx * 2 + ty AS seen_id, confidence - (tx * 2 + ty) * 0.001::double AS confidence, tx * 1080 AS tile_x, ty * 1080 AS tile_y, cx - dx * 4 - tx * 1080 + tx AS x0, cy - dy * 4 - ty * 1080 - ty AS y0, cx + dx * 4 - tx * 1080 + tx AS x1, cy + dy * 4 - ty * 1080 - ty AS y1
+      FROM v_dets, range(0, 3) a(tx), range(0, 2) b(ty) WHERE cx >= tx * 1080 AND cx < tx * 1080 + 1280 AND cy >= ty * 1080 AND cy < ty * 1080 + 1280"""
+
+
+@query(
+    "w7_sc15_merged_tiles",
+    _SUPPRESSED.replace("{'id': det_id, 'c': confidence, 'x0': cx - dx * 4, 'y0': cy - dy * 4, 'x1': cx + dx * 4, 'y1': cy + dy * 4} ORDER BY confidence DESC, det_id", "{'id': seen_id, 'c': confidence, 'x0': x0 + tile_x, 'y0': y0 + tile_y, 'x1': x1 + tile_x, 'y1': y1 + tile_y} ORDER BY confidence DESC, seen_id")
+    .replace("FROM v_dets GROUP", f"FROM ({_SEEN}) GROUP")
+    .replace("h.id AS det_id, h.c AS confidence", "h.id AS seen_id, round(h.c, 3) AS confidence, round(h.x0, 3) AS x0, round(h.y1, 3) AS y1"),
+)
+def w7_tiles(spark, sf_dir):
+    """Detections as each tile sees them, in its own pixels, and a little off."""
+    d = view(spark, sf_dir, "v_dets").withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    tx, ty = F.col("tx") * 1080, F.col("ty") * 1080
+    d = d.where((F.col("cx") >= tx) & (F.col("cx") < tx + 1280) & (F.col("cy") >= ty) & (F.col("cy") < ty + 1280))
+    number = F.col("tx") * 2 + F.col("ty")
+    seen = d.select(
+        "page", (F.col("det_id") * 10 + number).alias("seen_id"), (F.col("confidence") - number * 0.001).alias("confidence"), tx.alias("tile_x"), ty.alias("tile_y"),
+        *[(F.col("cx") + i * F.col("dx") * 4 - tx + F.col("tx")).alias(n) for i, n in ((-1, "x0"), (1, "x1"))],
+        *[(F.col("cy") + i * F.col("dy") * 4 - ty - F.col("ty")).alias(n) for i, n in ((-1, "y0"), (1, "y1"))],
+    )
+    out = GD.merge_tiles(seen, ["page"], "seen_id")
+    return out.select("page", "seen_id", *[F.round(c, 3).alias(c) for c in ("confidence", "x0", "y1")])
 
 
 def boxes(spark, sf_dir):

@@ -71,12 +71,6 @@ def test_trim_ends(spark):
     assert got == {g: t for g, ps in groups.items() if (t := trimmed(ps))}
 
 
-def test_greedy_suppression(spark):
-    rows = [(1, 1, 0.9, 0.0, 0.0, 10.0, 10.0), (1, 2, 0.8, 1.0, 0.0, 11.0, 10.0), (1, 3, 0.7, 30.0, 0.0, 40.0, 10.0), (2, 4, 0.1, 0.0, 0.0, 10.0, 10.0), (2, 5, 0.1, 0.0, 0.0, 10.0, 10.0)]
-    df = spark.createDataFrame(rows, "page int, det int, confidence double, x0 double, y0 double, x1 double, y1 double")
-    assert sorted(r["det"] for r in O.suppress(df, ["page"], "det").collect()) == [1, 3, 4]
-
-
 def fold(rows, known, tol=5):
     """The walk, one column after the other."""
     types, out = [list(k) for k in known], []
