@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,9 @@ from .storage import drop, materialised
 #: Most frequent pairs that are broadcast, at most: 12 MB.
 KEPT_PAIRS = 1 << 19
 #: Documents, and bytes of text, that are aligned at once; and links of a batch that are counted together.
-GROUP_DOCS, GROUP_BYTES, COUNT_LINKS = 2000, 4 << 20, 1 << 21
+GROUP_DOCS, GROUP_BYTES, COUNT_LINKS = 2000, 2 << 20, 1 << 20
 #: Chunks in each of the two generations a worker keeps, and their longest.
-CACHE_ENTRIES, LONGEST_KEPT = 400_000, 64
+CACHE_ENTRIES, LONGEST_KEPT = 120_000, 64
 _BLANK = "▁"
 
 
@@ -49,6 +50,11 @@ class PlainIds(TextIds):
         spelled = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes = [bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode() for token in spelled]
 
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) >= CACHE_ENTRIES:
+            self.old, self.words = self.words, {}
+        return super().__call__(texts)
+
 
 class PieceIds:
     """Ids of B for whole texts.
@@ -67,16 +73,16 @@ class PieceIds:
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.apart = not any(_BLANK in p.lstrip(_BLANK) for p in pieces)
-        self.chunks: dict[str, np.ndarray] = {"": np.array([self.model.piece_to_id(_BLANK)], np.uint32)}
-        self.old: dict[str, np.ndarray] = {}
+        self.chunks: dict[str, bytes] = {"": array("I", [self.model.piece_to_id(_BLANK)]).tobytes()}
+        self.old: dict[str, bytes] = {}
 
-    def _codes(self, chunks: list[str]) -> list[np.ndarray]:
+    def _codes(self, chunks: list[str]) -> list[bytes]:
         new = [c for c in chunks if c not in self.chunks]
         for chunk in new:
             if chunk in self.old:
                 self.chunks[chunk] = self.old[chunk]
         new = [c for c in new if c not in self.chunks]
-        fresh = dict(zip(new, (np.array(ids, np.uint32) for ids in self.model.encode(new, num_threads=1)))) if new else {}
+        fresh = dict(zip(new, (array("I", ids).tobytes() for ids in self.model.encode(new, num_threads=1)))) if new else {}
         self.chunks.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST_KEPT)
         return [self.chunks[c] if c in self.chunks else fresh[c] for c in chunks]
 
@@ -95,15 +101,15 @@ class PieceIds:
         codes = self._codes(coded.dictionary.to_pylist())
         at[bounds[:-1][whole.to_numpy(zero_copy_only=False)]] = np.arange(len(codes), len(codes) + len(texts_whole))
         if texts_whole:
-            codes += [np.array(ids, np.uint32) for ids in self.model.encode(texts_whole, num_threads=1)]
+            codes += [array("I", ids).tobytes() for ids in self.model.encode(texts_whole, num_threads=1)]
         ids, ends = _gathered(codes, at)
         return ids, ends[bounds]
 
 
-def _gathered(codes: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays numbered by ``at`` in a row, and where each begins (and the end)."""
-    sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-    flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
+def _gathered(codes: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id lists numbered by ``at`` in a row, and where each begins (and the end)."""
+    sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+    flat = np.frombuffer(b"".join(codes), np.uint32)
     begin = np.cumsum(sizes) - sizes
     count = sizes[at]
     ends = np.concatenate([[0], np.cumsum(count)])
@@ -267,6 +273,16 @@ def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about COUNT_LINKS distinct links."""
+    ends = batch.column("pairs").offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + COUNT_LINKS)) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct pairs and their links, of so many links at a time."""
     pairs, times, held = [], [], 0
@@ -277,7 +293,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.add.at(total, back, np.concatenate(times))
         return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(total)], ["pair", "n"])
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in _parts(whole)):
         pairs.append(_flat(batch, "pairs"))
         times.append(_flat(batch, "times"))
         held += len(pairs[-1])
@@ -314,7 +330,7 @@ def _least_kept(counts: DataFrame) -> int:
 def _looked_up(kept):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = kept.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             code, times = _flat(batch, "pairs"), _flat(batch, "times").astype(np.int64)
             offsets = batch.column("pairs").offsets.to_numpy().astype(np.int64)
             offsets -= offsets[0]
