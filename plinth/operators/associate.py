@@ -9,7 +9,7 @@ from ..constants import DEFAULT
 from ..functions import geometry as G
 from ..functions.text import label_parts
 from .ordered import first_by
-from .spatial import nearest, radius_join
+from .spatial import nearest, radii_join, radius_join
 
 
 def sized_boxes(dets: DataFrame, low: float = DEFAULT.box_min_px, high: float = DEFAULT.box_max_px) -> DataFrame:
@@ -23,23 +23,20 @@ def associate(dets: DataFrame, spans: DataFrame, half_label: float = 11.2) -> Da
     The type label is the nearest to the box centre within three diagonals.
     The size note is the nearest to the type label, else to the box centre.
     ``dets``: page, det_id, cx, cy, dx, dy.  ``spans``: page, span_id, text, x, y.
-    ``half_label`` is a label's diagonal in pixels.  Looks up the largest box
-    first, by a Spark job: it bounds the radius for boxes of any size, and small
-    ones make small cells.
+    ``half_label`` is a label's diagonal in pixels.  Boxes of all sizes share a
+    page at no cost to each other: each uses a grid of its own resolution.
     """
     parts = label_parts(F.col("text"))
     labels = spans.select("page", "span_id", "text", F.col("x").alias("sx"), F.col("y").alias("sy"), *[c.alias(n) for n, c in parts.items()])
     boxes = dets.withColumn("diag", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-    widest = float(boxes.agg(F.max("diag")).first()[0] or 0.0)
-    reach = max(DEFAULT.type_search * widest, DEFAULT.dim_search * half_label, 1.0)
     types = labels.where("kind = 'type'").select("page", "span_id", "text", "is_steel", "sx", "sy")
     sizes = labels.where("kind in ('rect_dim', 'diameter')").select("page", F.col("span_id").alias("dim_id"), F.col("kind").alias("dim_kind"), "rect_a", "rect_b", "diameter", F.col("sx").alias("qx"), F.col("sy").alias("qy"))
     by_box = F.col("diag") * DEFAULT.type_search
-    typed = nearest(radius_join(boxes, types, ["page"], ("cx", "cy"), ("sx", "sy"), by_box, reach), ["page", "det_id"], ["span_id"])
+    typed = nearest(radii_join(boxes, types, ["page"], ("cx", "cy"), ("sx", "sy"), by_box), ["page", "det_id"], ["span_id"])
     typed = typed.select("page", "det_id", "diag", F.col("text").alias("label"), "is_steel", F.col("sx").alias("ax"), F.col("sy").alias("ay"))
     by_label = F.greatest(F.lit(DEFAULT.dim_search * half_label), F.col("diag") * DEFAULT.dim_box_search)
-    one = nearest(radius_join(typed, sizes, ["page"], ("ax", "ay"), ("qx", "qy"), by_label, reach), ["page", "det_id"], ["dim_id"])
-    two = nearest(radius_join(boxes, sizes, ["page"], ("cx", "cy"), ("qx", "qy"), by_box, reach), ["page", "det_id"], ["dim_id"])
+    one = nearest(radii_join(typed, sizes, ["page"], ("ax", "ay"), ("qx", "qy"), by_label), ["page", "det_id"], ["dim_id"])
+    two = nearest(radii_join(boxes, sizes, ["page"], ("cx", "cy"), ("qx", "qy"), by_box), ["page", "det_id"], ["dim_id"])
     columns = ["page", "det_id", "dim_kind", "rect_a", "rect_b", "diameter"]
     found = one.select(*columns, F.lit(1).alias("rank")).unionByName(two.select(*columns, F.lit(2).alias("rank")))
     found = first_by(found, ["page", "det_id"], ["rank"]).drop("rank")

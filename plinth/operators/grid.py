@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT
 from ..functions.geometry import in_perimeter
+from ..storage import materialised
 from .ordered import sorted_by_number, trim_ends, upper_median
+from .ranges import interval_join, nearest_value
 
 
 def axis_lines(spans: DataFrame, width: float, height: float, margin_px: float) -> DataFrame:
@@ -67,13 +69,17 @@ def _both_axes(lines: DataFrame) -> DataFrame:
 def gap_dims(lines: DataFrame, dims: DataFrame) -> DataFrame:
     """Each size note and the first gap between lines that holds it, strictly within half its width.
 
-    ``lines``: page, axis, ord, px.  ``dims``: page, span_id, mm, x, y.
+    Notes find their gaps through dyadic ranges, so no note meets a gap that
+    it does not lie in.  ``lines``: page, axis, ord, px.  ``dims``: page, span_id, mm, x, y.
     """
     order = Window.partitionBy("page", "axis").orderBy("ord")
     gaps = lines.withColumn("next", F.lead("px").over(order)).where("next is not null")
-    gaps = gaps.select("page", "axis", F.col("ord").alias("gap"), ((F.col("px") + F.col("next")) / 2).alias("mid"), F.greatest(F.abs(F.col("next") - F.col("px")) / 2, F.lit(1.0)).alias("half"))
-    at = F.when(F.col("axis") == "x", F.col("x")).otherwise(F.col("y"))
-    held = dims.where(F.col("mm").between(DEFAULT.dim_min_mm, DEFAULT.dim_max_mm)).join(gaps, "page").where(F.abs(at - F.col("mid")) < F.col("half"))
+    mid, half = (F.col("px") + F.col("next")) / 2, F.greatest(F.abs(F.col("next") - F.col("px")) / 2, F.lit(1.0))
+    gaps = gaps.select("page", "axis", F.col("ord").alias("gap"), mid.alias("mid"), half.alias("half"), (mid - half).alias("low"), (mid + half).alias("high"))
+    notes = dims.where(F.col("mm").between(DEFAULT.dim_min_mm, DEFAULT.dim_max_mm))
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("at")) for a in "xy"]))
+    notes = notes.select("page", "span_id", "mm", each.alias("n")).select("page", "span_id", "mm", "n.axis", "n.at")
+    held = interval_join(notes, gaps, ["page", "axis"], "at", "low", "high").where(F.abs(F.col("at") - F.col("mid")) < F.col("half"))
     return held.groupBy("page", "axis", "span_id", "mm").agg(F.min("gap").alias("gap"))
 
 
@@ -81,7 +87,10 @@ def gap_spacings(lines: DataFrame, held: DataFrame) -> DataFrame:
     """Spacing of every gap: a plausible note, else by scale from noted gaps, else the usual bay.
 
     Plausible is what lies within 30 % of the most frequent note scaled by the
-    gap's width; the nearest such note counts.
+    gap's width; the nearest such note counts.  A gap without one takes the
+    noted width that fits it best at the mean scale, if that is half off at
+    most.  Runs Spark jobs before it returns: what is noted is
+    written, and dealt to ranges.
     """
     group = Window.partitionBy("page", "axis")
     order = group.orderBy("ord")
@@ -94,13 +103,18 @@ def gap_spacings(lines: DataFrame, held: DataFrame) -> DataFrame:
     noted = gaps.join(modal, ["page", "axis"]).join(middle, ["page", "axis"]).withColumn("expected", expected).join(held, ["page", "axis", "gap"])
     noted = noted.where(off / F.greatest("expected", F.lit(1.0)) <= DEFAULT.dim_plausible)
     noted = noted.groupBy("page", "axis", "gap").agg(F.min(F.struct(off.alias("off"), "span_id", "mm")).alias("b")).select("page", "axis", "gap", F.col("b.mm").cast("double").alias("noted_mm"))
-    out = gaps.join(noted, ["page", "axis", "gap"], "left")
-    known = F.struct(F.col("gap"), F.col("noted_mm").alias("mm"))
-    ratio = F.avg(F.col("gap_px") / F.col("noted_mm")).over(group)
-    out = out.withColumn("px_per_mm", ratio).withColumn("known", F.sort_array(F.collect_list(F.when(F.col("noted_mm").isNotNull(), known)).over(group)))
-    scaled = F.transform("known", lambda k: F.struct(F.abs(F.col("gap_px") / (k["mm"] * F.col("px_per_mm")) - 1).alias("err"), k["gap"].alias("g"), k["mm"].alias("mm")))
-    best = F.array_min(F.filter(scaled, lambda k: k["err"] <= 0.5))
-    return out.select("page", "axis", "gap", "gap_px", F.coalesce("noted_mm", best["mm"], F.lit(DEFAULT.bay_mm)).alias("spacing_mm"))
+    # read five times from here on
+    noted = materialised(noted)
+    scale = gaps.join(noted, ["page", "axis", "gap"]).groupBy("page", "axis").agg(F.avg(F.col("gap_px") / F.col("noted_mm")).alias("px_per_mm"))
+    # a note scaled by the mean is off by |wanted / mm - 1|: least at the next one on either side
+    known = noted.groupBy("page", "axis", F.col("noted_mm").alias("mm")).agg(F.min("gap").alias("from_gap"))
+    bare = gaps.join(noted, ["page", "axis", "gap"], "left_anti").join(scale, ["page", "axis"]).withColumn("wanted", F.col("gap_px") / F.col("px_per_mm"))
+    sides = nearest_value(bare, known, ["page", "axis"], "wanted", "mm", "mm_below", "mm_above")
+    sides = sides.withColumn("mm", F.explode(F.array_distinct(F.array("mm_below", "mm_above")))).where("mm is not null")
+    sides = sides.withColumn("err", F.abs(F.col("gap_px") / (F.col("mm") * F.col("px_per_mm")) - 1)).where(F.col("err") <= 0.5)
+    scaled = sides.join(known, ["page", "axis", "mm"]).groupBy("page", "axis", "gap").agg(F.min(F.struct("err", "from_gap", "mm")).alias("s"))
+    out = gaps.join(noted, ["page", "axis", "gap"], "left").join(scaled, ["page", "axis", "gap"], "left")
+    return out.select("page", "axis", "gap", "gap_px", F.coalesce("noted_mm", "s.mm", F.lit(DEFAULT.bay_mm)).alias("spacing_mm"))
 
 
 def fit_axes(points: DataFrame, keys: list[str], most: float = DEFAULT.residual_px) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT
 from ..functions.text import resolve_alias
-from .ordered import half_even_median, next_above, number_rows
+from .ordered import first_by, half_even_median, last_wins, number_rows
+from .ranges import next_above, next_row
 
 
 def merge_sheet_levels(marks: DataFrame, tolerance: float = DEFAULT.level_mm) -> DataFrame:
@@ -37,17 +38,43 @@ def override_levels(levels: DataFrame, config: DataFrame, tolerance: float = DEF
 
 def storey_levels(storeys: DataFrame, levels: DataFrame, fallback: int = DEFAULT.storey_height_mm) -> DataFrame:
     """Base and top level of each storey; without one above, the usual height. Of equal names the last row counts."""
-    from .ordered import last_wins
-
     stack = next_above(levels.select("name", "rl_mm", "level_id"), "rl_mm", "next_rl")
     named = last_wins(stack, ["name"], ["level_id"]).select(F.upper("name").alias("key"), F.col("rl_mm").alias("base_rl"), "next_rl")
     out = storeys.withColumn("key", F.upper("storey_id")).join(named, "key", "left").drop("key")
     return out.withColumn("top_rl", F.coalesce("next_rl", F.col("base_rl") + fallback)).withColumn("height_mm", F.col("top_rl") - F.col("base_rl"))
 
 
+def anchor_names(storeys: DataFrame, levels: DataFrame) -> DataFrame:
+    """``storeys`` with base_name and top_name, the levels that its columns refer to.
+
+    ``storeys``: storey_id, base_rl.  The base is the level of the storey's name,
+    in any case, else the first one (by level_id) of equal height, else the storey's
+    id.  The top is the lowest level above, of equal ones the first, else the
+    base's name and ``_TOP``.  ``levels``: level_id, name, rl_mm.
+    """
+    rows = levels.select("level_id", "name", F.col("rl_mm").cast("int").alias("rl"))
+    # of equal names the last row counts, of equal heights the first
+    by_name = last_wins(rows.withColumn("_key", F.upper("name")), ["_key"], ["level_id"]).select("_key", F.col("name").alias("_named"))
+    by_height = first_by(rows, ["rl"], ["level_id"]).select(F.col("rl").alias("_rl"), F.col("name").alias("_level"))
+    top = by_height.select(F.col("_rl").alias("_above"), F.col("_level").alias("_top"))
+    at = storeys.withColumn("_base", F.col("base_rl").cast("int"))
+    # a base height that no level has still has levels above: it takes its place among them
+    asked = at.select(F.col("_base").alias("_rl"), F.lit(False).alias("_own")).where("_rl is not null")
+    places = by_height.select("_rl", F.lit(True).alias("_own")).union(asked).groupBy("_rl").agg(F.bool_or("_own").alias("_own"))
+    above = next_above(places, "_rl", "_above", where=F.col("_own")).join(top, "_above").select(F.col("_rl").alias("_base"), "_top")
+    out = at.withColumn("_key", F.upper("storey_id")).join(by_name, "_key", "left").join(by_height.withColumnRenamed("_rl", "_base"), "_base", "left").join(above, "_base", "left")
+    base = F.coalesce("_named", "_level", F.col("storey_id"))
+    return out.withColumns({"base_name": base, "top_name": F.coalesce("_top", F.concat(base, F.lit("_TOP")))}).select(*storeys.columns, "base_name", "top_name")
+
+
 def floor_heights(levels: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Height of each level's floor; without ``keys`` one task orders all, so merge a project's levels by name first."""
-    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("rl_mm", "name")
+    """Height of each level's floor: up to the next one by (rl_mm, name).
+
+    Without ``keys`` the table is dealt to ranges of heights, by two small Spark jobs.
+    """
+    if not keys:
+        return next_row(levels, "rl_mm", ["name"], "_next").withColumn("to_next_mm", F.col("_next") - F.col("rl_mm")).drop("_next")
+    order = Window.partitionBy(*keys).orderBy("rl_mm", "name")
     return levels.withColumn("to_next_mm", F.lead("rl_mm").over(order) - F.col("rl_mm"))
 
 

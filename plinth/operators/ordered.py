@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT
+from .ranges import cut_points, ranged_by
 
 
 def upper_median(values: Column) -> Column:
@@ -49,11 +50,7 @@ def number_rows(df: DataFrame, order: str, ties: list[str], out: str, parts: int
     within the ranges between them, and each range starts after the counts of
     those below, a table of at most ``parts`` + 1 rows that is broadcast.
     """
-    shares = [i / parts for i in range(1, parts)]
-    cuts = df.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    edges = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    ranged = df.withColumn("_r", F.size(F.filter(edges, lambda e: e < F.col(order))))
+    ranged = ranged_by(df, order, cut_points(df, order, parts))
     sizes = ranged.groupBy("_r").agg(F.count("*").alias("_c"))
     below = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_r", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_start"))
@@ -62,17 +59,6 @@ def number_rows(df: DataFrame, order: str, ties: list[str], out: str, parts: int
     return numbered.drop("_r", "_start")
 
 
-def next_above(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
-    """As-of forward: the least value strictly above a row's own, null at the top.
-
-    The integer frame starts one above, so rows of equal value share a result.
-    Without ``keys`` one task orders all: for tables of bounded size, such as
-    a project's levels, one a name.
-    """
-    window = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(value).rangeBetween(1, Window.unboundedFollowing)
-    return df.withColumn(out, F.min(value).over(window))
-
-
 def kept_ends(at: list[float], high: float, low: float) -> tuple[int, int]:
     """[first, last) of the sorted positions that are left after trimming."""
     first, last = 0, len(at)

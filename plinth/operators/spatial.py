@@ -36,6 +36,35 @@ def radius_join(left: DataFrame, right: DataFrame, on: list[str], left_xy: tuple
     return joined.drop("_bx", "_by", *[f"_r_{c}" for c in [*on, "_bx", "_by"]])
 
 
+def radii_join(left: DataFrame, right: DataFrame, on: list[str], left_xy: tuple[str, str], right_xy: tuple[str, str], radius: Column) -> DataFrame:
+    """As :func:`radius_join`, for radii of the left side that differ by any factor.
+
+    Grids of several resolutions: a left row uses the one whose cells are two
+    to four times its radius wide, and so touches four cells at most; a right row
+    lies in one cell of each grid that its key has.  One huge radius adds one
+    cell to the right rows of its key and nothing to other rows' pairs.
+    """
+    return radii_candidates(left, right, on, left_xy, right_xy, radius).where(F.col("distance") <= F.col("_radius")).drop("_radius")
+
+
+def radii_candidates(left: DataFrame, right: DataFrame, on: list[str], left_xy: tuple[str, str], right_xy: tuple[str, str], radius: Column) -> DataFrame:
+    """The pairs that :func:`radii_join` forms, with their ``distance``."""
+    lx, ly = (F.col(c) for c in left_xy)
+    rx, ry = (F.col(c) for c in right_xy)
+    a = left.withColumn("_radius", radius).where((F.col("_radius") >= 0) & (F.col("_radius") < float("inf")) & lx.isNotNull() & ly.isNotNull())
+    # a radius of nothing still has a cell
+    a = a.withColumn("_level", F.ceil(F.log2(F.greatest("_radius", F.lit(1e-6)))).cast("int") + 1)
+    # a short list a key: one entry for each power of two
+    levels = a.groupBy(*on).agg(F.collect_set("_level").alias("_levels"))
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    reach = lambda c: F.explode(F.sequence(F.floor((c - F.col("_radius")) / side), F.floor((c + F.col("_radius")) / side)))
+    a = a.withColumn("_bx", reach(lx)).withColumn("_by", reach(ly))
+    b = right.join(levels, on).withColumn("_level", F.explode("_levels")).drop("_levels")
+    b = b.withColumn("_bx", F.floor(rx / side)).withColumn("_by", F.floor(ry / side))
+    gap = F.sqrt((lx - rx) * (lx - rx) + (ly - ry) * (ly - ry))
+    return a.join(b, [*on, "_level", "_bx", "_by"]).withColumn("distance", gap).drop("_level", "_bx", "_by")
+
+
 def nearest(pairs: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
     """The pair of least distance for each ``keys``; ``ties`` decide equal ones."""
     order = Window.partitionBy(*keys).orderBy("distance", *ties)

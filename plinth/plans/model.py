@@ -16,7 +16,8 @@ from ..operators import levels as L
 from ..operators import ordered as O
 from ..operators import reconcile as R
 from ..operators import resolve as S
-from ..operators.spatial import nearest, radius_join
+from ..operators import ranges as RG
+from ..operators.spatial import nearest, radii_join
 from ..storage import materialised
 from .classification import CLASSIFIED_SQL, LABELS_SQL, classified
 from .registry import query
@@ -200,7 +201,7 @@ _SIZES = f"(SELECT * FROM ({LABELS_SQL}) WHERE kind IN ('rect_dim', 'diameter'))
 def j2(spark, sf_dir):
     v = view(spark, sf_dir, "v_spans").withColumn("kind", T.label_kind(F.col("text"))).where("kind = 'type'")
     dets = view(spark, sf_dir, "v_dets").withColumn("diag", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-    pairs = radius_join(dets, v.select("page", "span_id", "text", "x", "y"), ["page"], ("cx", "cy"), ("x", "y"), F.col("diag") * DEFAULT.type_search, DEFAULT.type_search * DEFAULT.box_max_px * 2**0.5)
+    pairs = radii_join(dets, v.select("page", "span_id", "text", "x", "y"), ["page"], ("cx", "cy"), ("x", "y"), F.col("diag") * DEFAULT.type_search)
     return nearest(pairs, ["page", "det_id"], ["span_id"]).select("page", "det_id", "span_id", F.col("text").alias("label"), "distance")
 
 
@@ -278,7 +279,7 @@ def w2(spark, sf_dir):
 
 @query("j10_next_level_above", "SELECT a.level_id, a.rl_mm, min(b.rl_mm) AS next_rl FROM v_levels a LEFT JOIN v_levels b ON a.pdf = b.pdf AND b.rl_mm > a.rl_mm GROUP BY a.level_id, a.rl_mm")
 def j10(spark, sf_dir):
-    return O.next_above(view(spark, sf_dir, "v_levels"), "rl_mm", "next_rl", ["pdf"]).select("level_id", "rl_mm", "next_rl")
+    return RG.next_above(view(spark, sf_dir, "v_levels"), "rl_mm", "next_rl", ["pdf"]).select("level_id", "rl_mm", "next_rl")
 
 
 _STOREYS = "SELECT DISTINCT storey_id FROM v_canonical"
@@ -291,11 +292,29 @@ def storeys(spark, sf_dir):
     return L.storey_levels(ids, levels).select("storey_id", "base_rl", "top_rl", "height_mm")
 
 
-@query("j9_j11_storey_levels", f"SELECT storey_id, base_rl, top_rl, top_rl - base_rl AS height_mm FROM ({_BASE})")
+@query("j9_storey_levels", f"SELECT storey_id, base_rl, top_rl, top_rl - base_rl AS height_mm FROM ({_BASE})")
 def j9(spark, sf_dir):
     return storeys(spark, sf_dir)
 
 
+_HEIGHTS = f"SELECT name, rl_mm, name AS level_id FROM ({_PROJECT})"
+_ANCHORED = f"""SELECT storey_id, base_rl, base_name, coalesce((SELECT name FROM ({_HEIGHTS}) l WHERE l.rl_mm > base_rl ORDER BY l.rl_mm, level_id LIMIT 1), concat(base_name, '_TOP')) AS top_name
+    FROM (SELECT storey_id, base_rl, coalesce((SELECT name FROM ({_HEIGHTS}) l WHERE upper(l.name) = upper(storey_id)), (SELECT name FROM ({_HEIGHTS}) l WHERE l.rl_mm = base_rl ORDER BY level_id LIMIT 1), storey_id) AS base_name FROM %s)"""
+_STOREY_BASES = f"""(SELECT storey_id, base_rl FROM ({_BASE}) UNION ALL SELECT concat('S', cast(p_partkey AS varchar)), cast(CASE WHEN p_size % 3 = 0 THEN l.rl_mm ELSE p_partkey * 37 % 40000 END AS int) FROM part LEFT JOIN ({_PROJECT}) l ON l.name = ['B2', 'B1', 'L1', 'L2', 'L3', 'L4', 'RF'][p_size % 7 + 1])"""
+
+
+@query("j11_level_names", _ANCHORED % _STOREY_BASES)
+def j11(spark, sf_dir):
+    """Storeys by name, and structural ones that no level is named after, on and between the levels' heights."""
+    levels = project_levels(spark, sf_dir)
+    named = storeys(spark, sf_dir).select("storey_id", "base_rl")
+    code = F.element_at(F.array(*[F.lit(c) for c in ("B2", "B1", "L1", "L2", "L3", "L4", "RF")]), F.col("p_size") % 7 + 1)
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("name", code).join(levels.select("name", "rl_mm"), "name", "left")
+    height = F.when(F.col("p_size") % 3 == 0, F.col("rl_mm")).otherwise(F.col("p_partkey") * 37 % 40000).cast("int")
+    other = p.select(F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("storey_id"), height.alias("base_rl"))
+    return L.anchor_names(named.unionByName(other), levels.select("name", "rl_mm", F.col("name").alias("level_id")))
+
+
 @query(
     "j6_page_offsets",
     """WITH e AS (SELECT page, axis, ord, lower(concat('g', label)) AS label, mm, ord % 3 AS page_id FROM (SELECT *, ord * 8400.0::double - 500 AS mm FROM v_axes) WHERE ord % 3 <> 2 OR axis = 'x'), o AS (SELECT page, axis, concat('G', label) AS label, ord * 8400.0::double AS mm FROM v_axes WHERE ord % 7 <> 1)
