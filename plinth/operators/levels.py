@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT
 from ..functions.text import resolve_alias
-from .ordered import first_by, half_even_median, last_wins, number_rows
+from ..storage import materialised
+from .components import groups_by_keys
+from .ordered import first_by, half_even_median, last_wins, number_rows, walk
 from .ranges import next_above, next_row
 
 
@@ -79,18 +84,88 @@ def floor_heights(levels: DataFrame, keys: list[str] | None = None) -> DataFrame
 
 
 def upsert_levels(wanted: DataFrame, present: DataFrame, near: float = DEFAULT.level_match_ft) -> DataFrame:
-    """What becomes of each wanted level: keep, move, rename or create.
-
-    A present level of the name is kept or moved; else one at the height is
-    renamed; else the level is created.  Both: name, elevation in feet.
+    """name, elevation and action (keep, move, rename, create) of each wanted level, and the level it came to.
+
+    Wanted levels are merged into the present ones in order of ``ord``: a level of
+    the name, in any case, is kept or moved; else one at the height is renamed;
+    else one is created.  Later ones see what earlier ones moved, renamed and
+    created.  ``level`` is the present level's name, or for a created level that of
+    the wanted one that made it.  Both: ord (unique), name, elevation in feet.
+
+    What one merge can see or change of another hangs on a shared name or
+    height, so levels fall into groups that names and heights chain
+    together; each is merged by a walk of its own, all at once.  A group is as long
+    as its longest chain of shared names and heights.
     """
-    have = present.select(F.lower("name").alias("key"), F.col("elevation").alias("old")).groupBy("key").agg(F.min("old").alias("old"))
+    both = wanted.select((F.col("ord") * 2 + 1).cast("long").alias("id"), "ord", "name", F.col("elevation").cast("double").alias("elevation"))
+    both = materialised(both.unionByName(present.select((F.col("ord") * 2).cast("long").alias("id"), "ord", "name", F.col("elevation").cast("double").alias("elevation"))))
     cell = F.floor(F.col("elevation") / near)
-    at = present.select(F.col("elevation").alias("at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    named = wanted.withColumn("key", F.lower("name")).join(have, "key", "left").withColumn("cell", cell)
-    met = named.join(at, (named["cell"] == at["cell"]) & (F.abs(F.col("elevation") - F.col("at")) < near), "left").groupBy("name", "elevation", "old").agg(F.count("at").alias("n"))
-    action = F.when(F.abs(F.col("old") - F.col("elevation")) > near, "move").when(F.col("old").isNotNull(), "keep").when(F.col("n") > 0, "rename").otherwise("create")
-    return met.select("name", "elevation", action.alias("action"))
+    at = F.filter(F.array(cell - 1, cell), lambda c: c.isNotNull())
+    # rows less than ``near`` apart lie in one cell or in neighbours: each pair of neighbours is a key
+    keys = F.concat(F.array(F.concat(F.lit("n"), F.lower("name"))), F.transform(at, lambda c: F.concat(F.lit("h"), c.cast("string"))))
+    grouped = both.join(groups_by_keys(both, "id", F.filter(keys, lambda k: k.isNotNull())), "id")
+
+    # groups without a wanted level have nothing to merge; present levels come first in a group
+    asked = grouped.where("id % 2 = 1").select("component").distinct()
+    rows = grouped.join(asked, "component", "left_semi").withColumn("late", F.col("id") % 2)
+    return walk(rows, "component", ["late", "ord"], lambda: _Levels(near), "ord long, name string, elevation double, action string, level string")
+
+
+class _Levels:
+    """Levels of a document in order, found by name and by height."""
+
+    def __init__(self, near: float):
+        self.near = near
+        self.levels: list[list] = []
+        self.names: dict[str, list[int]] = {}
+        self.cells: dict[int, list[int]] = {}
+
+    def _file(self, number: int) -> None:
+        name, elevation, _ = self.levels[number]
+        if name is not None:
+            bisect.insort(self.names.setdefault(name.lower(), []), number)
+        if elevation == elevation and elevation is not None:
+            bisect.insort(self.cells.setdefault(math.floor(elevation / self.near), []), number)
+
+    def _unfile(self, number: int) -> None:
+        name, elevation, _ = self.levels[number]
+        if name is not None:
+            self.names[name.lower()].remove(number)
+        if elevation == elevation and elevation is not None:
+            self.cells[math.floor(elevation / self.near)].remove(number)
+
+    def add(self, name: str | None, elevation: float, origin: str | None) -> None:
+        self.levels.append([name, elevation, origin])
+        self._file(len(self.levels) - 1)
+
+    def _change(self, number: int, **new) -> None:
+        self._unfile(number)
+        level = self.levels[number]
+        level[0], level[1] = new.get("name", level[0]), new.get("elevation", level[1])
+        self._file(number)
+
+    def __call__(self, row) -> list[tuple]:
+        if not row.late:
+            self.add(row.name, row.elevation, row.name)
+            return []
+        return [(row.ord, row.name, row.elevation, *self.merge(row.name, row.elevation))]
+
+    def merge(self, name: str | None, elevation: float) -> tuple[str, str | None]:
+        named = self.names.get(name.lower()) if name is not None else None
+        if named:
+            level = self.levels[named[0]]
+            if not abs(level[1] - elevation) > self.near:
+                return "keep", level[2]
+            self._change(named[0], elevation=elevation)
+            return "move", level[2]
+        if elevation == elevation and elevation is not None:
+            cell = math.floor(elevation / self.near)
+            close = [n for c in (cell - 1, cell, cell + 1) for n in self.cells.get(c, ()) if abs(self.levels[n][1] - elevation) < self.near]
+            if close:
+                self._change(min(close), name=name)
+                return "rename", self.levels[min(close)][2]
+        self.add(name, elevation, name)
+        return "create", name
 
 
 def leftover_levels(present: DataFrame, wanted: DataFrame, step: float = 3000.0) -> DataFrame:

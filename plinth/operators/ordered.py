@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -107,6 +107,27 @@ def trim_ends(df: DataFrame, keys: list[str], position: str, label: str, high: f
     return _unpacked(packed, keys, kept, df.columns)
 
 
+def walk(df: DataFrame, key: str, order: list[str], make: Callable[[], Callable[[tuple], list[tuple]]], schema: str) -> DataFrame:
+    """Each key's rows, in order, one after the other through a state of its own that returns rows.
+
+    Rows are dealt by key, sorted by Spark, which spills, and read in Arrow batches; a task
+    holds one state and one batch, however many rows a key has.  ``key`` is not null.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False):
+                if getattr(row, key) != current:
+                    current, state = getattr(row, key), make()
+                out += state(row)
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def sorted_by_number(df: DataFrame, keys: list[str], position: str, label: str) -> DataFrame:
     """Column ``ord``: place by number if that agrees with the place by position, else the latter."""
     group = Window.partitionBy(*keys)

@@ -49,24 +49,35 @@ def j21(spark, sf_dir):
     return EL.find_symbols(wanted, view(spark, sf_dir, "v_elements")).select("o_orderkey", "symbol_id")
 
 
-_WANTED = "(SELECT concat('LEVEL ', cast(o_orderkey AS varchar)) AS name, cast(o_orderkey * 3 AS double) AS elevation FROM orders WHERE o_orderkey % 5 <> 0)"
-_PRESENT = "(SELECT concat('level ', cast(p_partkey * 3 AS varchar)) AS name, cast(p_partkey * 9 + p_size % 2 AS double) AS elevation FROM part)"
+# some heights lie in the present ones' places, some names are there at other heights, and some come twice
+_WANTED = "(SELECT o_orderkey AS ord, concat('LEVEL ', cast(o_orderkey - o_orderkey % 7 // 6 AS varchar)) AS name, cast(o_orderkey * 3 - o_orderkey % 5 // 4 * 3 AS double) AS elevation FROM orders)"
+_PRESENT = "(SELECT p_partkey AS ord, concat('level ', cast(p_partkey * 3 AS varchar)) AS name, cast(p_partkey * 9 + p_size % 2 AS double) AS elevation FROM part)"
 
 
 def _wanted(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 5 <> 0")
-    return o.select(F.concat(F.lit("LEVEL "), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_orderkey") * 3).cast("double").alias("elevation"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    name = F.concat(F.lit("LEVEL "), (F.col("o_orderkey") - F.expr("o_orderkey % 7 div 6")).cast("string"))
+    height = F.col("o_orderkey") * 3 - F.expr("o_orderkey % 5 div 4") * 3
+    return o.select(F.col("o_orderkey").alias("ord"), name.alias("name"), height.cast("double").alias("elevation"))
 
 
 def _present(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.select(F.concat(F.lit("level "), (F.col("p_partkey") * 3).cast("string")).alias("name"), (F.col("p_partkey") * 9 + F.col("p_size") % 2).cast("double").alias("elevation"))
+    return p.select(F.col("p_partkey").alias("ord"), F.concat(F.lit("level "), (F.col("p_partkey") * 3).cast("string")).alias("name"), (F.col("p_partkey") * 9 + F.col("p_size") % 2).cast("double").alias("elevation"))
 
 
-@query(
-    "j22_m1_upsert_levels",
-    f"SELECT w.name, w.elevation, CASE WHEN abs(p.elevation - w.elevation) > 0.0001 THEN 'move' WHEN p.name IS NOT NULL THEN 'keep' WHEN EXISTS (SELECT 1 FROM {_PRESENT} q WHERE abs(q.elevation - w.elevation) < 0.0001) THEN 'rename' ELSE 'create' END AS action FROM {_WANTED} w LEFT JOIN {_PRESENT} p ON lower(p.name) = lower(w.name)",
-)
+# A walk over all wanted levels at once would carry all levels in each step, so the SQL walks runs of
+# wanted levels: what is at hand is within 9 of a run's heights or bears one of its names.
+_MERGED = f"""WITH RECURSIVE w AS (SELECT *, ord // 35 AS run, row_number() OVER (PARTITION BY ord // 35 ORDER BY ord) AS step FROM {_WANTED}),
+    b AS (SELECT run, list({{'n': lower(p.name), 'e': p.elevation, 'o': p.name}} ORDER BY p.ord) AS have FROM (SELECT DISTINCT w.run, p.* FROM w JOIN {_PRESENT} p ON lower(p.name) = lower(w.name) OR abs(p.elevation - w.elevation) < 0.0001) p GROUP BY run),
+    f AS (SELECT run, 0::bigint AS step, coalesce(have, []) AS have, NULL::bigint AS ord, NULL::varchar AS name, NULL::double AS elevation, NULL::varchar AS action, NULL::varchar AS level FROM (SELECT DISTINCT run FROM w) LEFT JOIN b USING (run)
+      UNION ALL SELECT run, step, CASE action WHEN 'create' THEN list_append(have, {{'n': lower(name), 'e': elevation, 'o': name}}) WHEN 'keep' THEN have ELSE list_transform(have, lambda x, i: CASE WHEN i = place THEN {{'n': CASE action WHEN 'rename' THEN lower(name) ELSE x.n END, 'e': CASE action WHEN 'move' THEN elevation ELSE x.e END, 'o': x.o}} ELSE x END) END, ord, name, elevation, action, CASE WHEN action = 'create' THEN name ELSE have[place].o END
+        FROM (SELECT *, CASE WHEN named IS NOT NULL THEN CASE WHEN abs(have[named].e - elevation) > 0.0001 THEN 'move' ELSE 'keep' END WHEN height IS NOT NULL THEN 'rename' ELSE 'create' END AS action, coalesce(named, height) AS place
+          FROM (SELECT w.run, w.step, w.ord, w.name, w.elevation, have, list_position(list_transform(have, lambda x: x.n = lower(w.name)), true) AS named, list_position(list_transform(have, lambda x: abs(x.e - w.elevation) < 0.0001), true) AS height FROM f JOIN w ON w.run = f.run AND w.step = f.step + 1)))
+    SELECT ord, name, elevation, action, level FROM f WHERE step > 0"""
+
+
+@query("j22_m1_upsert_levels", _MERGED)
 def j22(spark, sf_dir):
     return L.upsert_levels(_wanted(spark, sf_dir), _present(spark, sf_dir))
 
@@ -78,12 +89,7 @@ def j23(spark, sf_dir):
 
 @query("j24_levels_without_view", f"SELECT name, elevation FROM {_PRESENT} WHERE lower(name) NOT IN (SELECT lower(name) FROM {_WANTED})")
 def j24(spark, sf_dir):
-    return EL.unmatched(_present(spark, sf_dir), _wanted(spark, sf_dir), "name")
-
-
-@query("p43_default_levels", f"SELECT name, elevation FROM {_PRESENT} WHERE name = 'level 3' AND false UNION ALL SELECT * FROM (VALUES ('Level 0', 0.0::double), ('Level 1', 3000.0::double)) v(name, elevation)")
-def p43(spark, sf_dir):
-    return L.effective_levels(_present(spark, sf_dir).where("name = 'level 3'"))
+    return EL.unmatched(_present(spark, sf_dir), _wanted(spark, sf_dir), "name").select("name", "elevation")
 
 
 @query("p43_all_levels", f"SELECT name, elevation FROM {_PRESENT}")
