@@ -176,8 +176,13 @@ def leftover_levels(present: DataFrame, wanted: DataFrame, step: float = 3000.0)
     return number_rows(left, "elevation", ["name"], "k").join(F.broadcast(top)).select("name", "k", (F.col("top") + F.col("k") * step).alias("target"))
 
 
-def effective_levels(levels: DataFrame) -> DataFrame:
-    """The levels, or a pair of default ones where there are less than two."""
-    few = levels.groupBy().agg((F.count("*") < 2).alias("few"))
+def effective_levels(levels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The levels (of each key), or a pair of default ones where there are less than two."""
     pair = levels.sparkSession.createDataFrame([("Level 0", 0.0), ("Level 1", 3000.0)], "name string, elevation double")
+    if keys:
+        few = levels.groupBy(*keys).agg(F.count("*").alias("n")).where("n < 2").drop("n")
+        # two rows for each key without levels enough
+        added = few.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(e).alias("elevation")) for n, e in (("Level 0", 0.0), ("Level 1", 3000.0))])).alias("l")).select(*keys, "l.name", "l.elevation")
+        return levels.select(*keys, "name", "elevation").join(few, keys, "left_anti").unionByName(added)
+    few = levels.groupBy().agg((F.count("*") < 2).alias("few"))
     return levels.select("name", "elevation").join(F.broadcast(few.where("not few")).drop("few")).union(pair.join(F.broadcast(few.where("few")).drop("few")))

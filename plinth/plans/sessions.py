@@ -11,6 +11,7 @@ from ..sources import files as FI
 from ..sources import sinks as SK
 from ..storage import scratch, write_file
 from ..streaming import events as EV
+from ..streaming import sessions as SS
 from .classification import CLASSIFIED_SQL, classified
 from .registry import query
 from .views import view
@@ -92,6 +93,16 @@ def j24(spark, sf_dir):
     return EL.unmatched(_present(spark, sf_dir), _wanted(spark, sf_dir), "name").select("name", "elevation")
 
 
+_PROJECTS = "(SELECT p_partkey * 7 // 10 AS project, name, elevation FROM part JOIN %s ON ord = p_partkey)" % _PRESENT
+
+
+@query("p43_default_levels", f"SELECT * FROM {_PROJECTS} WHERE project IN (SELECT project FROM {_PROJECTS} GROUP BY project HAVING count(*) >= 2) UNION ALL SELECT project, v.* FROM (SELECT project FROM {_PROJECTS} GROUP BY project HAVING count(*) < 2), (VALUES ('Level 0', 0.0::double), ('Level 1', 3000.0::double)) v(name, elevation)")
+def p43(spark, sf_dir):
+    """Levels of projects, some of which have one only."""
+    levels = _present(spark, sf_dir).withColumn("project", F.expr("ord * 7 div 10"))
+    return L.effective_levels(levels, ["project"])
+
+
 @query("p43_all_levels", f"SELECT name, elevation FROM {_PRESENT}")
 def p43_all(spark, sf_dir):
     return L.effective_levels(_present(spark, sf_dir))
@@ -178,6 +189,30 @@ def st2(spark, sf_dir):
     return counts.select(F.unix_timestamp("start").alias("start"), "stage", "n")
 
 
+_LATE, _IDLE = 600_000, 7_200_000_000
+# events up to the last watermark; a gap of more than the idle time ends a stretch
+_STREAMED = f"""WITH w AS (SELECT max(epoch_us(ts)) // 1000 - {_LATE} AS ms FROM events),
+    e AS (SELECT user_id AS session_id, event_id, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'open' WHEN 'error' THEN 'close' ELSE 'place' END AS action, CASE WHEN event_type NOT IN ('signup', 'error') THEN event_id % 1000 END AS element FROM events, w WHERE epoch_us(ts) <= ms * 1000),
+    g AS (SELECT *, sum(CASE WHEN us - prev > {_IDLE} THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY us, event_id) AS stretch FROM (SELECT *, lag(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS prev FROM e)),
+    m AS (SELECT *, coalesce(last_value(CASE action WHEN 'open' THEN 1 WHEN 'close' THEN 0 END IGNORE NULLS) OVER (PARTITION BY session_id, stretch ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS was_open FROM g),
+    o AS (SELECT *, CASE WHEN action = 'open' THEN CASE WHEN was_open THEN 'ignored' ELSE 'opened' END WHEN NOT was_open THEN 'refused' WHEN action = 'close' THEN 'closed' ELSE 'placed' END AS outcome FROM m),
+    r AS (SELECT *, sum(CASE WHEN outcome = 'opened' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY us, event_id) AS run FROM o),
+    n AS (SELECT *, CASE WHEN outcome = 'refused' OR outcome = 'opened' THEN 0 ELSE count(*) FILTER (outcome = 'placed') OVER (PARTITION BY session_id, run ORDER BY us, event_id) END AS n_placed FROM r),
+    l AS (SELECT *, row_number() OVER (PARTITION BY session_id, stretch ORDER BY us DESC, event_id DESC) = 1 AS is_last, lead(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS following FROM n)
+    SELECT session_id, event_id, outcome, CASE WHEN outcome = 'placed' THEN element END AS element_id, n_placed, us AS at_us FROM l
+    UNION ALL SELECT session_id, event_id, 'expired', NULL, n_placed, us + {_IDLE} FROM l, w WHERE is_last AND outcome IN ('opened', 'ignored', 'placed') AND coalesce(following, ms * 1000) - us > {_IDLE}"""
+
+
+@query("t5_streamed_sessions", _STREAMED)
+def t5_streamed(spark, sf_dir):
+    """Sign-ups open a user's session, errors close it, all else places an element."""
+    raw = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(f"{sf_dir}/events.parque[t]")
+    action = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "error", "close").otherwise("place")
+    element = F.when(action == "place", F.col("event_id") % 1000)
+    actions = raw.select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), element.alias("element_id"))
+    return SS.with_state_provider(spark, lambda: EV.drain(SS.walk_sessions(actions, f"{_LATE} milliseconds", _IDLE // 60_000_000), "append"))
+
+
 @query("sc2_t4_page_hashes", "SELECT doc_id, sha256(concat(text, 'Rect(0, 0, ', cast(n_chars AS varchar), ', 842)')) AS page_hash FROM documents")
 def sc2(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -319,10 +354,10 @@ def sk12(spark, sf_dir):
     return out.select("id", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("u1_u2_pooled_pages", "SELECT page, span_id FROM v_spans WHERE page % 2 = 0 UNION ALL SELECT page, span_id FROM v_spans WHERE page % 3 = 0")
+@query("u1_u2_pooled_pages", "SELECT page, span_id FROM v_spans")
 def u1(spark, sf_dir):
     s = view(spark, sf_dir, "v_spans").select("page", "span_id")
-    return pages_of(iter([s.where("page % 2 = 0"), s.where("page % 3 = 0")]))
+    return pages_of(s.where(F.col("page") % 3 == i) for i in range(3))
 
 
 @query("u1_u2_all_pages", "SELECT page, span_id FROM v_spans")
