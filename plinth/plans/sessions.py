@@ -213,6 +213,31 @@ def t5_streamed(spark, sf_dir):
     return SS.with_state_provider(spark, lambda: EV.drain(SS.walk_sessions(actions, f"{_LATE} milliseconds", _IDLE // 60_000_000), "append"))
 
 
+@query("st2_closed_windows", "SELECT epoch(start)::bigint AS start, stage, n FROM (SELECT date_trunc('hour', ts) AS start, stage, count(*) AS n FROM v_jobs GROUP BY ALL) WHERE epoch_us(start) + 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM v_jobs)")
+def st2_closed(spark, sf_dir):
+    """Windows that the watermark has closed, in append mode: their state is gone."""
+    counts = EV.drain(EV.windowed_counts(_event_stream(spark, sf_dir), "1 hour", "10 minutes"), "append")
+    return counts.select(F.unix_timestamp("start").alias("start"), "stage", "n")
+
+
+@query("st2_backlog_then_live", "SELECT job_id, stage, event_id, CASE WHEN event_id % 3 <> 0 THEN 0 ELSE 1 END AS delivery FROM v_jobs")
+def st2_live(spark, sf_dir):
+    """A subscriber that comes when two thirds of the log are there, and again when the rest has come."""
+    path = scratch(spark)
+    log = view(spark, sf_dir, "v_jobs").select("job_id", "stage", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("done").cast("int").alias("done"))
+    for part in ("event_id % 3 <> 0", "event_id % 3 = 0"):
+        log.where(part).write.mode("append").parquet(f"{path}/log")
+        EV.deliver(EV.read_events(spark, f"{path}/log"), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("job_id", "stage", "event_id", F.col("delivery").cast("int").alias("delivery"))
+
+
+@query("st4_joined_streams", "SELECT s.job_id, s.stage, epoch_us(s.ts) AS started_us, epoch_us(d.ts) AS completed_us FROM v_jobs s JOIN v_jobs d ON s.done = 0 AND d.done = 1 AND s.job_id = d.job_id AND s.stage = d.stage AND d.ts >= s.ts AND d.ts <= s.ts + INTERVAL 1 HOUR")
+def st4_streams(spark, sf_dir):
+    """Starts and completions as two streams, joined within watermarks."""
+    times = EV.drain(EV.stage_times(_event_stream(spark, sf_dir), "10 minutes", "1 hour"), "append")
+    return times.select("job_id", "stage", F.unix_micros("started").alias("started_us"), F.unix_micros("completed").alias("completed_us"))
+
+
 @query("sc2_t4_page_hashes", "SELECT doc_id, sha256(concat(text, 'Rect(0, 0, ', cast(n_chars AS varchar), ', 842)')) AS page_hash FROM documents")
 def sc2(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -44,6 +44,20 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "stage").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "stage", "n")
 
 
+def deliver(events: DataFrame, path: str, checkpoint: str) -> None:
+    """Hand a subscriber what has arrived since the last call, the backlog first.
+
+    The checkpoint knows what was delivered, so each event comes once; a
+    delivery that is cut short is made again in place of itself.  Deliveries are
+    folders of Parquet below ``path``, numbered from 0 (column ``delivery``).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/delivery={number}")
+
+    events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what has arrived so far; its result as a table in the shared folder.
 
