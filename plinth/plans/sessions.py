@@ -9,7 +9,8 @@ from ..operators import levels as L
 from ..operators.ordered import first_rows, pages_of
 from ..sources import files as FI
 from ..sources import sinks as SK
-from ..storage import scratch, write_file
+from ..sources.payloads import save_payloads
+from ..storage import scratch
 from ..streaming import events as EV
 from ..streaming import sessions as SS
 from .classification import CLASSIFIED_SQL, classified
@@ -337,14 +338,14 @@ def sc18(spark, sf_dir):
     return found.select("id", "name")
 
 
-@query("sc1_sheets", "SELECT concat(r_name, '.pdf') AS name, length(r_name) AS length FROM region")
+@query("sc1_sheets", "SELECT concat(r_name, CASE WHEN r_regionkey % 2 = 0 THEN '.pdf' ELSE '.PDF' END) AS name, 7 + length(r_name) + 2 AS length FROM region")
 def sc1(spark, sf_dir):
-    """Sheets below a folder: five regions' files, deeper ones and others among them."""
+    """Sheets below a folder: the regions' files in folders of their tasks, others among them."""
     path = scratch(spark)
-    names = [r["r_name"] for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name").collect()]
-    for i, name in enumerate(names):
-        write_file(spark, f"{path}/{'deep/' * (i % 3)}{name}.pdf", name.encode())
-        write_file(spark, f"{path}/{name}.txt", b"no sheet")
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").withColumn("other", F.explode(F.array(F.lit(False), F.lit(True))))
+    ending = F.when(F.col("other"), ".txt").when(F.col("r_regionkey") % 2 == 0, ".pdf").otherwise(".PDF")
+    body = F.to_json(F.struct(F.col("r_name").alias("id")))
+    save_payloads(regions.select(F.concat("r_name", ending).alias("file"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), body.alias("body")), path, [])
     return FI.list_sheets(spark, path).select("name", "length")
 
 

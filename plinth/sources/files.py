@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,8 +16,9 @@ from ..operators.ordered import last_wins
 
 
 def list_sheets(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
-    """Paths, sizes and names of the sheets below ``root``, in order of path; contents stay unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
+    """Paths, sizes and names of the files below ``root`` that end in ``suffix``, in any case, in order of path; contents stay unread."""
+    ending = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{ending}").load(root)
     return files.select("path", "length", F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).orderBy("path")
 
 
@@ -93,6 +94,27 @@ def read_inventory(spark: SparkSession, path: str | None) -> DataFrame:
     return spark.read.schema(starter.schema).parquet(path)
 
 
+#: An inventory document: families of types.
+INVENTORY = "families array<struct<shape string, family_name string, types array<struct<name string, label string, dim_x int, dim_y int, diameter int, is_synthetic boolean>>>>"
+
+
+def saved_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """The types of a published inventory document, or the starter types where it is absent or corrupt."""
+    from ..operators.resolve import starter_inventory
+    from .payloads import load_payloads
+
+    docs = load_payloads(spark, path, INVENTORY)
+    sound = docs.agg(((F.count("*") > 0) & (F.count_if(F.col("error").isNotNull() | F.col("families").isNull()) == 0)).alias("_sound"))
+    listed = docs.select(F.posexplode("families").alias("f", "family")).select("f", "family.shape", "family.family_name", F.posexplode("family.types").alias("t", "type"))
+    place = F.row_number().over(Window.partitionBy("shape").orderBy("f", "t")) - 1
+    own = listed.select(
+        "shape", place.cast("int").alias("type_ord"), "family_name", F.col("type.name").alias("type_name"), "type.label", "type.dim_x", "type.dim_y", "type.diameter",
+        F.coalesce("type.is_synthetic", F.lit(False)).alias("is_synthetic"),
+    )
+    starter = starter_inventory(spark)
+    return own.join(F.broadcast(sound.where("_sound")).drop("_sound")).unionByName(starter.join(F.broadcast(sound.where("not _sound")).drop("_sound")))
+
+
 @dataclass
 class Config:
     """User rules and overrides; anything left out keeps its default."""

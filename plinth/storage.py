@@ -56,13 +56,6 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def write_file(spark: SparkSession, path: str, content: bytes) -> None:
-    """One small file, through Spark's file systems."""
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(context.hadoopConfiguration()).create(where, True)
-    out.write(bytearray(content))
-    out.close()
 
 
 def drop(*tables: DataFrame) -> None:
