@@ -56,8 +56,6 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-
-
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialised` that nothing reads any more."""
     paths = {table._plinth_path for table in tables}
