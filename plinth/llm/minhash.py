@@ -5,8 +5,8 @@
 2. Equal sets collapse to one representative, by an aggregate.
 3. Bucket members are compared with the bucket's most typical member (a star,
    not all pairs), on full sets.  What a star leaves apart inside a bucket is
-   then compared, all but its largest group with the rest; a bucket where that
-   is too much is first cut up by the other bands its members share.
+   then compared, all but its largest group with the rest, in blocks of
+   bounded work.
 4. Components come from table-based union-find.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from .textops import HashCache, as_signed, list_array, mix, shingle_set, texts
 SHINGLE_WORDS = 5
 #: Rows of a band, and the chance that a pair at the threshold meets in no band.
 ROWS, MISSED = 4, 1e-6
-#: Comparisons of bitmaps in a bucket from which it is cut up, and bands that pairs of it must share at most.
-CROWDED, MOST_SHARED = 1_000_000_000, 4
+#: Texts, and bytes of them, whose sets are sketched at once.
+SKETCH_ROWS, SKETCH_BYTES = 1000, 8 << 20
 #: Comparisons a block of a bucket is meant to hold.
 BLOCK_WORK = 20_000_000
 #: Members a lead's text is sent with.
@@ -106,12 +107,22 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most SKETCH_ROWS texts, of fewer where texts are long; a slice's sets are held at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        until = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SKETCH_BYTES))
+        until = max(at + 1, min(until, at + SKETCH_ROWS))
+        yield batch.slice(at, until - at)
+        at = until
+
+
 def _sketch(bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in _parts(batch):
                 sets = [shingle_set(t, SHINGLE_WORDS, cache) for t in texts(part)]
                 keys = _band_keys(superminhash(sets, bands * ROWS))
                 place = [np.arange(1, len(s) + 1, dtype=np.uint64) for s in sets]
@@ -184,14 +195,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = materialised(classes)
     member = classes.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     sizes = materialised(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    member = materialised(member.join(sizes, "bucket"))
+    sized = materialised(member.join(sizes, "bucket"))
+    drop(sizes)
+    member = sized
     # the texts that can be in a pair; everything later reads these alone.
     # The hint keeps the plan the same whether few or many are wanted.
     wanted = member.select("rep").distinct()
     held = docs.select(F.col("doc_id").alias("rep"), "text").hint("merge").join(wanted, "rep")
     held = materialised(held.dropDuplicates(["rep"]))
     score = member.groupBy("rep").agg(F.sum("size").alias("score"))
-    member = materialised(member.join(score, "rep").select("bucket", "band", "rep", "n_shingles", "score"))
+    member = materialised(member.join(score, "rep").select("bucket", "rep", "n_shingles", "score"))
+    drop(sized)
     lead = member.groupBy("bucket").agg(F.max(F.struct("score", F.negative("rep").alias("rank"), "n_shingles")).alias("lead"))
     star = (
         member.join(lead, "bucket")
@@ -203,12 +217,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     links = _confirmed(star, held, percent)
     first = components(links, "a", "b")
-    links = links.union(_across(member, first, classes, held, percent))
-    final = components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+    more = _across(member, first, classes, held, percent)
+    drop(member, held)
+    final = components(links.union(more), "a", "b").select(F.col("node").alias("rep"), "component")
+    drop(links, more)
     named = classes.join(final, "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     named = materialised(named)
+    drop(classes)
     joined = sketches.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
-    drop(member, held)
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
@@ -226,58 +242,42 @@ def _across(member: DataFrame, found: DataFrame, classes: DataFrame, held: DataF
     test, in the join's condition, is exact: no link is lost, and what passes
     is nearly all links.
     """
-    found = materialised(found).select(F.col("node").alias("rep"), "component")
-    part = member.join(found, "rep", "left").select(F.col("bucket").alias("key"), "band", "rep", F.coalesce("component", "rep").alias("component"))
-    part = materialised(_torn(materialised(part), classes))
+    own = found.select(F.col("node").alias("rep"), "component")
+    whole = materialised(member.join(own, "rep", "left").select(F.col("bucket").alias("key"), "rep", F.coalesce("component", "rep").alias("component")))
+    torn = materialised(_torn(whole))
+    drop(whole, found)
     words = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)]
     width = float(-np.log(percent / 100))
-    part = part.join(classes.select("rep", "n_shingles", *words), "rep")
+    part = torn.join(classes.select("rep", "n_shingles", *words), "rep")
     part = materialised(part.withColumn("cls", F.floor(F.log("n_shingles") / width)))
     sides = []
     for side in "ab":
         keep = [F.col(f"p{i}").alias(f"{side}{i}") for i in range(PARITY_WORDS)]
-        own = part.withColumn("blocks", F.ceil(F.col("work") / BLOCK_WORK).cast("int"))
+        # a grid of blocks: each member is copied along one side of it
+        own = part.withColumn("grid", F.ceil(F.sqrt(F.col("work") / BLOCK_WORK)).cast("int"))
+        dealt, every = F.pmod(F.xxhash64("rep", F.lit(ord(side))), F.col("grid")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1))
         if side == "a":
-            own = own.where(F.col("component") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            own = own.where(F.col("component") != F.col("main")).withColumn("down", dealt).withColumn("along", every)
         else:
-            own = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("cls", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)))
-        sides.append(own.select("key", "block", "cls", F.col("rep").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("component").alias(f"c{side}"), F.col("main").alias(f"m{side}"), *keep))
+            own = own.withColumn("along", dealt).withColumn("down", every).withColumn("cls", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)))
+        sides.append(own.select("key", "down", "along", "cls", F.col("rep").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("component").alias(f"c{side}"), F.col("main").alias(f"m{side}"), *keep))
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
     once = (F.col("a") < F.col("b")) | (F.col("cb") == F.col("mb"))
     meet = once & (F.col("ca") != F.col("cb")) & _sizes_allow("na", "nb", percent) & near
     one, two = sides
-    pairs = one.join(two, (one["key"] == two["key"]) & (one["block"] == two["block"]) & (one["cls"] == two["cls"]) & meet).select("a", "b").distinct()
-    return _confirmed(pairs, held, percent)
+    pairs = one.join(two, (one["key"] == two["key"]) & (one["down"] == two["down"]) & (one["along"] == two["along"]) & (one["cls"] == two["cls"]) & meet).select("a", "b").distinct()
+    out = _confirmed(pairs, held, percent)
+    drop(torn, part)
+    return out
 
 
-def _torn(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+def _torn(keyed: DataFrame) -> DataFrame:
     """(key, rep, component, main, work): members of buckets in several components; main is the largest one's.
 
-    A bucket's work is its members outside of the main component times all of
-    them.  Where that is too much, members are keyed anew by each further band
-    of theirs, so that pairs meet that share two bands, and so on, as long as
-    that makes for less work; sets that are alike but for a little share most
-    bands and are better compared at once.
+    A bucket's work is its members outside of the main component times all of them.
     """
-    columns = ["key", "rep", "component", "main", "work"]
-    out: DataFrame | None = None
-    crowd, before = None, None
-    for shared in range(1, MOST_SHARED + 1):
-        parts = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        keys = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).where("n > main.n")
-        keys = materialised(keys.select("key", F.col("main.component").alias("main"), ((F.col("n") - F.col("main.n")) * F.col("n")).alias("work")))
-        work, crowded = keys.agg(F.sum("work"), F.sum(F.when(F.col("work") > CROWDED, F.col("work")))).first()
-        if before is not None and (work or 0) >= before:
-            return out.union(crowd.select(columns))
-        torn = keyed.join(keys, "key")
-        last = shared == MOST_SHARED or not crowded
-        fine = (torn if last else torn.where(F.col("work") <= CROWDED)).select(columns)
-        out = fine if out is None else out.union(fine)
-        if last:
-            break
-        crowd, before = torn.where(F.col("work") > CROWDED), crowded
-        more = crowd.select("key", "band", "rep", "component").join(classes.select("rep", "bands"), "rep")
-        more = more.select("key", "band", "rep", "component", F.posexplode("bands").alias("next", "other")).where("next > band")
-        keyed = materialised(more.select(F.xxhash64("key", "other").alias("key"), F.col("next").alias("band"), "rep", "component"))
-    return out
+    parts = keyed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).where("n > main.n")
+    keys = materialised(keys.select("key", F.col("main.component").alias("main"), ((F.col("n") - F.col("main.n")) * F.col("n")).alias("work")))
+    return keyed.join(keys, "key").select("key", "rep", "component", "main", "work")

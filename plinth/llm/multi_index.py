@@ -266,7 +266,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, target: float = 0.995)
     Reads vec_id and embedding only.  Vectors that are null, empty or zero or
     hold a null or a non-finite component link with nothing.  Vectors of each
     length have an index of their own.  vec_id is a key: rows that repeat an id
-    are one vector.  An empty table gives an empty one.  Runs Spark jobs before
+    are one vector; rows without one stand alone, each of them.  An empty table gives an empty one.  Runs Spark jobs before
     it returns.
     """
     double = F.transform("embedding", lambda x: x.cast("double"))
@@ -276,7 +276,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, target: float = 0.995)
     source = source.withColumn("sound", sound).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64("vector", F.lit(7)))
     good = source.where("sound")
     lengths = [r["d"] for r in good.groupBy(F.size("vector").alias("d")).count().where("count > 1").orderBy(F.desc("count"), "d").collect()]
-    member = source.dropDuplicates(["vec_id"]).select("vec_id", "h1", "h2", "sound")
+    known = source.where("vec_id is not null").dropDuplicates(["vec_id"])
+    member = known.unionByName(source.where("vec_id is null")).select("vec_id", "h1", "h2", "sound")
     result: DataFrame | None = None
     for d in lengths:
         one = _linked(good.where(F.size("vector") == d).dropDuplicates(["vec_id"]), d, _is_float(vectors), cosine, target)

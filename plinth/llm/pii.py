@@ -62,7 +62,9 @@ ENDINGS = {
 SHAPE_TWEAKS = 64
 
 _TITLE_OF = {t: g for g, titles in TITLES.items() for t in titles}
-_CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ][A-Za-zÀ-ÖØ-öø-ÿĀ-žА-яёΑ-ώ'’-]+"
+#: Capitals of the Latin letters beyond the first 256 characters, and of the other Cyrillic letters.
+_MORE_CAPITALS = "".join(c for c in map(chr, [*range(0x100, 0x250), *range(0x400, 0x410), *range(0x490, 0x530)]) if c.isupper())
+_CAPITAL = rf"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ{_MORE_CAPITALS}][A-Za-zÀ-ÖØ-öø-ÿĀ-ɏЀ-ԯΑ-ώ'’-]+"
 _NAME = rf"{_CAPITAL}(?: (?!(?:{'|'.join(map(re.escape, _TITLE_OF))})\b){_CAPITAL}){{0,2}}"
 _FIND = re.compile(
     "|".join([
@@ -197,6 +199,16 @@ def _lower(text: str) -> str:
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _may_be_issued(digits: str) -> bool:
+    """Whether nine digits may be a social security number in use."""
+    return digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def _is_public(address: int) -> bool:
+    """Whether an IPv4 address lies in no private, loopback, multicast or reserved block of the first octet."""
+    return 1 <= address >> 24 <= 223 and address >> 24 not in (10, 127)
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         self.cipher = Cipher(key)
@@ -231,18 +243,21 @@ class Surrogates:
 
     def _ssn(self, text: str, tweak: int) -> str:
         digits = _digits(text)
+        issued = _may_be_issued(digits)
+        # numbers that are issued and others are permuted within their own, so no two meet
         while True:
             digits = self.cipher.shape(digits, f"ssn{tweak}")
-            if digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000":
+            if _may_be_issued(digits) == issued:
                 return _with_digits(text, digits)
 
     def _ip(self, text: str, tweak: int) -> str:
         value = int.from_bytes(bytes(map(int, text.split("."))), "big")
+        public = _is_public(value)
+        # public addresses and others are permuted within their own, so no two meet
         while True:
             value = self.cipher.permute(value, 1 << 32, f"ip{tweak}")
-            octets = value.to_bytes(4, "big")
-            if 1 <= octets[0] <= 223 and octets[0] not in (10, 127):
-                return ".".join(map(str, octets))
+            if _is_public(value) == public:
+                return ".".join(map(str, value.to_bytes(4, "big")))
 
     def _ip6(self, text: str, tweak: int) -> str:
         return self.cipher.shape(text, f"ip6{tweak}", hexadecimal=True)

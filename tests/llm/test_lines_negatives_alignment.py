@@ -258,3 +258,47 @@ def test_owners_give_links_and_cuts():
 
 def test_alignment_of_an_empty_table(spark):
     assert A.align(spark.createDataFrame([], "doc_id long, text string"), *paths()).count() == 0
+
+
+# Earlier operators, mended this round
+
+
+def test_addresses_and_numbers_keep_apart():
+    """A walk within its own set is one to one: every value of a small space, issued or not, has a surrogate of its own kind."""
+    from plinth.llm.pii import Surrogates, _is_public, _may_be_issued
+
+    make = Surrogates(b"key").makers
+    rng = random.Random(4)
+    addresses = sorted({".".join(map(str, (rng.choice([0, 10, 127, 224, 255, rng.randrange(256)]), *(rng.randrange(256) for _ in range(3))))) for _ in range(4000)} | {"139.134.86.73", "254.179.211.223"})
+    number = lambda text: int.from_bytes(bytes(map(int, text.split("."))), "big")
+    got = [make["ip"](a, 0) for a in addresses]
+    assert len(set(got)) == len(addresses) and all(_is_public(number(a)) == _is_public(number(b)) for a, b in zip(addresses, got))
+    numbers = sorted({f"{rng.choice(['000', '666', '002', '113', f'{rng.randrange(1000):03d}'])}-{rng.choice(['00', '56', f'{rng.randrange(100):02d}'])}-{rng.choice(['0000', f'{rng.randrange(10000):04d}'])}" for _ in range(4000)} | {"002-56-0228", "113-00-6654"})
+    got = [make["ssn"](n, 0) for n in numbers]
+    bare = lambda text: text.replace("-", "")
+    assert len(set(got)) == len(numbers) and all(_may_be_issued(bare(a)) == _may_be_issued(bare(b)) for a, b in zip(numbers, got))
+
+
+@pytest.mark.parametrize("name", ["Łukasz Nowak", "Šimon Dvořák", "Çelik Yılmaz", "Đorđe Petrović", "Ірина Шевченко", "Žofie Čapková"])
+def test_names_of_more_letters_are_found(spark, name):
+    from plinth.llm.pii import surrogate_documents
+
+    docs = spark.createDataFrame([(1, f"We met Mr {name} there.")], "doc_id long, text string")
+    out = surrogate_documents(docs).first()["text"]
+    assert not any(part in out for part in name.split()) and out.startswith("We met Mr ") and out.endswith(" there.")
+
+
+def test_vectors_without_an_id_stand_alone(spark):
+    from plinth.llm.multi_index import near_vectors
+
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.0]), (None, None), (3, [1.0, 0.0]), (4, [1.0, 0.001])]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1, r["kept"]) for r in got) == [(-1, 0, -1, True)] * 3 + [(3, 1, 3, True), (4, 1, 3, False)]
+
+
+def test_sketches_of_long_texts_are_made_in_parts():
+    from plinth.llm import minhash as M
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n if n else None for n in (0, 5, 3, 9_000_000, 1, 1, 0)])], ["text"])
+    assert [p.num_rows for p in M._parts(batch)] == [3, 1, 3]
+    assert [p.num_rows for p in M._parts(pa.RecordBatch.from_arrays([pa.array(["a"] * 2500)], ["text"]))] == [1000, 1000, 500]

@@ -87,7 +87,6 @@ def test_near_duplicates_null_ids_and_empty_table(spark):
 
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     """Documents that share half of their words, so that buckets are torn, and near copies among them."""
-    monkeypatch.setattr("plinth.llm.minhash.CROWDED", 40)
     monkeypatch.setattr("plinth.llm.minhash.BLOCK_WORK", 100)
     monkeypatch.setattr("plinth.llm.minhash.BLOCK_MEMBERS", 3)
     rng = random.Random(12)
