@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT
@@ -95,6 +95,51 @@ def sorted_parameters(parameters: DataFrame) -> DataFrame:
     return parameters.orderBy(F.col("read_only"), "name")
 
 
+def typed_parameters(elements: DataFrame, parameters: str, read_only: list[str], feet_to_mm: float = 304.8) -> DataFrame:
+    """Every parameter of every element, typed by the class it is stored as.
+
+    ``parameters``: a VARIANT object.  Fractions are lengths in feet (value_mm, two
+    places), whole numbers and booleans value_int, text value_str (null as empty), objects
+    with an ``id`` value_id.  Names that are blank, and values of other kinds, drop out.
+    ``place`` numbers an element's parameters from 1: those to be edited first, by name.
+    """
+    held = elements.where(F.col(parameters).isNotNull())
+    each = held.lateralJoin(elements.sparkSession.tvf.variant_explode(F.col(parameters).outer())).drop(parameters, "pos")
+    kind = F.schema_of_variant("value")
+    each = each.where(F.trim("key") != "").withColumn("storage_type", F.when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "Double").when(kind.isin("BIGINT", "BOOLEAN"), "Integer").when(kind.isin("STRING", "VOID"), "String").when(kind.startswith("OBJECT"), "ElementId"))
+    stored = F.col("storage_type")
+    whole = F.coalesce(F.try_variant_get("value", "$", "long"), F.try_variant_get("value", "$", "boolean").cast("long"))
+    out = each.where(stored.isNotNull() & ((stored != "ElementId") | F.try_variant_get("value", "$.id", "long").isNotNull())).withColumns({
+        "name": F.col("key"), "is_read_only": F.col("key").isin(*read_only) if read_only else F.lit(False),
+        "value_mm": F.when(stored == "Double", F.bround(F.try_variant_get("value", "$", "double") * feet_to_mm, 2)),
+        "value_int": F.when(stored == "Integer", whole),
+        "value_str": F.when(stored == "String", F.coalesce(F.try_variant_get("value", "$", "string"), F.lit(""))),
+        "value_id": F.when(stored == "ElementId", F.try_variant_get("value", "$.id", "long")),
+    })
+    own = [c for c in elements.columns if c != parameters]
+    order = Window.partitionBy(*own).orderBy("is_read_only", "name")
+    return out.withColumn("place", F.row_number().over(order)).select(*own, "place", "name", "storage_type", "is_read_only", "value_mm", "value_int", "value_str", "value_id")
+
+
+def session_state(levels: DataFrame, types: DataFrame, placed: DataFrame) -> DataFrame:
+    """What a session holds, as rows (session_id, part, place, name, value): levels by height, families by name with their number of types, and what was placed, in order.
+
+    ``levels``: session_id, name, elevation in feet.  ``types``: session_id, family,
+    type_name.  ``placed``: session_id, element_id, ord.
+    """
+    place = lambda *by: F.row_number().over(Window.partitionBy("session_id").orderBy(*by))
+    height = F.bround(F.col("elevation") * 304.8, 1)
+    rows = levels.select("session_id", F.lit("level").alias("part"), place("elevation", "name").alias("place"), "name", height.alias("value"))
+    families = types.groupBy("session_id", "family").agg(F.countDistinct("type_name").cast("double").alias("n"))
+    rows = rows.union(families.select("session_id", F.lit("family"), place("family"), "family", "n"))
+    return rows.union(placed.select("session_id", F.lit("placed"), place("ord"), F.col("element_id").cast("string"), F.col("ord").cast("double")))
+
+
+def type_counts(inventory: DataFrame, keys: list[str]) -> DataFrame:
+    """Types of an inventory, for each of ``keys``."""
+    return inventory.groupBy(*keys).agg(F.count("*").alias("n_types"))
+
+
 def job_status(events: DataFrame) -> DataFrame:
     """The latest event of each job decides its status."""
     last = last_wins(events, ["job_id"], ["ts", "event_id"])

@@ -18,13 +18,16 @@ def axis_lines(spans: DataFrame, width: float, height: float, margin_px: float)
     Letters at the left and right page margins name the y lines, numbers in
     the top and bottom rows between the margins the x lines.  A line lies at the
     upper median of its bubbles.  Margins and rows without bubbles fall back
-    to fixed shares of the page.  ``spans``: page, text, x, y in pixels.
+    to fixed shares of the page.  ``spans``: page, text, x, y in pixels.  Runs a
+    Spark job before it returns.
     """
     x, y = F.col("x"), F.col("y")
     inside = (x > 0) & (x < width) & (y > 0) & (y < height) & in_perimeter(x, y, F.lit(width), F.lit(height))
     letter = F.col("text").rlike("^[A-Za-z]{1,2}$")
     number = F.col("text").rlike("^[0-9]+$") & F.col("text").try_cast("int").between(1, DEFAULT.grid_digit_max)
     marks = spans.where(letter | number).withColumns({"letter": letter, "inside": inside, "left": x < width / 2, "top": y < height * 0.5})
+    # a few spans of each page, read five times below
+    marks = materialised(marks)
     page = Window.partitionBy("page")
     h = marks.where("letter and inside").withColumn("edge", F.when(F.col("left"), F.min(F.when(F.col("left"), x)).over(page)).otherwise(F.max(F.when(~F.col("left"), x)).over(page)))
     h = h.where(F.abs(x - F.col("edge")) <= margin_px)

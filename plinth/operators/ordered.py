@@ -18,6 +18,38 @@ def upper_median(values: Column) -> Column:
     return F.try_element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
 
 
+def upper_medians(df: DataFrame, keys: list[str], values: dict[str, Column], parts: int = 200) -> DataFrame:
+    """The upper median of each of ``values``, for groups of any size.
+
+    Rows become (value, count), combined before they are dealt, and are dealt by
+    key and range of the value; the ranges' sums say in which one, and how far
+    into it, the middle lies.  No list and no task holds a group.  Groups
+    without a value get a null.  Runs a Spark job first, for the ranges.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("_what"), c.cast("double").alias("_v")) for n, c in values.items()]))
+    counted = df.select(*keys, each.alias("_e")).select(*keys, "_e.*").groupBy(*keys, "_what", "_v").agg(F.count("*").alias("_n"))
+    held = ranged_by(counted.where("_v is not null"), "_v", cut_points(df.select(each.alias("_e")).select("_e._v"), "_v", parts))
+    group = [*keys, "_what"]
+    sums = held.groupBy(*group, "_r").agg(F.sum("_n").alias("_in"))
+    # a few ranges for each group
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_in").over(whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*group, "_r", before.alias("_before"), F.floor(F.sum("_in").over(whole) / 2).alias("_middle"), "_in").where("_middle >= _before and _middle < _before + _in")
+    same = F.col("_r") == F.col("_o_r")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    inside = held.join(sums.select(*[F.col(c).alias(f"_o_{c}") for c in group], F.col("_r").alias("_o_r"), "_before", "_middle"), same)
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("_upto", upto).where("_middle < _upto and _middle >= _upto - _n")
+    picked = [F.max(F.when(F.col("_what") == n, F.col("_v"))).alias(n) for n in values]
+    out = found.groupBy(*keys).agg(*picked)
+    groups = counted.select(*keys).distinct()
+    match = F.lit(True)
+    for c in keys:
+        match = match & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return groups.join(out.select(*[F.col(c).alias(f"_o_{c}") for c in keys], *values), match, "left").select(*keys, *values)
+
+
 def half_even_median(values: Column) -> Column:
     """Aggregate: the mean of the middle values, half to even, as an integer."""
     return F.bround(F.median(values), 0).cast("int")

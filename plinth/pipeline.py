@@ -86,7 +86,7 @@ def run(inputs: Inputs, config: Config | None = None, save: Save | None = None,
 
     stack = stage("levels", project_levels)
     ids = inputs.canonical.select("storey_id").distinct()
-    storeys = stage("storeys", lambda: levels.storey_levels(ids, stack.withColumn("level_id", F.lit(0))).withColumn("slab_mm", F.lit(config.slab_mm)))
+    storeys = stage("storeys", lambda: emit.slab_zones(levels.storey_levels(ids, stack.withColumn("level_id", F.lit(0))), config.slab_zones, config.slab_mm))
     typed = stage("typed", lambda: resolve.resolve(columns, inputs.inventory, ["storey_id", "canonical_idx"]))
     # what the next run starts with
     stage("inventory", lambda: resolve.grown_inventory(inputs.inventory, typed, ["storey_id", "canonical_idx"]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classification, model, payloads, sessions  # noqa: F401
+from . import classification, details, model, payloads, sessions  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 #: The query whose plan uses the most operators.

@@ -115,6 +115,12 @@ def saved_inventory(spark: SparkSession, path: str) -> DataFrame:
     return own.join(F.broadcast(sound.where("_sound")).drop("_sound")).unionByName(starter.join(F.broadcast(sound.where("not _sound")).drop("_sound")))
 
 
+def _switch(text: str) -> bool:
+    if text not in ("0", "1"):
+        raise ValueError(text)
+    return text == "1"
+
+
 @dataclass
 class Config:
     """User rules and overrides; anything left out keeps its default."""
@@ -127,6 +133,13 @@ class Config:
     families: dict[str, str] = field(default_factory=dict)
     #: Whether detections are used; without them a sheet has no columns.
     detect: bool = True
+    #: Whether pages that no rule decides go to the judge, how often it is asked again, and how long it may take.
+    judge: bool = True
+    judge_retries: int = 2
+    judge_timeout_s: float = 240.0
+    #: Where jobs keep their files, and how many run at once.
+    jobs_root: str = "jobs"
+    jobs_at_once: int = 3
 
     @classmethod
     def from_dict(cls, raw: dict) -> Config:
@@ -149,13 +162,22 @@ class Config:
         }
 
     def with_environment(self, environment: Mapping[str, str]) -> Config:
-        """With what PLINTH_SLAB_MM and PLINTH_DETECT (0 or 1) set; others stay."""
-        out = replace(self)
-        if environment.get("PLINTH_SLAB_MM"):
-            out.slab_mm = float(environment["PLINTH_SLAB_MM"])
-        if environment.get("PLINTH_DETECT"):
-            out.detect = environment["PLINTH_DETECT"] != "0"
-        return out
+        """With what the environment sets; others stay.
+
+        PLINTH_ and the setting's name in capitals: SLAB_MM, DETECT and JUDGE (0 or
+        1), JUDGE_RETRIES, JUDGE_TIMEOUT_S, JOBS_ROOT, JOBS_AT_ONCE.  A value
+        that can't be read is an error that names it.
+        """
+        readers = {"slab_mm": float, "detect": _switch, "judge": _switch, "judge_retries": int, "judge_timeout_s": float, "jobs_root": str, "jobs_at_once": int}
+        found = {}
+        for name, read in readers.items():
+            text = environment.get(f"PLINTH_{name.upper()}")
+            if text:
+                try:
+                    found[name] = read(text)
+                except ValueError:
+                    raise ValueError(f"PLINTH_{name.upper()}: {text!r}") from None
+        return replace(self, **found)
 
     def save(self, spark: SparkSession, path: str) -> None:
         """As JSON, wherever Spark writes; a rerun replaces it."""
