@@ -60,13 +60,13 @@ def find_symbols(wanted: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def families_with_types(families: DataFrame, types: DataFrame) -> DataFrame:
-    """Families that have types, with them in order."""
-    packed = types.groupBy("family").agg(F.array_sort(F.collect_set("type_name")).alias("types"))
-    return families.select("family").distinct().join(packed, "family")
+    """(family, type_name) of the families that have types; those without drop out."""
+    return families.select("family").distinct().join(types.select("family", "type_name").distinct(), "family")
 
 
 def types_by_category(elements: DataFrame) -> DataFrame:
-    return elements.groupBy("category").agg(F.array_sort(F.collect_set(F.concat_ws("::", "family", "type_name"))).alias("types"))
+    """(category, type): each ``family::type`` of a category once."""
+    return elements.select("category", F.concat_ws("::", "family", "type_name").alias("type")).distinct()
 
 
 def warning_ids(warnings: DataFrame, text: str, ids: Column, order: str) -> DataFrame:

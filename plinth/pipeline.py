@@ -103,6 +103,6 @@ def run(inputs: Inputs, config: Config | None = None, save: Save | None = None,
     gates = stage("gates", check)
     verdicts = stage("verdicts", lambda: emit.gate_verdicts(gates))
     passed = storeys.join(verdicts.where("all_passed").select("storey_id"), "storey_id", "left_semi")
-    stage("recipes", lambda: emit.recipe(emit.recipe_columns(placed), passed, stack))
+    stage("recipes", lambda: emit.recipe_rows(emit.recipe_columns(placed), passed, stack))
     stage("review", lambda: emit.review_items(out["classified"], columns, typed, gates))
     return out

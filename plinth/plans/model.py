@@ -14,6 +14,7 @@ from ..operators import greedy as GD
 from ..operators import grid as GR
 from ..operators import levels as L
 from ..operators import ordered as O
+from ..operators import payloads as PL
 from ..operators import reconcile as R
 from ..operators import resolve as S
 from ..operators import ranges as RG
@@ -346,9 +347,10 @@ def j1(spark, sf_dir):
     return matched(spark, sf_dir)
 
 
-@query("l2_p47_label_candidates", f"SELECT storey_id, canonical_idx, label, shape, dim_x, dim_y, diameter, is_steel, d AS distance, page_id FROM (SELECT *, row_number() OVER (PARTITION BY storey_id, canonical_idx, label, shape, dim_x, dim_y, diameter, is_steel ORDER BY d, enlarged_id) AS r FROM ({_PAIRS}) WHERE label IS NOT NULL) WHERE r = 1")
+@query("l2_p47_label_candidates", f"SELECT storey_id, canonical_idx, label, shape, dim_x, dim_y, diameter, is_steel, round_even(d, 2) AS distance, page_id FROM (SELECT *, row_number() OVER (PARTITION BY storey_id, canonical_idx, label, shape, dim_x, dim_y, diameter, is_steel ORDER BY d, enlarged_id) AS r FROM ({_PAIRS}) WHERE label IS NOT NULL) WHERE r = 1")
 def l2(spark, sf_dir):
-    return R.label_candidates(view(spark, sf_dir, "v_canonical"), view(spark, sf_dir, "v_enlarged"))
+    found = R.label_candidates(view(spark, sf_dir, "v_canonical"), view(spark, sf_dir, "v_enlarged"))
+    return found.withColumn("distance", PL.gap(F.col("distance")))
 
 
 _TUPLE = "label, shape, dim_x, dim_y, diameter, is_steel"

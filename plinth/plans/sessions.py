@@ -120,15 +120,15 @@ def a21(spark, sf_dir):
     return EL.merge_warnings(view(spark, sf_dir, "v_elements"), "warning", F.array(F.col("id"), F.col("id") + 1), "id")
 
 
-@query("a22_types_by_category", "SELECT category, md5(array_to_string(list_sort(list(DISTINCT concat(family, '::', type_name))), ',')) AS types FROM v_elements GROUP BY category")
+@query("a22_types_by_category", "SELECT DISTINCT category, concat(family, '::', type_name) AS type FROM v_elements")
 def a22(spark, sf_dir):
-    return EL.types_by_category(view(spark, sf_dir, "v_elements")).select("category", F.md5(F.array_join("types", ",")).alias("types"))
+    return EL.types_by_category(view(spark, sf_dir, "v_elements"))
 
 
-@query("sc25_families_with_types", "SELECT family, array_to_string(list_sort(list(DISTINCT type_name)), ',') AS types FROM v_elements WHERE family <> 'Brand#1' GROUP BY family")
+@query("sc25_families_with_types", "SELECT DISTINCT family, type_name FROM v_elements WHERE family <> 'Brand#1'")
 def sc25(spark, sf_dir):
     e = view(spark, sf_dir, "v_elements")
-    return EL.families_with_types(e, e.where("family <> 'Brand#1'")).select("family", F.array_join("types", ",").alias("types"))
+    return EL.families_with_types(e, e.where("family <> 'Brand#1'"))
 
 
 @query("sc26_session_levels", "SELECT level_no, count(*) AS n, min(extent) AS least FROM v_elements GROUP BY level_no ORDER BY level_no")
@@ -214,6 +214,15 @@ def t5_streamed(spark, sf_dir):
     return SS.with_state_provider(spark, lambda: EV.drain(SS.walk_sessions(actions, f"{_LATE} milliseconds", _IDLE // 60_000_000), "append"))
 
 
+@query("st1_appended_log", "SELECT job_id, stage, event_id, done FROM v_jobs")
+def st1_log(spark, sf_dir):
+    """Events appended to a log by two runs from one checkpoint: each once."""
+    path = scratch(spark)
+    for _ in range(2):
+        EV.append_events(_event_stream(spark, sf_dir), f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(EV.EVENT_SCHEMA).parquet(f"{path}/log").select("job_id", "stage", "event_id", F.col("done").cast("long").alias("done"))
+
+
 @query("st2_closed_windows", "SELECT epoch(start)::bigint AS start, stage, n FROM (SELECT date_trunc('hour', ts) AS start, stage, count(*) AS n FROM v_jobs GROUP BY ALL) WHERE epoch_us(start) + 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM v_jobs)")
 def st2_closed(spark, sf_dir):
     """Windows that the watermark has closed, in append mode: their state is gone."""
@@ -351,12 +360,14 @@ def sc1(spark, sf_dir):
 
 @query("sc17_sk14_x5_config", "SELECT n_name AS name, n_nationkey * 4500.0::double AS rl_mm, 250.0::double AS slab_mm, false AS detect FROM nation")
 def sc17(spark, sf_dir):
-    """A configuration saved and loaded, then changed by the environment."""
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", "n_nationkey").collect()
+    """A configuration saved and loaded, then changed by the environment; its levels are read as a table."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    level = F.struct("n_name", F.struct((F.col("n_nationkey") * 4500.0).alias("rl_mm")))
+    raw = nations.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(level)).alias("levels"), F.struct(F.lit(180.0).alias("default_thickness_mm")).alias("slabs"))).alias("value"))
     path = scratch(spark)
-    FI.Config(rules=[("x", "SECTION")], levels={r["n_name"]: r["n_nationkey"] * 4500.0 for r in nations}, slab_mm=180.0).save(spark, path)
+    raw.coalesce(1).write.text(path)
     config = FI.Config.saved(spark, path).with_environment({"PLINTH_SLAB_MM": "250", "PLINTH_DETECT": "0"})
-    return config.level_table(spark).select("name", "rl_mm", F.lit(config.slab_mm).alias("slab_mm"), F.lit(config.detect).alias("detect"))
+    return FI.level_overrides(spark, path).select("name", "rl_mm", F.lit(config.slab_mm).alias("slab_mm"), F.lit(config.detect).alias("detect"))
 
 
 @query("sc11_line_scan", "SELECT page, count(*) AS n, sum(x2 - x1) AS total, min(y1) AS top FROM v_segments WHERE cast(x1 AS int) % 3 <> 0 GROUP BY page")

@@ -115,6 +115,14 @@ def saved_inventory(spark: SparkSession, path: str) -> DataFrame:
     return own.join(F.broadcast(sound.where("_sound")).drop("_sound")).unionByName(starter.join(F.broadcast(sound.where("not _sound")).drop("_sound")))
 
 
+def level_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """(name, rl_mm) of a saved configuration's levels: a number each, or an object with ``rl_mm``."""
+    text = spark.read.text(path, wholetext=True)
+    entries = text.select(F.explode(F.from_json("value", "levels map<string, string>")["levels"]).alias("name", "raw"))
+    height = F.coalesce(F.get_json_object("raw", "$.rl_mm"), F.col("raw")).try_cast("double")
+    return entries.select("name", height.alias("rl_mm"))
+
+
 def _switch(text: str) -> bool:
     if text not in ("0", "1"):
         raise ValueError(text)

@@ -31,8 +31,8 @@ def check(out):
     assert len(grown) == 5 and grown["C9_R_1150x800"] == ("rectangular", 1, True)
     verdict = out["verdicts"].first()
     assert verdict["all_passed"] and verdict["warnings"] == ["enlarged_coverage"]
-    recipe = json.loads(out["recipes"].first()["recipe"])
-    assert [c["symbol"] for c in recipe["structural_columns"]] == ["C9_R_1150x800"] and [x["elevation"] for x in recipe["levels"]] == [8100, 12600]
+    recipe = [(r["part"], json.loads(r["body"])) for r in out["recipes"].collect()]
+    assert [c["symbol"] for p, c in recipe if p == "structural_column"] == ["C9_R_1150x800"] and sorted(x["elevation"] for p, x in recipe if p == "level") == [8100, 12600]
     kinds = sorted((r["kind"], r["key"]) for r in out["review"].collect())
     assert kinds == [("discarded", "2"), ("missing", "L3/1"), ("rejected", "L3/1"), ("unresolved", "3"), ("warning", "L3")]
 
@@ -49,7 +49,7 @@ def test_saved_stages_events_and_overrides(spark, tmp_path):
     config = Config.from_dict({"levels": {"L3": {"rl_mm": 8000}}, "slabs": {"default_thickness_mm": 0}})
     moved = run(inputs(spark), config)
     assert {r["name"]: r["rl_mm"] for r in moved["levels"].collect()} == {"L3": 8000, "L4": 12600}
-    assert moved["verdicts"].first()["hard_failures"] == ["slab_thickness_present"] and moved["recipes"].count() == 0
+    assert moved["verdicts"].first()["hard_failures"] == ["slab_thickness_present"] and moved["recipes"].where("part <> 'level'").count() == 0
 
 
 def test_without_detections_there_are_no_columns(spark):
