@@ -38,7 +38,7 @@ HEADINGS, PARAGRAPHS = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "blockquote",
 FURNITURE = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "fieldset", "head"}
 #: Words of class, id and role that name page furniture, whatever stands beside them.
 FURNITURE_NAMES = {
-    "ad", "ads", "adv", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer",
+    "ad", "ads", "adv", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "disqus", "feedback", "footer",
     "gdpr", "login", "masthead", "modal", "nav", "navbar", "navigation", "newsletter", "pagination", "popup", "promo", "promoted", "replies", "respond", "sidebar", "signup", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
@@ -47,6 +47,8 @@ FURNITURE_HINTS = {
     "banner", "bar", "copyright", "discussion", "header", "legal", "menu", "notice", "notification", "notifications", "pager", "promotion", "related", "reply", "search", "share", "sharing",
     "skip", "social", "tags", "teaser",
 }
+#: Those of them that inside an article name its subject as well.
+SUBJECTS = {"discussion", "legal", "search"}
 ARRANGEMENT = {
     "area", "block", "bottom", "box", "button", "buttons", "container", "content", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "module", "page",
     "panel", "post", "posts", "right", "row", "section", "site", "slot", "stories", "text", "title", "to", "top", "unit", "wrap", "wrapper", "zone",
@@ -262,10 +264,14 @@ def _furniture(name: str, attributes: dict[str, str], article: bool) -> int:
         for token in attributes.get(key, "").lower().split():
             words = set(_WORD.findall(token))
             hints = words & FURNITURE_HINTS
-            if words & FURNITURE_NAMES or hints and words <= FURNITURE_HINTS | ARRANGEMENT:
+            if words & FURNITURE_NAMES:
                 return 2
-            if hints and not (hints == {"header"} and words & {"article", "entry", "post", "story"}):
-                found = 1
+            if not hints or name in ("article", "main") or hints == {"header"} and words & {"article", "entry", "post", "story"}:
+                continue
+            # a part of an article may be named by its subject: there density decides
+            if words <= FURNITURE_HINTS | ARRANGEMENT and not (article and words <= SUBJECTS):
+                return 2
+            found = 1
     return found
 
 
@@ -379,7 +385,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Reads page_id, url and html.  Null and empty html, and pages without main
     text, give an empty text and 0.  Ids and urls are passed on as they are,
     null or repeated.  Unclosed and stray tags do not lose text, but an unclosed
-    script, style, textarea or title runs to the end of the page, as in a browser.
+    script, style, textarea, title or comment runs to the end of the page, as in a
+    browser.
     A page takes time in proportion to its length, however broken it is.
     """
 

@@ -302,3 +302,24 @@ def test_sketches_of_long_texts_are_made_in_parts():
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * n if n else None for n in (0, 5, 3, 9_000_000, 1, 1, 0)])], ["text"])
     assert [p.num_rows for p in M._parts(batch)] == [3, 1, 3]
     assert [p.num_rows for p in M._parts(pa.RecordBatch.from_arrays([pa.array(["a"] * 2500)], ["text"]))] == [1000, 1000, 500]
+
+
+@pytest.mark.parametrize("page", [
+    "<body><article class='legal'><p>{0}</p></article></body>",
+    "<body><article><h1>Title</h1><section id='search'><p>{0}</p></section></article></body>",
+    "<body><main class='search'><div class='legal'><p>{0}</p></div></main></body>",
+    "<body><article><p class='byline'>By A. Writer, who reports from the coast for this paper</p><p>{0}</p></article></body>",
+])
+def test_articles_that_bear_a_doubtful_name_stay(page):
+    from plinth.llm.html_text import main_text
+
+    words = " ".join(f"word{i}" for i in range(80))
+    text = main_text(page.format(words))
+    assert words in text and ("byline" not in page or "By A. Writer" in text)
+
+
+def test_feedback_of_readers_goes():
+    from plinth.llm.html_text import main_text
+
+    words, said = (" ".join(f"{w}{i}" for i in range(60)) for w in ("word", "said"))
+    assert main_text(f"<body><article><p>{words}</p><div class='reader-feedback'><p>{said}</p></div></article></body>") == words
