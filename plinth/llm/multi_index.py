@@ -31,7 +31,7 @@ from .storage import drop, materialised
 
 #: Rows the codebooks are fitted on for each codeword, and components of such rows in all, at most.
 SAMPLE_ROWS, SAMPLE_VALUES = 8, 1 << 24
-#: Query vectors of the recall measurement: at first, and at most; four times more each time.
+#: Query vectors of the recall measurement: at first, and at most, but for long vectors; four times more each time.
 PROBE_QUERIES, MOST_PROBES = 2048, 32768
 #: Vectors a cell is meant to hold, and codewords of a codebook at most.
 CELL_ROWS, MOST_WORDS = 256, 8192
@@ -339,7 +339,9 @@ def calibrate(classes: DataFrame, index: MultiIndex, total: int, fitted: np.ndar
     every vector has been a probe and so nothing is left unseen.
     """
     groups = links = 0
-    count = PROBE_QUERIES
+    # probes travel to all tasks: as many as the components allow
+    most = max(1, min(MOST_PROBES, SAMPLE_VALUES // (index.first.shape[1] + index.second.shape[1])))
+    count = min(PROBE_QUERIES, most)
     while True:
         whole = total <= count
         # by the hash's range, not by order, so that no task holds them all
@@ -356,9 +358,9 @@ def calibrate(classes: DataFrame, index: MultiIndex, total: int, fitted: np.ndar
         groups, links = len({r["least"] for r in rows}), sum(r["n"] for r in rows)
         if whole or groups >= 3 / (1 - target):
             return max(LEAST_CELLS, int((max((r["rank"] for r in rows), default=0) + 1) * 1.25) + 1), groups, links
-        if count >= MOST_PROBES:
+        if count >= most:
             return None, groups, links
-        count = min(4 * count, MOST_PROBES)
+        count = min(4 * count, most)
 
 
 def _meetings(placed: DataFrame, block_rows: int) -> DataFrame:
