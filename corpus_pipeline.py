@@ -15,7 +15,7 @@ from plinth.llm.packing import pack
 from plinth.llm.pii import surrogate_documents
 from plinth.llm.quality_gam import filter_quality
 from plinth.llm.queries import _byte_bpe
-from plinth.llm.storage import materialised
+from plinth.llm.storage import drop, materialised
 from plinth.llm.substring import cut_repeats
 
 #: Similarity, in per cent, from which two documents are near copies.
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = materialised(stage(spark, docs, sf_dir))
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
