@@ -28,7 +28,7 @@ SHINGLE_WORDS = 5
 #: Rows of a band, and the chance that a pair at the threshold meets in no band.
 ROWS, MISSED = 4, 1e-6
 #: Texts, and bytes of them, whose sets are sketched at once.
-SKETCH_ROWS, SKETCH_BYTES = 1000, 8 << 20
+SKETCH_ROWS, SKETCH_BYTES = 400, 2 << 20
 #: Comparisons a block of a bucket is meant to hold.
 BLOCK_WORK = 20_000_000
 #: Members a lead's text is sent with.
