@@ -8,7 +8,9 @@ ahead of it and may conflict with it, or with what it stands for; then all rows
 with a kept one are out.  The very first row is never held up, so each round
 decides some, and where order and place have little to do with each other the
 number of rounds grows with the logarithm of the table.  Every step is a
-combined aggregate or a join on places; rounds are cut by written tables.
+combined aggregate or a merge join on places (sizes of written tables say
+nothing of the copies made of their rows, so none is broadcast); rounds are
+cut by written tables.
 """
 
 from __future__ import annotations
@@ -61,9 +63,9 @@ def first_independent(
             rounds.append(size)
         heads = left.groupBy(*cell).agg(F.min(F.struct(*order, *[c for c in rest if c not in cell])).alias("_first"))
         heads = materialised(heads.select(*[F.col(c) if c in cell else F.col(f"_first.{c}").alias(c) for c in names]))
-        kept = materialised(heads.join(prefixed(heads), meets(earlier & may_conflict(ahead)), "left_anti"))
+        kept = materialised(heads.join(prefixed(heads).hint("merge"), meets(earlier & may_conflict(ahead)), "left_anti"))
         parts.append(kept)
-        after = materialised(left.join(prefixed(kept), meets(itself | conflict(ahead)), "left_anti"))
+        after = materialised(left.join(prefixed(kept).hint("merge"), meets(itself | conflict(ahead)), "left_anti"))
         drop(left, heads)
         left = after
     out = rows.limit(0) if not parts else parts[0]
@@ -114,13 +116,13 @@ def find_or_create(df: DataFrame, shape: str, sizes: list[str], order: list[str]
     types = size_cells(known.select(shape, *sizes, "type_ord", "type_name"), sizes, tolerance)
     prefixed = lambda d: near_cells(d, sizes).select(*[F.col(c).alias(f"_k_{c}") for c in d.columns])
     meets = _all([F.col(c) == F.col(f"_k_{c}") for c in cells]) & close("_k_")
-    new = firsts.join(prefixed(types), meets, "left_anti")
+    new = firsts.join(prefixed(types).hint("merge"), meets, "left_anti")
     made = first_independent(new, order, cells, cells, lambda d: near_cells(d, sizes), close, lambda _: F.lit(True), rounds)
     nothing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order]
     both = types.select(*cells, *sizes, "type_ord", *nothing, "type_name").unionByName(made.select(*cells, *sizes, F.lit(None).cast(known.schema["type_ord"].dataType).alias("type_ord"), *order, F.col("new_name").alias("type_name")))
     first_type = F.min(F.struct(F.col("_k_type_ord").isNull().alias("created"), F.col("_k_type_ord").alias("at"), *[F.col(f"_k_{c}").alias(f"o_{c}") for c in order], F.col("_k_type_name").alias("type_name")))
     keys = [shape, *sizes, *order]
-    found = firsts.join(prefixed(both), meets).groupBy(*keys).agg(first_type.alias("t"))
+    found = firsts.join(prefixed(both).hint("merge"), meets).groupBy(*keys).agg(first_type.alias("t"))
     own = _all([F.col(f"t.o_{c}") == F.col(c) for c in order])
     return found.select(*keys, F.col("t.type_name").alias("type_name"), F.coalesce(F.col("t.created") & own, F.lit(False)).alias("created"))
 
@@ -185,7 +187,7 @@ def suppress(df: DataFrame, keys: list[str], ident: str, iou: float = DEFAULT.io
 
     kept = first_independent(boxes, ["_worse", "_id"], cell, place, spread, conflict, may_conflict, rounds)
     same = _all([F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(keys)]) & (F.col(ident) == F.col("_id"))
-    return df.where(whole).join(kept.select(*groups, "_id"), same, "left_semi").unionByName(df.where(~whole))
+    return df.where(whole).join(kept.select(*groups, "_id").hint("merge"), same, "left_semi").unionByName(df.where(~whole))
 
 
 def merge_tiles(df: DataFrame, keys: list[str], ident: str, iou: float = DEFAULT.iou, rounds: list[int] | None = None) -> DataFrame:
