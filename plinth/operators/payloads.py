@@ -18,19 +18,25 @@ OVERALL, ENLARGED, RECONCILED = ["x_axes", "y_axes", "columns_canonical"], ["col
 ELEVATION, TYPING, REVIEW, PROJECT = ["levels"], ["placements"], ["items"], ["levels"]
 
 
+def _even(value: Column, places: int) -> Column:
+    """To the nearest of so many places, as doubles are: a half only if the scaled value is one."""
+    scale = F.lit(10.0**places)
+    return F.rint(value.cast("double") * scale) / scale
+
+
 def ratio(value: Column) -> Column:
     """Aspects, confidences and errors: four places."""
-    return F.bround(value.cast("double"), 4)
+    return _even(value, 4)
 
 
 def position(value: Column) -> Column:
     """Axis positions in millimetres: three places."""
-    return F.bround(value.cast("double"), 3)
+    return _even(value, 3)
 
 
 def gap(value: Column) -> Column:
     """Distances in millimetres: two places."""
-    return F.bround(value.cast("double"), 2)
+    return _even(value, 2)
 
 
 def _lines(file: Column, part: int, at: Column, body: Column) -> list[Column]:

@@ -12,7 +12,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from fnmatch import fnmatchcase
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +34,7 @@ def _store(path: str):
 @dataclass
 class _Written(WriterCommitMessage):
     folder: str
-    files: list[str] = field(default_factory=list)
+    files: int = 0
 
 
 class PayloadSource(DataSource):
@@ -64,12 +66,13 @@ class PayloadWriter(DataSourceArrowWriter):
                 if document is None or document.name != name:
                     if document is not None:
                         document.close()
-                    if name in done.files or "/" in name or name.startswith("."):
+                    # names rise, so one that comes again is below the last or equal to it
+                    if (document is not None and name <= document.name) or "/" in name or name.startswith("."):
                         raise ValueError(f"{name}: no name for a payload, or its rows are not in order")
                     if not done.files:
                         store.create_dir(f"{base}/{done.folder}", recursive=True)
                     document = _Document(name, store.open_output_stream(f"{base}/{done.folder}/{name}"), self.lists)
-                    done.files.append(name)
+                    done.files += 1
                 document.add(part, body)
         if document is not None:
             document.close()
@@ -78,10 +81,6 @@ class PayloadWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, base = _store(self.path)
         written = [m for m in messages if isinstance(m, _Written) and m.files]
-        names = [name for m in written for name in m.files]
-        if len(set(names)) < len(names):
-            self.abort(messages)
-            raise ValueError("rows of one payload were dealt to several tasks")
         store.create_dir(base, recursive=True)
         before = _current(store, base)
         draft = f"{base}/{self.run}.json"
@@ -153,7 +152,7 @@ def _remove(store, folder: str) -> None:
 def save_payloads(lines: DataFrame, path: str, lists: list[str]) -> None:
     """Publish documents from rows (file, part, at, body); what was there before is replaced, all at once.
 
-    Rows are dealt by file and sorted by Spark, which spills; a task streams
+    Rows are dealt by file, so a document has one task, and sorted by Spark, which spills; a task streams
     them, so a document may be of any length.  A failed run leaves what was there.
     """
     spark = lines.sparkSession
@@ -168,13 +167,50 @@ def load_payloads(spark: SparkSession, path: str, schema: str, glob: str = "*.js
     A document that is no JSON of the schema has nulls and an ``error``.  Without
     anything published there are no rows.
     """
+    return parsed_documents(published(spark, path, glob), schema)
+
+
+def published(spark: SparkSession, path: str, glob: str = "*", contents: bool = True) -> DataFrame:
+    """file, length and value (null without ``contents``) of each published document whose name fits ``glob``.
+
+    The driver knows the folders of the run's tasks only; a task lists a folder
+    and reads its documents one by one, so their number may be any.
+    """
     store, base = _store(path)
     current = _current(store, base)
     folders = [f"{path.rstrip('/')}/{f}" for f in current["folders"]] if current else []
     if not folders:
-        return spark.createDataFrame([], f"file string, error string, {schema}")
-    texts = spark.read.option("pathGlobFilter", glob).text(folders, wholetext=True)
-    return parsed_documents(texts.select(F.col("_metadata.file_name").alias("file"), "value"), schema)
+        return spark.createDataFrame([], "file string, length long, value string")
+    deal = spark.createDataFrame(spark.sparkContext.parallelize([(f,) for f in folders], len(folders)), "folder string")
+    return deal.mapInArrow(partial(_read, glob=glob, contents=contents), "file string, length long, value string")
+
+
+def _read(batches: Iterator[pa.RecordBatch], glob: str, contents: bool) -> Iterator[pa.RecordBatch]:
+    """The documents of the folders that come, a few megabytes or thousands at a time."""
+    from pyarrow import fs
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["file", "length", "value"])
+
+    rows: list[tuple] = []
+    held = 0
+    for folder in (f for b in batches for f in b.column(0).to_pylist()):
+        store, base = _store(folder)
+        for info in store.get_file_info(fs.FileSelector(base)):
+            if info.type != fs.FileType.File or not fnmatchcase(info.base_name, glob):
+                continue
+            text = None
+            if contents:
+                with store.open_input_stream(info.path) as source:
+                    text = source.read().decode("utf-8", "replace")
+            rows.append((info.base_name, info.size, text))
+            held += len(text or "")
+            if len(rows) >= 5000 or held >= 4_000_000:
+                yield batch(rows)
+                rows, held = [], 0
+    if rows:
+        yield batch(rows)
 
 
 def parsed_documents(texts: DataFrame, schema: str) -> DataFrame:
