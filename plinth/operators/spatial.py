@@ -4,6 +4,8 @@ A join on a distance alone compares all pairs.  Here both sides get the cell of
 a grid as wide as the radius; one side is copied to the nine cells round its
 own, so every pair within the radius meets in exactly one cell, and an
 exact test on the distance follows.  The keys spread over the cluster.
+The copies are merge-joined: Spark guesses their size from the files below,
+which know nothing of copies, and would broadcast far more than it may.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ def radius_join(left: DataFrame, right: DataFrame, on: list[str], left_xy: tuple
     meet = gap <= bound
     for c in [*on, "_bx", "_by"]:
         meet = (F.col(c) == F.col(f"_r_{c}")) & meet
-    joined = a.join(b, meet, how).withColumn("distance", gap)
+    joined = a.join(b.hint("merge"), meet, how).withColumn("distance", gap)
     return joined.drop("_bx", "_by", *[f"_r_{c}" for c in [*on, "_bx", "_by"]])
 
 
@@ -62,7 +64,7 @@ def radii_candidates(left: DataFrame, right: DataFrame, on: list[str], left_xy:
     b = right.join(levels, on).withColumn("_level", F.explode("_levels")).drop("_levels")
     b = b.withColumn("_bx", F.floor(rx / side)).withColumn("_by", F.floor(ry / side))
     gap = F.sqrt((lx - rx) * (lx - rx) + (ly - ry) * (ly - ry))
-    return a.join(b, [*on, "_level", "_bx", "_by"]).withColumn("distance", gap).drop("_level", "_bx", "_by")
+    return a.join(b.hint("merge"), [*on, "_level", "_bx", "_by"]).withColumn("distance", gap).drop("_level", "_bx", "_by")
 
 
 def nearest(pairs: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
