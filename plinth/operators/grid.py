@@ -98,6 +98,8 @@ def gap_spacings(lines: DataFrame, held: DataFrame) -> DataFrame:
     group = Window.partitionBy("page", "axis")
     order = group.orderBy("ord")
     gaps = lines.withColumn("gap_px", F.abs(F.lead("px").over(order) - F.col("px"))).where("gap_px is not null").select("page", "axis", F.col("ord").alias("gap"), "gap_px")
+    # a line's files are small for its rows: joins with gaps merge, too
+    gaps = gaps.hint("merge")
     modal = held.groupBy("page", "axis", "mm").agg(F.count("*").alias("n"), F.min(F.struct("gap", "span_id")).alias("first"))
     modal = modal.groupBy("page", "axis").agg(F.max(F.struct("n", F.negative("first.gap").alias("g"), F.negative("first.span_id").alias("s"), "mm")).alias("m")).select("page", "axis", F.col("m.mm").alias("modal"))
     middle = gaps.groupBy("page", "axis").agg(upper_median(F.col("gap_px")).alias("mid_px"))
@@ -106,8 +108,8 @@ def gap_spacings(lines: DataFrame, held: DataFrame) -> DataFrame:
     noted = gaps.join(modal, ["page", "axis"]).join(middle, ["page", "axis"]).withColumn("expected", expected).join(held, ["page", "axis", "gap"])
     noted = noted.where(off / F.greatest("expected", F.lit(1.0)) <= DEFAULT.dim_plausible)
     noted = noted.groupBy("page", "axis", "gap").agg(F.min(F.struct(off.alias("off"), "span_id", "mm")).alias("b")).select("page", "axis", "gap", F.col("b.mm").cast("double").alias("noted_mm"))
-    # read five times from here on
-    noted = materialised(noted)
+    # read five times from here on; merged, as its files say little of how many rows they hold
+    noted = materialised(noted).hint("merge")
     scale = gaps.join(noted, ["page", "axis", "gap"]).groupBy("page", "axis").agg(F.avg(F.col("gap_px") / F.col("noted_mm")).alias("px_per_mm"))
     # a note scaled by the mean is off by |wanted / mm - 1|: least at the next one on either side
     known = noted.groupBy("page", "axis", F.col("noted_mm").alias("mm")).agg(F.min("gap").alias("from_gap"))

@@ -29,10 +29,25 @@ def dyadic(low: Column, high: Column) -> Column:
     return F.filter(every, lambda r: r.isNotNull())
 
 
+def blocks(low: Column, high: Column, bits: int = 4) -> Column:
+    """As :func:`dyadic`, of every ``bits``-th level only: an interval takes more ranges, a point fewer look-ups."""
+
+    def at_level(k: Column) -> Column:
+        inside = lambda j: (F.call_function("shiftright", low.cast("long") + F.call_function("shiftleft", F.lit(1).cast("long"), j) - 1, j), F.call_function("shiftright", high.cast("long") + 1, j))
+        (first, last), (above, beyond) = inside(k), inside(k + bits)
+        run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+        larger = lambda n: F.call_function("shiftleft", n, F.lit(bits))
+        numbers = F.when(above < beyond, F.concat(run(first, larger(above)), run(larger(beyond), last))).otherwise(run(first, last))
+        return F.transform(numbers, lambda n: F.struct(k.alias("level"), n.alias("number")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS), F.lit(bits)), at_level))
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], at: str, low: str, high: str) -> DataFrame:
     """Pairs of equal ``on`` whose point lies strictly between ``low`` and ``high``.
 
-    An interval becomes its dyadic ranges, O(log width) rows, and a point looks
+    An interval becomes its ranges of 16^n integers, O(log width) rows, and a point
+    between the ends of its key's intervals looks
     up the range of each level that holds it, of the levels its key has: equal
     keys only, so a page with a million points and intervals forms no more
     pairs than there are hits, but for points in the unit cells at the ends.
@@ -45,13 +60,15 @@ def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], at: st
 def interval_candidates(points: DataFrame, intervals: DataFrame, on: list[str], at: str, low: str, high: str) -> DataFrame:
     """The pairs that :func:`interval_join` forms: those of points in a unit cell that an interval touches."""
     ends = intervals.where(F.col(low) < F.col(high))
-    ranged = ends.withColumn("_d", F.explode(dyadic(F.floor(low), F.floor(high))))
+    ranged = ends.withColumn("_d", F.explode(blocks(F.floor(low), F.floor(high))))
     ranged = ranged.select("*", F.col("_d.level").alias("_level"), F.col("_d.number").alias("_number")).drop("_d")
-    # a short list a key: at most 41 levels
-    levels = ranged.groupBy(*on).agg(F.collect_set("_level").alias("_levels"))
-    asked = points.join(levels, on).withColumn("_level", F.explode("_levels")).drop("_levels")
+    # a short list a key: at most 11 levels
+    levels = ranged.groupBy(*on).agg(F.collect_set("_level").alias("_levels"), F.min(F.floor(low)).alias("_least"), F.max(F.floor(high)).alias("_most"))
+    asked = points.join(levels, on).where(F.floor(at).between(F.col("_least"), F.col("_most")))
+    asked = asked.withColumn("_level", F.explode("_levels")).drop("_levels", "_least", "_most")
     asked = asked.withColumn("_number", F.call_function("shiftright", F.floor(at), F.col("_level")))
-    return asked.join(ranged, [*on, "_level", "_number"]).drop("_level", "_number")
+    # merged: the files below tell Spark nothing of how many ranges there are, and it would broadcast them
+    return asked.join(ranged.hint("merge"), [*on, "_level", "_number"]).drop("_level", "_number")
 
 
 def cut_points(df: DataFrame, value: str, parts: int = PARTS) -> list[float]:
