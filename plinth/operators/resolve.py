@@ -71,7 +71,8 @@ def resolve(columns: DataFrame, inventory: DataFrame, order: list[str], toleranc
     is_first = F.col("created")
     for c in order:
         is_first = is_first & (F.col(c) == F.col(f"first_{c}"))
-    typed = good.join(known, same).withColumn("tier", F.when(is_first, "CREATED").otherwise("MATCHED_EXACT"))
+    # every row has its sizes there; a left join never broadcasts the rows, however small their files
+    typed = good.join(known, same, "left").withColumn("tier", F.when(is_first, "CREATED").otherwise("MATCHED_EXACT"))
     keep = [*columns.columns, "tier", "type_name", "reason"]
     refused = asked.where("reason is not null").withColumns({"tier": F.lit("REJECTED"), "type_name": F.lit(None).cast("string")})
     return typed.select(*keep).unionByName(refused.select(*keep))
