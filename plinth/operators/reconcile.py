@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT
+from ..storage import materialised
 from .ordered import first_by
 from .spatial import radius_join
 
@@ -45,7 +46,8 @@ def match(canonical: DataFrame, enlarged: DataFrame, tolerance: float = DEFAULT.
     has = F.col("label").isNotNull()
     best = per_label.groupBy(*keys).agg(F.sum("n").alias("n_candidates"), F.count_if(has).alias("n_tuples"), F.min(F.when(has, F.struct("near", *LABEL))).alias("b"))
     best = best.select(*keys, "n_candidates", "n_tuples", *[F.col(f"b.{c}").alias(c) for c in LABEL])
-    out = canonical.join(best, keys, "left")
+    # a merge join, as a filter on labels makes it an inner one, which would broadcast the columns
+    out = canonical.join(best.hint("merge"), keys, "left")
     flag = (
         F.when(F.col("n_candidates").isNull(), F.lit("label_missing"))
         .when(F.col("n_tuples") == 0, F.lit("candidates_present_but_unlabelled"))
@@ -69,8 +71,11 @@ def infer_labels(columns: DataFrame, radius: float = DEFAULT.infer_radius_mm, vo
 
     It needs ``votes`` neighbours of that label, and that ``share`` of all.
     More than half can go to one label only, so there are no ties to break.
+    Runs a Spark job before it returns.
     """
     keys = ["storey_id", "canonical_idx"]
+    # read three times below, and what made the columns may be long
+    columns = materialised(columns)
     missing = columns.where("flag = 'label_missing'").select(*keys, F.col("x").alias("mx"), F.col("y").alias("my"))
     donors = columns.where("label is not null").select("storey_id", F.col("x").alias("dx"), F.col("y").alias("dy"), *LABEL)
     near = radius_join(donors, missing, ["storey_id"], ("dx", "dy"), ("mx", "my"), radius, radius)
@@ -79,7 +84,7 @@ def infer_labels(columns: DataFrame, radius: float = DEFAULT.infer_radius_mm, vo
     won = total.where((F.col("b.n") >= votes) & (F.col("b.n") / F.col("pool") >= share))
     flag = F.concat(F.lit("label_inferred_from_neighbour:n="), F.col("b.n").cast("string"), F.lit("/"), F.col("pool").cast("string"))
     won = won.select(*keys, flag.alias("_flag"), *[F.col(f"b.{c}").alias(f"_{c}") for c in LABEL])
-    out = columns.join(won, keys, "left")
+    out = columns.join(won.hint("merge"), keys, "left")
     hit = F.col("_flag").isNotNull()
     return out.select(*[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in (*LABEL, "flag") else F.col(c) for c in columns.columns])
 

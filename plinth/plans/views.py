@@ -138,6 +138,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if re.search(rf"\b(?:FROM|JOIN) {table}\b", text):
             text = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 parquet.`{sf_dir}/{table}.parquet`", text)
     text = text.replace(f"parquet.`{sf_dir}/documents.parquet` d", f"parquet.`{sf_dir}/documents.parquet` AS d")
+    # parts grow with the table: never broadcast, however small their file
+    if f"JOIN parquet.`{sf_dir}/part.parquet` ON" in text:
+        text = text.replace(f"JOIN parquet.`{sf_dir}/part.parquet` ON", f"JOIN parquet.`{sf_dir}/part.parquet` AS part ON").replace("SELECT", "SELECT /*+ MERGE(part) */", 1)
     return spark.sql(text)
 
 

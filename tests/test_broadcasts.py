@@ -12,6 +12,7 @@ from plinth.operators import ranges as RG
 from plinth.operators import reconcile as R
 from plinth.operators import resolve as S
 from plinth.operators.spatial import radii_join
+from plinth.plans.views import view
 from plinth.sources import payloads as SP
 from plinth.storage import materialised
 
@@ -82,3 +83,17 @@ def test_a_task_reports_its_folder_and_no_names(spark, tmp_path):
     assert docs.count() == 400 and docs.where("id = 1 and error is null").count() == 400
     with pytest.raises(ValueError, match="not in order"):
         writer.write(iter([batch.slice(5, 1), batch.slice(4, 1)]))
+
+
+def test_labels_are_inferred_without_broadcasts(spark, no_broadcast):
+    columns = spark.range(60).selectExpr("'L1' as storey_id", "id as canonical_idx", "id * 600D as x", "0D as y", "0.5D as confidence")
+    enlarged = spark.range(60).where("id % 10 <> 3").selectExpr("'L1' as storey_id", "id as enlarged_id", "1 as page_id", "id * 600D + 10 as ex", "0D as ey", "'C2' as label", "'square' as shape", "800 as dim_x", "800 as dim_y", "cast(null as int) as diameter", "false as is_steel")
+    found = R.infer_labels(R.match(materialised(columns), materialised(enlarged)))
+    assert found.where("label = 'C2'").count() == 60 and found.where("flag like 'label_inferred%'").count() == 6
+    labelled = R.match(materialised(columns), materialised(enlarged)).where("label is not null")
+    assert labelled.count() == 54
+
+
+def test_detections_meet_their_parts_without_broadcasts(spark, no_broadcast):
+    plan = view(spark, "/root/testdata/sf0.001", "v_enlarged")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [l_partkey" in plan
