@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT
 from ..functions import geometry as G
 from ..functions.text import label_parts
+from ..storage import materialised
 from .ordered import first_by
 from .spatial import nearest, radii_join, radius_join
 
@@ -25,6 +26,7 @@ def associate(dets: DataFrame, spans: DataFrame, half_label: float = 11.2) -> Da
     ``dets``: page, det_id, cx, cy, dx, dy.  ``spans``: page, span_id, text, x, y.
     ``half_label`` is a label's diagonal in pixels.  Boxes of all sizes share a
     page at no cost to each other: each uses a grid of its own resolution.
+    Runs a Spark job before it returns.
     """
     parts = label_parts(F.col("text"))
     labels = spans.select("page", "span_id", "text", F.col("x").alias("sx"), F.col("y").alias("sy"), *[c.alias(n) for n, c in parts.items()])
@@ -33,14 +35,16 @@ def associate(dets: DataFrame, spans: DataFrame, half_label: float = 11.2) -> Da
     sizes = labels.where("kind in ('rect_dim', 'diameter')").select("page", F.col("span_id").alias("dim_id"), F.col("kind").alias("dim_kind"), "rect_a", "rect_b", "diameter", F.col("sx").alias("qx"), F.col("sy").alias("qy"))
     by_box = F.col("diag") * DEFAULT.type_search
     typed = nearest(radii_join(boxes, types, ["page"], ("cx", "cy"), ("sx", "sy"), by_box), ["page", "det_id"], ["span_id"])
-    typed = typed.select("page", "det_id", "diag", F.col("text").alias("label"), "is_steel", F.col("sx").alias("ax"), F.col("sy").alias("ay"))
+    # read three times below
+    typed = materialised(typed.select("page", "det_id", "diag", F.col("text").alias("label"), "is_steel", F.col("sx").alias("ax"), F.col("sy").alias("ay")))
     by_label = F.greatest(F.lit(DEFAULT.dim_search * half_label), F.col("diag") * DEFAULT.dim_box_search)
-    one = nearest(radii_join(typed, sizes, ["page"], ("ax", "ay"), ("qx", "qy"), by_label), ["page", "det_id"], ["dim_id"])
-    two = nearest(radii_join(boxes, sizes, ["page"], ("cx", "cy"), ("qx", "qy"), by_box), ["page", "det_id"], ["dim_id"])
-    columns = ["page", "det_id", "dim_kind", "rect_a", "rect_b", "diameter"]
-    found = one.select(*columns, F.lit(1).alias("rank")).unionByName(two.select(*columns, F.lit(2).alias("rank")))
-    found = first_by(found, ["page", "det_id"], ["rank"]).drop("rank")
-    out = boxes.join(typed.drop("diag", "ax", "ay"), ["page", "det_id"], "left").join(found, ["page", "det_id"], "left")
+    # both searches in one, so that the size notes are dealt once
+    anchors = typed.select("page", "det_id", F.lit(1).alias("rank"), "ax", "ay", by_label.alias("reach"))
+    anchors = anchors.unionByName(boxes.select("page", "det_id", F.lit(2).alias("rank"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), by_box.alias("reach")))
+    found = first_by(radii_join(anchors, sizes, ["page"], ("ax", "ay"), ("qx", "qy"), F.col("reach")), ["page", "det_id"], ["rank", "distance", "dim_id"])
+    found = found.select("page", "det_id", "dim_kind", "rect_a", "rect_b", "diameter")
+    # merge joins: the written table is small only on disk
+    out = boxes.join(typed.drop("diag", "ax", "ay").hint("merge"), ["page", "det_id"], "left").join(found.hint("merge"), ["page", "det_id"], "left")
     turned = G.orientation(F.col("dx"), F.col("dy"), F.col("rect_a"), F.col("rect_b"))
     out = out.withColumn("steel", F.coalesce("is_steel", F.lit(False))).withColumn("turned", turned)
     kind = F.col("dim_kind")

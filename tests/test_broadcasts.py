@@ -1,11 +1,13 @@
 """Joins of tables that grow send nothing whole through the driver, whatever their files' sizes say."""
 
 import pickle
+import re
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plinth.operators import associate as A
 from plinth.operators import greedy as GD
 from plinth.operators import grid as GR
 from plinth.operators import ranges as RG
@@ -97,3 +99,11 @@ def test_labels_are_inferred_without_broadcasts(spark, no_broadcast):
 def test_detections_meet_their_parts_without_broadcasts(spark, no_broadcast):
     plan = view(spark, "/root/testdata/sf0.001", "v_enlarged")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [l_partkey" in plan
+
+
+def test_labels_are_read_once_for_size_notes(spark):
+    dets = materialised(spark.range(30).selectExpr("id div 10 as page", "id as det_id", "id * 100D as cx", "50D as cy", "30D as dx", "30D as dy"))
+    spans = materialised(spark.range(60).selectExpr("id div 20 as page", "id as span_id", "if(id % 2 = 0, 'C1', '400x400') as text", "(id div 2) * 100D as x", "50D as y"))
+    found = A.associate(dets, spans)
+    assert found.where("label = 'C1' and dim_x = 400").count() == 30
+    assert len(re.findall(r"Relation \[[^\]]*\btext#", found._jdf.queryExecution().optimizedPlan().toString())) == 1
