@@ -41,8 +41,8 @@ def radius_join(left: DataFrame, right: DataFrame, on: list[str], left_xy: tuple
 def radii_join(left: DataFrame, right: DataFrame, on: list[str], left_xy: tuple[str, str], right_xy: tuple[str, str], radius: Column) -> DataFrame:
     """As :func:`radius_join`, for radii of the left side that differ by any factor.
 
-    Grids of several resolutions: a left row uses the one whose cells are two
-    to four times its radius wide, and so touches four cells at most; a right row
+    Grids of several resolutions: a left row uses the one whose cells are four
+    to eight times its radius wide, and so touches four cells at most, two as a rule; a right row
     lies in one cell of each grid that its key has.  One huge radius adds one
     cell to the right rows of its key and nothing to other rows' pairs.
     """
@@ -55,7 +55,7 @@ def radii_candidates(left: DataFrame, right: DataFrame, on: list[str], left_xy:
     rx, ry = (F.col(c) for c in right_xy)
     a = left.withColumn("_radius", radius).where((F.col("_radius") >= 0) & (F.col("_radius") < float("inf")) & lx.isNotNull() & ly.isNotNull())
     # a radius of nothing still has a cell
-    a = a.withColumn("_level", F.ceil(F.log2(F.greatest("_radius", F.lit(1e-6)))).cast("int") + 1)
+    a = a.withColumn("_level", F.ceil(F.log2(F.greatest("_radius", F.lit(1e-6)))).cast("int") + 2)
     # a short list a key: one entry for each power of two
     levels = a.groupBy(*on).agg(F.collect_set("_level").alias("_levels"))
     side = F.pow(F.lit(2.0), F.col("_level"))

@@ -117,3 +117,11 @@ def test_level_names_of_storeys(spark):
     assert no_single_task(out)
     want = {"L3": ("3RD STOREY", "L4"), "L4": ("l4", "l4"), "L5": ("L5", "L4"), "RF": ("ROOF", "ROOF_TOP"), "roof": ("ROOF", "ROOF_TOP"), "X": ("X", "X_TOP"), "Y": ("l4", "ROOF")}
     assert {r["storey_id"]: (r["base_name"], r["top_name"]) for r in out.collect()} == want
+
+
+def test_cells_are_four_to_eight_times_a_radius_wide(spark):
+    """A box of 86 lies in one cell of 512 where it is in none of its edges' reach, so it is not copied."""
+    boxes = spark.createDataFrame([(1, 1, 400.0, 256.0, 86.0)], LEFT)
+    labels = spark.createDataFrame([(1, j, x, 256.0) for j, x in enumerate((1.0, 511.0, 513.0))], RIGHT)
+    pairs = S.radii_candidates(boxes, labels, ["page"], ("cx", "cy"), ("x", "y"), F.col("r"))
+    assert sorted(r["j"] for r in pairs.collect()) == [0, 1] and pairs.where("distance <= 86").count() == 0
