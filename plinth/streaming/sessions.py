@@ -40,12 +40,24 @@ class SessionWalk(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at_us long, event_id long, action string, element_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for part in rows:
-            arrived = [(int(r.at_us), int(r.event_id), r.action, None if pd.isna(r.element_id) else int(r.element_id)) for r in part.itertuples(index=False)]
+            elements = [None if pd.isna(e) else int(e) for e in part["element_id"]]
+            arrived = list(zip(part["at_us"].tolist(), part["event_id"].tolist(), part["action"].tolist(), elements))
             if arrived:
                 self.waiting.appendList(arrived)
-        # applied by a timer, once the watermark is past them
-        self._rewind(timerValues.getCurrentWatermarkInMs(), [tuple(r) for r in self.waiting.get()])
+                earliest = min(r[0] for r in arrived)
+                first = earliest if first is None else min(first, earliest)
+        # applied by a timer, once the watermark is past them; what waits already has its timer and is not read again
+        if first is not None:
+            watermark = timerValues.getCurrentWatermarkInMs()
+            wanted = max(-(-first // 1000), watermark + 1)
+            # one that fires now goes by itself, and sets the next for all that waits
+            timers = [t for t in self.handle.listTimers() if t > watermark]
+            if not timers or wanted < min(timers):
+                for timer in timers:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(wanted)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

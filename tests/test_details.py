@@ -173,3 +173,43 @@ def test_backlog_first_and_each_event_once(spark, tmp_path):
         EV.deliver(EV.read_events(spark, log), out, checkpoint)
     got = sorted((r["delivery"], r["event_id"]) for r in spark.read.parquet(out).collect())
     assert got == [(0, i) for i in range(5)] + [(1, i) for i in range(5, 9)]
+
+
+def test_arriving_events_do_not_read_what_waits():
+    """A session's waiting events are read when its timer fires, not for each batch that arrives."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.timers, self.rows = [], []
+
+        def getValueState(self, *_):
+            return self
+
+        getListState = getValueState
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def get(self):
+            raise AssertionError("read")
+
+        exists = get
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 5
+
+    held, walk = Held(), SS.SessionWalk(60_000_000)
+    walk.init(held)
+    for at in (9_000_001, 30_000_000, 8_000_000, 1_000):
+        list(walk.handleInputRows((1,), iter([pd.DataFrame({"at_us": [at], "event_id": [at], "action": ["open"], "element_id": [None]})]), held))
+    assert len(held.rows) == 4 and held.timers == [6]
