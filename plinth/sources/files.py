@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
+from fnmatch import fnmatchcase
+from functools import partial
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,13 +17,67 @@ from pyspark.sql.types import StructType
 from ..constants import CLASSES
 from ..functions.text import rules_from_config
 from ..operators.ordered import last_wins
+from ..storage import materialised
 
 
 def list_sheets(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
-    """Paths, sizes and names of the files below ``root`` that end in ``suffix``, in any case, in order of path; contents stay unread."""
+    """Paths, sizes and names of the files below ``root`` that end in ``suffix``, in any case, in order of path; contents stay unread.
+
+    As for Spark's readers, hidden and empty files don't count.  Tasks list the folders, level by
+    level, so the driver holds no names; stores that only Spark reaches are listed by its driver.
+    Runs Spark jobs before it returns.
+    """
     ending = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{ending}").load(root)
-    return files.select("path", "length", F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).orderBy("path")
+    listed = _listed(spark, root, f"*.{ending}")
+    if listed is None:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{ending}").load(root)
+    return listed.select("path", "length", F.substring_index("path", "/", -1).alias("name")).orderBy("path")
+
+
+#: At most so many tasks list the folders of one level.
+LISTING_TASKS = 1000
+
+
+def _listed(spark: SparkSession, root: str, glob: str) -> DataFrame | None:
+    """path and length of the files below a folder, or nothing where it is none that pyarrow reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    where = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where)
+    # encoded for pyarrow, as it is for paths
+    uri, shown = where.toUri().toASCIIString(), where.toString().rstrip("/")
+    try:
+        store, base = fs.FileSystem.from_uri(uri)
+        if store.get_file_info(base).type != fs.FileType.Directory:
+            return None
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    level = spark.createDataFrame(spark.sparkContext.parallelize([("",)], 1), "folder string")
+    files = None
+    while True:
+        found = materialised(level.mapInArrow(partial(_entries, uri=uri, glob=glob), "path string, length long"))
+        own = found.where("length is not null").select(F.concat(F.lit(shown), "path").alias("path"), "length")
+        files = own if files is None else files.unionByName(own)
+        folders = found.where("length is null").select(F.col("path").alias("folder"))
+        n = folders.count()
+        if not n:
+            return files
+        level = folders.repartition(min(n, LISTING_TASKS))
+
+
+def _entries(batches: Iterator[pa.RecordBatch], uri: str, glob: str) -> Iterator[pa.RecordBatch]:
+    """What lies in the folders that come, below ``uri``: folders, without a length, and files whose names fit ``glob``."""
+    store, base = fs.FileSystem.from_uri(uri)
+    for folder in (f for b in batches for f in b.column(0).to_pylist()):
+        inside = store.get_file_info(fs.FileSelector(f"{base.rstrip('/')}{folder}" or "/", allow_not_found=True))
+        for start in range(0, len(inside), 5000):
+            paths, lengths = [], []
+            for info in inside[start : start + 5000]:
+                name, nested = info.base_name, info.type == fs.FileType.Directory
+                # Spark's rule
+                hidden = name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+                if nested and (not hidden or name.startswith(("_metadata", "_common_metadata"))) or info.is_file and not hidden and info.size and fnmatchcase(name, glob):
+                    paths.append(f"{folder}/{name}")
+                    lengths.append(None if nested else info.size)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], ["path", "length"])
 
 
 def accept_uploads(uploads: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """A data source for payload documents: staged by task, published in one step.
 
-Each task streams its documents into a folder of its own below the run's; when
+Each task streams its documents into folders of its own below the run's; when
 all tasks have ended, one small file, ``CURRENT``, is put in place that names the
 run and its folders.  Readers go by it, so they see the old payload or
 the new one whole, and a run that fails, or a task that ran twice, leaves the old one.
@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 FORMAT = "plinth_payloads"
 SCHEMA = "file string, part int, at long, body string"
+#: A task begins another folder after so many documents, as a folder is listed whole.
+FOLDER_FILES = 10_000
 
 
 def _store(path: str):
@@ -33,8 +35,7 @@ def _store(path: str):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    folder: str
-    files: int = 0
+    folders: list[str]
 
 
 class PayloadSource(DataSource):
@@ -59,8 +60,9 @@ class PayloadWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         """Rows in order of file, part and at."""
         store, base = _store(self.path)
-        done = _Written(f"{self.run}/{uuid.uuid4().hex}")
+        done = _Written([])
         document: _Document | None = None
+        files = 0
         for batch in batches:
             for name, part, body in zip(*(batch.column(c).to_pylist() for c in ("file", "part", "body"))):
                 if document is None or document.name != name:
@@ -69,10 +71,11 @@ class PayloadWriter(DataSourceArrowWriter):
                     # names rise, so one that comes again is below the last or equal to it
                     if (document is not None and name <= document.name) or "/" in name or name.startswith("."):
                         raise ValueError(f"{name}: no name for a payload, or its rows are not in order")
-                    if not done.files:
-                        store.create_dir(f"{base}/{done.folder}", recursive=True)
-                    document = _Document(name, store.open_output_stream(f"{base}/{done.folder}/{name}"), self.lists)
-                    done.files += 1
+                    if files % FOLDER_FILES == 0:
+                        done.folders.append(f"{self.run}/{uuid.uuid4().hex}")
+                        store.create_dir(f"{base}/{done.folders[-1]}", recursive=True)
+                    document = _Document(name, store.open_output_stream(f"{base}/{done.folders[-1]}/{name}"), self.lists)
+                    files += 1
                 document.add(part, body)
         if document is not None:
             document.close()
@@ -80,12 +83,12 @@ class PayloadWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         store, base = _store(self.path)
-        written = [m for m in messages if isinstance(m, _Written) and m.files]
+        folders = [f for m in messages if isinstance(m, _Written) for f in m.folders]
         store.create_dir(base, recursive=True)
         before = _current(store, base)
         draft = f"{base}/{self.run}.json"
         with store.open_output_stream(draft) as out:
-            out.write(json.dumps({"run": self.run, "folders": [m.folder for m in written]}).encode())
+            out.write(json.dumps({"run": self.run, "folders": folders}).encode())
         store.move(draft, f"{base}/CURRENT")
         if before:
             _remove(store, f"{base}/{before['run']}")

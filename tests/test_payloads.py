@@ -3,6 +3,7 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,36 @@ def test_sheets_by_ending_in_any_case(spark, tmp_path):
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_text("x")
     assert [r["name"] for r in FI.list_sheets(spark, f"file://{tmp_path}/in").collect()] == ["a.pdf", "b.PDF", "c.Pdf"]
+
+
+def test_folders_are_listed_by_tasks_as_spark_would(spark, tmp_path):
+    root = tmp_path / "in %20é"
+    for name in ("a.pdf", "b c.PDF", "100%25.pdf", "deep/é/c.Pdf", "folder.pdf/d.pdf", ".e.pdf", "_f.pdf", "_g=1.pdf", ".h/i.pdf", "_j/k.pdf", "_l=1/m.pdf", "_metadata/n.pdf", "o.pdf._COPYING_", "p.txt", "q.pdf.txt", ".pdf"):
+        file = root / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(name)
+    (root / "empty.pdf").touch()
+    (root / "none").mkdir()
+    own = FI.list_sheets(spark, str(root))
+    assert "binaryFile" not in own._jdf.queryExecution().executedPlan().toString()
+    theirs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]").load(str(root)).select("path", "length").orderBy("path").collect()
+    assert [(r["path"], r["length"]) for r in own.collect()] == [tuple(r) for r in theirs]
+    assert {"d.pdf", "c.Pdf", "b c.PDF", "100%25.pdf"} <= {r["name"] for r in own.collect()}
+    # one file, a pattern, nothing
+    assert [r["name"] for r in FI.list_sheets(spark, f"{root}/a.pdf").collect()] == ["a.pdf"]
+    assert [r["name"] for r in FI.list_sheets(spark, f"{tmp_path}/in*/deep").collect()] == ["c.Pdf"]
+    assert FI.list_sheets(spark, f"file://{root}/none/").count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        FI.list_sheets(spark, f"{root}/absent")
+
+
+def test_a_task_writes_folders_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SP, "FOLDER_FILES", 7)
+    path = f"file://{tmp_path}/out"
+    writer = SP.PayloadWriter(path, [])
+    names = [f"{i:03d}.json" for i in range(23)]
+    batches = [pa.RecordBatch.from_pydict({"file": part, "part": [0] * len(part), "at": [0] * len(part), "body": ['{"id": 1}'] * len(part)}) for part in (names[:10], names[10:])]
+    writer.commit([writer.write(iter(batches)), writer.write(iter([]))])
+    folders = json.load(open(f"{tmp_path}/out/CURRENT"))["folders"]
+    assert [len(os.listdir(f"{tmp_path}/out/{f}")) for f in folders] == [7, 7, 7, 2]
+    assert sorted(r["file"] for r in SP.load_payloads(spark, path, "id long").collect()) == names
