@@ -45,7 +45,8 @@ def p5(spark, sf_dir):
 
 
 def classified(spark, sf_dir):
-    pages = view(spark, sf_dir, "v_files").join(view(spark, sf_dir, "v_titles"), "file_id")
+    # a row a sheet on both sides, however small the file: never broadcast
+    pages = view(spark, sf_dir, "v_files").join(view(spark, sf_dir, "v_titles").hint("merge"), "file_id")
     ratios = C.line_ratios(view(spark, sf_dir, "v_segments"), "page").select(F.col("page").alias("seg_page"), "ratio")
     pages = pages.join(ratios, F.floor(F.col("file_id") / 10) == F.col("seg_page"), "left")
     return C.cascade(pages, "stem", "title", "body", "ratio").select("file_id", "pack", "stem", "class", "tier", "confidence")

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plinth import plans
 from plinth.operators import associate as A
 from plinth.operators import greedy as GD
 from plinth.operators import grid as GR
@@ -14,6 +15,7 @@ from plinth.operators import ranges as RG
 from plinth.operators import reconcile as R
 from plinth.operators import resolve as S
 from plinth.operators.spatial import radii_join
+from plinth.plans import model
 from plinth.plans.views import view
 from plinth.sources import payloads as SP
 from plinth.storage import materialised
@@ -107,3 +109,20 @@ def test_labels_are_read_once_for_size_notes(spark):
     found = A.associate(dets, spans)
     assert found.where("label = 'C1' and dim_x = 400").count() == 30
     assert len(re.findall(r"Relation \[[^\]]*\btext#", found._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+@pytest.mark.parametrize("name", ["a19_a27_tier_counts", "a26_review_totals"])
+def test_typing_and_review_broadcast_no_parts_columns_or_sheets(spark, monkeypatch, name):
+    planned = []
+
+    def recorded(df):
+        planned.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialised(df)
+
+    for module in (GD, R, S, model):
+        monkeypatch.setattr(module, "materialised", recorded, raising=False)
+    out = plans.queries()[name](spark, "/root/testdata/sf0.001")
+    planned.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin [l_partkey" in p for p in planned)
+    assert not any(re.search(r"BroadcastHashJoin \[(l_partkey|file_id|storey_id#\d+, canonical_idx)", p) for p in planned)
+    assert out.count() > 1
