@@ -27,6 +27,9 @@ from ..storage import drop, materialised
 #: Stands for a missing size in a cell's key.
 _NONE = -(1 << 31)
 
+#: Boxes of one page, at most, that are walked as one row.
+WALKED_BOXES = 200
+
 
 def first_independent(
     rows: DataFrame,
@@ -49,7 +52,8 @@ def first_independent(
     """
     names = rows.columns
     ahead = "_k_"
-    meets = lambda test: _all([F.col(c) == F.col(ahead + c) for c in place]) & test
+    # a null in a cell's key is a key like any other
+    meets = lambda test: _all([F.col(c).eqNullSafe(F.col(ahead + c)) if c in cell else F.col(c) == F.col(ahead + c) for c in place]) & test
     earlier = F.struct(*[F.col(ahead + c) for c in order]) < F.struct(*order)
     itself = _all([F.col(ahead + c) == F.col(c) for c in order])
     prefixed = lambda df: spread(df).select(*[F.col(c).alias(ahead + c) for c in names])
@@ -131,21 +135,58 @@ def suppress(df: DataFrame, keys: list[str], ident: str, iou: float = DEFAULT.io
     """Greedy non-maximum suppression of the boxes x0, y0, x1, y1 by ``confidence``, then ``ident``, in a page.
 
     A box goes if a better kept one overlaps it by more than ``iou`` of both.
-    Boxes without area, or with a null in place of a number, neither go nor make others go.  Cells
-    hold boxes whose sides differ by so little that any two overlap too much;
-    boxes are met in grids of several resolutions, by size, so one huge box makes
-    no larger cells for small ones.
+    Boxes without area, or with a null in place of a number, neither go nor make others go.
+    Pages of a usual number of boxes are walked, each as one row of bounded size, so that
+    boxes are dealt once; more crowded ones go by ``rounds``, and no task holds one.
+    Runs Spark jobs before it returns.
     """
-    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    whole = F.coalesce((width > 0) & (height > 0), F.lit(False)) & F.col("confidence").isNotNull() & F.col(ident).isNotNull()
     if iou >= 1:
         return df
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    whole = F.coalesce((width > 0) & (height > 0), F.lit(False)) & F.col("confidence").isNotNull() & F.col(ident).isNotNull()
+    boxes = df.where(whole)
+    crowded = boxes.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > WALKED_BOXES)
+    crowded = materialised(crowded.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)]))
+    if crowded.isEmpty():
+        kept = _suppress_walked(boxes, keys, ident, iou)
+    else:
+        same = _all([F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(keys)])
+        few, many = (boxes.join(crowded.hint("merge"), same, how) for how in ("left_anti", "left_semi"))
+        kept = _suppress_walked(few, keys, ident, iou).unionByName(_suppress_in_rounds(many, keys, ident, iou, rounds))
+    return kept.unionByName(df.where(~whole))
+
+
+def _suppress_walked(df: DataFrame, keys: list[str], ident: str, iou: float) -> DataFrame:
+    """Boxes of pages of few, each page's as an array, walked in order."""
+    rows = df.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct(*df.columns)).alias("_rows"))
+    numbered = lambda r, i: F.struct(F.negative(r["confidence"]), r[ident], *[r[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], i.alias("_at"))
+    rows = rows.select("_rows", F.sort_array(F.transform("_rows", numbered)).alias("_order"))
+    area = lambda b: (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+    common = lambda k, b, a: F.greatest(F.least(k[f"{a}1"], b[f"{a}1"]) - F.greatest(k[f"{a}0"], b[f"{a}0"]), F.lit(0.0))
+
+    def conflict(k: Column, b: Column) -> Column:
+        both = common(k, b, "x") * common(k, b, "y")
+        return both > iou * (area(b) + area(k) - both)
+
+    step = lambda kept, b: F.when(F.exists(kept, lambda k: conflict(k, b)), kept).otherwise(F.concat(kept, F.array(b)))
+    kept = F.aggregate("_order", F.slice("_order", 1, 0), step)
+    rows = rows.select(F.explode(F.transform(kept, lambda k: F.get("_rows", k["_at"]))).alias("_row"))
+    return rows.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def _suppress_in_rounds(df: DataFrame, keys: list[str], ident: str, iou: float, rounds: list[int] | None) -> DataFrame:
+    """Boxes of pages of any number.
+
+    Cells hold boxes whose sides differ by so little that any two overlap too much;
+    boxes are met in grids of several resolutions, by size, so one huge box makes
+    no larger cells for small ones.
+    """
     share = max(iou, 0.01)
     fine = next(f for f in range(3, 60) if ((2**f - 1) / (2**f + 1)) ** 2 > iou)
     levels = math.ceil(math.log2(1.3 / share))
     beyond = max(0.0, 0.5 - share) / share + 0.25
     named = {c: f"_{c}" for c in ("x0", "y0", "x1", "y1")}
-    boxes = df.where(whole).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)], F.negative("confidence").alias("_worse"), F.col(ident).alias("_id"), *[F.col(c).cast("double").alias(n) for c, n in named.items()])
+    boxes = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(keys)], F.negative("confidence").alias("_worse"), F.col(ident).alias("_id"), *[F.col(c).cast("double").alias(n) for c, n in named.items()])
     x, y = ((F.col(f"_{a}0"), F.col(f"_{a}1")) for a in "xy")
     power = lambda v: F.floor(F.log2(v)).cast("int")
     quantum = {a: F.pow(F.lit(2.0), F.col(f"_s{a}") - fine) for a in "xy"}
@@ -187,7 +228,7 @@ def suppress(df: DataFrame, keys: list[str], ident: str, iou: float = DEFAULT.io
 
     kept = first_independent(boxes, ["_worse", "_id"], cell, place, spread, conflict, may_conflict, rounds)
     same = _all([F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(keys)]) & (F.col(ident) == F.col("_id"))
-    return df.where(whole).join(kept.select(*groups, "_id").hint("merge"), same, "left_semi").unionByName(df.where(~whole))
+    return df.join(kept.select(*groups, "_id").hint("merge"), same, "left_semi")
 
 
 def merge_tiles(df: DataFrame, keys: list[str], ident: str, iou: float = DEFAULT.iou, rounds: list[int] | None = None) -> DataFrame:

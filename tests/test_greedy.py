@@ -58,6 +58,41 @@ def test_copies_of_one_box_take_one_round(spark):
     assert rounds == [20_000]
 
 
+def crowd(rng, page, first, n, wide):
+    """``n`` boxes, many of which overlap."""
+    out = []
+    for i in range(first, first + n):
+        x, y, w, h = rng.uniform(0, wide), rng.uniform(0, 30), rng.uniform(8, 14), rng.uniform(8, 14)
+        out.append((page, i, rng.choice([0.5, rng.random()]), x, y, x + w, y + h))
+    return out
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_ordinary_pages_are_dealt_once(spark):
+    """No rounds, no copies and no join: one shuffle of the boxes."""
+    rng = random.Random(11)
+    rows = [r for page in range(40) for r in crowd(rng, page, page * 100, 12, 30)] + crowd(rng, 99, 9000, G.WALKED_BOXES, 100)
+    rounds = []
+    got = G.suppress(spark.createDataFrame(rows, BOXES), ["page"], "det", rounds=rounds)
+    assert rounds == [] and exchanges(got) == 1
+    assert sorted(r["det"] for r in got.collect()) == walk_boxes(rows) and len(walk_boxes(rows)) < len(rows)
+
+
+@pytest.mark.parametrize("page", [7, None])
+def test_crowded_and_ordinary_pages_together(spark, page):
+    """A page beyond the limit goes by rounds, the others do not, and neither needs a number."""
+    rng = random.Random(12)
+    rows = crowd(rng, 1, 0, 30, 30) + crowd(rng, 7, 100, G.WALKED_BOXES + 1, 150) + crowd(rng, 8, 900, 40, 30)
+    given = [(page if r[0] == 7 else r[0], *r[1:]) for r in rows]
+    rounds = []
+    got = G.suppress(spark.createDataFrame(given, BOXES), ["page"], "det", rounds=rounds)
+    assert sorted(r["det"] for r in got.collect()) == walk_boxes(rows)
+    assert rounds[0] == G.WALKED_BOXES + 1
+
+
 def test_objects_on_seams_count_once(spark):
     rows = [(1, 1, 0.9, 0, 1100.0, 50.0, 1140.0, 90.0), (1, 2, 0.8, 1080, 21.0, 50.0, 61.0, 90.0), (1, 3, 0.7, 1080, 200.0, 50.0, 240.0, 90.0)]
     df = spark.createDataFrame([(p, d, c, t, 0, *b) for p, d, c, t, *b in rows], "page int, det int, confidence double, tile_x int, tile_y int, x0 double, y0 double, x1 double, y1 double")
