@@ -100,6 +100,16 @@ def test_objects_on_seams_count_once(spark):
     assert got == {1: 1100.0, 3: 1280.0}
 
 
+def test_tiles_are_dealt_once(spark):
+    """Tiles of ordinary pages merge in one shuffle, too, by the place on the page."""
+    rng = random.Random(13)
+    seen = [(p, i, c, 1080 * (i % 2), 0, x0 - 1080 * (i % 2), y0, x1 - 1080 * (i % 2), y1) for p, i, c, x0, y0, x1, y1 in (r for page in range(20) for r in crowd(rng, page, page * 100, 15, 30))]
+    rounds = []
+    got = G.merge_tiles(spark.createDataFrame(seen, "page int, det int, confidence double, tile_x int, tile_y int, x0 double, y0 double, x1 double, y1 double"), ["page"], "det", rounds=rounds)
+    assert rounds == [] and exchanges(got) == 1
+    assert sorted(r["det"] for r in got.collect()) == walk_boxes([(p, i, c, x0 + tx, y0, x1 + tx, y1) for p, i, c, tx, _, x0, y0, x1, y1 in seen])
+
+
 def walk_types(rows, known, tolerance=5):
     types, out = list(known), []
     for shape, size, name in rows:
