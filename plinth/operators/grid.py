@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,12 +126,43 @@ def gap_spacings(lines: DataFrame, held: DataFrame) -> DataFrame:
     return out.select("page", "axis", "gap", "gap_px", F.coalesce("noted_mm", "s.mm", F.lit(DEFAULT.bay_mm)).alias("spacing_mm"))
 
 
+def fitted_line(points: Iterable[tuple[float, float]]) -> tuple[float | None, float | None]:
+    """Slope and intercept of px over mm by least squares; nulls without two different mm.
+
+    Deviations are multiplied about running means, and each product is rounded
+    once, with the sum it goes into, as regr_slope and regr_intercept do in the SQL.
+    """
+    n, mean_mm, mean_px, sum_mm, sum_px, common, square = 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
+    for mm, px in points:
+        n += 1
+        off_mm, off_px = mm - mean_mm, px - mean_px
+        mean_mm += off_mm / n
+        mean_px += off_px / n
+        common = math.fma(off_mm, px - mean_px, common)
+        square = math.fma(off_mm, mm - mean_mm, square)
+        sum_mm += mm
+        sum_px += px
+    if not square > 0:
+        return None, None
+    slope = common / n / (square / n)
+    return slope, math.fma(-slope, sum_mm / n, sum_px / n)
+
+
 def fit_axes(points: DataFrame, keys: list[str], most: float = DEFAULT.residual_px) -> DataFrame:
     """Least squares px = slope * mm + intercept of each axis, and its largest residual.
 
     ``ok`` is false for less than two points, a flat fit or too large a residual.
+    Rounding decides where a residual lies on the limit, so the points of an axis
+    of a page go to Python as one array, along the axis, in whatever order they arrive.
     """
-    fit = points.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("px", "mm").alias("slope"), F.regr_intercept("px", "mm").alias("intercept"))
-    off = F.abs(F.col("px") - (F.col("slope") * F.col("mm") + F.col("intercept")))
-    out = points.join(fit, keys).groupBy(*keys, "n", "slope", "intercept").agg(F.max(off).alias("residual"))
+
+    @F.pandas_udf("struct<slope double, intercept double>")
+    def line(mm: pd.Series, px: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fitted_line(zip(*axis)) for axis in zip(mm, px)], columns=["slope", "intercept"], dtype="float64")
+
+    axes = points.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("mm", "px")]))).alias("_p"))
+    axes = axes.withColumn("_p", F.filter("_p", lambda p: p["mm"].isNotNull() & p["px"].isNotNull()))
+    fit = axes.withColumn("_f", line("_p.mm", "_p.px")).select(*keys, "n", "_f.*", "_p")
+    off = lambda p: F.abs(p["px"] - (F.col("slope") * p["mm"] + F.col("intercept")))
+    out = fit.select(*keys, "n", "slope", "intercept", F.array_max(F.transform("_p", off)).alias("residual"))
     return out.withColumn("ok", (F.col("n") >= 2) & F.coalesce(F.col("slope") != 0, F.lit(False)) & F.coalesce(F.col("residual") <= most, F.lit(False)))

@@ -139,6 +139,32 @@ def test_affine_fit(spark):
     assert not fit["b"]["ok"] and not fit["c"]["ok"] and fit["c"]["residual"] > 1
 
 
+#: Which of an axis' 15 lines lie a pixel further on: all patterns whose largest residual is exactly one pixel.
+TIES = [1790, 2558, 16304, 16328, 16439, 16463, 30209, 30977]
+
+
+def test_fit_on_the_limit_equals_sql(spark):
+    """Where a residual is exactly the limit, rounding decides, and does so as in SQL, in whatever order points arrive."""
+    import duckdb
+
+    rows = [(k, i * 8400.0, (25 + i) * 124.0 + 300 + (bits >> i & 1)) for k, bits in enumerate(TIES) for i in range(15)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE p (k int, mm double, px double)")
+    db.executemany("INSERT INTO p VALUES (?, ?, ?)", rows)
+    fit = "SELECT k, regr_slope(px, mm) AS slope, regr_intercept(px, mm) AS intercept FROM (SELECT * FROM p ORDER BY k, mm) GROUP BY k"
+    want = {k: (slope, intercept, off <= 1) for k, slope, intercept, off in db.execute(f"SELECT k, slope, intercept, max(abs(px - (slope * mm + intercept))) FROM p JOIN ({fit}) USING (k) GROUP BY ALL").fetchall()}
+    assert {w[2] for w in want.values()} == {True, False}
+    for arriving in (rows, rows[::-1], sorted(rows, key=lambda r: r[2] % 7)):
+        df = spark.createDataFrame(arriving, "k int, mm double, px double").repartition(5)
+        assert {r["k"]: (r["slope"], r["intercept"], r["ok"]) for r in GR.fit_axes(df, ["k"]).collect()} == want
+
+
+def test_fit_of_few_points(spark):
+    rows = [("one", 1.0, 2.0), ("same", 5.0, 1.0), ("same", 5.0, 3.0), ("gaps", None, 1.0), ("gaps", 0.0, None), ("none", None, 7.0), (None, 0.0, 1.0), ("gaps", 0.0, 10.0), ("gaps", 100.0, 20.0)]
+    fit = {r["k"]: tuple(r)[1:] for r in GR.fit_axes(spark.createDataFrame(rows, "k string, mm double, px double"), ["k"]).collect()}
+    assert fit == {"one": (1, None, None, None, False), "same": (2, None, None, None, False), "none": (1, None, None, None, False), "gaps": (4, 0.1, 10.0, 0.0, True)}
+
+
 def test_grid_detection(spark):
     spans = [(1, str(i + 1), 300.0 + i * 250, y) for i in range(6) for y in (60.0, 1640.0)] + [(1, c, x, 200.0 + i * 250) for i, c in enumerate("ABCDE") for x in (60.0, 2340.0)]
     spans += [(1, "SB", 1200.0, 800.0), (1, "150", 900.0, 60.0), (2, "1", 300.0, 60.0), (2, "A", 60.0, 300.0)]
