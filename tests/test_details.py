@@ -213,3 +213,24 @@ def test_arriving_events_do_not_read_what_waits():
     for at in (9_000_001, 30_000_000, 8_000_000, 1_000):
         list(walk.handleInputRows((1,), iter([pd.DataFrame({"at_us": [at], "event_id": [at], "action": ["open"], "element_id": [None]})]), held))
     assert len(held.rows) == 4 and held.timers == [6]
+
+
+def test_flags_of_a_page_on_the_limit_equal_sql(spark, tmp_path):
+    """The y axis' residual is exactly a pixel; the SQL's rounding refuses the fit."""
+    import duckdb
+
+    from plinth import plans
+
+    ahead = [1, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 1, 1, 1, 1]
+    tables = {
+        "part": spark.createDataFrame([(366 * 40 + i, 2 + (ahead[i - 25] if i >= 25 else 0)) for i in range(40)], "p_partkey long, p_size int"),
+        "orders": spark.createDataFrame([(3660, 50), (3661, 51)], "o_orderkey long, o_custkey long"),
+        "lineitem": spark.createDataFrame([(3660, 1, 5, 7), (3670, 2, 9, 3)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"),
+    }
+    db = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(db.execute(plans.oracle_sql()["p45_sc16_plan_flags"]).fetchall())
+    got = sorted(map(tuple, plans.queries()["p45_sc16_plan_flags"](spark, str(tmp_path)).collect()))
+    assert got == want == [(366, "affine_rejected: residual,yolo_columns_skipped_no_affine"), (367, "grid_not_detected,yolo_columns_skipped_no_affine")]
