@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT
 from ..functions import geometry as G
 from ..functions.text import label_parts
-from ..storage import materialised
-from .ordered import first_by
 from .spatial import nearest, radii_join, radius_join
 
 
@@ -26,25 +24,28 @@ def associate(dets: DataFrame, spans: DataFrame, half_label: float = 11.2) -> Da
     ``dets``: page, det_id, cx, cy, dx, dy.  ``spans``: page, span_id, text, x, y.
     ``half_label`` is a label's diagonal in pixels.  Boxes of all sizes share a
     page at no cost to each other: each uses a grid of its own resolution.
-    Runs a Spark job before it returns.
+    A size note that counts is no farther from the box than both searches reach
+    together, so a box meets all its labels in one join.
     """
     parts = label_parts(F.col("text"))
     labels = spans.select("page", "span_id", "text", F.col("x").alias("sx"), F.col("y").alias("sy"), *[c.alias(n) for n, c in parts.items()])
+    labels = labels.where("kind in ('type', 'rect_dim', 'diameter')")
     boxes = dets.withColumn("diag", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-    types = labels.where("kind = 'type'").select("page", "span_id", "text", "is_steel", "sx", "sy")
-    sizes = labels.where("kind in ('rect_dim', 'diameter')").select("page", F.col("span_id").alias("dim_id"), F.col("kind").alias("dim_kind"), "rect_a", "rect_b", "diameter", F.col("sx").alias("qx"), F.col("sy").alias("qy"))
     by_box = F.col("diag") * DEFAULT.type_search
-    typed = nearest(radii_join(boxes, types, ["page"], ("cx", "cy"), ("sx", "sy"), by_box), ["page", "det_id"], ["span_id"])
-    # read three times below
-    typed = materialised(typed.select("page", "det_id", "diag", F.col("text").alias("label"), "is_steel", F.col("sx").alias("ax"), F.col("sy").alias("ay")))
     by_label = F.greatest(F.lit(DEFAULT.dim_search * half_label), F.col("diag") * DEFAULT.dim_box_search)
-    # both searches in one, so that the size notes are dealt once
-    anchors = typed.select("page", "det_id", F.lit(1).alias("rank"), "ax", "ay", by_label.alias("reach"))
-    anchors = anchors.unionByName(boxes.select("page", "det_id", F.lit(2).alias("rank"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), by_box.alias("reach")))
-    found = first_by(radii_join(anchors, sizes, ["page"], ("ax", "ay"), ("qx", "qy"), F.col("reach")), ["page", "det_id"], ["rank", "distance", "dim_id"])
-    found = found.select("page", "det_id", "dim_kind", "rect_a", "rect_b", "diameter")
-    # merge joins: the written table is small only on disk
-    out = boxes.join(typed.drop("diag", "ax", "ay").hint("merge"), ["page", "det_id"], "left").join(found.hint("merge"), ["page", "det_id"], "left")
+    # a little more, for rounding
+    met = radii_join(boxes, labels, ["page"], ("cx", "cy"), ("sx", "sy"), (by_box + by_label) * 1.001)
+    is_type, inside = F.col("kind") == "type", F.col("distance") <= by_box
+    met = met.where(~is_type | inside)
+    named = F.min(F.when(is_type, F.struct("distance", "span_id", F.col("text").alias("label"), "is_steel", F.col("sx").alias("ax"), F.col("sy").alias("ay"))))
+    met = met.withColumn("_t", named.over(Window.partitionBy("page", "det_id")))
+    off = F.sqrt((F.col("_t.ax") - F.col("sx")) * (F.col("_t.ax") - F.col("sx")) + (F.col("_t.ay") - F.col("sy")) * (F.col("_t.ay") - F.col("sy")))
+    note = lambda rank, distance: F.struct(F.lit(rank).alias("rank"), distance.alias("off"), F.col("span_id").alias("dim_id"), F.col("kind").alias("dim_kind"), "rect_a", "rect_b", "diameter")
+    noted = F.when(is_type, None).when(off <= by_label, note(1, off)).when(inside, note(2, F.col("distance")))
+    found = met.groupBy("page", "det_id").agg(F.max("_t").alias("_t"), F.min(noted).alias("_d"))
+    found = found.select("page", "det_id", "_t.label", "_t.is_steel", *[f"_d.{c}" for c in ("dim_kind", "rect_a", "rect_b", "diameter")])
+    # a merge join: what a box meets says nothing of its files' size
+    out = boxes.join(found.hint("merge"), ["page", "det_id"], "left")
     turned = G.orientation(F.col("dx"), F.col("dy"), F.col("rect_a"), F.col("rect_b"))
     out = out.withColumn("steel", F.coalesce("is_steel", F.lit(False))).withColumn("turned", turned)
     kind = F.col("dim_kind")
